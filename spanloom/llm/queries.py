@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanloom.llm import langid
 from spanloom.llm.ngram_join import ngram_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +23,15 @@ def _query(f):
     return f
 
 
+@_query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents whose id's crc32 leaves another remainder than 1."""
+    docs = _table(spark, sf_dir, "documents")
+    late = langid.held_out(F.col("doc_id"), 3, 1)
+    model = langid.fit(docs.where(~late))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", late.alias("held_out"), "lang_pred", "score")
+
+
 @_query
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of at least 0.9."""

@@ -1,0 +1,18 @@
+"""The stages of the corpus pipeline.  Each takes (spark, docs, sf_dir); all but the last return documents' columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm import langid
+
+#: A document whose stated language the model contradicts with at least this probability is taken as mislabelled.
+MISLABELLED = 0.999
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts, texts without letters, and plainly mislabelled ones."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
+    wrong = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= MISLABELLED)
+    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~wrong).select(*docs.columns)
