@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid
+from spanloom.llm import langid, toxicity
 from spanloom.llm.ngram_join import ngram_components
+from spanloom.llm.stages import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,12 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(m) FROM r WHERE r.d = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id)
 """
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels of the documents whose id's crc32 isn't divisible by 5."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled(docs, _table(spark, sf_dir, "labels")))
+    late = langid.held_out(F.col("doc_id"), 5, 0).alias("held_out")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", late, "score", "predicted", "n_offending", "worst")

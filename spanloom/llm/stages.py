@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid
+from spanloom.llm import langid, toxicity
 
 #: A document whose stated language the model contradicts with at least this probability is taken as mislabelled.
 MISLABELLED = 0.999
@@ -16,3 +16,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
     wrong = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= MISLABELLED)
     return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~wrong).select(*docs.columns)
+
+
+#: Labels that may be broadcast to the documents: a dozen bytes each.  More are joined through a shuffle.
+BROADCAST_LABELS = 2_000_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the label ``toxic``, without the rows that crc32 keeps for evaluation."""
+    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
+    return docs.where(~langid.held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text").join(marks, "doc_id")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the multiple-instance model finds toxic."""
+    model = toxicity.fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
