@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid, toxicity
+from spanloom.llm import langid, media, toxicity
 from spanloom.llm.ngram_join import ngram_components
+from spanloom.llm.sharding import shard_documents
 from spanloom.llm.stages import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", late.alias("held_out"), "lang_pred", "score")
 
 
+@_query
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a Netpbm image, read back, with its checksums, difference hash and NPY tiles."""
+    return media.media_digests(media.text_media(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 contiguous shards of near equal bytes."""
+    placed = shard_documents(_table(spark, sf_dir, "documents"), 40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 @_query
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of at least 0.9."""
