@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid, media, toxicity, urlfilter
+from spanloom.llm import langid, media, mixing, packing, toxicity, urlfilter
 from spanloom.llm.ngram_join import ngram_components
 from spanloom.llm.sharding import shard_documents
 from spanloom.llm.stages import labelled
@@ -84,6 +84,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", late, "score", "predicted", "n_offending", "worst")
 
 
+@_query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whole, in bins of 16 KiB that repeat no source and no text."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in blocks of 64 KiB, scheduled to the square root of each source's bytes."""
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: The rules of the contract: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

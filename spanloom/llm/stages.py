@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid, toxicity
+from spanloom.functions.durable import durable
+from spanloom.llm import langid, mixing, packing, toxicity
+from spanloom.llm.ngram_join import ngram_components
 
 #: A document whose stated language the model contradicts with at least this probability is taken as mislabelled.
 MISLABELLED = 0.999
@@ -34,3 +36,33 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rejects documents that the multiple-instance model finds toxic."""
     model = toxicity.fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+#: Ids, with a slot where there is one, that may be broadcast to the documents: at most 24 bytes each.
+BROADCAST_IDS = 2_000_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents with a 5-word shingle similarity of at least 0.8."""
+    groups = durable(ngram_components(docs, words=5, num=80, den=100), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts all documents in the mixed order: sorted runs of slots, sources interleaved to their target weights."""
+    slots = mixing.schedule(docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_slot"))
+    slots = durable(slots.select(F.col("doc_id").alias("_id"), "_slot.slot", "_slot.place").toDF("_id", "_slot", "_place"), "slots")
+    mixed = docs.join(_small(slots), docs["doc_id"] == slots["_id"], "left")
+    return mixed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents, whole, into bins of equal capacity."""
+    return packing.pack_documents(docs)
