@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid, media, mixing, packing, toxicity, urlfilter
+from spanloom.llm import embed_dedup, langid, media, mixing, packing, toxicity, urlfilter
 from spanloom.llm.ngram_join import ngram_components
 from spanloom.llm.sharding import shard_documents
 from spanloom.llm.stages import labelled
@@ -84,6 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", late, "score", "predicted", "n_offending", "worst")
 
 
+@_query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all vectors with a cosine of at least 0.93 within their label."""
+    return embed_dedup.link_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, in bins of 16 KiB that repeat no source and no text."""
@@ -127,3 +133,18 @@ f AS (
 )
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE k = 1
 """
+
+
+ORACLES["op6_embedding_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), r AS (SELECT vec_id AS d, vec_id AS m FROM embeddings UNION SELECT l.x, r.m FROM r JOIN l ON l.y = r.d
+), c AS (SELECT d, min(m) AS m FROM r GROUP BY d), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.m AS component_id, vec_id = c.m AS kept
+FROM embeddings JOIN c ON c.d = vec_id LEFT JOIN n ON n.x = vec_id
+"""
