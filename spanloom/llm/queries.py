@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.durable import new_path
 from spanloom.llm import embed_dedup, langid, media, mixing, packing, toxicity, urlfilter
 from spanloom.llm.ngram_join import ngram_components
 from spanloom.llm.sharding import shard_documents
 from spanloom.llm.stages import labelled
+from spanloom.llm.tokencount import TokenRollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +36,32 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", late.alias("held_out"), "lang_pred", "score")
 
 
+#: Where the public vocabulary lies, and the name of its version.
+RANKS_FILE, RANKS_VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
+
+
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches: all documents, then without exact copies, then without licence lines.
+
+    The first batch is committed twice, which must not count anything twice.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    rollup = TokenRollup(spark, new_path(spark, "rollup"), RANKS_FILE, RANKS_VERSION)
+    upsert = docs.select(F.lit("upsert").alias("op"), "doc_id", F.lit(1).alias("seq"), "text", "source", "lang")
+    rollup.commit("load", upsert)
+    rollup.commit("load", upsert)
+    same = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("same"))
+    first = same.groupBy("same").agg(F.min("doc_id").alias("first"))
+    copies = same.join(first, "same").where("doc_id <> first").select("doc_id")
+    none = F.lit(None).cast("string")
+    rollup.commit("copies", copies.select(F.lit("delete").alias("op"), "doc_id", F.lit(1).alias("seq"), none.alias("text"), none.alias("source"), none.alias("lang")))
+    licence = r"(?m)^.*Licensed under [^\n]*\n?"
+    left = docs.where(F.col("text").contains("Licensed under ")).join(copies, "doc_id", "left_anti")
+    rollup.commit("licences", left.select(F.lit("upsert").alias("op"), "doc_id", F.lit(1).alias("seq"), F.regexp_replace("text", licence, "").alias("text"), "source", "lang"))
+    return rollup.totals()
+
+
 @_query
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a Netpbm image, read back, with its checksums, difference hash and NPY tiles."""
@@ -138,8 +166,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE k
 ORACLES["op6_embedding_dedup"] = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.93
