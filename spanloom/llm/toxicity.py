@@ -193,25 +193,24 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     kept = docs.drop("score", "predicted", "n_offending", "worst")
     width = len(model.weights)
-
-    def rows(batches):
-        for batch in batches:
-            total, n, worst = [], [], []
-            for _, data, offsets, found in _slices(batch.column("text"), width):
-                s = _logits(found, model)
-                total.append(-np.expm1(-_by_text(np.logaddexp(0, s), found.first)))
-                n.append(_by_text(s >= 0, found.first).astype(np.int32))
-                for k in range(len(offsets) - 1):
-                    a, b = found.first[k], found.first[k + 1]
-                    worst.append(_sentence(data, offsets, found, k, a + int(s[a:b].argmax())) if b > a else None)
-            score = np.clip(np.concatenate(total), 0, 1) if total else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(np.concatenate(n) if n else np.zeros(0, np.int32)), pa.array(worst, type=pa.string())],
-                [*batch.schema.names, "score", "predicted", "n_offending", "worst"],
-            )
-
-    more = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_offending", T.IntegerType()), ("worst", T.StringType())]
-    return kept.mapInArrow(rows, T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t in more]]))
+    fields = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_offending", T.IntegerType()), ("worst", T.StringType())]
+
+    @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t in fields]))
+    def toxic(text: pa.Array) -> pa.Array:
+        total, n, worst = [np.zeros(0)], [np.zeros(0, np.int32)], []
+        for _, data, offsets, found in _slices(text, width):
+            s = _logits(found, model)
+            total.append(-np.expm1(-_by_text(np.logaddexp(0, s), found.first)))
+            n.append(_by_text(s >= 0, found.first).astype(np.int32))
+            for k in range(len(offsets) - 1):
+                a, b = found.first[k], found.first[k + 1]
+                worst.append(_sentence(data, offsets, found, k, a + int(s[a:b].argmax())) if b > a else None)
+        score = np.clip(np.concatenate(total), 0, 1)
+        columns = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(np.concatenate(n)), pa.array(worst, type=pa.string())]
+        return pa.StructArray.from_arrays(columns, [f for f, _ in fields])
+
+    found = toxic(F.col("text"))
+    return kept.select("*", *[found[f].alias(f) for f, _ in fields])
 
 
 def _span(data: np.ndarray, offsets: np.ndarray, found: _Sentences, k: int, s: int) -> tuple[int, int]:
