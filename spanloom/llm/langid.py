@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions.batches import small_batches
 from spanloom.llm import textkernel as tk
 
 UNKNOWN = "und"
@@ -146,7 +147,7 @@ def fit_temperature(score: np.ndarray, label: np.ndarray) -> float:
         s = s - s.max(axis=1, keepdims=True)
         return -(s[np.arange(len(label)), label] - np.log(np.exp(s).sum(axis=1))).mean()
 
-    low, high, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    low, high, ratio = np.log(0.5), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
@@ -163,6 +164,7 @@ def fit(
     ``rows_per_class`` rows of a language (all, if it has fewer), picked by a hash of doc_id; a share ``calibration`` of
     them only calibrates.
     """
+    small_batches(docs.sparkSession)
     model = LanguageModel(buckets, orders)
     rows = docs.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "text", "lang")
 
@@ -229,23 +231,21 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     text if the model has learned no language give ``und`` and 0.0.  Rows are kept one for one, an empty table stays
     empty, and equal texts get equal results.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
     names = np.array([*model.classes, UNKNOWN])
 
-    def rows(batches):
-        for batch in batches:
-            column = batch.column("text")
-            best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
-            if model.weights is not None:
-                able = _lettered(column)
-                for i, (at, tf) in enumerate(_all_features(column, model.buckets, model.orders)):
-                    if able[i]:
-                        s = (_weighted(tf, model.idf[at]) @ model.weights[at] + model.bias) / model.temperature
-                        best[i] = s.argmax()
-                        score[i] = 1 / np.exp(s - s[best[i]]).sum()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names[best]), pa.array(score)], [*batch.schema.names, "lang_pred", "score"]
-            )
-
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(rows, schema)
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def language(text: pa.Array) -> pa.Array:
+        best, score = np.full(len(text), len(names) - 1), np.zeros(len(text))
+        if model.weights is not None:
+            able = _lettered(text)
+            for i, (at, tf) in enumerate(_all_features(text, model.buckets, model.orders)):
+                if able[i]:
+                    s = (_weighted(tf, model.idf[at]) @ model.weights[at] + model.bias) / model.temperature
+                    best[i] = s.argmax()
+                    score[i] = 1 / np.exp(s - s[best[i]]).sum()
+        return pa.StructArray.from_arrays([pa.array(names[best]), pa.array(score)], ["lang_pred", "score"])
+
+    found = language(F.col("text"))
+    return kept.select("*", found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import small_batches
 from spanloom.functions.durable import durable
 from spanloom.llm import textkernel as tk
 from spanloom.llm.components import components
@@ -372,6 +373,7 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     a doc_id but not the text are linked only if their texts are.  Other columns are ignored.  An empty table gives an
     empty result.  Sets are identified by 64-bit digests.
     """
+    small_batches(docs.sparkSession)
     base = durable(shingle_rows(docs, words), "shingles")
     nodes = (
         base.where("node is not null")

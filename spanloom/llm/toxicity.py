@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions.batches import small_batches
 from spanloom.llm import textkernel as tk
 
 #: Lengths in bytes of the word beginnings that are features beside the word itself.
@@ -106,6 +107,7 @@ def fit(
     largest significance (a z of at least ``least_z``) are kept.  The noisy-or is trained on about ``rows_per_class``
     rows of either label, picked by a hash of doc_id and weighted back to all rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
     def frequencies(batches):
@@ -191,6 +193,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     sentences that alone reach 0.5.  Null or empty texts and texts without words have no sentence: score 0.0 and a null
     ``worst``.  Only the text decides: equal texts get equal results.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted", "n_offending", "worst")
     width = len(model.weights)
     fields = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("n_offending", T.IntegerType()), ("worst", T.StringType())]

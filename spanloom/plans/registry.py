@@ -24,4 +24,10 @@ def query(name: str, oracle: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query."""
+    load()
     return QUERIES["doc_green_text"](spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from spanloom.plans import analytics, calls  # noqa: F401
