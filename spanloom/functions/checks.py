@@ -15,19 +15,23 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"[^0-9]", "")
 
 
-def nric_valid(value: Column) -> Column:
-    """Prefix S, T, F or G, seven digits and the letter that their weighted sum (plus 4 for T and G) names."""
-    compact = F.upper(F.regexp_replace(value, r"[ -]", ""))
-    shaped = compact.rlike(r"^[STFG][0-9]{7}[A-Z]$")
-    figures = [F.when(shaped, F.substring(compact, i + 2, 1).cast("int")) for i in range(7)]
+def nric_letter(compact: Column) -> Column:
+    """The check letter of a prefix S, T, F or G and seven digits: their weighted sum (plus 4 for T and G) names it."""
+    figures = [F.when(compact.rlike("^[STFG][0-9]{7}"), F.substring(compact, i + 2, 1).cast("int")) for i in range(7)]
     total = sum((d * w for d, w in zip(figures, NRIC_WEIGHTS, strict=True)), F.when(compact.rlike("^[TG]"), 4).otherwise(0))
     letters = F.when(compact.rlike("^[ST]"), NRIC_LETTERS["ST"]).otherwise(NRIC_LETTERS["FG"])
-    return shaped & (F.substring(compact, 9, 1) == letters.substr(total % 11 + 1, F.lit(1)))
+    return letters.substr(total % 11 + 1, F.lit(1))
+
+
+def nric_valid(value: Column) -> Column:
+    """Prefix, seven digits and the right check letter; spaces and hyphens don't count."""
+    compact = F.upper(F.regexp_replace(value, r"[ -]", ""))
+    return compact.rlike(r"^[STFG][0-9]{7}[A-Z]$") & (F.substring(compact, 9, 1) == nric_letter(compact))
 
 
 def luhn_valid(value: Column) -> Column:
     """13 to 19 digits with a Luhn check digit; separators don't count."""
-    return F.length(digits(value)).between(13, 19) & F.luhn_check(digits(value))
+    return F.length(digits(value)).between(13, 19) & F.call_function("luhn_check", digits(value))
 
 
 def _mod97(compact: Column) -> Column:

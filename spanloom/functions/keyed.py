@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def pick(pool: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in pool]), (F.pmod(number, F.lit(len(pool))) + 1).cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), in which ``value`` is computed once however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def subkey(key: bytes, label: str) -> bytes:
     """A key for one purpose."""
     import hashlib

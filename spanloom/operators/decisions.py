@@ -60,8 +60,9 @@ def k_gate(calls: DataFrame, k: int = V.RELEASE_K, person: str | None = None) ->
     With ``person`` (a column) classes are measured in people, not calls.
     """
     unit = F.col("id") if person is None else F.col(person)
-    size = calls.groupBy("qid").agg(F.countDistinct(unit).alias("k"))
-    return calls.join(size, calls["qid"].eqNullSafe(size["qid"])).select(calls["id"], calls["qid"], "k", ((F.col("k") < k) & (F.coalesce(calls["qid"], F.lit("")) != "")).alias("gated"))
+    size = calls.groupBy(F.col("qid").alias("class_qid")).agg(F.countDistinct(unit).alias("k"))
+    small = (F.col("k") < k) & (F.coalesce("qid", F.lit("")) != "")
+    return calls.join(size, F.col("qid").eqNullSafe(F.col("class_qid"))).select("id", "qid", "k", small.alias("gated"))
 
 
 def suppress_gated(replaced: DataFrame, gated: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checks, spoken
 from spanloom.functions import values as V
+from spanloom.functions.durable import durable
 from spanloom.operators import policy
 from spanloom.operators.spans import SPAN, covered, find_spans, merge, tidy
 
@@ -61,7 +62,7 @@ def cue_spans(texts: DataFrame) -> DataFrame:
 def spoken_spans(texts: DataFrame) -> DataFrame:
     """What the format and cue rules find in the written form of spoken passages, laid over the original words."""
     mapped = texts.where("text is not null").select("id", spoken.normalize_with_map("text").alias("m")).where("size(m.changed) > 0")
-    mapped = mapped.select("id", F.col("m.norm").alias("text"), "m.starts", "m.ends", "m.changed")
+    mapped = durable(mapped.select("id", F.col("m.norm").alias("text"), "m.starts", "m.ends", "m.changed"), "spoken")
     found = format_spans(mapped, "spoken").unionByName(cue_spans(mapped).withColumn("layer", F.lit("spoken")))
     placed = found.drop("surface").join(mapped.drop("text"), "id")
     placed = placed.withColumn("start", F.get("starts", F.col("start"))).withColumn("end", F.get("ends", F.col("end")))
@@ -128,18 +129,19 @@ def propagated_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
 def detect(turns: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """Disjoint spans of whole calls: turns (call_id, turn, text) joined by line feeds; offsets are into the call.
 
-    ``layers`` keeps only some of format, context, spoken, dialogue and propagate.
+    ``layers`` keeps only some of format, context, spoken, dialogue and propagate.  Every rule reads the texts, and
+    merging reads its spans twice, so both are written once to the shared folder instead of being computed again.
     """
     spark: SparkSession = turns.sparkSession
-    texts = call_texts(turns)
+    texts = durable(call_texts(turns), "texts")
     found = _union([
         format_spans(texts).select("id", *SPAN), cue_spans(texts).select("id", *SPAN), lexicon_spans(texts).select("id", *SPAN),
         spoken_spans(texts), dialogue_spans(turns).select("id", *SPAN),
     ])
     found = found.where(F.col("layer").isin(*layers)) if layers else found
-    base = merge(numbered(found), policy.types(spark)).select("id", *SPAN)
+    base = durable(merge(durable(numbered(found), "candidates"), policy.types(spark)).select("id", *SPAN), "merged")
     if layers is None or "propagate" in layers:
-        base = merge(numbered(base.unionByName(propagated_spans(texts, base))), policy.types(spark))
+        base = merge(durable(numbered(base.unionByName(propagated_spans(texts, base))), "candidates"), policy.types(spark))
     return tidy(base, texts, ALLOWED)
 
 

@@ -12,7 +12,10 @@ from spanloom.operators.spans import overlaps
 
 
 def per_span(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """gold (id, start, end, type, harm) with hit (overlapped), strict (equal offsets and type) and type_ok."""
+    """gold (id, start, end, type, harm) with hit (overlapped), strict (equal offsets and type) and type_ok.
+
+    Equal gold rows count once.
+    """
     pairs = gold.alias("a").join(found.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps(), "left")
     hit = F.col("b.id").isNotNull()
     strict = hit & (F.col("a.start") == F.col("b.start")) & (F.col("a.end") == F.col("b.end")) & (F.col("a.type") == F.col("b.type"))
@@ -49,7 +52,7 @@ def misses(spans: DataFrame, per_type: int = 4) -> DataFrame:
 
 def confusion(rows: DataFrame, truth: str, guess: str, labels: list) -> DataFrame:
     """Counts of guesses (columns) for each truth (rows)."""
-    return rows.groupBy(truth).pivot(guess, labels).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(truth).pivot(guess, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def draws(rows: DataFrame, resamples: int, key: bytes, n: int) -> DataFrame:

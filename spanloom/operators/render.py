@@ -63,27 +63,36 @@ def digit_surrogate(surface: Column, mac: Column, keep_first: Column) -> Column:
 
     Digits spoken in any language the detector knows are replaced too, so nothing of the number stays readable.
     """
-    tokens = F.regexp_extract_all(surface, F.lit(r"(?i)[0-9]|\b(?:" + "|".join(sorted([*spoken.DIGITS, *V.HOMOPHONES], key=len, reverse=True)) + r")\b|[\s\S]"), F.lit(0))
-    unit = lambda t: t.rlike(r"(?i)^(?:[0-9]|" + "|".join([*spoken.DIGITS, *V.HOMOPHONES]) + ")$")
-    draw = lambda i: F.pmod(keyed.keyed_int(mac, F.pmod(i * 5, F.lit(57))) + i, F.lit(10))
+    pattern = F.regexp_extract_all(surface, F.lit(r"(?i)[0-9]|\b(?:" + "|".join(sorted([*spoken.DIGITS, *V.HOMOPHONES], key=len, reverse=True)) + r")\b|[\s\S]"), F.lit(0))
+    is_unit = lambda t: t.rlike(r"(?i)^(?:[0-9]|" + "|".join([*spoken.DIGITS, *V.HOMOPHONES]) + ")$")
     words = F.array(*[F.lit(w) for w in V.DIGIT_WORDS])
-    fresh = lambda t, i: F.when(t.rlike("^[0-9]$"), draw(i).cast("string")).otherwise(match_case(t, F.get(words, draw(i).cast("int"))))
-    first = F.array_position(F.transform(tokens, unit), F.lit(True)) - 1
-    return F.array_join(F.transform(tokens, lambda t, i: F.when(~unit(t) | (keep_first & (i == first)), t).otherwise(fresh(t, i))), "")
+
+    def drawn(known: Column) -> Column:
+        draw = lambda i: F.pmod(keyed.keyed_int(known["mac"], F.pmod(i * 5, F.lit(57))) + i, F.lit(10))
+        fresh = lambda t, i: F.when(t.rlike("^[0-9]$"), draw(i).cast("string")).otherwise(match_case(t, F.get(words, draw(i).cast("int"))))
+        stays = lambda x, i: ~x["unit"] | (known["keep"] & (i == known["first"]))
+        return F.array_join(F.transform(known["tokens"], lambda x, i: F.when(stays(x, i), x["t"]).otherwise(fresh(x["t"], i))), "")
+
+    marked = F.transform(pattern, lambda t: F.struct(t.alias("t"), is_unit(t).alias("unit")))
+    known = lambda m: F.struct(m.alias("tokens"), mac.alias("mac"), keep_first.alias("keep"), (F.array_position(m["unit"], F.lit(True)) - 1).alias("first"))
+    return keyed.let(marked, lambda m: keyed.let(known(m), drawn))
 
 
 def valid_surrogate(surface: Column, mac: Column, type_: Column) -> Column:
     """A digit surrogate with its check letter or check digits put right again."""
-    out = digit_surrogate(surface, mac, type_ == "PHONE")
-    letters = [F.when(checks.nric_valid(F.concat(F.substring(out, 1, 8), F.lit(c))), F.lit(c)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    nric = F.concat(F.substring(out, 1, 8), F.coalesce(*letters))
-    compact = F.regexp_replace(out, r"\s", "")
-    iban = F.concat(F.substring(out, 1, 2), checks.iban_check(F.substring(compact, 1, 2), F.substring(compact, 5, 40)), out.substr(F.lit(5), F.length(out)))
-    return (
-        F.when((type_ == "NRIC") & out.rlike("(?i)^[STFG][0-9]{7}[A-Z]$"), match_case(surface, F.upper(nric)))
-        .when((type_ == "IBAN") & compact.rlike("(?i)^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), iban)
-        .otherwise(out)
-    )
+
+    def checked(out: Column) -> Column:
+        upper = F.upper(F.substring(out, 1, 8))
+        nric = F.concat(upper, checks.nric_letter(upper))
+        compact = F.regexp_replace(out, r"\s", "")
+        iban = F.concat(F.substring(out, 1, 2), checks.iban_check(F.substring(compact, 1, 2), F.substring(compact, 5, 40)), out.substr(F.lit(5), F.length(out)))
+        return (
+            F.when((type_ == "NRIC") & out.rlike("(?i)^[STFG][0-9]{7}[A-Z]$"), match_case(surface, nric))
+            .when((type_ == "IBAN") & compact.rlike("(?i)^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), iban)
+            .otherwise(out)
+        )
+
+    return keyed.let(digit_surrogate(surface, mac, type_ == "PHONE"), checked)
 
 
 def surrogate(type_: Column, surface: Column, mac: Column) -> Column:

@@ -52,7 +52,7 @@ def merge(spans: DataFrame, harm: DataFrame) -> DataFrame:
     """Disjoint spans: every character goes to the best span that covers it, and runs of one winner are one span.
 
     Best is the most harmful type, then the most trusted layer, the longest, the highest score, and the first in
-    ``input_pos`` (a column of spans that orders ties).  harm: (type, harm).  Boundaries of all spans of an id cut its
+    ``input_pos`` (a column of spans that orders ties, without repeats within an id).  harm: (type, harm).  Boundaries of all spans of an id cut its
     text into elementary intervals; each interval takes its winner by a window over the spans that cover it.
     """
     ranked = spans.join(F.broadcast(harm.select("type", "harm")), "type", "left").withColumn("harm", F.coalesce("harm", F.lit(0)))

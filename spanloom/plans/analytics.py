@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,9 +150,12 @@ def audit_counters(spark, sf_dir):
     return entries(spark, sf_dir).agg(F.count_if(read).alias("reads"), F.count_if(~read).alias("others"), F.countDistinct("user_id").alias("users"))
 
 
-GOLD = """g AS (SELECT l_orderkey AS id, (l_linenumber * 40)::INT AS "start", (l_linenumber * 40 + 10 + l_partkey % 8)::INT AS "end", CASE l_linenumber % 3 WHEN 0 THEN 'OTP' WHEN 1 THEN 'PERSON' ELSE 'LOCATION' END AS type,
-  CASE l_linenumber % 3 WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 END AS harm, l_suppkey % 5 AS key, l_partkey % 10 < 9 AS found, l_partkey % 10 < 7 AS exact, l_partkey % 10 < 8 AS typed FROM lineitem),
-s AS (SELECT *, found AS hit, found AND exact AS strict, found AND typed AS type_ok FROM g)"""
+GOLD = """o AS (SELECT l_orderkey AS id, (l_linenumber * 40)::INT AS "start", (l_linenumber * 40 + 10 + l_partkey % 8)::INT AS "end", CASE l_linenumber % 3 WHEN 0 THEN 'OTP' WHEN 1 THEN 'PERSON' ELSE 'LOCATION' END AS type,
+  CASE l_linenumber % 3 WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 1 END AS harm, l_suppkey % 5 AS key, l_partkey % 10 AS part FROM lineitem),
+g AS (SELECT DISTINCT id, "start", "end", type, harm, key FROM o),
+f AS (SELECT id, CASE WHEN part < 7 THEN "start" ELSE "start" + 2 END AS a, "end" AS z, CASE WHEN part < 8 THEN type ELSE 'DATE' END AS t FROM o WHERE part < 9),
+s AS (SELECT g.id, g."start", g."end", g.type, g.harm, g.key, count(f.id) > 0 AS hit, coalesce(bool_or(f.a = g."start" AND f.z = g."end" AND f.t = g.type), false) AS strict, coalesce(bool_or(f.t = g.type), false) AS type_ok
+  FROM g LEFT JOIN f ON f.id = g.id AND g."start" < f.z AND f.a < g."end" GROUP BY ALL)"""
 
 
 def scored(spark, sf_dir):
@@ -246,7 +251,7 @@ def mean_sd_seeds(spark, sf_dir):
 def target_table(spark, sf_dir):
     """Targets met, not met, and not measured."""
     got = table(spark, sf_dir, "labels").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    rows = F.array(F.struct(F.lit("quality").alias("target"), (F.col("q") >= 0.8).alias("met")), F.struct(F.lit("toxic"), F.col("t") <= 0.05), F.struct(F.lit("latency"), F.lit(None).cast("boolean")))
+    rows = F.array(F.struct(F.lit("quality").alias("target"), (F.col("q") >= 0.8).alias("met")), F.struct(F.lit("toxic").alias("target"), (F.col("t") <= 0.05).alias("met")), F.struct(F.lit("latency").alias("target"), F.lit(None).cast("boolean").alias("met")))
     return got.select(F.explode(rows).alias("x")).select("x.*")
 
 
@@ -296,9 +301,9 @@ def dp_cap_counts(spark, sf_dir):
 
 @query("dp_noisy_counts")
 def dp_noisy_counts(spark, sf_dir):
-    """Those counts with keyed Laplace noise and a threshold (epsilon 1)."""
+    """Those counts with keyed Laplace noise and a threshold (epsilon 8, delta 1e-5, half of either for words)."""
     toks = ngrams.tokens(documents(spark, sf_dir)).where("pos > 0")
-    return ngrams.laplace_counts(ngrams.capped(toks, 50, SECRET), 100.0, 1200.0, SECRET)
+    return ngrams.laplace_counts(ngrams.capped(toks, 50, SECRET), 50 / (8 / 2), 1 + 12.5 * math.log(50 / 1e-5), SECRET)
 
 
 @query("linkage_candidates", """WITH p AS (SELECT c_custkey AS person, lower(n_name) AS nation, lower(c_mktsegment) AS segment FROM customer JOIN nation ON n_nationkey = c_nationkey),
@@ -312,13 +317,14 @@ def linkage_candidates(spark, sf_dir):
     return ngrams.linkage(people.select(F.col("person").alias("id"), said.alias("text")), people, ["nation", "segment"])
 
 
-@query("canary_exposure", """WITH s AS (SELECT l_orderkey % 50 AS canary, l_linenumber = 1 AND l_orderkey < 200 AS planted, round(l_extendedprice, 2) AS logp FROM lineitem), p AS (SELECT canary, logp AS mine FROM s WHERE planted),
-r AS (SELECT canary, mine, count(*) AS n, count_if(logp >= mine AND NOT planted) AS above FROM s JOIN p USING (canary) GROUP BY ALL) SELECT canary, round(log2(n) - log2(above + 1), 4) AS exposure FROM r WHERE false""")
+@query("canary_exposure", """WITH s AS (SELECT l_orderkey % 50 AS canary, round(l_extendedprice, 2) AS logp FROM lineitem), p AS (SELECT canary, max(logp) - 1000 * (canary % 7) AS mine FROM s GROUP BY canary)
+SELECT canary, round(log2(count(*) + 1) - log2(count_if(logp >= mine) + 1), 4) AS exposure FROM s JOIN p USING (canary) GROUP BY canary""")
 def canary_exposure(spark, sf_dir):
-    """How far planted values stand out (none are planted in these tables)."""
+    """How far a planted value stands out from the candidates of its canary."""
     line = table(spark, sf_dir, "lineitem")
-    scores = line.select((F.col("l_orderkey") % 50).alias("canary"), F.lit(False).alias("planted"), F.round("l_extendedprice", 2).alias("logp"))
-    return ngrams.exposure(scores)
+    others = line.select((F.col("l_orderkey") % 50).alias("canary"), F.lit(False).alias("planted"), F.round("l_extendedprice", 2).alias("logp"))
+    planted = others.groupBy("canary").agg((F.max("logp") - 1000 * (F.col("canary") % 7)).alias("logp")).select("canary", F.lit(True).alias("planted"), "logp")
+    return ngrams.exposure(others.unionByName(planted))
 
 
 @query("word_wer", "SELECT c_custkey, 1 AS edits FROM customer")

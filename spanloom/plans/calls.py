@@ -130,11 +130,12 @@ def propagate_spans(spark, sf_dir):
     return detect.propagated_spans(texts, found).select("id", "start", "end", "type")
 
 
-SPANS_SQL = """s AS (
+SPANS_SQL = """u AS (
   SELECT l_orderkey AS id, (l_partkey % 60)::INT AS "start", (l_partkey % 60 + 1 + l_suppkey % 25)::INT AS "end",
     CASE l_linenumber % 5 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'OTP' WHEN 2 THEN 'LOCATION' WHEN 3 THEN 'AMOUNT' ELSE 'HEALTH' END AS type,
     CASE l_linenumber % 3 WHEN 0 THEN 'format' WHEN 1 THEN 'context' ELSE 'propagate' END AS layer,
-    round(l_discount, 2) AS score, l_linenumber AS input_pos FROM lineitem)"""
+    round(l_discount, 2) AS score FROM lineitem),
+s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "start", "end", type, layer, score)::INT AS input_pos FROM u)"""
 
 
 def line_spans(spark, sf_dir):
@@ -142,12 +143,12 @@ def line_spans(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     start = F.col("l_partkey") % 60
     kind = F.col("l_linenumber") % 5
-    return line.select(
+    return detect.numbered(line.select(
         F.col("l_orderkey").alias("id"), start.cast("int").alias("start"), (start + 1 + F.col("l_suppkey") % 25).cast("int").alias("end"),
         F.when(kind == 0, "PERSON").when(kind == 1, "OTP").when(kind == 2, "LOCATION").when(kind == 3, "AMOUNT").otherwise("HEALTH").alias("type"),
         F.when(F.col("l_linenumber") % 3 == 0, "format").when(F.col("l_linenumber") % 3 == 1, "context").otherwise("propagate").alias("layer"),
-        F.round("l_discount", 2).alias("score"), F.col("l_linenumber").alias("input_pos"),
-    )
+        F.round("l_discount", 2).alias("score"),
+    ))
 
 
 @query("span_merge_priority", f"""WITH {SPANS_SQL}, h(type, harm) AS (VALUES ('PERSON', 5), ('OTP', 10), ('LOCATION', 1), ('AMOUNT', 5), ('HEALTH', 3)), p(layer, prio) AS (VALUES ('propagate', 0), ('context', 3), ('format', 5)),
@@ -437,7 +438,7 @@ def paste_parse(spark, sf_dir):
 
 
 @query("markup_parse", CALLS + """ SELECT CAST(id AS VARCHAR) AS call_id, 0 AS turn, 11 AS "start", 11 + len(person) AS "end", 'PERSON' AS type, person AS value FROM x
-UNION ALL SELECT CAST(id AS VARCHAR), 1, 4, 10, 'OTP', otp FROM x UNION ALL SELECT CAST(id AS VARCHAR), 1, 15, 15 + len(town), 'LOCATION', town FROM x""")
+UNION ALL SELECT CAST(id AS VARCHAR), 1, 4, 10, 'OTP', otp FROM x UNION ALL SELECT CAST(id AS VARCHAR), 1, 14, 14 + len(town), 'LOCATION', town FROM x""")
 def markup_parse(spark, sf_dir):
     """Gold spans of marked-up calls, with offsets into the plain turns."""
     calls = tr.derived_calls(spark, sf_dir)
@@ -455,7 +456,8 @@ def transcript_style(spark, sf_dir):
     return tr.style(tr.derived_turns(tr.derived_calls(spark, sf_dir)))
 
 
-@query("domain_vote", r"""WITH v AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\b(?:the|of|and)\b')) AS bank, len(regexp_extract_all(lower(text), '\b(?:la|der|die|que)\b')) AS other FROM documents)
+@query("domain_vote", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents),
+v AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'of', 'and'))) AS bank, len(list_filter(w, lambda x: x IN ('la', 'der', 'die', 'que'))) AS other FROM w)
 SELECT doc_id, bank, other, bank >= 2 AND bank > other AS is_bank FROM v""")
 def domain_vote(spark, sf_dir):
     """A vote of keyword counts over all documents."""
