@@ -1,76 +1,117 @@
-"""Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling.
 
 A source's rows form blocks of equal bytes.  With weight w, block j may start at slot ``floor(j / w)`` (its release)
 and must end by slot ``ceil((j + 1) / w)`` (its deadline).  Earliest deadline first over these windows keeps every
 source within less than one block of its target in every prefix of the schedule.
 
-Weights are rounded to multiples of 1 / period.  The schedule then repeats after ``period`` slots, so one period is
-planned (a fold over its slots, in one row that is as small as the number of sources) and every block finds its slot by
-its number: ``block div count`` periods on, at the place of the ``block mod count``-th block in the plan.
+Weights are exact fractions and are never rounded, so the bound holds however long the schedule is.  The plan has a row
+per block of bytes and depends on the sources' weights and numbers of blocks only: the driver makes it in stretches,
+from each of which every source goes on where it stands, and writes each stretch to the shared folder.  Rows are
+handled by DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import math
+from collections.abc import Iterator
+from decimal import Decimal
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.durable import durable
+from spanloom.functions.durable import durable, new_path
 from spanloom.llm.sharding import prefix_sums, text_bytes
 
 #: Rows without a source are mixed as this one.
 NO_SOURCE = ""
 
+#: Blocks that the driver plans before it writes them.
+STRETCH = 131_072
 
-def slot_counts(weights: DataFrame, period: int) -> DataFrame:
-    """(source, count): slots of a period for each source (source, weight), by largest remainders, at least one each.
+#: Planned blocks that may be broadcast to the rows: some dozen bytes each.  More are joined through a shuffle.
+BROADCAST_BLOCKS = 500_000
 
-    Weights need not sum to one.  Null, negative and zero weights count as the smallest share, one slot.  The counts
-    sum to the period where no source had to be raised to one slot, and otherwise to little more.
-    """
-    clean = weights.select("source", F.greatest(F.coalesce("weight", F.lit(0.0)).cast("double"), F.lit(0.0)).alias("weight"))
-    every = Window.partitionBy(F.lit(0))  # a row per source
-    share = F.when(F.sum("weight").over(every) > 0, F.col("weight") / F.sum("weight").over(every)).otherwise(1.0 / F.count("*").over(every))
-    cut = clean.withColumn("exact", share * period).withColumn("least", F.floor("exact").cast("long"))
-    rank = F.row_number().over(every.orderBy(F.desc(F.col("exact") - F.col("least")), "source"))
-    given = cut.withColumn("rank", rank).withColumn("open", period - F.sum("least").over(every))
-    return given.select("source", F.greatest(F.col("least") + (F.col("rank") <= F.col("open")).cast("long"), F.lit(1)).alias("count"))
+PLAN = pa.schema([("source", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
 
 
-def period_plan(counts: DataFrame) -> DataFrame:
-    """(source, count, period, nth, at): the slots of one period, earliest deadline first among released blocks.
+def shares(weights: dict[str, float | int | Decimal | None], period: int) -> dict[str, Fraction]:
+    """The exact share of each source.
 
-    Ties go to the source that sorts first.  One row holds all sources while the slots are folded, so the number of
-    sources is what bounds it.
+    Weights need not sum to one.  Weights that are null, zero, negative, infinite or no number count as the smallest
+    share, 1 / period of the sum of the others; if there are no others, all shares are equal.
     """
-    packed = counts.agg(
-        F.array_sort(F.collect_list(F.struct("source", F.col("count").cast("long").alias("count")))).alias("s"), F.sum("count").cast("long").alias("period")
-    ).where("period > 0")
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("picks"))
+    good = {s: Fraction(w) for s, w in weights.items() if w is not None and math.isfinite(w) and w > 0}
+    least = sum(good.values()) / period if good else Fraction(1)
+    every = {s: good.get(s, least) for s in weights}
+    total = sum(every.values())
+    return {s: w / total for s, w in every.items()}
+
+
+def plan(share: dict[str, Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) in the order of the slots: earliest deadline first, then by source.
 
-    def urgency(x: Column, i: Column, done: Column, slot: Column) -> Column:
-        """(deadline, index) of a source's next block, or a null if it isn't released or has none left."""
-        j = F.get(done, i)
-        released = F.floor(j * F.col("period") / x["count"]) <= slot
-        return F.when(released & (j < x["count"]), F.struct(F.ceil((j + 1) * F.col("period") / x["count"]).alias("deadline"), i.alias("i")))
+    A source that has run out leaves its slots empty.
+    """
+    window = {s: (w.denominator, w.numerator) for s, w in share.items()}
+
+    def job(source: str, j: int) -> tuple[int, str, int, int]:
+        den, num = window[source]
+        return j * den // num, source, j, -(-(j + 1) * den // num)
+
+    waiting = [job(s, 0) for s, n in blocks.items() if n > 0]  # (release, source, block, deadline)
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []  # (deadline, source, block, release)
+    at = 0
+    while waiting or ready:
+        if not ready:
+            at = max(at, waiting[0][0])
+        while waiting and waiting[0][0] <= at:
+            release, source, j, deadline = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, source, j, release))
+        deadline, source, j, release = heapq.heappop(ready)
+        yield source, j, release, deadline, at
+        at += 1
+        if j + 1 < blocks[source]:
+            heapq.heappush(waiting, job(source, j + 1))
+
+
+def write_plan(spark: SparkSession, rows: Iterator[tuple]) -> tuple[DataFrame, int]:
+    """The planned blocks as a table of the shared folder, and their number; the driver holds one stretch of them."""
+    path, count, held = new_path(spark, "plan"), 0, []
+
+    def write() -> None:
+        columns = list(zip(*held, strict=True)) or [[]] * len(PLAN)
+        table = pa.table([pa.array(c, type=f.type) for c, f in zip(columns, PLAN, strict=True)], schema=PLAN)
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == STRETCH:
+            write()
+            count, held = count + len(held), []
+    write()
+    return spark.read.schema("source string, block long, release long, deadline long, slot long").parquet(path), count + len(held)
 
-    def step(state: Column, slot: Column) -> Column:
-        best = F.array_min(F.filter(F.transform("s", lambda x, i: urgency(x, i, state["done"], slot)), lambda u: u.isNotNull()))["i"]
-        done = F.transform(state["done"], lambda n, i: n + F.when(i == best, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(state["picks"], F.array(best)).alias("picks"))
 
-    slots = F.sequence(F.lit(0).cast("long"), F.col("period") - 1)
-    picks = packed.select("s", "period", F.posexplode(F.aggregate(slots, start, step, lambda state: state["picks"])).alias("at", "i"))
-    chosen = picks.select("period", "at", F.get("s", F.col("i"))["source"].alias("source"), F.get("s", F.col("i"))["count"].alias("count"))
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1  # of one period only
-    return chosen.withColumn("nth", nth)
+def period_plan(counts: DataFrame) -> DataFrame:
+    """(source, count, period, nth, at): the slots of one period for sources (source, count), as ``plan`` orders them."""
+    blocks = {r["source"]: r["count"] for r in counts.collect()}  # a row per source
+    period = sum(blocks.values())
+    done, _ = write_plan(counts.sparkSession, plan({s: Fraction(n, period) for s, n in blocks.items() if n}, blocks))
+    return done.join(F.broadcast(counts.select("source", F.col("count").cast("long").alias("count"))), "source").select(
+        "source", "count", F.lit(period).cast("long").alias("period"), F.col("block").alias("nth"), F.col("slot").alias("at")
+    )
 
 
 def schedule(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = 65_536, period: int = 1_000, power: float = 0.5) -> DataFrame:
     """(doc_id, source, size, block, release, deadline, slot, place) for all rows of docs (doc_id, source, text).
 
     ``slot`` is the block's place in the mixed order and ``place`` the row's place in its block.  weights (source,
-    weight) are the targets; sources without one get the smallest share.  Without ``weights``, a source's target is its
-    bytes to the ``power`` of 0.5, which lifts small sources.  A source's rows are taken in the order of a hash of doc_id,
+    weight) are the targets, exact as they are given; sources without one get the smallest share (see ``shares``).
+    Without ``weights``, a source's target is its bytes to the ``power`` of 0.5, which lifts small sources.  A source's rows are taken in the order of a hash of doc_id,
     and a row belongs to the block in which its middle byte falls (size: UTF-8 bytes and 16).  When a source runs out, its
     slots stay empty: slots are then not gapless, but all rows keep their order and none is dropped or repeated.  Null
     sources are one source of their own (the empty name).  Rows that are equal in all fields are ranked arbitrarily.
@@ -80,24 +121,19 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int
         (text_bytes(F.col("text")) + 16).alias("size"), F.xxhash64("doc_id").alias("draw"),
     )
     placed = durable(prefix_sums(rows, ["source", "draw", "doc_id"], "size", within=["source"]), "placed")
-    own = placed.groupBy("source").agg(F.sum("size").cast("double").alias("bytes"))
+    block = F.floor((F.col("before") + F.col("size") / 2) / block_bytes).cast("long")
+    placed = placed.withColumn("block", block)
+    own = placed.groupBy("source").agg(F.sum("size").cast("double").alias("bytes"), (F.max("block") + 1).alias("blocks"))
     if weights is None:
-        target = own.select("source", F.pow("bytes", F.lit(power)).alias("weight"))
+        target = own.select("source", "blocks", F.pow("bytes", F.lit(power)).alias("weight"))
     else:
         given = weights.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"))
-        target = own.join(given, "source", "left").select("source", "weight")
-    plan = durable(period_plan(slot_counts(target, period)), "plan")
-    block = F.floor((F.col("before") + F.col("size") / 2) / block_bytes).cast("long")
-    counted = plan.select("source", "count", "period").distinct()
-    blocks = placed.withColumn("block", block).join(F.broadcast(counted), "source").withColumn("nth", F.col("block") % F.col("count"))
+        target = own.join(given, "source", "left").select("source", "blocks", "weight")
+    sources = target.collect()  # a row per source
+    share = shares({r["source"]: r["weight"] for r in sources}, period)
+    planned, count = write_plan(docs.sparkSession, plan(share, {r["source"]: r["blocks"] for r in sources}))
     first = Window.partitionBy("source", "block").orderBy("rank")
-    return (
-        blocks.join(F.broadcast(plan.select("source", "nth", "at")), ["source", "nth"])  # period + sources rows at most
-        .select(
-            "doc_id", "source", "size", "block",
-            F.floor(F.col("block") * F.col("period") / F.col("count")).cast("long").alias("release"),
-            F.ceil((F.col("block") + 1) * F.col("period") / F.col("count")).cast("long").alias("deadline"),
-            (F.floor(F.col("block") / F.col("count")) * F.col("period") + F.col("at")).cast("long").alias("slot"),
-            (F.row_number().over(first) - 1).cast("long").alias("place"),
-        )
-    )
+    place = (F.row_number().over(first) - 1).cast("long").alias("place")
+    return placed.join(F.broadcast(planned) if count <= BROADCAST_BLOCKS else planned, ["source", "block"]).select(
+        "doc_id", "source", "size", "block", "release", "deadline", "slot", place
+    )

@@ -1,9 +1,11 @@
 """Every operator and stage on small tables: awkward rows, empty tables, and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -294,6 +296,24 @@ def test_period_plan_deviates_less_than_a_block(spark):
         assert all(abs(done[x] - share[x] * (at + 1)) < 1 for x in share)
 
 
+def test_schedule_keeps_to_unrounded_weights(spark):
+    weights = {"a": 0.61237, "b": 0.0002, "c": 0.3333, "d": 0.05413}
+    share = mixing.shares(weights, 1_000)
+    assert all(share[s] == Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items())
+    blocks, done = {s: int(40_000 * w) for s, w in share.items()}, dict.fromkeys(weights, 0)
+    for n, (s, j, release, deadline, at) in enumerate(mixing.plan(share, blocks)):
+        assert (j, at) == (done[s], n) and math.floor(j / share[s]) == release <= at < deadline == math.ceil((j + 1) / share[s])
+        done[s] += 1
+        assert n > 39_900 or all(-1 < done[x] - share[x] * (n + 1) < 1 for x in share)
+    assert done == blocks
+    rows = [(i, "x" * 84, s) for i, s in enumerate(["a"] * 700 + ["b"] * 3 + ["c"] * 300)]
+    given = spark.createDataFrame([("a", 0.7001), ("b", 0.0002), ("c", 0.2997)], "source string, weight double")
+    out = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), given, block_bytes=100).collect()
+    exact = mixing.shares({"a": 0.7001, "b": 0.0002, "c": 0.2997}, 1_000)
+    assert all((r["release"], r["deadline"]) == (math.floor(r["block"] / exact[r["source"]]), math.ceil((r["block"] + 1) / exact[r["source"]])) for r in out)
+    assert sorted(r["slot"] for r in out if r["source"] == "b")[1] >= 4_990 and len({r["slot"] for r in out}) == len(out) == 1_003
+
+
 def test_url_filters(spark):
     hosts = ["net", "a.net", "example.net", "m.example.net", "example.com", "x.y.example.com", "org", "b.org", "network", "Exa.ORG", ""]
     paths = ["", "/", "/en/", "/en/x", "/de/1?x=/fr/", "/fr/#a", "?/de/", "/en"]
