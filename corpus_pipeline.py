@@ -19,9 +19,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; every stage's rows are written and read again by the next."""
+def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; every stage's rows are written and read again by the next.
+
+    weights (source, weight): targets of the mixture; without them, the square root of each source's bytes.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        more = {"weights": weights} if name == "source_mixing" and weights is not None else {}
+        docs = durable(stage(spark, docs, sf_dir, **more), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.sharding import text_bytes
@@ -50,24 +50,43 @@ def _masks(sources: list, clusters: list) -> list[int]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int, group_rows: int = 2048) -> DataFrame:
+def _slot_groups(pieces: DataFrame, group_rows: int, stretch: int) -> DataFrame:
+    """pieces (doc_id, piece, slot) with ``group``: groups of about ``group_rows`` in each run of ``stretch`` slots.
+
+    Groups are numbered in the order of the runs, so group after group follows the mixed order.
+    """
+    run = F.floor(F.col("slot") / stretch).cast("long")
+    runs = pieces.groupBy(run.alias("_run")).agg(F.ceil(F.count("*") / group_rows).cast("long").alias("_groups"))
+    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row per run
+    runs = runs.withColumn("_first", F.coalesce(F.sum("_groups").over(earlier), F.lit(0)))
+    dealt = pieces.withColumn("_run", run).join(F.broadcast(runs), "_run")
+    return dealt.withColumn("group", F.col("_first") + F.pmod(F.xxhash64("doc_id", "piece"), F.col("_groups"))).drop("_run", "_groups", "_first")
+
+
+def pack(pieces: DataFrame, capacity: int, group_rows: int = 2048, stretch: int | None = None) -> DataFrame:
     """(doc_id, piece, size, group, bin, offset) for pieces (doc_id, piece, size, source, cluster).
 
+    With ``stretch``, pieces have a ``slot`` as well, which the result keeps, and no group has pieces of more than one
+    run of that many slots: groups are then in the order of the slots, and their mixture is that of the slots.
+
     Pieces are dealt by hash into groups of about ``group_rows``, and each group is packed by itself, largest piece
     first (ties by doc_id and piece): bins are complete within a group, so that groups are independent, bounded units
     of work, and a hot source or cluster is spread evenly over them.  No size may exceed ``capacity``; pieces of size 0
     or null are packed as size 0.  Null sources and clusters conflict with nothing.  Repeated rows are packed each.
     """
-    count = pieces.count()
-    groups = max(1, -(-count // group_rows))
-    names = ["doc_id", "piece", "size", "source", "cluster"]
+    names = ["doc_id", "piece", "size", "source", "cluster", *(["slot"] if stretch else [])]
     dealt = pieces.select(*names).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    if stretch:
+        dealt = _slot_groups(dealt, group_rows, stretch)
+    else:
+        groups = max(1, -(-pieces.count() // group_rows))
+        dealt = dealt.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    kinds = COLUMNS | ({"slot": pa.int64()} if stretch else {})
 
     def finish(rows: list[dict]) -> list[tuple]:
         rows.sort(key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["piece"]))
         placed = best_fit([r["size"] for r in rows], _masks([r["source"] for r in rows], [r["cluster"] for r in rows]), capacity)
-        return [(r["doc_id"], r["piece"], r["size"], r["group"], b, at) for r, (b, at) in zip(rows, placed, strict=True)]
+        return [r | {"bin": b, "offset": at} for r, (b, at) in zip(rows, placed, strict=True)]
 
     def run(batches):
         held: list[dict] = []
@@ -78,21 +97,22 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 2048) -> DataFrame:
                     out += finish(held)
                     held = []
                 held.append(r)
-            yield _batch(out)
+            yield _batch(out, kinds)
         if held:
-            yield _batch(finish(held))
+            yield _batch(finish(held), kinds)
 
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "doc_id long, piece int, size long, group long, bin long, offset long")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(run, "doc_id long, piece int, size long, group long, bin long, offset long" + (", slot long" if stretch else ""))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "size", "group", "bin", "offset"])
+COLUMNS = {"doc_id": pa.int64(), "piece": pa.int32(), "size": pa.int64(), "group": pa.int64(), "bin": pa.int64(), "offset": pa.int64()}
 
 
-def document_pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, piece, size, source, cluster): whole documents as pieces of at most ``capacity`` bytes.
+def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in kinds.items()], list(kinds))
+
+
+def document_pieces(docs: DataFrame, capacity: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, size, source, cluster, *keep): whole documents as pieces of at most ``capacity`` bytes.
 
     A document of more bytes than a bin becomes full pieces and a last one.  Equal texts are one cluster.  A null or
     empty text is one piece of size 0 without a cluster.
@@ -102,15 +122,20 @@ def document_pieces(docs: DataFrame, capacity: int) -> DataFrame:
     return (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.col("source").cast("string").alias("source"),
-            F.when(size > 0, F.xxhash64("text")).alias("cluster"),
+            F.when(size > 0, F.xxhash64("text")).alias("cluster"), *keep,
         )
         .withColumn("last", last)
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .withColumn("size", F.when(F.col("piece") < F.col("last"), capacity).otherwise(F.col("size") - F.col("last") * capacity).cast("long"))
-        .select("doc_id", "piece", "size", "source", "cluster")
+        .select("doc_id", "piece", "size", "source", "cluster", *keep)
     )
 
 
 def pack_documents(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048) -> DataFrame:
     """The pieces of all documents (doc_id, text, source) in bins of ``capacity`` bytes."""
     return pack(document_pieces(docs, capacity), capacity, group_rows)
+
+
+def pack_mixed(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048, stretch: int = 64) -> DataFrame:
+    """The pieces of all documents (doc_id, text, source, slot), with their slots, in bins within runs of ``stretch`` slots."""
+    return pack(document_pieces(docs, capacity, ("slot",)), capacity, group_rows, stretch)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.durable import durable
+from spanloom.functions.durable import durable, new_path
 from spanloom.llm import langid, mixing, packing, toxicity
 from spanloom.llm.ngram_join import ngram_components
 
@@ -55,14 +55,36 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts all documents in the mixed order: sorted runs of slots, sources interleaved to their target weights."""
-    slots = mixing.schedule(docs).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_slot"))
-    slots = durable(slots.select(F.col("doc_id").alias("_id"), "_slot.slot", "_slot.place").toDF("_id", "_slot", "_place"), "slots")
-    mixed = docs.join(_small(slots), docs["doc_id"] == slots["_id"], "left")
-    return mixed.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+#: The setting in which the mixing stage leaves the path of its slots for the packing stage.
+SLOTS = "spanloom.mixing.slots"
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """Puts all documents in the mixed order: sorted runs of slots, sources interleaved to their target weights.
+
+    The rows keep documents' columns; (doc_id, slot, place) is written to the shared folder, where packing_stage reads it.
+    weights (source, weight): see mixing.schedule.
+    """
+    slots = mixing.schedule(docs, weights).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_slot"))
+    path = new_path(spark, "slots")
+    slots.select("doc_id", "_slot.slot", "_slot.place").write.parquet(path)
+    spark.conf.set(SLOTS, path)
+    return _with_slots(spark, docs).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+
+
+def _with_slots(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with the ``_slot`` and ``_place`` that the mixing stage gave their doc_id last."""
+    path = spark.conf.get(SLOTS, None)
+    if path is None:
+        raise ValueError("no slots: mixing_stage must run before")
+    slots = spark.read.schema("doc_id long, slot long, place long").parquet(path).toDF("_id", "_slot", "_place")
+    return docs.join(_small(slots), docs["doc_id"].eqNullSafe(slots["_id"]), "left").drop("_id")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents, whole, into bins of equal capacity."""
-    return packing.pack_documents(docs)
+    """Packs all documents, whole, into bins of equal capacity: groups of bins follow the slots of the mixing stage.
+
+    A document that the mixing stage has not placed is an error.
+    """
+    mixed = _with_slots(spark, docs).withColumn("slot", F.coalesce("_slot", F.raise_error(F.lit("a document has no slot: mixing_stage must run before")).cast("long")))
+    return packing.pack_mixed(mixed)

@@ -364,3 +364,80 @@ def test_pipeline_stages(spark, docs, empty, labels):
     want = {d for d, (_, c) in brute([(r[0], r[1]) for r in rows() if r[0] is not None], 5, 80, 100).items() if d == c}
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
     assert stages.mixing_stage(spark, docs, labels).count() == len(rows())
+
+
+def mixed_slots(kept, weights, block_bytes=65_536):
+    """{doc_id: slot} by brute force: blocks in the order of (draw, doc_id), then the released block that must end first."""
+    blocks, most = {}, {}
+    for source in {r["source"] for r in kept}:
+        before = 0
+        for r in sorted((r for r in kept if r["source"] == source), key=lambda r: (r["draw"], r["doc_id"])):
+            size = len(r["text"].encode()) + 16
+            blocks[r["doc_id"]] = (source, int((before + size / 2) // block_bytes))
+            most[source] = max(most.get(source, 0), blocks[r["doc_id"]][1] + 1)
+            before += size
+    share = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in most) for s in most}
+    done, slots, at = dict.fromkeys(most, 0), {}, 0
+    while done != most:
+        due = [(math.ceil((done[s] + 1) / share[s]), s) for s in most if done[s] < most[s] and math.floor(done[s] / share[s]) <= at]
+        if due:
+            s = min(due)[1]
+            slots[s, done[s]] = at
+            done[s] += 1
+        at += 1
+    return {d: slots[b] for d, b in blocks.items()}
+
+
+def packed(kept, slots, capacity=16_384):
+    """{(doc_id, piece, size, group, bin, offset, slot)} by brute force, a group for each run of 64 slots."""
+    out = set()
+    for group, run in enumerate(sorted({s // 64 for s in slots.values()})):
+        pieces = []
+        for r in kept:
+            if slots[r["doc_id"]] // 64 == run:
+                n = len(r["text"].encode())
+                last = max(-(-n // capacity) - 1, 0)
+                pieces += [(capacity if k < last else n - last * capacity, r["doc_id"], k, r["source"], r["text"]) for k in range(last + 1)]
+        bins = []
+        for size, doc, k, source, text in sorted(pieces, key=lambda p: (-p[0], p[1], p[2])):
+            fits = [(capacity - load, b) for b, (load, names) in enumerate(bins) if size <= capacity - load > 0 and source not in names and ("t", text) not in names]
+            b = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append((0, set()))
+            out.add((doc, k, size, group, b, bins[b][0], slots[doc]))
+            bins[b] = (bins[b][0] + size, bins[b][1] | {source, ("t", text)})
+    return out
+
+
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocab = [sorted(set(t.split()) - {"."}) for t in (GERMAN, ENGLISH, SPANISH)]
+    data = []
+    for i in range(170):
+        text = " ".join(w + "." * (k % 12 == 11) for k, w in enumerate(f"{rng.choice(vocab[i % 3])}{rng.choice(['', '', rng.randrange(90)])}" for _ in range(rng.randrange(900, 1500))))
+        data.append((i, text, ("de", "en", "es")[i % 3], f"s{i % 7 % 3}"))
+    data += [(200 + i, data[i][1] + " ende", data[i][2], data[i][3]) for i in range(0, 40, 5)]
+    data += [(300, None, "en", "s0"), (301, "12 34!", "de", "s1")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(170)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    draw = {r["doc_id"]: r["x"] for r in spark.createDataFrame([(d[0],) for d in data], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("x")).collect()}
+    texts = [(d, t) for d, t, *_ in data if d < 300]  # without letters: no language; no label says toxic
+    first = {d for d, (_, c) in brute(texts, 5, 80, 100).items() if d == c}
+    assert first == set(range(170))
+    kept = [{"doc_id": d, "text": t, "source": s, "draw": draw[d]} for d, t, _, s in data if d in first]
+    seen = []
+    for weights in ({"s0": 1.0, "s1": 1.0, "s2": 1.0}, {"s0": 90.0, "s1": 1.0, "s2": 9.0}):
+        given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+        out = corpus_pipeline.run(spark, str(tmp_path), given).collect()
+        seen.append({(r["doc_id"], r["piece"], r["size"], r["group"], r["bin"], r["offset"], r["slot"]) for r in out})
+        assert len(out) == len(seen[-1])
+        assert seen[-1] == packed(kept, mixed_slots(kept, weights))
+    assert {x[:6] for x in seen[0]} != {x[:6] for x in seen[1]}
+
+
+def test_packing_needs_the_mixing_of_its_rows(spark, docs, labels):
+    stages.mixing_stage(spark, docs.where("doc_id < 10"), labels)
+    with pytest.raises(Exception, match="has no slot"):
+        stages.packing_stage(spark, docs, labels).collect()
