@@ -38,25 +38,53 @@ def format_spans(texts: DataFrame, layer: str = "format", guards: bool = True, o
     return _union(parts)
 
 
+def without_fillers(texts: DataFrame) -> DataFrame:
+    """(id, text, gaps): texts without uh, um and erm; each gap is where a filler was in the new text, and its length."""
+    cut, fillers = F.split("text", spoken.FILLER, -1), F.regexp_extract_all("text", F.lit(spoken.FILLER), F.lit(0))
+    gaps = F.transform("fillers", lambda x, k: F.struct(F.length(F.array_join(F.slice("cut", 1, k + 1), "")).alias("at"), F.length(x).alias("n")))
+    parts = texts.where("text is not null").select("id", "text", cut.alias("cut"), fillers.alias("fillers"))
+    return parts.select("id", F.array_join("cut", "").alias("text"), gaps.alias("gaps"))
+
+
+def _with_fillers(found: DataFrame) -> DataFrame:
+    """Spans (with gaps) of texts without fillers, laid over the texts with them; ``surface`` stays as it was found."""
+    moved = lambda keep: F.aggregate(F.filter("gaps", keep), F.lit(0), lambda n, g: n + g["n"])
+    start = F.col("start") + moved(lambda g: g["at"] <= F.col("start"))
+    end = F.col("end") + moved(lambda g: g["at"] < F.col("end"))
+    return found.withColumns({"start": start.cast("int"), "end": end.cast("int")}).drop("gaps")
+
+
 def lexicon_spans(texts: DataFrame) -> DataFrame:
-    """Whole words of the lexicons."""
-    return _union([find_spans(texts, "(?i)" + spoken.any_of(words), t, "context", V.SCORES["lexicon"]) for t, words in V.LEXICONS.items()])
+    """Whole words of the lexicons and of the place gazetteer, found in the texts without fillers."""
+    clean = without_fillers(texts)
+    words = V.LEXICONS | {"LOCATION": sorted([*V.LEXICONS["LOCATION"], *V.PLACES], key=len, reverse=True)}
+    return _with_fillers(_union([find_spans(clean, "(?i)" + spoken.any_of(own), t, "context", V.SCORES["lexicon"], keys=["id", "gaps"]) for t, own in words.items()]))
+
 
+#: A word that ends a free-text value; a capitalised particle between capitalised words ("Tan Ah Kow") doesn't.
+_END = r"(?!(?-i:[A-Z]\S* [A-Z]))(?:" + "|".join([*V.STOP_WORDS, *V.LEXICONS["NATIONALITY"]]) + r")"
 
-def trim_value(surface: Column) -> Column:
-    """A captured free-text value up to its first stop word."""
-    return F.regexp_replace(surface, r"(?i)(?:^| )(?:" + "|".join(V.STOP_WORDS) + r")\b.*$", "")
+
+def trim_value(found: DataFrame) -> DataFrame:
+    """Spans of free-text values without leading stop words, and up to the first stop word after them."""
+    lead = F.length(F.regexp_extract("surface", rf"(?i)^(?:{_END} +)*", 0))
+    cut = found.withColumn("lead", lead).withColumn("start", F.col("start") + F.col("lead")).withColumn("surface", F.expr("substr(surface, lead + 1)"))
+    return cut.drop("lead").withColumn("surface", F.regexp_replace("surface", rf"(?i)(?:^| ){_END}\b.*$", ""))
 
 
 def cue_spans(texts: DataFrame) -> DataFrame:
-    """Values announced by a cue; free-text values end before a stop word."""
+    """Values announced by a cue, found in the texts without fillers; free-text values end before a stop word.
+
+    A value that two cues announce is one span.
+    """
+    clean = without_fillers(texts)
     parts = []
-    for type_, pattern in V.CUES:
-        found = find_spans(texts, "(?i)" + pattern, type_, "context", V.SCORES["context"], group=1)
-        if type_ in ("PERSON", "LOCATION", "EMPLOYER"):
-            found = found.withColumn("surface", trim_value(F.col("surface"))).withColumn("end", F.col("start") + F.length("surface")).where("start < end")
-        parts.append(found)
-    return _union(parts)
+    for type_, pattern, free in V.CUES:
+        score = V.SCORES["branch" if type_ == "BRANCH" else "context"]
+        found = find_spans(clean, "(?i)" + pattern, type_, "context", score, group=1, keys=["id", "gaps"])
+        parts.append(trim_value(found) if free else found)
+    found = _union(parts).withColumn("surface", F.rtrim("surface")).withColumn("end", F.col("start") + F.length("surface")).where("start < end")
+    return _with_fillers(found).dropDuplicates(["id", "start", "end", "type"])
 
 
 def spoken_spans(texts: DataFrame) -> DataFrame:

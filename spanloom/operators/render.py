@@ -47,7 +47,7 @@ def generalize(type_: Column, surface: Column) -> Column:
     sector = F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())) | F.contains(F.lit(n.lower()), low), F.lit(s)) for n, s in V.EMPLOYERS.items()], F.lit("a company"))
     return (
         F.when(type_ == "AMOUNT", match_case(surface, amount_band(amount_value(surface))))
-        .when(type_.isin("LOCATION", "BRANCH"), match_case(surface, _lookup(low, V.TOWNS, "Singapore")))
+        .when(type_.isin("LOCATION", "BRANCH"), match_case(surface, _lookup(low, V.TOWNS | V.PLACES, "Singapore")))
         .when(type_ == "SWIFT", F.when(F.substring(letters, 5, 2) == "sg", "a local bank").otherwise("a foreign bank"))
         .when(type_ == "EMPLOYER", sector)
         .when(type_ == "OCCUPATION", _lookup(low, V.OCCUPATIONS, "a professional"))

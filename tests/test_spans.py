@@ -98,3 +98,29 @@ def test_nothing_in_nothing_out(spark):
 def test_exact_interval_of_a_share():
     low, high = metrics.clopper_pearson(11, 100)
     assert round(low, 4) == 0.0562 and round(high, 4) == 0.1883
+
+
+RULES = [
+    ("PERSON", "may i have your full name\nokay lim wei ming", "lim wei ming"), ("PERSON", "my name is Tan Ah Kow from here", "Tan Ah Kow"),
+    ("PERSON", "hello, this is siti rahman", "siti rahman"), ("PERSON", "well this is marcus teo speaking", "marcus teo"),
+    ("PERSON", "my name is joan, j, o, a, n", "j, o, a, n"), ("OTP", "the otp is 445566", "445566"), ("PIN", "my pin is 4455", "4455"),
+    ("AMOUNT", "i earn 5000 a month", "5000"), ("AMOUNT", "i lost about 60000", "60000"), ("CVV", "three digits at the back is 456", "456"),
+    ("CARD_EXPIRY", "it expires 08/29", "08/29"), ("SECURITY_ANSWER", "my first pet was mochi", "mochi"),
+    ("DOB", "i was born on 3rd of march 1985", "3rd of march 1985"), ("DOB", "dob 3/4/85", "3/4/85"), ("ACCOUNT_NO", "my account number is 77 8899 11", "77 8899 11"),
+    ("PHONE", "call me at 2345 6789", "2345 6789"), ("TXN_REF", "the reference number is ab 7788991", "ab 7788991"), ("EMPLOYER", "i work uh at um acme trading", "acme trading"),
+    ("PERSON", "my mother kavitha nair", "kavitha nair"), ("LOCATION", "i live in sunny grove", "sunny grove"), ("BRANCH", "the bedok branch", "bedok"),
+    ("NRIC", "last four of my nric 368 b", "368 b"), ("EMAIL", "tan at gmail dot com", "at gmail dot com"), ("ADDRESS", "blk two three four", "blk two three four"),
+    ("OCCUPATION", "i'm a retiree", "retiree"), ("PASSPORT", "passport number k1234567e", "k1234567e"),
+    ("IBAN", "iban is g b two nine n w b k six zero", "g b two nine n w b k six zero"), ("SWIFT", "swift code is d b s s s g s g", "d b s s s g s g"),
+]
+
+
+def test_every_cue_rule(spark):
+    texts = spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(RULES)], "id int, text string")
+    found = {(r["id"], r["type"], RULES[r["id"]][1][r["start"] : r["end"]]) for r in detect.cue_spans(texts).collect()}
+    assert {(i, t, value) for i, (t, _, value) in enumerate(RULES)} <= found
+    said = ["this is a pretty good question", "my mother said so", "we met near tiong uh bahru", "lorong chuan", None]
+    texts = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    assert detect.cue_spans(texts).count() == 0
+    places = {(r["id"], said[r["id"]][r["start"] : r["end"]]) for r in detect.lexicon_spans(texts).collect()}
+    assert places == {(2, "tiong uh bahru"), (3, "lorong chuan")}
