@@ -121,18 +121,42 @@ def slot_asks(turns: DataFrame) -> DataFrame:
     return runs.withColumn("types", types).select("call_id", "turn", "text", F.explode("types").alias("type"))
 
 
+#: Words of a question that an answer repeats, and that are no part of the answer.
+QUESTION_WORDS = ["first", "pet", "pet's", "maiden", "name", "mother", "mother's", "security", "question", "answer", "called", "named", "my", "is", "was"]
+
+
+def _answer_words(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """The first one or two content words, after the last ``is`` or ``was``, of each reply."""
+    words = find_spans(replies, r"(?i)[a-z']+", "", "dialogue", V.SCORES["dialogue"], keys=keys)
+    reply = Window.partitionBy("call_id", "turn", "slot")
+    after = F.max(F.when(F.lower("surface").isin("is", "was"), F.col("start"))).over(reply)
+    content = words.withColumn("after", after).where((F.col("after").isNull() | (F.col("start") > F.col("after"))) & ~F.lower("surface").isin(*V.STOP_WORDS, *QUESTION_WORDS, *ALLOWED))
+    order = reply.orderBy("start")
+    follows = content.withColumn("n", F.row_number().over(order)).withColumn("then", F.lead(F.struct("start", "end")).over(order))
+    end = F.when(F.col("then.start") - F.col("end") == 1, F.col("then.end")).otherwise(F.col("end"))
+    return follows.where("n = 1").withColumn("end", end).drop("n", "then", "after")
+
+
 def dialogue_spans(turns: DataFrame) -> DataFrame:
-    """(id, start, ...): the first digit run of a fitting length in each turn that answers a number slot."""
+    """(id, start, ...): what answers a slot, found in the written form of each reply and laid over its words.
+
+    For a number slot it is the first digit run of a fitting length, for another slot the first content words.
+    """
     at = F.sum(F.length("text") + 1).over(Window.partitionBy("call_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
     offset = turns.select("call_id", "turn", F.coalesce(at, F.lit(0)).cast("int").alias("offset"))
-    asked = slot_asks(turns)
-    runs = find_spans(asked.withColumnRenamed("type", "slot"), r"[0-9][0-9 -]*[0-9]", "", "dialogue", V.SCORES["dialogue"], keys=["call_id", "turn", "slot"])
+    asked = slot_asks(turns).where("text is not null").select("call_id", "turn", F.col("type").alias("slot"), spoken.normalize_with_map("text").alias("m"))
+    replies = durable(asked.select("call_id", "turn", "slot", F.col("m.norm").alias("text"), "m.starts", "m.ends"), "replies")
+    keys = ["call_id", "turn", "slot", "starts", "ends"]
+    runs = find_spans(replies, r"[0-9][0-9 -]*[0-9]", "", "dialogue", V.SCORES["dialogue"], keys=keys)
     width = turns.sparkSession.createDataFrame([(t, low, high) for t, _, low, high in V.SLOTS if low is not None], "slot string, low int, high int")
-    fits = runs.join(F.broadcast(width), "slot").where(F.length(checks.digits(F.col("surface"))).between(F.col("low"), F.col("high")))
-    first = fits.withColumn("n", F.row_number().over(Window.partitionBy("call_id", "turn", "slot").orderBy("start"))).where("n = 1")
-    return first.join(offset, ["call_id", "turn"]).select(
-        F.col("call_id").alias("id"), (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"), F.col("slot").alias("type"), "layer", "score"
-    )
+    fits = runs.join(F.broadcast(width), "slot").where(F.length(checks.digits(F.col("surface"))).between(F.col("low"), F.col("high"))).drop("low", "high")
+    first = fits.withColumn("n", F.row_number().over(Window.partitionBy("call_id", "turn", "slot").orderBy("start"))).where("n = 1").drop("n")
+    spoken_answers = _answer_words(replies.where(F.col("slot").isin(*[t for t, _, low, _ in V.SLOTS if low is None])), keys)
+    found = first.unionByName(spoken_answers).join(offset, ["call_id", "turn"])
+    return found.select(
+        F.col("call_id").alias("id"), (F.get("starts", F.col("start")) + F.col("offset")).alias("start"), (F.get("ends", F.col("end")) + F.col("offset")).alias("end"),
+        F.col("slot").alias("type"), "layer", "score",
+    )
 
 
 def propagated_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:

@@ -124,3 +124,21 @@ def test_every_cue_rule(spark):
     assert detect.cue_spans(texts).count() == 0
     places = {(r["id"], said[r["id"]][r["start"] : r["end"]]) for r in detect.lexicon_spans(texts).collect()}
     assert places == {(2, "tiong uh bahru"), (3, "lorong chuan")}
+
+
+def test_replies_in_words(spark):
+    calls = [
+        ["what is your mother's maiden name", "okay it was pei shan lah", "thank you"],
+        ["and your first pet please tell me", "kopi", "ok"],
+        ["can you read me the security code on the back", "uh four five six", "ok"],
+        ["what is your pin", "double seven eight nine yes", "ok"],
+        ["please read the card number", "four one two three", "eight eight one zero", "nine nine seven six okay", "all done"],
+        ["may i have the otp", None, "what is your pin", "no thanks"],
+    ]
+    turns = spark.createDataFrame([(i, k, text) for i, call in enumerate(calls) for k, text in enumerate(call)], "call_id int, turn int, text string")
+    whole = ["\n".join(text or "" for text in call) for call in calls]
+    found = {(r["id"], r["type"], whole[r["id"]][r["start"] : r["end"]]) for r in detect.dialogue_spans(turns).collect()}
+    assert found == {
+        (0, "SECURITY_ANSWER", "pei shan"), (1, "SECURITY_ANSWER", "kopi"), (2, "CVV", "four five six"), (3, "PIN", "double seven eight nine"),
+        (4, "CARD_NO", "four one two three"), (4, "CARD_NO", "eight eight one zero"), (4, "CARD_NO", "nine nine seven six"),
+    }
