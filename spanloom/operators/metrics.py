@@ -110,9 +110,12 @@ def rates(spans: DataFrame, words: DataFrame, n: int) -> DataFrame:
 def word_errors(ref: Column, hyp: Column) -> Column:
     """Word edits that turn one text into another: words become characters of one alphabet, then Levenshtein.
 
-    The alphabet has as many characters as the two texts have distinct words.
+    The alphabet has as many characters as the two texts have distinct words: code points from 33 on without the
+    surrogates, each made from its UTF-32 bytes.  There are 1,112,031 of these.
     """
     a, b = F.split(F.lower(F.trim(ref)), r"\s+"), F.split(F.lower(F.trim(hyp)), r"\s+")
     names = F.array_distinct(F.concat(a, b))
-    code = lambda words: F.array_join(F.transform(words, lambda w: F.char(F.array_position(names, w).cast("int") + 32)), "")
+    point = lambda n: n + F.when(n < 0xD800, 0).otherwise(0x800)
+    char = lambda w: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position(names, w) + 32)), 8, "0")), "UTF-32")
+    code = lambda words: F.array_join(F.transform(words, char), "")
     return F.levenshtein(code(a), code(b))

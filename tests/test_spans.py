@@ -142,3 +142,24 @@ def test_replies_in_words(spark):
         (0, "SECURITY_ANSWER", "pei shan"), (1, "SECURITY_ANSWER", "kopi"), (2, "CVV", "four five six"), (3, "PIN", "double seven eight nine"),
         (4, "CARD_NO", "four one two three"), (4, "CARD_NO", "eight eight one zero"), (4, "CARD_NO", "nine nine seven six"),
     }
+
+
+def test_word_errors_of_long_texts(spark):
+    draw = random.Random(7)
+    ref = [f"word{i}" for i in range(700)]
+    hyp = [ref[i + 256] if i % 90 == 0 and i < 400 else w for i, w in enumerate(ref) if draw.random() > 0.02]
+    pairs = [(" ".join(ref), " ".join(hyp)), (" ".join(ref[:300]), " ".join(ref[256:556])), ("A  b c", "a b d"), ("", "a b"), ("same", " Same "), (None, "a"), ("a", None)]
+
+    def edits(a, b):
+        if a is None or b is None:
+            return None
+        a, b = ([w for w in x.lower().split()] or [""] for x in (a, b))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, ref string, hyp string").select("id", metrics.word_errors(F.col("ref"), F.col("hyp")).alias("n"))
+    assert {r["id"]: r["n"] for r in rows.collect()} == {i: edits(*p) for i, p in enumerate(pairs)}
