@@ -349,6 +349,12 @@ def raw_clean(spark, sf_dir):
     return rows.select("conv_id", "turn", tr.clean_annotations(F.col("text")).alias("text"))
 
 
+@query("raw_clean_annotated")
+def raw_clean_annotated(spark, sf_dir):
+    """All lines as plain text, annotated ones as well; raw_clean holds those without annotations against SQL."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tr.clean_annotations(F.col("text")).alias("text"))
+
+
 @query("speaker_split", "SELECT conv_id, turn, 'Speaker' || (turn % 2 + 1) AS speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def speaker_split(spark, sf_dir):
     """Conversations with inline speaker tags, split again."""

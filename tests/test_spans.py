@@ -1,6 +1,7 @@
 """Literal cases of checks and spoken forms, merging against brute force, and what no tier may show."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import checks, spoken
 from spanloom.functions import values as V
 from spanloom.operators import detect, metrics, policy, render, spans
+from spanloom.plans import registry
 
 
 def one(spark, column):
@@ -163,3 +165,33 @@ def test_word_errors_of_long_texts(spark):
 
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, ref string, hyp string").select("id", metrics.word_errors(F.col("ref"), F.col("hyp")).alias("n"))
     assert {r["id"]: r["n"] for r in rows.collect()} == {i: edits(*p) for i, p in enumerate(pairs)}
+
+
+def test_annotated_lines_are_cleaned_and_kept(spark, tmp_path):
+    given = [
+        ("<mandarin>\u5403\u996d:chi fan</mandarin> already", "chi fan already"), ("<malay>makan:makan</malay> and <tamil>x:vanakkam</tamil>", "makan and vanakkam"),
+        ("so (ppl) then [um] <noise/> yes", "so then yes"), ("i wan~ want ~go to", "i want to"), ("#singapore# is nice!", "singapore is nice"),
+        ("wel_come to-day", "wel come to day"), ("plain words", "plain words"), ("", ""), (None, None),
+    ]
+    marks = ["<a>p:q</a>", "<noise>", "(x y)", "[z]", "cut~", "~off", "a_b", "c-d", "#!", "word", "two words"]
+    draw = random.Random(9)
+
+    def brute(text):
+        out = re.sub(r"<[a-z]+>([^<]*):([^<]*)</[a-z]+>", r"\2", text)
+        for pair in ("<>", "()", "[]"):
+            kept = ""
+            while out:
+                head, opened, rest = out.partition(pair[0])
+                inside, closed, tail = rest.partition(pair[1])
+                kept, out = (kept + head + " ", tail) if closed else (kept + head + opened + rest, "")
+            out = kept
+        words = out.replace("cut~", " ").replace("~off", " ").replace("_", " ").replace("-", " ").replace("#", "").replace("!", "")
+        return " ".join(words.split())
+
+    drawn = [" ".join(draw.choices(marks, k=8)) for _ in range(100)]
+    texts = given + [(text, brute(text)) for text in drawn]
+    rows = [(1, i, text) for i, (text, _) in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id int, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    registry.load()
+    got = {r["turn"]: r["text"] for r in registry.QUERIES["raw_clean_annotated"](spark, str(tmp_path)).collect()}
+    assert got == {i: clean for i, (_, clean) in enumerate(texts)}
