@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.durable import durable, new_path
 from spanloom.llm import langid, mixing, packing, toxicity
 from spanloom.llm.ngram_join import ngram_components
+from spanloom.llm.sharding import prefix_sums
 
 #: A document whose stated language the model contradicts with at least this probability is taken as mislabelled.
 MISLABELLED = 0.999
@@ -47,12 +48,26 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents with a 5-word shingle similarity of at least 0.8."""
-    groups = durable(ngram_components(docs, words=5, num=80, den=100), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """Keeps the smallest doc_id of each group of documents with a 5-word shingle similarity of at least 0.8.
+
+    Where a doc_id is repeated, equal rows (doc_id, text) are one, and different texts are documents of their own: each
+    is judged by its own group, of which one row stays (of equal doc_ids, the one whose text has the smaller hash).
+    Rows without a doc_id are kept.
+    """
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _without_duplicates(docs, "doc_id").select(*docs.columns)
+    single = known.dropDuplicates(["doc_id", "text"]).withColumns({"_text": F.xxhash64("text"), "_one": F.lit(1)})
+    numbered = durable(prefix_sums(single, ["doc_id", "_text"], "_one").withColumnRenamed("rank", "_row"), "numbered")
+    kept = _without_duplicates(numbered, "_row").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def _without_duplicates(docs: DataFrame, key: str) -> DataFrame:
+    """docs without the near-duplicates of a text with a smaller key."""
+    groups = durable(ngram_components(docs.select(F.col(key).alias("doc_id"), "text"), words=5, num=80, den=100), "groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(_small(gone), key, "left_anti")
 
 
 #: The setting in which the mixing stage leaves the path of its slots for the packing stage.

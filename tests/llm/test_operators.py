@@ -441,3 +441,14 @@ def test_packing_needs_the_mixing_of_its_rows(spark, docs, labels):
     stages.mixing_stage(spark, docs.where("doc_id < 10"), labels)
     with pytest.raises(Exception, match="has no slot"):
         stages.packing_stage(spark, docs, labels).collect()
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark, labels):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    data = [(1, one), (2, one + " end"), (2, two), (2, two), (3, three), (3, three + " end"), (4, two + " end"), (5, None), (5, ""), (None, one), (None, one)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(data)], "doc_id long, text string, n int")
+    kept = [(r["doc_id"], r["text"]) for r in stages.near_duplicate_stage(spark, df, labels).collect()]
+    third = [t for d, t in kept if d == 3]
+    assert len(third) == 1 and third[0] in (three, three + " end")
+    want = [(1, one), (2, two), (3, third[0]), (5, None), (5, ""), (None, one), (None, one)]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
