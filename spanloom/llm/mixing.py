@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.durable import durable, new_path
-from spanloom.llm.sharding import prefix_sums, text_bytes
+from spanloom.functions.ranking import prefix_sums
+from spanloom.llm.sharding import text_bytes
 
 #: Rows without a source are mixed as this one.
 NO_SOURCE = ""

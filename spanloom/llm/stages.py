@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.durable import durable, new_path
+from spanloom.functions.ranking import prefix_sums
 from spanloom.llm import langid, mixing, packing, toxicity
 from spanloom.llm.ngram_join import ngram_components
-from spanloom.llm.sharding import prefix_sums
 
 #: A document whose stated language the model contradicts with at least this probability is taken as mislabelled.
 MISLABELLED = 0.999

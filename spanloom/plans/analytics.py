@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import checks, keyed, spoken
+from spanloom.functions.ranking import ranked
 from spanloom.operators import audit, metrics, ngrams
 from spanloom.plans.calls import DOCS, LUHN_SQL, SECRET, documents, sql_hmac, table
 from spanloom.plans.registry import query
@@ -123,9 +124,8 @@ def merkle_root(spark, sf_dir):
     """The root over all audit entries."""
     from spanloom.functions.durable import durable
 
-    rows = entries(spark, sf_dir)
-    low = rows.agg(F.min("seq")).first()[0] or 0  # event ids have no gaps
-    leaves = durable(rows.select((F.col("seq") - low).alias("pos"), audit.leaf_hash(F.col("entry")).alias("hash")), "leaves")
+    rows = ranked(entries(spark, sf_dir), ["seq"])
+    leaves = durable(rows.select("pos", audit.leaf_hash(F.col("entry")).alias("hash")), "leaves")
     return audit.merkle_root(leaves)
 
 
@@ -209,8 +209,7 @@ _BOOT = "WITH b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quali
 
 def boot_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1  # labels of a test set
-    return rows.select(rank.cast("long").alias("pos"), F.col("quality").alias("num"), F.col("toxic").alias("num_b"), F.lit(1).alias("den"))
+    return ranked(rows, ["doc_id"]).select("pos", F.col("quality").alias("num"), F.col("toxic").alias("num_b"), F.lit(1).alias("den"))
 
 
 @query("bootstrap_ci_hashdraw", _BOOT + f"d AS ({_DRAW}), v AS (SELECT r, sum(num) / sum(den) AS v FROM d JOIN b USING (pos) GROUP BY r), o AS (SELECT list_sort(list(v)) AS v FROM v) SELECT round(v[6], 4) AS low, round(v[195], 4) AS high FROM o")

@@ -7,6 +7,7 @@ import math
 import duckdb
 import pytest
 
+from spanloom.operators import audit
 from spanloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert mine == sorted(repr([plain(r[i]) for i in at]) for r in found.fetchall())
+
+
+def test_merkle_root_of_ids_with_gaps_and_repeats(spark, tmp_path):
+    own = spark.read.parquet(f"{SF}/events.parquet").where("event_id % 7 <> 3").limit(50)
+    own.unionByName(own.orderBy("event_id").limit(3)).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    mine = [r["root"] for r in registry.QUERIES["merkle_root"](spark, str(tmp_path)).collect()]
+    assert mine == [r[0] for r in con.execute(registry.ORACLES["merkle_root"]).fetchall()]
+
+
+def test_appended_entries_have_no_gaps(spark):
+    fresh = spark.createDataFrame([(f"entry{i}",) for i in range(40)], "entry string").repartition(5)
+    log = audit.append_entries(spark.createDataFrame([(6,)], "seq long"), fresh, ["entry"]).collect()
+    assert {r["seq"]: r["entry"] for r in log} == dict(enumerate(sorted(f"entry{i}" for i in range(40)), 7))
