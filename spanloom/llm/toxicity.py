@@ -7,6 +7,7 @@ which sentences carry them.  The learned sentence scores then locate the offendi
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,8 +69,12 @@ def _logits(found: _Sentences, model: ToxicityModel) -> np.ndarray:
 
 
 def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of a text's sentence values."""
-    return np.diff(np.concatenate([[0.0], np.cumsum(values)])[first])
+    """Sums of each text's sentence values; every text is summed by itself, so its neighbours can't change its sum."""
+    out = np.zeros(len(first) - 1, dtype=values.dtype)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(values, first[full])
+    return out
 
 
 def fit_noisy_or(
@@ -83,35 +88,44 @@ def fit_noisy_or(
     """
     w, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     w[-1] = -6.0
-    total = weight.sum()
     for t in range(1, steps + 1):
-        s = np.bincount(sentence, w[feature], minlength=len(owner)) + w[-1]
-        soft = np.logaddexp(0, s)
-        amount = np.bincount(owner, soft, minlength=len(label)) + silent * np.logaddexp(0, w[-1])
-        pull = weight * np.where(label == 1, -1 / np.expm1(np.clip(amount, 1e-9, 50)), 1.0)
-        ds = pull[owner] / (1 + np.exp(-s))
-        g = np.append(np.bincount(feature, ds[sentence], minlength=features), ds.sum() + (pull * silent).sum() / (1 + np.exp(-w[-1])))
-        g /= total
-        g[:-1] += l2 * w[:-1] / total
+        _, g = noisy_or_loss(w, feature, sentence, owner, silent, label, weight, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return w[:-1], float(w[-1])
 
 
+def noisy_or_loss(
+    w: np.ndarray, feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, silent: np.ndarray, label: np.ndarray, weight: np.ndarray, l2: float
+) -> tuple[float, np.ndarray]:
+    """(mean weighted log loss with its penalty, gradient) of the noisy-or; the last of ``w`` is the bias."""
+    s = np.bincount(sentence, w[feature], minlength=len(owner)) + w[-1]
+    amount = np.bincount(owner, np.logaddexp(0, s), minlength=len(label)) + silent * np.logaddexp(0, w[-1])
+    held = np.clip(amount, 1e-9, 50)
+    pull = weight * np.where(label == 1, -1 / np.expm1(held), 1.0)
+    ds = pull[owner] / (1 + np.exp(-s))
+    g = np.append(np.bincount(feature, ds[sentence], minlength=len(w) - 1), ds.sum() + (pull * silent).sum() / (1 + np.exp(-w[-1])))
+    g[:-1] += l2 * w[:-1]
+    loss = (weight * np.where(label == 1, -np.log(-np.expm1(-held)), amount)).sum() + l2 / 2 * (w[:-1] ** 2).sum()
+    return loss / weight.sum(), g / weight.sum()
+
+
 def fit(
-    docs: DataFrame, rows_per_class: int = 4000, buckets: int = 1 << 18, features: int = 1 << 13, least_z: float = 2.2
+    docs: DataFrame, rows_per_class: int = 4000, bytes_per_class: int = 8 << 20, buckets: int = 1 << 18, features: int = 1 << 13,
+    least_z: float = 2.2,
 ) -> ToxicityModel:
     """Learn from docs (doc_id, text, toxic); rows without a label 0 or 1 are left out.
 
     How often each feature occurs in toxic and in other documents is counted over all rows; the ``features`` of the
-    largest significance (a z of at least ``least_z``) are kept.  The noisy-or is trained on about ``rows_per_class``
-    rows of either label, picked by a hash of doc_id and weighted back to all rows.
+    largest significance (a z of at least ``least_z``) are kept.  The noisy-or is trained on a sample of either label,
+    picked by a hash of doc_id and weighted back to all rows: about ``rows_per_class`` rows, or fewer where these would
+    have more than about ``bytes_per_class`` bytes of text. 
     """
     small_batches(docs.sparkSession)
     rows = docs.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
     def frequencies(batches):
-        count = np.zeros((2, buckets + 1), dtype=np.int64)
+        count, size = np.zeros((2, buckets + 1), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for batch in batches:
             label = batch.column("toxic").to_numpy()
             for i, _, offsets, found in _slices(batch.column("text"), buckets):
@@ -120,8 +134,10 @@ def fit(
                     own = np.concatenate([b[word[k] : word[k + 1]] for b in found.buckets])
                     count[label[i + k], np.unique(own)] += 1
                     count[label[i + k], buckets] += 1
+                    size[label[i + k]] += offsets[k + 1] - offsets[k]
         at = np.flatnonzero(count.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[0, at]), pa.array(count[1, at])], ["bucket", "clean", "toxic"])
+        names = ["bucket", "clean", "toxic"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *[pa.array(np.append(count[c, at], size[c])) for c in (0, 1)]], names)
 
     # the number of rows is bounded by the number of buckets
     seen = (
@@ -129,10 +145,12 @@ def fit(
         .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     )
     at, q, p = (seen[c].to_numpy().astype(np.int64) for c in ("bucket", "clean", "toxic"))
+    total_bytes = [int(n[at == -1].sum()) for n in (q, p)]
+    at, q, p = (x[at >= 0] for x in (at, q, p))
     whole = at == buckets
     if not whole.any() or not q[whole][0] or not p[whole][0]:
         share = float(p[whole][0] > 0) if whole.any() else 0.0
-        return ToxicityModel(np.zeros(buckets, dtype=np.float32), 30.0 if share else -30.0)
+        return ToxicityModel(np.zeros(buckets), 30.0 if share else -30.0)
     q_all, p_all, at, q, p = int(q[whole][0]), int(p[whole][0]), at[~whole], q[~whole], p[~whole]
     odds = np.log((p + 0.5) / (p_all - p + 0.5)) - np.log((q + 0.5) / (q_all - q + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
@@ -143,45 +161,40 @@ def fit(
 
     def sample(batches):
         for batch in batches:
-            feature, sentence, count = [], [], []
+            codes, count = [], []
             for _, _, offsets, found in _slices(batch.column("text"), buckets):
                 word = np.searchsorted(found.starts, offsets)
                 of = np.cumsum(np.bincount(found.sentence, minlength=len(found.starts))) - 1 if len(found.starts) else found.starts
                 for k in range(len(offsets) - 1):
                     own = slice(word[k], word[k + 1])
                     f = np.concatenate([index[b[own]] for b in found.buckets])
-                    s = np.concatenate([of[own] for _ in found.buckets])
-                    feature.append(f[f >= 0])
-                    sentence.append(s[f >= 0] - (of[own][0] if word[k] < word[k + 1] else 0))
+                    s = np.concatenate([of[own] for _ in found.buckets]) - (of[own][0] if word[k] < word[k + 1] else 0)
+                    codes.append(zlib.compress(np.sort(s[f >= 0] * len(chosen) + f[f >= 0]).astype(np.int64).tobytes(), 1))
                     count.append(found.first[k + 1] - found.first[k])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([x.astype(np.int32) for x in feature], type=kind), pa.array([x.astype(np.int32) for x in sentence], type=kind), pa.array(count, type=pa.int32())],
-                ["toxic", "feature", "sentence", "count"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), pa.array(codes, type=pa.binary()), pa.array(count, type=pa.int32())], ["toxic", "draw", "codes", "count"])
 
-    share = [min(1.0, rows_per_class / n) for n in (q_all, p_all)]
+    share = [min(1.0, rows_per_class / n, bytes_per_class / max(1, b)) for n, b in zip((q_all, p_all), total_bytes, strict=True)]
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     picked = (
         rows.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-        .select("text", "toxic").mapInArrow(sample, "toxic int, feature array<int>, sentence array<int>, count int").toArrow()
+        .select("text", "toxic", draw.alias("draw")).mapInArrow(sample, "toxic int, draw double, codes binary, count int").toArrow()
     )
+    picked = picked.sort_by([("draw", "ascending"), ("toxic", "ascending"), ("count", "ascending"), ("codes", "ascending")])  # however the rows arrive
+    if not picked.num_rows:
+        return ToxicityModel(np.zeros(buckets), -30.0)
     label, count = picked["toxic"].to_numpy(), picked["count"].to_numpy()
-    parts, owner, silent, base = [], [], count.astype(np.float64), 0
-    for d, (f, s) in enumerate(zip(picked["feature"], picked["sentence"], strict=True)):
-        own, place = np.unique(s.values.to_numpy(), return_inverse=True)
-        parts.append((f.values.to_numpy(), place + base))
-        owner.append(np.full(len(own), d))
+    feature, sentence, owner, silent, base = [], [], [], count.astype(np.float64), 0
+    for d, item in enumerate(picked["codes"]):
+        codes = np.frombuffer(zlib.decompress(item.as_buffer()), dtype=np.int64)
+        own, place = np.unique(codes // max(1, len(chosen)), return_inverse=True)
+        feature.append((codes % max(1, len(chosen))).astype(np.int32))
+        sentence.append((place + base).astype(np.int32))
+        owner.append(np.full(len(own), d, dtype=np.int32))
         silent[d] -= len(own)
         base += len(own)
-    if not parts:
-        return ToxicityModel(np.zeros(buckets, dtype=np.float32), -30.0)
     weight = np.where(label == 1, 1 / share[1], 1 / share[0])
-    w, bias = fit_noisy_or(
-        np.concatenate([f for f, _ in parts]).astype(np.int64), np.concatenate([s for _, s in parts]).astype(np.int64),
-        np.concatenate(owner).astype(np.int64), silent, label, weight, len(chosen),
-    )
-    weights = np.zeros(buckets, dtype=np.float32)
+    w, bias = fit_noisy_or(np.concatenate(feature), np.concatenate(sentence), np.concatenate(owner), silent, label, weight, len(chosen))
+    weights = np.zeros(buckets)
     weights[chosen] = w
     return ToxicityModel(weights, bias)
 
@@ -233,22 +246,24 @@ def _sentence(data: np.ndarray, offsets: np.ndarray, found: _Sentences, k: int,
 def locate(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
     """(doc_id, start, end, sentence, score): every sentence whose own score is at least ``least``.
 
-    start and end are character offsets into the text.  Documents without such a sentence have no row.
+    start and end are character offsets into the text.  ``least`` may be any number: all sentences have a score of at
+    least 0.  Documents without such a sentence, null and empty texts have no row; a row with a null doc_id keeps it, and
+    repeated rows give their sentences each.  Other columns are ignored.
     """
-    width, bound = len(model.weights), float(np.log(least / (1 - least)))
+    width = len(model.weights)
 
     def rows(batches):
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for i, data, offsets, found in _slices(batch.column("text"), width):
-                s = _logits(found, model)
-                for x in np.flatnonzero(s >= bound).tolist():
+                own = 1 / (1 + np.exp(-_logits(found, model)))
+                for x in np.flatnonzero(own >= least).tolist():
                     k = int(np.searchsorted(found.first, x, side="right")) - 1
                     a, b = _span(data, offsets, found, k, x)
                     lead = len(data[offsets[k] : a].tobytes().decode("utf-8", "replace"))
                     text = data[a:b].tobytes().decode("utf-8", "replace")
-                    out.append((ids[i + k], lead, lead + len(text), text, float(1 / (1 + np.exp(-s[x])))))
+                    out.append((ids[i + k], lead, lead + len(text), text, float(own[x])))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "end", "sentence", "score"])

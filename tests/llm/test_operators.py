@@ -112,6 +112,38 @@ def test_toxicity_edges(docs, empty, labels, spark):
     assert toxicity.locate(docs, none).count() == 0
 
 
+def test_equal_texts_score_equal_among_any_neighbours(spark):
+    rng = np.random.default_rng(6)
+    model = toxicity.ToxicityModel(rng.normal(0, 0.7, 1 << 12), -2.0)
+    same = "Some words here. Others there! And a last one"
+    data = [(i, same if i % 9 == 4 else " ".join(f"w{x}" + "." * int(x % 7 == 0) for x in rng.integers(0, 900, int(rng.integers(0, 400))))) for i in range(900)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = by_id(toxicity.score(df, model), "score", "n_offending", "worst")
+    assert len({got[i] for i in range(900) if i % 9 == 4}) == 1
+    plain = toxicity._sentences
+    for i, text in data[:60]:  # the noisy-or sentence by sentence
+        raw = np.frombuffer(text.encode(), np.uint8)
+        found = plain(raw, np.array([0, len(raw)]), 1 << 12)
+        edges = [*found.sentence.tolist(), len(found.starts)]
+        keep = 1.0
+        for a, b in zip(edges, edges[1:], strict=False):
+            keep *= 1 - 1 / (1 + math.exp(-(sum(float(model.weights[bucket[k]]) for bucket in found.buckets for k in range(a, b)) + model.bias)))
+        assert abs(got[i][0] - (1 - keep)) < 1e-9
+    marks = toxicity.locate(df, model, 0.0).groupBy("doc_id").count().collect()
+    assert len(marks) == sum(bool(t) for _, t in data) and toxicity.locate(df, model, 1.5).count() == 0
+
+
+def test_noisy_or_gradient_equals_differences():
+    rng = np.random.default_rng(9)
+    feature, sentence, owner = rng.integers(0, 6, 40), np.sort(rng.integers(0, 12, 40)), np.sort(rng.integers(0, 5, 12))
+    args = (feature, sentence, owner, np.array([0.0, 1, 0, 2, 0]), np.array([1, 0, 1, 0, 1]), np.array([1.0, 2, 1, 3, 1]), 0.01)
+    w = rng.normal(0, 0.5, 7)
+    _, g = toxicity.noisy_or_loss(w, *args)
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert abs((toxicity.noisy_or_loss(w + step, *args)[0] - toxicity.noisy_or_loss(w - step, *args)[0]) / 2e-6 - g[k]) < 1e-6
+
+
 def test_media_round_trip(docs, empty):
     got = by_id(media.media_digests(media.text_media(docs)), "n_bytes", "payload_sha256", "tail_crc32")
     for r in rows():
