@@ -4,21 +4,28 @@ Every vector is described by its nearest reference points (pivots), nearest firs
 and pivot, the vectors that name the pivot; two vectors are candidates if they share enough pivots, and candidates are
 verified by their cosine in double precision.
 
-Pivots are drawn from the table by a hash, and their number grows with the square root of the rows, so that lists stay
-short.  A long list is cut into chunks that meet in tiles of bounded size; pairs exist only inside a tile, as entries of
-a numpy matrix, and leave it as counts of links and as a spanning forest.  Equal vectors of one label are one entry
+Each label has its own pivots, drawn from its vectors by a hash; their number grows with the square root of the label's
+vectors.  Nearness to a pivot is measured after the label's mean is taken off, because real embeddings have a common
+direction that would make every vector name the same pivots.  How many nearest pivots describe a vector is found on
+the sample: as few as suffice for pairs made to lie exactly at the bound.  A list that is too long is split by the next
+pivot of its members' permutations, so that the work stays near linear in the rows; lists that are still long hold
+dense groups, and are cut into chunks that meet in tiles of bounded size.  Pairs exist only inside a tile, as entries
+of a numpy matrix, and leave it as counts of links and as a spanning forest.  Equal vectors of one label are one entry
 with a multiplicity.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import small_batches
 from spanloom.functions.durable import durable
 from spanloom.llm.components import components
 
@@ -44,52 +51,175 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+#: Rows of a label of which all are compared with each other, in one tile; beyond, a label has pivots.
+SMALL = TILE
+
+#: Numbers of nearest pivots that may describe a vector; the first that finds enough of the pairs at the bound is taken.
+NEAREST = (6, 8, 10, 12, 16)
+
+#: Pairs at the bound, made from the sample, on which the number of nearest pivots is measured; and the share to find.
+PROBES, FOUND = 256, 0.97
+
+#: Added to the numbers of pivots with long lists, so that they come after all others.
+LONG = 1 << 30
+
+
 def pivot_count(rows: int) -> int:
-    """Reference points for so many vectors: about twice the square root, between 32 and 4096."""
-    return int(min(4096, max(32, 2 * math.isqrt(max(rows, 1)))))
+    """Reference points for so many vectors: twice the square root."""
+    return max(32, 2 * math.isqrt(max(rows, 1)))
 
 
-def choose_pivots(entries: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """For each dimension the unit vectors of about ``count`` entries, drawn by a hash of their values.
+def thinned(points: np.ndarray, most: float) -> np.ndarray:
+    """The points, in order, without those whose cosine to an earlier one kept is over ``most``.
 
-    A vector close to a pivot already taken is passed over: many pivots inside one dense group would be told apart by
-    noise only, and the members of the group would not agree on their nearest ones.
+    Many pivots inside one dense group would be told apart by noise only, and its members would not agree on them.
     """
-    rows = entries.count()
-    share = min(1.0, 1.2 * count / max(rows, 1))
-    draw = F.pmod(F.xxhash64("unit", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))
-    found: dict[int, dict[bytes, np.ndarray]] = {}
-    for r in entries.where(draw).select("unit").limit(2 * count + 64).toLocalIterator():
-        v = np.frombuffer(bytes(r["unit"]))
-        found.setdefault(len(v), {})[v.tobytes()] = v
-    return {d: _apart(np.stack([vs[k] for k in sorted(vs)])) for d, vs in found.items()}
+    kept = points[:0]
+    for at in range(0, len(points), 512):
+        block = points[at : at + 512]
+        if len(kept):
+            block = block[(block @ kept.T).max(axis=1) <= most]
+        near, own = block @ block.T > most, np.ones(len(block), dtype=bool)
+        for i in range(len(block)):
+            if own[i]:
+                own[i + 1 :] &= ~near[i, i + 1 :]
+        kept = np.concatenate([kept, block[own]])
+    return kept
+
+
+def permutations(units: np.ndarray, pivots: np.ndarray, centre: np.ndarray, nearest: int) -> np.ndarray:
+    """The numbers of the ``nearest`` pivots of each vector (all, if there are fewer), nearest first."""
+    nearest = min(nearest, len(pivots))
+    points = _lengthened(pivots - centre)
+    out = []
+    for at in range(0, len(units), 2048):
+        close = _lengthened(units[at : at + 2048] - centre) @ points.T
+        top = np.argpartition(-close, nearest - 1, axis=1)[:, :nearest] if nearest < len(pivots) else np.tile(np.arange(len(pivots)), (len(close), 1))
+        own = np.take_along_axis(close, top, axis=1)
+        out.append(np.take_along_axis(top, np.lexsort((top, -own), axis=1), axis=1))
+    return np.concatenate(out).astype(np.int32) if out else np.zeros((0, nearest), np.int32)
+
+
+def _lengthened(points: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay."""
+    norm = np.sqrt(np.einsum("ij,ij->i", points, points))
+    return points / np.where(norm > 0, norm, 1)[:, None]
+
+
+def describe_sample(sample: np.ndarray, count: int, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(pivots, centre, nearest) from a sample of unit vectors; no pivots if no number of them finds enough pairs."""
+    centre, pivots, probes = sample.mean(axis=0), thinned(sample[:count], cosine), sample[count:][:PROBES]
+    if not len(probes) or len(pivots) < 2:
+        return pivots[:0], centre, 0
+    other = np.roll(sample, 1, axis=0)[count:][:PROBES] - centre  # pairs at the bound, in the directions that vectors differ in
+    other = _lengthened(other - np.einsum("ij,ij->i", other, probes)[:, None] * probes)
+    partners = cosine * probes + math.sqrt(1 - cosine * cosine) * other
+    ends = [permutations(x, pivots, centre, NEAREST[-1]) for x in (probes, partners)]
+    for nearest in NEAREST:
+        a, b = (e[:, :nearest] for e in ends)
+        common = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
+        if (common >= min(shared, a.shape[1])).mean() >= FOUND:
+            return pivots, centre, nearest
+    return pivots[:0], centre, 0
+
+
+def _rows_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """A binary column of equal vectors as a matrix of doubles."""
+    return np.frombuffer(b"".join(x.as_buffer() for chunk in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) for x in chunk)).reshape(-1, width)
+
+
+def choose_pivots(entries: DataFrame, sizes: DataFrame, cosine: float, shared: int) -> DataFrame:
+    """(label, dim, pivot, vec, nearest): pivots of every label with more than SMALL entries; pivot -1 is the centre.
+
+    They are drawn from about ``pivot_count`` entries of the label and PROBES more, by a hash of their values.
+    """
+    rows = sizes.where(F.col("n") > SMALL)
+    wanted = F.floor(F.sqrt(F.col("n").cast("double"))) * 2 + PROBES
+    draw = F.pmod(F.xxhash64("unit", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = entries.join(rows, ["label", "dim"]).where(draw < wanted * 1.05 / F.col("n")).select("label", "dim", "n", "unit")
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        label, dim = key[0].as_py(), key[1].as_py()
+        sample = _rows_of(table["unit"], dim)
+        sample = sample[np.argsort([hash_bytes(row.tobytes()) for row in sample], kind="stable")]
+        pivots, centre, nearest = describe_sample(sample, max(2, len(sample) - PROBES), cosine, shared)
+        vec = [centre.tobytes(), *[p.tobytes() for p in pivots]] if len(pivots) else []
+        columns = [[label] * len(vec), [dim] * len(vec), list(range(-1, len(vec) - 1)), vec, [nearest] * len(vec)]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        return pa.table([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["label", "dim", "pivot", "vec", "nearest"])
+
+    return drawn.groupBy("label", "dim").applyInArrow(choose, "label string, dim int, pivot int, vec binary, nearest int")
+
+
+def hash_bytes(data: bytes) -> int:
+    """A number that orders vectors in a way that has nothing to do with their values."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
-def _apart(points: np.ndarray, most: float = 0.7) -> np.ndarray:
-    """The points, in order, without those whose cosine to an earlier one kept is over ``most``."""
-    kept: list[int] = []
-    for i in range(len(points)):
-        if not kept or (points[kept] @ points[i]).max() <= most:
-            kept.append(i)
-    return points[kept]
+def described(entries: DataFrame, sizes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """entries (label, dim, entry, copies, unit) with ``near``, the pivots of each; a label without pivots has one, 0, that all name.
+
+    The entries of a label are dealt into chunks no smaller than the number of its pivots, and each chunk meets these.
+    """
+    chunks = sizes.withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(4096), F.floor(F.sqrt(F.col("n").cast("double"))) * 2)).cast("int")).drop("n")
+    dealt = entries.join(chunks, ["label", "dim"]).withColumn("chunk", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int")).drop("chunks")
+    met = pivots.join(chunks, ["label", "dim"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    def near(key: tuple, rows: pa.Table, points: pa.Table) -> pa.Table:
+        dim = key[1].as_py()
+        if points.num_rows:
+            points = points.sort_by("pivot")
+            vec = _rows_of(points["vec"], dim)
+            found = permutations(_rows_of(rows["unit"], dim), vec[1:], vec[0], points["nearest"][0].as_py())
+        else:
+            found = np.zeros((rows.num_rows, 1), np.int32)
+        ends = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * found.shape[1])
+        lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
+        return rows.select(["label", "dim", "entry", "copies", "unit"]).append_column("near", lists)
+
+    key = ["label", "dim", "chunk"]
+    return dealt.groupBy(*key).cogroup(met.groupBy(*key)).applyInArrow(near, "label string, dim int, entry long, copies long, unit binary, near array<int>")
+
+
+def placed_keys(rows: DataFrame, shared: int) -> DataFrame:
+    """(label, dim, entry, p, q, near) for described rows: the lists in which each entry stands.
+
+    A list of at most TILE entries is kept by its pivot q (p is -1).  Longer ones are split: two entries that share
+    two long lists meet in the list of both pivots, p < q.  With ``shared`` of 1 nothing is split.  Two entries meet in several lists, and the
+    tile of the first of these in the order of (p, q) counts them.
+    """
+    named = rows.select("label", "dim", F.explode("near").alias("pivot"))
+    sizes = named.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > (TILE if shared > 1 else 1 << 62))
+    longs = sizes.groupBy("label", "dim").agg(F.collect_list("pivot").alias("longs"))
+    marked = rows.select("label", "dim", "entry", "near").join(longs, ["label", "dim"], "left")
+    split = (F.size("near") > 1) & F.col("longs").isNotNull()
+    near = F.when(split, F.sort_array(F.transform("near", lambda x: F.when(F.array_contains("longs", x), x + LONG).otherwise(x)))).otherwise(F.sort_array("near"))
+    pair = lambda p, q: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"))
+    short = F.transform(F.filter("near", lambda x: x < LONG), lambda x: pair(F.lit(-1), x))
+    both = F.flatten(F.transform(F.filter("near", lambda x: x >= LONG), lambda x: F.transform(F.filter("near", lambda y: y > x), lambda y: pair(x, y))))
+    keys = marked.withColumn("near", near).select("label", "dim", "entry", "near", F.explode(F.concat(short, both)).alias("at"))
+    return keys.select("label", "dim", "entry", "near", "at.p", "at.q")
 
 
 def link_vectors(
     vectors: DataFrame, cosine: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
-    nearest: int = 8, shared: int = 2,
+    shared: int = 2, exact: bool = False,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of vectors.
 
     Rows are compared only where labels are equal and not null.  A link is a cosine of at least ``cosine`` between two
-    rows that share at least ``shared`` of their ``nearest`` pivots (all, if there are fewer pivots).  n_links counts the
+    rows that share at least ``shared`` of their nearest pivots (all, if there are fewer pivots).  n_links counts the
     other rows linked directly, component_id is the smallest vec_id that links reach, kept tells vec_id = component_id.
-    Links that the index doesn't find are missed; none below the bound is made.
+    None below the bound is made.  Links that the index doesn't find are missed: fewer than 1 - FOUND of those exactly
+    at the bound, by the measure on the sample, and less of closer ones.  A label of at most SMALL vectors, one on whose
+    sample pivots don't find enough, and with ``exact`` every label is compared in full, without loss and at quadratic cost.
 
     Null or empty vectors, zero vectors, and null or non-finite components link with nothing, nor do vectors of
     different lengths.  Rows with a null vec_id link with nothing and have a null component (kept is then null).
-    Repeated rows are rows like any other: they link with each other.  An empty table gives an empty result.
+    Repeated rows are rows like any other: they link with each other.  Other columns are ignored.  An empty table gives
+    an empty result.
     """
-    spark = vectors.sparkSession
+    small_batches(vectors.sparkSession)
 
     def normal(batches):
         for batch in batches:
@@ -102,32 +232,28 @@ def link_vectors(
     rows = durable(rows.withColumn("unit", F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("unit"))), "vectors")
     usable = rows.where("unit is not null")
     entries = durable(
-        usable.groupBy("label", "unit").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies")), "entries"
-    )
-    pivots = choose_pivots(entries, pivot_count(entries.count()))
-
-    def describe(batches):
-        for batch in batches:
-            near = []
-            for u in batch.column("unit"):
-                v = np.frombuffer(u.as_buffer())
-                points = pivots.get(len(v))
-                near.append([] if points is None else np.argsort(-(points @ v), kind="stable")[:nearest].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, type=pa.list_(pa.int32()))], [*batch.schema.names, "near"])
-
-    described = entries.mapInArrow(describe, "label string, unit binary, entry long, copies long, near array<int>")
-    lists = durable(described.withColumn("pivot", F.explode_outer("near")), "lists")
-    size = lists.groupBy("label", "pivot").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+        usable.groupBy("label", "unit").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies"))
+        .withColumn("dim", (F.octet_length("unit") / 8).cast("int")), "entries",
+    )
+    if exact:
+        near = entries.withColumn("near", F.array(F.lit(0)))
+    else:
+        sizes = durable(entries.groupBy("label", "dim").agg(F.count("*").alias("n")), "sizes")
+        pivots = durable(choose_pivots(entries, sizes, cosine, shared), "pivots")
+        near = durable(described(entries, sizes, pivots), "described")
+    keys = durable(placed_keys(near, shared), "keys")
+    key = ["label", "dim", "p", "q"]
+    size = keys.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
     placed = (
-        lists.join(size.where("n > 1").drop("n"), ["label", "pivot"])
-        .withColumn("chunk", F.pmod(F.xxhash64("entry", "pivot"), F.col("chunks")).cast("int"))
+        keys.join(size, key)
+        .withColumn("chunk", F.pmod(F.xxhash64("entry", "p", "q"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("label", "pivot", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "entry", "copies", "unit", "near")
-    )
-    key = ["label", "pivot", "i", "j"]
-    links = durable(
-        placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda b: _links(b, key, cosine, shared), "entry long, n long, a long, b long"), "links"
+        .select(*key, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "entry", "near")
+        .join(entries.select("entry", "label", "dim", "copies", "unit"), ["entry", "label", "dim"])
     )
+    key = [*key, "i", "j"]
+    found = placed.select(*key, "chunk", "entry", "near", "copies", "unit").repartition(*key).sortWithinPartitions(*key)
+    links = durable(found.mapInArrow(lambda b: _links(b, key, cosine, shared), "entry long, n long, a long, b long"), "links")
     root = components(links.where("a is not null").select("a", "b"))
     found = links.where("n is not null").groupBy("entry").agg(F.sum("n").alias("n"))
     named = entries.join(found, "entry", "left").join(root.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
@@ -140,64 +266,67 @@ def link_vectors(
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _tile(rows: list[dict], cosine: float, shared: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(entry, linked rows) and a spanning forest of the links of one tile.
-
-    A pair that shares several pivots is counted in the list of the smallest shared pivot only.
-    """
-    pivot, lone = rows[0]["pivot"], rows[0]["i"] == rows[0]["j"]
-    entry, copies, chunk = (np.array([r[c] for r in rows]) for c in ("entry", "copies", "chunk"))
-    out_n, out_links = np.zeros(len(rows), dtype=np.int64), []
-    for d in {len(r["unit"]) for r in rows}:
-        at = np.array([k for k, r in enumerate(rows) if len(r["unit"]) == d])
-        if len(at) < 2:
-            continue
-        unit = np.stack([np.frombuffer(rows[k]["unit"]) for k in at])
-        near = np.array([rows[k]["near"] for k in at])
-        names, place = np.unique(near, return_inverse=True)
-        hot = np.zeros((len(at), len(names)), dtype=np.float32)
-        np.put_along_axis(hot, place.reshape(near.shape), 1, axis=1)
-        common = hot @ hot.T
-        before = hot[:, names < pivot] @ hot[:, names < pivot].T
-        able = (common >= min(shared, near.shape[1])) & (before == 0)
-        able &= np.triu(np.ones_like(able), 1) if lone else chunk[at][:, None] < chunk[at][None, :]
-        x, y = np.nonzero(able)
-        ok = np.concatenate([np.einsum("ij,ij->i", unit[x[s : s + 65536]], unit[y[s : s + 65536]]) for s in range(0, len(x), 65536)] or [np.zeros(0)]) >= cosine
-        x, y = at[x[ok]], at[y[ok]]
-        np.add.at(out_n, x, copies[y])
-        np.add.at(out_n, y, copies[x])
-        up = list(range(len(rows)))
-
-        def top(k: int, up: list[int] = up) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            if (a := top(p)) != (b := top(q)):
-                up[max(a, b)] = min(a, b)
-                out_links.append((int(entry[p]), int(entry[q])))
-    some = np.flatnonzero(out_n)
-    return list(zip(entry[some].tolist(), out_n[some].tolist(), strict=True)), out_links
+def _tile(rows: pa.Table, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(entries, their linked rows, a spanning forest of the links) of one tile."""
+    p, q, dim, lone = (rows[c][0].as_py() for c in ("p", "q", "dim", "i"))
+    lone = lone == rows["j"][0].as_py()
+    entry, copies, chunk = (rows[c].to_numpy() for c in ("entry", "copies", "chunk"))
+    unit = _rows_of(rows["unit"], dim)
+    near = rows["near"].combine_chunks()
+    flat, width = near.flatten().to_numpy(), len(near[0])
+    names, place = np.unique(flat, return_inverse=True)
+    hot = np.zeros((len(entry), len(names)), dtype=np.float32)
+    np.put_along_axis(hot, place.reshape(len(entry), width), 1, axis=1)
+    earlier = hot[:, names < q]
+    able = (hot @ hot.T >= min(shared, width)) & (earlier @ earlier.T == (0 if p < 0 else 1))
+    able &= np.triu(np.ones_like(able), 1) if lone else chunk[:, None] < chunk[None, :]
+    x, y = np.nonzero(able & (unit @ unit.T >= cosine - 1e-9))
+    ok = np.concatenate([np.einsum("ij,ij->i", unit[x[s : s + 65536]], unit[y[s : s + 65536]]) for s in range(0, len(x), 65536)] or [np.zeros(0)]) >= cosine
+    x, y = x[ok], y[ok]
+    linked = np.bincount(x, copies[y], len(entry)) + np.bincount(y, copies[x], len(entry))
+    up = list(range(len(entry)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    forest = []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        if (a := top(a)) != (b := top(b)):
+            up[max(a, b)] = min(a, b)
+            forest.append((int(entry[a]), int(entry[b])))
+    some = np.flatnonzero(linked)
+    return entry[some], linked[some].astype(np.int64), forest
 
 
 def _links(batches, key: list[str], cosine: float, shared: int):
-    """Rows (entry, n, null, null) and (null, null, a, b) of all tiles of a sorted partition."""
+    """Rows (entry, n, null, null) and (null, null, a, b) of all tiles of a partition sorted by key."""
+    names, held = ["entry", "n", "a", "b"], []
 
-    def batch_of(done: list[tuple]) -> pa.RecordBatch:
-        n, links = [x for d in done for x in d[0]], [x for d in done for x in d[1]]
-        columns = [[x[0] for x in n] + [None] * len(links), [x[1] for x in n] + [None] * len(links), [None] * len(n) + [x[0] for x in links], [None] * len(n) + [x[1] for x in links]]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], ["entry", "n", "a", "b"])
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        entry, n, forest = _tile(pa.Table.from_batches(parts), cosine, shared)
+        gap, a, b = pa.nulls(len(entry), pa.int64()), [f[0] for f in forest], [f[1] for f in forest]
+        none = pa.nulls(len(forest), pa.int64())
+        columns = [(pa.array(entry, pa.int64()), none), (pa.array(n, pa.int64()), none), (gap, pa.array(a, pa.int64())), (gap, pa.array(b, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names)
 
-    held: list[dict] = []
+    last = None
     for batch in batches:
-        done = []
-        for r in batch.to_pylist():
-            if held and [r[k] for k in key] != [held[0][k] for k in key]:
-                done.append(_tile(held, cosine, shared))
+        columns = [batch.column(c) for c in key]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for column in columns:
+            change[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            own = [c[a].as_py() for c in columns]
+            if held and own != last:
+                yield done(held)
                 held = []
-            held.append(r)
-        yield batch_of(done)
+            held.append(batch.slice(a, b - a))
+            last = own
     if held:
-        yield batch_of([_tile(held, cosine, shared)])
+        yield done(held)

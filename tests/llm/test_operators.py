@@ -276,6 +276,54 @@ def test_embeddings(spark):
     assert embed_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def made_vectors(kind, n, d, seed=1):
+    """Unit vectors with near copies: isotropic, in clusters, or around a common direction of mean cosine 0.8."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, d))
+    if kind == "clustered":
+        v = 0.45 * v + rng.normal(size=(20, d))[rng.integers(0, 20, n)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "shifted":
+        v = np.sqrt(0.2) * v + np.sqrt(0.8) * np.eye(d)[0]
+    for i in range(0, n, 4):  # near copies at cosines about the bound and above
+        v[i + 1] = v[i] + rng.normal(size=d) * rng.uniform(0.1, 0.45) * np.linalg.norm(v[i]) / np.sqrt(d)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def true_links(v, cosine=0.93):
+    return np.triu(v @ v.T >= cosine, 1)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "shifted"])
+def test_embedding_recall(spark, kind):
+    v = made_vectors(kind, 1600, 24)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    want = true_links(v)
+    degree = want.sum(axis=0) + want.sum(axis=1)
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(df).collect()}
+    assert all(got[i] <= degree[i] for i in got) and sum(got.values()) >= 0.95 * degree.sum() > 0
+    if kind == "clustered":
+        exact = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(df, exact=True).collect()}
+        assert [exact[i] for i in range(1600)] == degree.tolist()
+
+
+def test_long_lists_are_split_without_double_counts(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE", 40)
+    v = made_vectors("clustered", 900, 12)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    want = true_links(v)
+    degree = want.sum(axis=0) + want.sum(axis=1)
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(df).collect()}
+    assert all(got[i] <= degree[i] for i in got) and sum(got.values()) >= 0.95 * degree.sum() > 0
+
+
+def test_embedding_awkward_rows(spark):
+    data = [(None, [1.0, 0.0], 1, 5, "a"), (3, [1.0, 0.0], 1, 6, "b"), (3, [1.0, 0.0], 1, 7, "c"), (2, [2.0, 0.0], 1, 8, None), (4, [1.0, None], 1, 9, "d"), (5, [1.0], 1, 1, "e"), (6, [0.0, 1.0], 1, 2, "f")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, entry int, unit string")
+    got = sorted(((r["vec_id"] or -1), r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.link_vectors(df).collect())
+    assert got == [(-1, 0, None, None), (2, 2, 2, True), (3, 2, 2, False), (3, 2, 2, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
+
+
 def test_packing(docs, empty):
     out = packing.pack_documents(docs, capacity=512, group_rows=20).collect()
     source = {r[0]: r[3] for r in rows()}
