@@ -1,25 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows form blocks of equal bytes.  With weight w, block j may start at slot ``floor(j / w)`` (its release)
-and must end by slot ``ceil((j + 1) / w)`` (its deadline).  Earliest deadline first over these windows keeps every
-source within less than one block of its target in every prefix of the schedule.
-
-Weights are exact fractions and are never rounded, so the bound holds however long the schedule is.  The plan has a row
-per block of bytes and depends on the sources' weights and numbers of blocks only: the driver makes it in stretches,
-from each of which every source goes on where it stands, and writes each stretch to the shared folder.  Rows are
-handled by DataFrame functions only.
+A source's rows form blocks of equal bytes.  The target is a fluid one: in every slot each source that still has blocks
+gets its weight's share, so that after t slots source s should have had ``f(s, t)`` blocks, and all sources together t.
+Block j of a source may start at the last slot t with ``f(s, t) <= j`` (its release) and must end by the first with
+``f(s, t) >= j + 1`` (its deadline).  Earliest deadline first over these windows keeps every source within less than one
+block of its target in every prefix of the schedule.
+
+Which block goes first depends on all slots before, so the slots are found one after the other, by a fold over a row
+that holds what each source has had.  The fold runs over one stretch of slots at a time; each stretch is written
+to the shared folder and the next goes on from its last state.  The steps are as many as there are blocks of bytes, each
+over the sources; all else (rows, windows, places) is done in parallel.  Everything is DataFrame functions, and the driver
+holds three numbers.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Iterator
-from decimal import Decimal
-from fractions import Fraction
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.durable import durable, new_path
@@ -29,112 +25,172 @@ from spanloom.llm.sharding import text_bytes
 #: Rows without a source are mixed as this one.
 NO_SOURCE = ""
 
-#: Blocks that the driver plans before it writes them.
-STRETCH = 131_072
+#: Slots that one fold plans before its result is written.
+STRETCH = 8_192
+
+#: Weights are whole numbers, of this size for the largest: a share is exact to 12 digits of the whole.
+SCALE = 10**12
 
 #: Planned blocks that may be broadcast to the rows: some dozen bytes each.  More are joined through a shuffle.
 BROADCAST_BLOCKS = 500_000
 
-PLAN = pa.schema([("source", pa.string()), ("block", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64()), ("slot", pa.int64())])
-
-
-def shares(weights: dict[str, float | int | Decimal | None], period: int) -> dict[str, Fraction]:
-    """The exact share of each source.
+def whole_weights(sources: DataFrame, least: int) -> DataFrame:
+    """sources (source, blocks, weight) with ``w``, the weight as a whole number.
 
     Weights need not sum to one.  Weights that are null, zero, negative, infinite or no number count as the smallest
-    share, 1 / period of the sum of the others; if there are no others, all shares are equal.
+    share, 1 / least of the sum of the others; if there are no others, all are equal.
     """
-    good = {s: Fraction(w) for s, w in weights.items() if w is not None and math.isfinite(w) and w > 0}
-    least = sum(good.values()) / period if good else Fraction(1)
-    every = {s: good.get(s, least) for s in weights}
-    total = sum(every.values())
-    return {s: w / total for s, w in every.items()}
+    good = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    top = sources.agg(F.max(F.when(good, F.col("weight")))).first()[0] or 1.0
+    named = sources.withColumn("w", F.when(good, F.greatest(F.round(F.col("weight") / top * SCALE), F.lit(1.0)).cast("long")))
+    others = named.agg(F.sum("w")).first()[0] or least
+    return named.withColumn("w", F.coalesce("w", F.lit(max(1, others // least))))
 
 
-def plan(share: dict[str, Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) in the order of the slots: earliest deadline first, then by source.
+def _times(a: Column, b: Column) -> Column:
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
 
-    A source that has run out leaves its slots empty.
-    """
-    window = {s: (w.denominator, w.numerator) for s, w in share.items()}
 
-    def job(source: str, j: int) -> tuple[int, str, int, int]:
-        den, num = window[source]
-        return j * den // num, source, j, -(-(j + 1) * den // num)
+def _div(a: Column, b: Column) -> Column:
+    """The whole part of a quotient of whole numbers, exact up to 38 digits."""
+    return F.call_function("div", a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
+
+
+def _div_up(a: Column, b: Column) -> Column:
+    return _div(a.cast("decimal(38,0)") + b - 1, b)
+
+
+def virtual_time(blocks: Column) -> Column:
+    """When a source of weight ``w`` has had so many blocks in the fluid target: blocks / w, to 26 digits."""
+    return (blocks.cast("decimal(12,0)") / F.col("w").cast("decimal(13,0)")).cast("decimal(38,26)")
+
 
-    waiting = [job(s, 0) for s, n in blocks.items() if n > 0]  # (release, source, block, deadline)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []  # (deadline, source, block, release)
+def lives(sources: DataFrame, slots: int, total: int) -> DataFrame:
+    """sources (source, blocks, w) with their ``life``, the virtual time at which their blocks are done; ``done``, the blocks
+    of sources that end before; ``share``, the weights of the others; and ``end``, the first slot by which the source is done."""
+    life = virtual_time(F.col("blocks")).alias("life")
+    ordered = prefix_sums(sources.select("source", "blocks", "w", life), ["life", "source"], "blocks").drop("rank").withColumnRenamed("before", "done")
+    ordered = prefix_sums(ordered, ["life", "source"], "w").drop("rank").withColumn("share", F.lit(total) - F.col("before"))
+    end = F.col("done") + _div_up(_times(F.col("share"), F.col("blocks")), F.col("w"))
+    return ordered.withColumn("end", F.least(end, F.lit(slots)).cast("long")).drop("before")
+
+
+def plan(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(source, block, release, deadline, slot) for sources (source, blocks, w): all blocks in slots from 0 without gaps.
+
+    When a source runs out, the others go on by their weights: the target is that of the sources that still have blocks.
+    Equal deadlines go by the name of the source; deadlines are compared in double precision, releases exactly.
+    """
+    spark = sources.sparkSession
+    sources = sources.where("blocks > 0")
+    slots, total = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    own = durable(lives(sources, slots, total), "lives")
+    entry = F.struct("source", "blocks", "w", "end")
+    state = own.agg(F.array_sort(F.collect_list(entry)).alias("sources")).select(
+        "sources", F.transform("sources", lambda x: F.lit(0).cast("long")).alias("had"),
+        F.struct(F.lit(0).cast("long").alias("done"), F.lit(total).cast("long").alias("share"), F.array_min(F.transform("sources", lambda x: x["end"])).alias("until")).alias("live"),
+    )
+    path = new_path(spark, "schedule")
+    state.select(F.lit(0).cast("long").alias("upto"), "sources", "had", "live", F.array().cast("array<struct<slot:bigint,i:int,block:bigint>>").alias("out")).write.parquet(path)
     at = 0
-    while waiting or ready:
-        if not ready:
-            at = max(at, waiting[0][0])
-        while waiting and waiting[0][0] <= at:
-            release, source, j, deadline = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, source, j, release))
-        deadline, source, j, release = heapq.heappop(ready)
-        yield source, j, release, deadline, at
-        at += 1
-        if j + 1 < blocks[source]:
-            heapq.heappush(waiting, job(source, j + 1))
-
-
-def write_plan(spark: SparkSession, rows: Iterator[tuple]) -> tuple[DataFrame, int]:
-    """The planned blocks as a table of the shared folder, and their number; the driver holds one stretch of them."""
-    path, count, held = new_path(spark, "plan"), 0, []
-
-    def write() -> None:
-        columns = list(zip(*held, strict=True)) or [[]] * len(PLAN)
-        table = pa.table([pa.array(c, type=f.type) for c, f in zip(columns, PLAN, strict=True)], schema=PLAN)
-        spark.createDataFrame(table).write.mode("append").parquet(path)
-
-    for row in rows:
-        held.append(row)
-        if len(held) == STRETCH:
-            write()
-            count, held = count + len(held), []
-    write()
-    return spark.read.schema("source string, block long, release long, deadline long, slot long").parquet(path), count + len(held)
-
-
-def period_plan(counts: DataFrame) -> DataFrame:
-    """(source, count, period, nth, at): the slots of one period for sources (source, count), as ``plan`` orders them."""
-    blocks = {r["source"]: r["count"] for r in counts.collect()}  # a row per source
-    period = sum(blocks.values())
-    done, _ = write_plan(counts.sparkSession, plan({s: Fraction(n, period) for s, n in blocks.items() if n}, blocks))
-    return done.join(F.broadcast(counts.select("source", F.col("count").cast("long").alias("count"))), "source").select(
-        "source", "count", F.lit(period).cast("long").alias("period"), F.col("block").alias("nth"), F.col("slot").alias("at")
-    )
+    while at < slots:
+        until = min(at + stretch, slots)
+        last = spark.read.parquet(path).where(F.col("upto") == at)
+        folded = last.select("sources", _fold(F.lit(at), F.lit(until)).alias("f"))
+        folded.select(F.lit(until).cast("long").alias("upto"), "sources", "f.had", "f.live", "f.out").write.mode("append").parquet(path)
+        at = until
+    slot = spark.read.parquet(path).select("sources", F.explode("out").alias("x")).select(F.get("sources", F.col("x.i"))["source"].alias("source"), "x.block", "x.slot")
+    return _windows(slot, own)
+
+
+def _fold(at: Column, until: Column) -> Column:
+    """struct<had, live, out> after the slots from ``at``: in each the released block with the earliest deadline goes."""
+    sources = F.col("sources")
+    out = F.array().cast("array<struct<slot:bigint,i:int,block:bigint>>")
+    start = F.struct(F.col("had").alias("had"), F.col("live").alias("live"), out.alias("out"))
+
+    def renewed(t: Column) -> Column:
+        """What holds from the end of a source on."""
+        alive, over = F.filter(sources, lambda x: x["end"] > t), F.filter(sources, lambda x: x["end"] <= t)
+        sum_of = lambda xs, c: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x[c])
+        return F.struct(sum_of(over, "blocks").alias("done"), sum_of(alive, "w").alias("share"), F.array_min(F.transform(alive, lambda x: x["end"])).alias("until"))
+
+    def released(x: Column, had: Column, t: Column, live: Column) -> Column:
+        """Whether the fluid target at t is over what the source has had."""
+        due, got = x["w"].cast("double") * (t - live["done"]), had.cast("double") * live["share"]
+        exact = _times(x["w"], t - live["done"]) > _times(had, live["share"])
+        return F.when(x["end"] <= t, True).when(due > got * (1 + 1e-12), True).when(due < got * (1 - 1e-12), False).otherwise(exact)
+
+    def bound(value: Column, f) -> Column:
+        """f of a value that is computed once."""
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def slot(state: Column, t: Column) -> Column:
+        after = t + 1
+        live = F.when(after >= state["live"]["until"], renewed(after)).otherwise(state["live"])
+
+        def with_live(now: Column) -> Column:
+            index = F.sequence(F.lit(0), F.size(sources) - 1)
+            able = lambda i, x, c: F.when((c < x["blocks"]) & released(x, c, after, now), F.struct(((c + 1) / x["w"].cast("double")).alias("deadline"), i.alias("i")))
+            jobs = F.transform(F.arrays_zip(index.alias("i"), sources.alias("x"), state["had"].alias("c")), lambda z: able(z["i"], z["x"], z["c"]))
+            return bound(F.array_min(jobs), lambda job: taken(job["i"], now))
+
+        def taken(i: Column, now: Column) -> Column:
+            done = F.struct(t.cast("long").alias("slot"), i.cast("int").alias("i"), F.get(state["had"], i).alias("block"))
+            had = F.transform(state["had"], lambda c, k: F.when(k == i, c + 1).otherwise(c))
+            return F.struct(had.alias("had"), now.alias("live"), F.concat(state["out"], F.array(done)).alias("out"))
+
+        return bound(live, with_live)
+
+    return F.aggregate(F.sequence(at.cast("long"), until.cast("long") - 1), start, slot)
+
+
+def _windows(slots: DataFrame, own: DataFrame) -> DataFrame:
+    """slots (source, block, slot) with ``release`` and ``deadline``.
+
+    Between the ends of two sources, slot and virtual time are in proportion: the pieces are as many as the sources.
+    """
+    pieces = own.agg(F.array_sort(F.collect_list(F.struct("life", "source", "done", "share"))).alias("pieces"))
+    weight = own.select("source", "w")
+    jobs = slots.join(F.broadcast(weight), "source").join(F.broadcast(pieces))
+
+    def at(block: Column, up: bool) -> Column:
+        virtual = virtual_time(block)
+        piece = F.coalesce(F.get(F.filter("pieces", lambda x: x["life"] >= virtual), F.lit(0)), F.element_at("pieces", -1))
+        whole = _div_up if up else _div
+        return F.get(F.transform(F.array(piece), lambda x: x["done"] + whole(_times(block, x["share"]), F.col("w"))), F.lit(0))
+
+    return durable(jobs.select("source", "block", at(F.col("block"), False).alias("release"), at(F.col("block") + 1, True).alias("deadline"), "slot"), "plan")
 
 
-def schedule(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = 65_536, period: int = 1_000, power: float = 0.5) -> DataFrame:
+def schedule(
+    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = 65_536, least: int = 1_000, power: float = 0.5, stretch: int = STRETCH
+) -> DataFrame:
     """(doc_id, source, size, block, release, deadline, slot, place) for all rows of docs (doc_id, source, text).
 
     ``slot`` is the block's place in the mixed order and ``place`` the row's place in its block.  weights (source,
-    weight) are the targets, exact as they are given; sources without one get the smallest share (see ``shares``).
-    Without ``weights``, a source's target is its bytes to the ``power`` of 0.5, which lifts small sources.  A source's rows are taken in the order of a hash of doc_id,
-    and a row belongs to the block in which its middle byte falls (size: UTF-8 bytes and 16).  When a source runs out, its
-    slots stay empty: slots are then not gapless, but all rows keep their order and none is dropped or repeated.  Null
-    sources are one source of their own (the empty name).  Rows that are equal in all fields are ranked arbitrarily.
+    weight) are the targets; sources without one get the smallest share (see ``whole_weights``).  Without ``weights``,
+    a source's target is its bytes to the ``power`` of 0.5, which lifts small sources.  A source's rows are taken in the
+    order of a hash of doc_id, and a row belongs to the block in which its middle byte falls (size: UTF-8 bytes and 16).
+    All rows are kept: none is dropped or repeated (see ``plan`` for sources that run out); slots are numbered from 0
+    without gaps, but a slot whose block has no row's middle has no row.  Null sources are one source of their own (the
+    empty name).  Rows that are equal in doc_id, source and size are ranked arbitrarily.  An empty table stays empty.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"),
         (text_bytes(F.col("text")) + 16).alias("size"), F.xxhash64("doc_id").alias("draw"),
     )
-    placed = durable(prefix_sums(rows, ["source", "draw", "doc_id"], "size", within=["source"]), "placed")
-    block = F.floor((F.col("before") + F.col("size") / 2) / block_bytes).cast("long")
-    placed = placed.withColumn("block", block)
+    placed = prefix_sums(rows, ["source", "draw", "doc_id", "size"], "size", within=["source"])
+    placed = durable(placed.withColumn("block", F.floor((F.col("before") + F.col("size") / 2) / block_bytes).cast("long")), "placed")
     own = placed.groupBy("source").agg(F.sum("size").cast("double").alias("bytes"), (F.max("block") + 1).alias("blocks"))
     if weights is None:
         target = own.select("source", "blocks", F.pow("bytes", F.lit(power)).alias("weight"))
     else:
-        given = weights.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"))
+        given = weights.where("source is not null").groupBy("source").agg(F.max(F.col("weight").cast("double")).alias("weight"))
         target = own.join(given, "source", "left").select("source", "blocks", "weight")
-    sources = target.collect()  # a row per source
-    share = shares({r["source"]: r["weight"] for r in sources}, period)
-    planned, count = write_plan(docs.sparkSession, plan(share, {r["source"]: r["blocks"] for r in sources}))
+    planned = plan(durable(whole_weights(target, least), "sources"), stretch)
     first = Window.partitionBy("source", "block").orderBy("rank")
     place = (F.row_number().over(first) - 1).cast("long").alias("place")
-    return placed.join(F.broadcast(planned) if count <= BROADCAST_BLOCKS else planned, ["source", "block"]).select(
+    return placed.join(F.broadcast(planned) if planned.count() <= BROADCAST_BLOCKS else planned, ["source", "block"]).select(
         "doc_id", "source", "size", "block", "release", "deadline", "slot", place
     )

@@ -359,39 +359,63 @@ def test_best_fit_against_brute_force():
 def test_mixing(docs, empty, spark):
     weights = spark.createDataFrame([("s0", 5.0), ("s1", 3.0), ("s2", 1.0), ("s3", None), ("gone", 9.0)], "source string, weight double")
     for given in (None, weights):
-        out = mixing.schedule(docs, given, block_bytes=128, period=50).collect()
+        out = mixing.schedule(docs, given, block_bytes=128, least=50).collect()
         assert len(out) == len(rows())
         blocks = {(r["source"], r["block"]): (r["release"], r["slot"], r["deadline"]) for r in out}
         assert len({b[1] for b in blocks.values()}) == len(blocks) and all(r <= s < d for r, s, d in blocks.values())
     assert mixing.schedule(empty).count() == 0
 
 
-def test_period_plan_deviates_less_than_a_block(spark):
-    counts = spark.createDataFrame([("a", 50), ("b", 1), ("c", 1), ("d", 30), ("e", 18)], "source string, count long")
-    plan = sorted((r["at"], r["source"]) for r in mixing.period_plan(counts).collect())
-    share, done = {"a": 0.5, "b": 0.01, "c": 0.01, "d": 0.3, "e": 0.18}, dict.fromkeys("abcde", 0)
-    assert [p for p, _ in plan] == list(range(100))
-    for at, s in plan:
+def fluid(sources, t):
+    """{source: blocks it should have had after t slots} for {source: (blocks, weight)}, by exact fractions."""
+    had, left = dict.fromkeys(sources, Fraction(0)), Fraction(t)
+    while left:
+        live = {s: Fraction(w) for s, (n, w) in sources.items() if had[s] < n}
+        total = sum(live.values())
+        step = min(left, *[(sources[s][0] - had[s]) * total / w for s, w in live.items()])
+        for s, w in live.items():
+            had[s] += step * w / total
+        left -= step
+    return had
+
+
+def pfair(sources):
+    """[(source, block, release, deadline)] slot by slot: brute force for {source: (blocks, weight)}, by exact fractions."""
+    slots, out, done = sum(n for n, _ in sources.values()), [], dict.fromkeys(sources, 0)
+    target = [fluid(sources, t) for t in range(slots + 1)]
+    for t in range(slots):
+        due = [(Fraction(done[s] + 1) / Fraction(w), s) for s, (n, w) in sources.items() if done[s] < n and target[t + 1][s] > done[s]]
+        s = min(due)[1]
+        release = max(x for x in range(slots + 1) if target[x][s] <= done[s])
+        deadline = min(x for x in range(slots + 1) if target[x][s] >= done[s] + 1)
+        assert release <= t < deadline
+        out.append((s, done[s], release, deadline))
         done[s] += 1
-        assert all(abs(done[x] - share[x] * (at + 1)) < 1 for x in share)
+        assert all(-1 < done[x] - target[t + 1][x] < 1 for x in sources)
+    return out
 
 
-def test_schedule_keeps_to_unrounded_weights(spark):
-    weights = {"a": 0.61237, "b": 0.0002, "c": 0.3333, "d": 0.05413}
-    share = mixing.shares(weights, 1_000)
-    assert all(share[s] == Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items())
-    blocks, done = {s: int(40_000 * w) for s, w in share.items()}, dict.fromkeys(weights, 0)
-    for n, (s, j, release, deadline, at) in enumerate(mixing.plan(share, blocks)):
-        assert (j, at) == (done[s], n) and math.floor(j / share[s]) == release <= at < deadline == math.ceil((j + 1) / share[s])
-        done[s] += 1
-        assert n > 39_900 or all(-1 < done[x] - share[x] * (n + 1) < 1 for x in share)
-    assert done == blocks
-    rows = [(i, "x" * 84, s) for i, s in enumerate(["a"] * 700 + ["b"] * 3 + ["c"] * 300)]
-    given = spark.createDataFrame([("a", 0.7001), ("b", 0.0002), ("c", 0.2997)], "source string, weight double")
-    out = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), given, block_bytes=100).collect()
-    exact = mixing.shares({"a": 0.7001, "b": 0.0002, "c": 0.2997}, 1_000)
-    assert all((r["release"], r["deadline"]) == (math.floor(r["block"] / exact[r["source"]]), math.ceil((r["block"] + 1) / exact[r["source"]])) for r in out)
-    assert sorted(r["slot"] for r in out if r["source"] == "b")[1] >= 4_990 and len({r["slot"] for r in out}) == len(out) == 1_003
+@pytest.mark.parametrize(
+    ("sources", "length"),
+    [
+        ({"a": (50, 50), "b": (1, 1), "c": (1, 1), "d": (30, 30), "e": (18, 18)}, 128),
+        ({"a": (300, 7), "b": (40, 3), "c": (100, 2), "d": (3, 1)}, 100),
+        ({"a": (200, 612370), "b": (1, 200), "c": (100, 333300), "d": (9, 54130)}, 64),
+        ({f"s{i:02}": (1 + i * 7 % 5, 1 + i % 3) for i in range(40)}, 50),
+    ],
+)
+def test_plan_keeps_each_source_within_a_block(spark, sources, length):
+    df = spark.createDataFrame([(s, n, float(w)) for s, (n, w) in sources.items()], "source string, blocks long, weight double")
+    whole = mixing.whole_weights(df, 1000)
+    exact = {r["source"]: (r["blocks"], r["w"]) for r in whole.collect()}
+    got = sorted((r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in mixing.plan(whole, length).collect())
+    assert [g[0] for g in got] == list(range(len(got))) and [g[1:] for g in got] == pfair(exact)
+
+
+def test_many_small_sources_leave_the_large_one_its_share(spark):
+    df = spark.createDataFrame([("big", 400, 0.5)] + [(f"s{i:04}", 1, 0.5 / 400) for i in range(400)], "source string, blocks long, weight double")
+    slots = sorted(r["slot"] for r in mixing.plan(mixing.whole_weights(df, 1000)).where("source = 'big'").collect())
+    assert all(abs(k + 1 - (s + 1) / 2) <= 1 for k, s in enumerate(slots))
 
 
 def test_url_filters(spark):
@@ -456,15 +480,7 @@ def mixed_slots(kept, weights, block_bytes=65_536):
             blocks[r["doc_id"]] = (source, int((before + size / 2) // block_bytes))
             most[source] = max(most.get(source, 0), blocks[r["doc_id"]][1] + 1)
             before += size
-    share = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in most) for s in most}
-    done, slots, at = dict.fromkeys(most, 0), {}, 0
-    while done != most:
-        due = [(math.ceil((done[s] + 1) / share[s]), s) for s in most if done[s] < most[s] and math.floor(done[s] / share[s]) <= at]
-        if due:
-            s = min(due)[1]
-            slots[s, done[s]] = at
-            done[s] += 1
-        at += 1
+    slots = {b[:2]: at for at, b in enumerate(pfair({s: (most[s], weights[s]) for s in most}))}
     return {d: slots[b] for d, b in blocks.items()}
 
 
