@@ -11,31 +11,47 @@ from spanloom.functions import checks, spoken
 from spanloom.functions import values as V
 from spanloom.functions.durable import durable
 from spanloom.operators import policy
-from spanloom.operators.spans import SPAN, covered, find_spans, merge, tidy
+from spanloom.operators.spans import SPAN, Rule, covered, merge, scan_spans, tidy
 
 CHECKS = {"nric": checks.nric_valid, "luhn": checks.luhn_valid, "iban": checks.iban_valid}
 GUARD = (r"(?<![\w-])", r"(?![\w-])")
 GUARDED = {"NRIC", "CARD_NO", "PHONE", "ACCOUNT_NO", "TXN_REF"}
 
-# Words that look like data and are not.
-ALLOWED = ["merlion bank", "lion city bank", "straits bank", "otp", "nric", "pin", "sms", "fin", "atm", "ok", "okay", "iban", "swift", "paiseh", "aiyo", "aiyah", "wah", "wah lau", "lah", "leh", "lor", "alamak", "shiok", "sia", "hor", "meh", "xie xie", "terima kasih", "wo yao", "saya mahu", "dui", "hao", "boleh"]
+# Words that look like data and are not: the bank's names, jargon, particles and set phrases.
+ALLOWED = ["merlion bank", "lion city bank", "straits bank", "otp", "nric", "pin", "sms", "fin", "atm", "ok", "okay", "iban", "swift", "paiseh", "aiyo", "aiyah", "wah", "wah lau", "lah", "leh", "lor", "alamak", "shiok", "sia", "hor", "meh", "xie xie", "terima kasih", "wo yao", "saya mahu", "dui", "hao", "boleh", "wo zhi dao", "saya faham", "okay lah"]
+
+NAME_LIKE = ["PERSON", "LOCATION", "NATIONALITY", "EMPLOYER", "OCCUPATION"]
+
+
+def plausible(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """spans without allowed words and without name-like ones that are only fillers, particles or function words.
+
+    A propagated name-like span must have a Latin letter, and a recognised one (layer presidio) more other words than
+    function words.
+    """
+    surface = F.lower(F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
+    words = F.regexp_extract_all(surface, F.lit("[a-z']+"), F.lit(0))
+    vague = F.size(F.filter(words, lambda w: w.isin(*V.SPEECH_WORDS)))
+    never = F.forall(words, lambda w: w.isin(*V.NOT_NAMES)) | (F.col("layer").isin("presidio", "propagate") & (F.size(words) == 0))
+    never = never | ((F.col("layer") == "presidio") & (2 * vague >= F.size(words)))
+    allowed = F.regexp_replace(surface, r"^[ .,]+|[ .,]+$", "").isin(*ALLOWED)
+    kept = spans.join(texts.select("id", "text"), "id").where(~allowed & ~(F.col("type").isin(*NAME_LIKE) & never))
+    return kept.select(*spans.columns)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def format_spans(texts: DataFrame, layer: str = "format", guards: bool = True, only: list[str] | None = None) -> DataFrame:
+def format_spans(texts: DataFrame, layer: str = "format", guards: bool = True, only: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """Written identifiers: patterns, then check digits.  ``guards``: not inside a longer word or hyphenated number."""
-    parts = []
-    for type_, pattern, check in V.FORMATS:
-        if only is None or type_ in only:
-            shape = GUARD[0] + pattern + GUARD[1] if guards and type_ in GUARDED else pattern
-            found = find_spans(texts, "(?i)" + shape, type_, layer, 1.0)
-            parts.append(found.where(CHECKS[check](F.col("surface"))) if check else found)
-    if only is None or "SWIFT" in only:
-        parts.append(find_spans(texts, V.SWIFT, "SWIFT", layer, 1.0))
-    return _union(parts)
+    known = [(t, "(?i)" + (GUARD[0] + p + GUARD[1] if guards and t in GUARDED else p), check) for t, p, check in V.FORMATS]
+    known = [x for x in [*known, ("SWIFT", V.SWIFT, None)] if only is None or x[0] in only]
+    found = scan_spans(texts, [Rule(p, t, layer, 1.0) for t, p, _ in known], keys)
+    right = F.lit(True)
+    for name, check in CHECKS.items():
+        right = F.when(F.col("rule").isin([k for k, x in enumerate(known) if x[2] == name]), check(F.col("surface"))).otherwise(right)
+    return found.where(right).drop("rule")
 
 
 def without_fillers(texts: DataFrame) -> DataFrame:
@@ -56,9 +72,13 @@ def _with_fillers(found: DataFrame) -> DataFrame:
 
 def lexicon_spans(texts: DataFrame) -> DataFrame:
     """Whole words of the lexicons and of the place gazetteer, found in the texts without fillers."""
-    clean = without_fillers(texts)
-    words = V.LEXICONS | {"LOCATION": sorted([*V.LEXICONS["LOCATION"], *V.PLACES], key=len, reverse=True)}
-    return _with_fillers(_union([find_spans(clean, "(?i)" + spoken.any_of(own), t, "context", V.SCORES["lexicon"], keys=["id", "gaps"]) for t, own in words.items()]))
+    return _with_fillers(scan_spans(without_fillers(texts), LEXICON_RULES, ["id", "gaps"]).drop("rule"))
+
+
+_PLACES = {"LOCATION": sorted([*V.LEXICONS["LOCATION"], *V.PLACES], key=len, reverse=True)}
+LEXICON_RULES = [Rule("(?i)" + spoken.any_of(words), t, "context", V.SCORES["lexicon"]) for t, words in (V.LEXICONS | _PLACES).items()]
+CUE_RULES = [Rule("(?i)" + p, t, "context", V.SCORES["branch" if t == "BRANCH" else "context"], 1) for t, p, _ in V.CUES]
+FREE_CUES = [k for k, (_, _, free) in enumerate(V.CUES) if free]
 
 
 #: A word that ends a free-text value; a capitalised particle between capitalised words ("Tan Ah Kow") doesn't.
@@ -72,21 +92,28 @@ def trim_value(found: DataFrame) -> DataFrame:
     return cut.drop("lead").withColumn("surface", F.regexp_replace("surface", rf"(?i)(?:^| ){_END}\b.*$", ""))
 
 
-def cue_spans(texts: DataFrame) -> DataFrame:
-    """Values announced by a cue, found in the texts without fillers; free-text values end before a stop word.
+def _cued(found: DataFrame) -> DataFrame:
+    """Matches of the cue rules as spans of the original texts: free-text values end before a stop word.
 
     A value that two cues announce is one span.
     """
-    clean = without_fillers(texts)
-    parts = []
-    for type_, pattern, free in V.CUES:
-        score = V.SCORES["branch" if type_ == "BRANCH" else "context"]
-        found = find_spans(clean, "(?i)" + pattern, type_, "context", score, group=1, keys=["id", "gaps"])
-        parts.append(trim_value(found) if free else found)
-    found = _union(parts).withColumn("surface", F.rtrim("surface")).withColumn("end", F.col("start") + F.length("surface")).where("start < end")
+    free = F.col("rule").isin(FREE_CUES)
+    found = trim_value(found.where(free)).unionByName(found.where(~free)).drop("rule")
+    found = found.withColumn("surface", F.rtrim("surface")).withColumn("end", F.col("start") + F.length("surface")).where("start < end")
     return _with_fillers(found).dropDuplicates(["id", "start", "end", "type"])
 
 
+def cue_spans(texts: DataFrame) -> DataFrame:
+    """Values announced by a cue, found in the texts without fillers."""
+    return _cued(durable(scan_spans(without_fillers(texts), CUE_RULES, ["id", "gaps"]), "cues"))
+
+
+def context_spans(texts: DataFrame) -> DataFrame:
+    """What cue_spans and lexicon_spans find, in one pass over the texts."""
+    found = durable(scan_spans(without_fillers(texts), [*CUE_RULES, *LEXICON_RULES], ["id", "gaps"]), "context")
+    return _cued(found.where(F.col("rule") < len(CUE_RULES))).unionByName(_with_fillers(found.where(F.col("rule") >= len(CUE_RULES)).drop("rule")))
+
+
 def spoken_spans(texts: DataFrame) -> DataFrame:
     """What the format and cue rules find in the written form of spoken passages, laid over the original words."""
     mapped = texts.where("text is not null").select("id", spoken.normalize_with_map("text").alias("m")).where("size(m.changed) > 0")
@@ -127,7 +154,7 @@ QUESTION_WORDS = ["first", "pet", "pet's", "maiden", "name", "mother", "mother's
 
 def _answer_words(replies: DataFrame, keys: list[str]) -> DataFrame:
     """The first one or two content words, after the last ``is`` or ``was``, of each reply."""
-    words = find_spans(replies, r"(?i)[a-z']+", "", "dialogue", V.SCORES["dialogue"], keys=keys)
+    words = scan_spans(replies, [Rule(r"(?i)[a-z']+", "", "dialogue", V.SCORES["dialogue"])], keys).drop("rule")
     reply = Window.partitionBy("call_id", "turn", "slot")
     after = F.max(F.when(F.lower("surface").isin("is", "was"), F.col("start"))).over(reply)
     content = words.withColumn("after", after).where((F.col("after").isNull() | (F.col("start") > F.col("after"))) & ~F.lower("surface").isin(*V.STOP_WORDS, *QUESTION_WORDS, *ALLOWED))
@@ -147,7 +174,7 @@ def dialogue_spans(turns: DataFrame) -> DataFrame:
     asked = slot_asks(turns).where("text is not null").select("call_id", "turn", F.col("type").alias("slot"), spoken.normalize_with_map("text").alias("m"))
     replies = durable(asked.select("call_id", "turn", "slot", F.col("m.norm").alias("text"), "m.starts", "m.ends"), "replies")
     keys = ["call_id", "turn", "slot", "starts", "ends"]
-    runs = find_spans(replies, r"[0-9][0-9 -]*[0-9]", "", "dialogue", V.SCORES["dialogue"], keys=keys)
+    runs = scan_spans(replies, [Rule(r"[0-9][0-9 -]*[0-9]", "", "dialogue", V.SCORES["dialogue"])], keys).drop("rule")
     width = turns.sparkSession.createDataFrame([(t, low, high) for t, _, low, high in V.SLOTS if low is not None], "slot string, low int, high int")
     fits = runs.join(F.broadcast(width), "slot").where(F.length(checks.digits(F.col("surface"))).between(F.col("low"), F.col("high"))).drop("low", "high")
     first = fits.withColumn("n", F.row_number().over(Window.partitionBy("call_id", "turn", "slot").orderBy("start"))).where("n = 1").drop("n")
@@ -164,15 +191,16 @@ def propagated_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     known = policy.types(texts.sparkSession).where(~F.col("class").isin("QUASI_ID", "SENSITIVE_ATTR")).select("type")
     surfaces = spans.join(F.broadcast(known), "type").join(texts.select("id", "text"), "id").withColumn("surface", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
     parts = F.when(F.col("type") == "PERSON", F.concat(F.array("surface"), F.split("surface", " "))).otherwise(F.array("surface"))
-    seen = surfaces.select("id", "text", "type", "start", F.explode(parts).alias("tok")).withColumn("tok", F.lower("tok"))
-    seen = seen.where((F.length("tok") >= 3) & ~F.col("tok").isin(*V.STOP_WORDS)).groupBy("id", "text", "tok").agg(F.min_by("type", F.struct("start", "type")).alias("type"))
+    seen = surfaces.select("id", "type", "start", F.explode(parts).alias("tok")).withColumn("tok", F.lower("tok"))
+    seen = seen.where((F.length("tok") >= 3) & ~F.col("tok").isin(*V.STOP_WORDS)).groupBy("id", "tok").agg(F.min_by("type", F.struct("start", "type")).alias("type"))
+    seen = seen.join(texts.select("id", "text"), "id")
     low = F.lower("text")
     cut = F.split_part(low, F.col("tok"), F.lit(1))  # only to keep the text's pieces native: mentions are found by cutting
     pieces = seen.withColumn("cut", F.expr("split(lower(text), concat('\\\\Q', tok, '\\\\E'), -1)")).where(F.length(cut) < F.length(low))
     each = pieces.select("*", F.posexplode("cut").alias("k", "piece")).where(F.col("k") + 1 < F.size("cut"))
     start = F.length(F.array_join(F.slice("cut", 1, F.col("k") + 1), "")) + F.col("k") * F.length("tok")
     found = each.withColumn("start", start.cast("int")).withColumn("end", F.col("start") + F.length("tok"))
-    edge = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"^\w$")
+    edge = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"(?U)^\w$")
     alone = edge(F.when(F.col("start") > 0, F.col("text").substr(F.col("start"), F.lit(1)))) & edge(F.col("text").substr(F.col("end") + 1, F.lit(1)))
     fresh = found.where(alone).select("id", "start", "end", "type", F.lit("propagate").alias("layer"), F.lit(V.SCORES["propagate"]).alias("score"))
     return covered(fresh, spans, "left_anti")
@@ -187,11 +215,11 @@ def detect(turns: DataFrame, layers: list[str] | None = None) -> DataFrame:
     spark: SparkSession = turns.sparkSession
     texts = durable(call_texts(turns), "texts")
     found = _union([
-        format_spans(texts).select("id", *SPAN), cue_spans(texts).select("id", *SPAN), lexicon_spans(texts).select("id", *SPAN),
+        format_spans(texts).select("id", *SPAN), context_spans(texts).select("id", *SPAN),
         spoken_spans(texts), dialogue_spans(turns).select("id", *SPAN),
     ])
     found = found.where(F.col("layer").isin(*layers)) if layers else found
-    base = durable(merge(durable(numbered(found), "candidates"), policy.types(spark)).select("id", *SPAN), "merged")
+    base = durable(merge(durable(numbered(plausible(found, texts)), "candidates"), policy.types(spark)).select("id", *SPAN), "merged")
     if layers is None or "propagate" in layers:
         base = merge(durable(numbered(base.unionByName(propagated_spans(texts, base))), "candidates"), policy.types(spark))
     return tidy(base, texts, ALLOWED)

@@ -46,7 +46,7 @@ def entity_recall(spans: DataFrame) -> DataFrame:
 
 def misses(spans: DataFrame, per_type: int = 4) -> DataFrame:
     """The first missed spans of each type."""
-    rank = F.row_number().over(Window.partitionBy("type").orderBy("id", "start"))
+    rank = F.row_number().over(Window.partitionBy("type").orderBy("id", "start", "end"))
     return spans.where("not hit").withColumn("n", rank).where(F.col("n") <= per_type).select("type", "n", "id", "start", "end")
 
 
@@ -55,49 +55,80 @@ def confusion(rows: DataFrame, truth: str, guess: str, labels: list) -> DataFram
     return rows.groupBy(truth).pivot(guess, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def draws(rows: DataFrame, resamples: int, key: bytes, n: int) -> DataFrame:
-    """(resample, pos): for each resample n positions from 0 to n - 1, drawn with replacement by a keyed hash."""
-    spark = rows.sparkSession
-    slots = spark.range(resamples).withColumnRenamed("id", "resample").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    mac = keyed.hmac_sha256(key, F.concat_ws("|", "resample", "slot"))
-    return slots.select("resample", F.pmod(keyed.keyed_int(mac), F.lit(n)).cast("long").alias("pos"))
+#: Poisson(1) counts up to 9 as cuts of a 28-bit number: a draw is the number of cuts that it reaches.
+POISSON_CUTS = [int((1 << 28) * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(9)]
+
+
+def resampled(rows: DataFrame, resamples: int, key: bytes) -> DataFrame:
+    """rows (key, ...) once for each resample, with ``times``, how often the resample takes the row: a keyed Poisson draw.
+
+    A resample of a large table takes each row a Poisson number of times, independently of the others; so no row needs
+    a position, nothing is joined, and sums are combined before the shuffle.  One MAC serves eight resamples.
+    """
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8))))
+    macs = blocks.withColumn("_mac", keyed.hmac_sha256(key, F.concat_ws("|", F.col("key").cast("string"), F.col("_block").cast("string"))))
+    each = macs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("resample", F.col("_block") * 8 + F.col("_part")).where(F.col("resample") < resamples)
+    draw = keyed.keyed_int(F.col("_mac"), F.col("_part") * 7)
+    times = sum(((draw >= c).cast("int") for c in POISSON_CUTS), F.lit(0))
+    return each.withColumn("times", times).drop("_block", "_mac", "_part")
 
 
 def bootstrap(rows: DataFrame, resamples: int, key: bytes) -> DataFrame:
-    """(low, high): the 95% interval of sum(num) / sum(den) over resamples of rows (pos from 0 without gaps, num, den)."""
-    n = rows.count()
-    drawn = draws(rows, resamples, key, n).join(rows, "pos")
-    values = drawn.groupBy("resample").agg((F.sum("num") / F.sum("den")).alias("v")).agg(F.array_sort(F.collect_list("v")).alias("v"))
-    at = lambda share: F.get("v", F.lit(int(resamples * share)))
-    return values.select(F.round(at(0.025), 4).alias("low"), F.round(at(0.975) if resamples * 0.975 % 1 else F.get("v", F.lit(int(resamples * 0.975) - 1)), 4).alias("high"))
+    """(low, high): the 95% interval of sum(num) / sum(den) over resamples of rows (key, num, den): the values at 2.5 % and
+    97.5 % of the sorted ones.  Rows with an equal key are taken together."""
+    total = lambda c: F.sum(F.col("times") * F.col(c))
+    values = resampled(rows, resamples, key).groupBy("resample").agg((total("num") / F.nullif(total("den"), F.lit(0))).alias("v"))
+    ordered = values.agg(F.array_sort(F.collect_list("v")).alias("v"))  # a value per resample
+    low = int(resamples * 0.025)
+    return ordered.select(F.round(F.get("v", F.lit(low)), 4).alias("low"), F.round(F.get("v", F.lit(resamples - 1 - low)), 4).alias("high"))
 
 
 def paired_bootstrap(rows: DataFrame, resamples: int, key: bytes) -> DataFrame:
-    """(mean_gain, p): how often the second arm isn't better, over equal resamples of (pos, num_a, num_b, den)."""
-    n = rows.count()
-    drawn = draws(rows, resamples, key, n).join(rows, "pos")
-    gain = drawn.groupBy("resample").agg(((F.sum("num_b") - F.sum("num_a")) / F.sum("den")).alias("g"))
+    """(mean_gain, p): how often the second arm isn't better, over equal resamples of (key, num_a, num_b, den)."""
+    total = lambda c: F.sum(F.col("times") * F.col(c))
+    gain = resampled(rows, resamples, key).groupBy("resample").agg(((total("num_b") - total("num_a")) / F.nullif(total("den"), F.lit(0))).alias("g"))
     return gain.agg(F.round(F.avg("g"), 4).alias("mean_gain"), F.round(F.avg((F.col("g") <= 0).cast("int")), 4).alias("p"))
 
 
-def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """The exact interval of a share, by bisection of binomial tails."""
-    tail = (1 - level) / 2
-
-    def at_least(p: float) -> float:
-        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
-
-    def at_most(p: float) -> float:
-        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+def _beta_below(x: float, a: float, b: float) -> float:
+    """The beta distribution function, by its continued fraction in logarithms."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_below(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d, value, m = 1e-300, 1.0, 0.0, 1.0, 0
+    while m < 10_000:
+        half = m // 2
+        if m == 0:
+            step = 1.0
+        elif m % 2 == 0:
+            step = half * (b - half) * x / ((a + m - 1) * (a + m))
+        else:
+            step = -(a + half) * (a + b + half) * x / ((a + m - 1) * (a + m))
+        d = 1 / (1 + step * d or tiny)
+        c = 1 + step / c or tiny
+        value *= (factor := c * d)
+        m += 1
+        if m > 2 and abs(factor - 1) < 1e-15:
+            break
+    return front * (value - 1)
+
+
+def beta_quantile(share: float, a: float, b: float) -> float:
+    """Where the beta distribution function reaches a share: narrowed down on the scale of log-odds."""
+    low, high = -700.0, 700.0
+    while high - low > 1e-13 * max(1.0, abs(low)):
+        middle = (low + high) / 2
+        below = _beta_below(1 / (1 + math.exp(-middle)), a, b) < share
+        low, high = (middle, high) if below else (low, middle)
+    return 1 / (1 + math.exp(-high))
 
-    def root(rising, target: float) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if rising(mid) < target else (low, mid)
-        return (low + high) / 2
 
-    return (0.0 if k == 0 else root(at_least, tail), 1.0 if k == n else root(lambda p: 1 - at_most(p), 1 - tail))
+def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
+    """The exact interval of a share k of n: quantiles of beta distributions."""
+    tail = (1 - level) / 2
+    return (beta_quantile(tail, k, n - k + 1) if k else 0.0, beta_quantile(1 - tail, k + 1, n - k) if k < n else 1.0)
 
 
 def rates(spans: DataFrame, words: DataFrame, n: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import keyed
+from spanloom.functions.durable import durable
+from spanloom.operators.spans import overlaps
 
 TOKEN = r"[a-z0-9$<>_\[\]@.]+"  # a fixed value
 
@@ -16,32 +18,62 @@ def tokens(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode(F.concat(F.array(F.lit("<s>")), found)).alias("pos", "tok"))
 
 
-def bigrams(toks: DataFrame) -> DataFrame:
-    """(id, pos, a, b): each token with the one after it."""
-    after = F.lead("tok").over(Window.partitionBy("id").orderBy("pos"))
-    return toks.select("id", "pos", F.col("tok").alias("a"), after.alias("b")).where("b is not null")
+def bigrams(texts: DataFrame) -> DataFrame:
+    """(id, pos, a, b): each token of texts (id, text), ``<s>`` first, with the one after it; paired before rows are made."""
+    found = F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    pairs = texts.select("id", found.alias("w")).select("id", F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("pos", "x"))
+    return pairs.select("id", "pos", "x.a", "x.b")
 
 
-def model(toks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Counts of a training table: pairs (a, b, c_ab), contexts (a, c_a), words (b, c_b), totals (n, v), a single row."""
-    two = bigrams(toks)
-    pairs = two.groupBy("a", "b").agg(F.count("*").alias("c_ab"))
-    words = two.groupBy("b").agg(F.count("*").alias("c_b"))
-    return pairs, two.groupBy("a").agg(F.count("*").alias("c_a")), words, words.agg(F.sum("c_b").alias("n"), F.count("*").alias("v"))
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(a, b, c_ab): how often each bigram occurs."""
+    return bigrams(texts).groupBy("a", "b").agg(F.count("*").alias("c_ab"))
 
 
-def log_probabilities(toks: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """(id, pos, b, logp, known): 0.7 of the bigram share and 0.3 of the smoothed word share; the latter alone after unseen contexts."""
+def model(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Counts of training texts: pairs (a, b, c_ab), contexts (a, c_a), words (b, c_b), totals (n, v), a single row.
+
+    All come from the counts of pairs, which are written to the shared folder once.
+    """
+    pairs = durable(pair_counts(texts), "pairs")
+    words = pairs.groupBy("b").agg(F.sum("c_ab").alias("c_b"))
+    return pairs, pairs.groupBy("a").agg(F.sum("c_ab").alias("c_a")), words, words.agg(F.sum("c_b").alias("n"), F.count("*").alias("v"))
+
+
+def log_probabilities(asked: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """asked (a, b, ...) with logp and known: 0.7 of the bigram share and 0.3 of the smoothed word share; the latter alone after unseen contexts.
+
+    ``asked`` is best a table of distinct pairs with their number: hot words are then one row each.
+    """
     pairs, contexts, words, totals = counts
-    two = bigrams(toks).join(pairs, ["a", "b"], "left").join(contexts, "a", "left").join(words, "b", "left").join(F.broadcast(totals))
+    two = asked.join(pairs.withColumnRenamed("c_ab", "_ab"), ["a", "b"], "left").join(contexts, "a", "left").join(words, "b", "left").join(F.broadcast(totals))
     one = (F.coalesce("c_b", F.lit(0)) + 1) / (F.col("n") + F.col("v"))
-    mixed = 0.7 * F.coalesce("c_ab", F.lit(0)) / F.col("c_a") + 0.3 * one
-    return two.select("id", "pos", "b", F.ln(F.when(F.col("c_a").isNull(), one).otherwise(mixed)).alias("logp"), F.col("c_b").isNotNull().alias("known"))
+    mixed = 0.7 * F.coalesce("_ab", F.lit(0)) / F.col("c_a") + 0.3 * one
+    return two.select(*asked.columns, F.ln(F.when(F.col("c_a").isNull(), one).otherwise(mixed)).alias("logp"), F.col("c_b").isNotNull().alias("known"))
 
 
 def perplexity(logps: DataFrame) -> DataFrame:
-    """(tokens, perplexity, oov): of all scored tokens."""
-    return logps.agg(F.count("*").alias("tokens"), F.round(F.exp(-F.avg("logp")), 2).alias("perplexity"), F.round(F.avg((~F.col("known")).cast("int")), 4).alias("oov"))
+    """(tokens, perplexity, oov) of scored pairs with their number c_ab."""
+    tokens, mean = F.sum("c_ab"), F.sum(F.col("c_ab") * F.col("logp")) / F.sum("c_ab")
+    unknown = F.sum(F.when(F.col("known"), 0).otherwise(F.col("c_ab"))) / F.sum("c_ab")
+    return logps.agg(tokens.alias("tokens"), F.round(F.exp(-mean), 2).alias("perplexity"), F.round(unknown, 4).alias("oov"))
+
+
+def span_perplexity(texts: DataFrame, spans: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(type, tokens, perplexity) of the tokens inside spans (id, start, end, type), each after the token before it.
+
+    A token belongs to a span if it shares a character with it.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    cut, found = F.split(low, TOKEN, -1), F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    each = texts.select("id", cut.alias("cut"), found.alias("w")).select("id", "cut", "w", F.posexplode("w").alias("pos", "b"))
+    start = F.length(F.array_join(F.slice("cut", 1, F.col("pos") + 1), "")) + F.length(F.array_join(F.slice("w", 1, F.col("pos")), ""))
+    before = F.when(F.col("pos") == 0, "<s>").otherwise(F.get("w", F.col("pos") - 1))
+    toks = each.select("id", before.alias("a"), "b", start.alias("start"), (start + F.length("b")).alias("end"))
+    held = toks.alias("a").join(spans.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps())
+    asked = held.groupBy(F.col("a.a").alias("a"), F.col("a.b").alias("b"), F.col("b.type").alias("type")).agg(F.count("*").alias("c_ab"))
+    scored = log_probabilities(asked, counts)
+    return scored.groupBy("type").agg(F.sum("c_ab").alias("tokens"), F.round(F.exp(-F.sum(F.col("c_ab") * F.col("logp")) / F.sum("c_ab")), 2).alias("perplexity"))
 
 
 def naive_bayes(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -74,21 +106,74 @@ def laplace_counts(capped_rows: DataFrame, scale: float, threshold: float, key:
     return noisy.where(F.col("noisy") >= threshold)
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words of any script, one space between them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w ]", " "), " +", " "))
+
+
+def mentions(texts: DataFrame, people: DataFrame, attributes: list[str]) -> DataFrame:
+    """(id, attribute, value): the values of people's attributes that a text names, as whole words."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), plain_words(F.col(a)).alias("value")) for a in attributes]))
+    names = people.select(*attributes).distinct().select(each.alias("x")).select("x.*").where("value <> ''").distinct().withColumn("head", F.split_part("value", F.lit(" "), F.lit(1)))
+    words = texts.select("id", plain_words(F.col("text")).alias("low")).withColumn("head", F.explode(F.array_distinct(F.split("low", " "))))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return words.join(names, "head").where(F.contains(padded(F.col("low")), padded(F.col("value")))).select("id", "attribute", "value").distinct()
+
+
 def linkage(texts: DataFrame, people: DataFrame, attributes: list[str]) -> DataFrame:
-    """(id, candidates, matches): people who have every attribute value that a text mentions.
+    """(id, active, candidates, first): people who have, for every attribute of which a text names values, one of these.
 
-    Texts meet the distinct values of an attribute (not the people) by their words; a person matches if their number of
-    mentioned values is the number of attributes of which the text mentions any.  Texts without any value are left out.
+    People with equal attributes are one group, and texts that name the same values are one question: only distinct
+    questions meet distinct groups.  ``first`` is the smallest such person.  Texts without any value are left out.
     """
-    pairs = people.select("person", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.lower(a).alias("value")) for a in attributes])).alias("x")).select("person", "x.*").where("value is not null")
-    names = pairs.select("attribute", "value").distinct().withColumn("head", F.split_part("value", F.lit(" "), F.lit(1)))
-    low = F.regexp_replace(F.lower("text"), r"[^\w ]", " ")
-    words = texts.select("id", low.alias("low")).withColumn("head", F.explode(F.array_distinct(F.split("low", " +"))))
-    mentioned = words.join(names, "head").where(F.contains(F.concat(F.lit(" "), "low", F.lit(" ")), F.concat(F.lit(" "), "value", F.lit(" ")))).select("id", "attribute", "value").distinct()
-    active = mentioned.groupBy("id").agg(F.countDistinct("attribute").alias("active"))
-    hits = mentioned.join(pairs, ["attribute", "value"]).groupBy("id", "person").agg(F.countDistinct("attribute").alias("met"))
-    full = hits.join(active, "id").where("met = active")
-    return active.join(full.groupBy("id").agg(F.count("*").alias("candidates"), F.min("person").alias("first")), "id", "left").select("id", "active", F.coalesce("candidates", F.lit(0)).alias("candidates"), "first")
+    asked = mentions(texts, people, attributes).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("attribute", "value"))).alias("asked"))
+    asked = durable(asked, "asked")
+    groups = people.groupBy(*[plain_words(F.col(a)).alias(a) for a in attributes]).agg(F.count("*").alias("n"), F.min("person").alias("first")).withColumn("group", F.xxhash64(*attributes))
+    pairs = groups.select("group", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])).alias("x")).select("group", "x.*").where("value is not null")
+    questions = asked.select("asked").distinct()
+    active = F.size(F.array_distinct(F.transform("asked", lambda x: x["attribute"])))
+    hits = questions.select("asked", F.explode("asked").alias("x")).select("asked", "x.*").join(pairs, ["attribute", "value"]).groupBy("asked", "group").agg(F.countDistinct("attribute").alias("met"))
+    full = hits.where(F.col("met") == active).join(groups.select("group", "n", "first"), "group")
+    answers = full.groupBy("asked").agg(F.sum("n").alias("candidates"), F.min("first").alias("first"))
+    return asked.join(answers, "asked", "left").select("id", active.cast("long").alias("active"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "first")
+
+
+def linkage_with_log(texts: DataFrame, people: DataFrame, log: DataFrame, attributes: list[str], logged: list[str]) -> DataFrame:
+    """(id, candidates, first): people whom the text fits and who, in the log (person, *logged), did what the text's row says.
+
+    texts: (id, text, *logged).  People with equal attributes who did the same are one group; a person counts once.
+    """
+    did = log.select("person", *logged).distinct().join(people, "person")
+    cell = F.to_json(F.struct(*logged))
+    every = linkage(texts.withColumn("text", F.concat_ws(" ", "text", _cell_word(cell))), did.withColumn("_cell", _cell_word(cell)), [*attributes, "_cell"])
+    return every.select("id", "candidates", "first")
+
+
+def _cell_word(cell: Column) -> Column:
+    """A log cell as one word that no text has."""
+    return F.concat(F.lit("cell"), F.sha2(cell, 256))
+
+
+def reidentified(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(texts, unique_and_right, truth_in_set, median_candidates) of linkage results (id, candidates, first, holds) against truth (id).
+
+    ``holds`` tells whether the true person is among the candidates.  Texts that name nothing count, with no link; the
+    median is the upper one of the candidate numbers.
+    """
+    every = truth.select("id").join(found, "id", "left")
+    right = (F.col("candidates") == 1) & F.col("holds")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
+    rank = Window.orderBy("candidates")
+    sizes = every.where("candidates is not null").groupBy("candidates").agg(F.count("*").alias("n"))  # a row per size
+    upper = sizes.withColumn("upto", F.sum("n").over(rank)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0)))).where("upto > all div 2").agg(F.min("candidates").alias("median_candidates"))
+    return every.agg(F.count("*").alias("texts"), share(right).alias("unique_and_right"), share(F.col("holds")).alias("truth_in_set")).join(F.broadcast(upper))
+
+
+def direct_leaks(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, leaks): how many of a text's own direct identifiers (id, value) it still shows, by letters and digits only."""
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9@]", "")
+    both = values.where("value is not null").select("id", bare(F.col("value")).alias("value")).where("value <> ''").distinct().join(texts.select("id", bare(F.col("text")).alias("low")), "id")
+    return both.groupBy("id").agg(F.count_if(F.contains("low", F.col("value"))).alias("leaks"))
 
 
 def exposure(scores: DataFrame) -> DataFrame:
@@ -101,3 +186,15 @@ def exposure(scores: DataFrame) -> DataFrame:
 def rerank(hypotheses: DataFrame, weight: float) -> DataFrame:
     """(id, hyp): of each list the hypothesis of the largest lp + weight * mean LM logp (ties: the smaller text)."""
     return hypotheses.groupBy("id").agg(F.min_by("hyp", F.struct(-(F.col("lp") + weight * F.col("lm")), "hyp")).alias("hyp"))
+
+
+def best_weight(hypotheses: DataFrame, weights: list[float]) -> DataFrame:
+    """(weight, errors): the weight whose re-ranked hypotheses (id, hyp, lp, lm, errors) have the fewest errors; ties: the smallest."""
+    every = hypotheses.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    chosen = every.groupBy("weight", "id").agg(F.min_by("errors", F.struct(-(F.col("lp") + F.col("weight") * F.col("lm")), "hyp")).alias("errors"))
+    return chosen.groupBy("weight").agg(F.sum("errors").alias("errors")).orderBy("errors", "weight").limit(1)
+
+
+def oracle_errors(hypotheses: DataFrame) -> DataFrame:
+    """(errors): of the best hypothesis of every list (id, errors): what no re-ranking can go below."""
+    return hypotheses.groupBy("id").agg(F.min("errors").alias("e")).agg(F.sum("e").alias("errors"))

@@ -45,17 +45,12 @@ def generalize(type_: Column, surface: Column) -> Column:
     year = F.nullif(F.regexp_extract(surface, "[0-9]{4}", 0), F.lit(""))
     letters = F.regexp_replace(low, "[^a-z0-9]", "")
     sector = F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())) | F.contains(F.lit(n.lower()), low), F.lit(s)) for n, s in V.EMPLOYERS.items()], F.lit("a company"))
-    return (
-        F.when(type_ == "AMOUNT", match_case(surface, amount_band(amount_value(surface))))
-        .when(type_.isin("LOCATION", "BRANCH"), match_case(surface, _lookup(low, V.TOWNS | V.PLACES, "Singapore")))
-        .when(type_ == "SWIFT", F.when(F.substring(letters, 5, 2) == "sg", "a local bank").otherwise("a foreign bank"))
-        .when(type_ == "EMPLOYER", sector)
-        .when(type_ == "OCCUPATION", _lookup(low, V.OCCUPATIONS, "a professional"))
-        .when(type_ == "NATIONALITY", match_case(surface, F.when(low == "singaporean", "local").otherwise("foreign")))
-        .when(type_ == "DOB", match_case(surface, F.coalesce(year, month, F.lit("[DATE]"))))
-        .when(type_ == "DATE", match_case(surface, F.coalesce(month, F.lit("[DATE]"))))
-        .otherwise(F.concat(F.lit("["), type_, F.lit("]")))
-    )
+    coarse = {
+        "AMOUNT": match_case(surface, amount_band(amount_value(surface))), "EMPLOYER": sector, "OCCUPATION": _lookup(low, V.OCCUPATIONS, "a professional"),
+        "NATIONALITY": match_case(surface, _lookup(low, {"singaporean": "local"}, "foreign")), "SWIFT": _lookup(F.substring(letters, 5, 2), {"sg": "a local bank"}, "a foreign bank"),
+        "DOB": match_case(surface, F.coalesce(year, month, F.lit("[DATE]"))), "DATE": match_case(surface, F.coalesce(month, F.lit("[DATE]"))),
+    } | dict.fromkeys(("LOCATION", "BRANCH"), match_case(surface, _lookup(low, V.TOWNS | V.PLACES, "Singapore")))
+    return F.coalesce(*[F.when(type_ == t, value) for t, value in coarse.items()], F.concat(F.lit("["), type_, F.lit("]")))
 
 
 def digit_surrogate(surface: Column, mac: Column, keep_first: Column) -> Column:

@@ -122,11 +122,8 @@ _LEVEL = "SELECT p // 2 AS p, CASE WHEN count(*) = 2 THEN sha256(unhex('01') ||
 @query("merkle_root", f"WITH l0 AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS p, sha256(unhex('00') || encode({ENTRY})) AS h FROM events), " + ", ".join(f"l{i + 1} AS ({_LEVEL.format(i)})" for i in range(22)) + " SELECT h AS root FROM l22")
 def merkle_root(spark, sf_dir):
     """The root over all audit entries."""
-    from spanloom.functions.durable import durable
-
     rows = ranked(entries(spark, sf_dir), ["seq"])
-    leaves = durable(rows.select("pos", audit.leaf_hash(F.col("entry")).alias("hash")), "leaves")
-    return audit.merkle_root(leaves)
+    return audit.merkle_root(rows.select("pos", audit.leaf_hash(F.col("entry")).alias("hash")))
 
 
 @query("audit_tamper_first_bad", "SELECT min(event_id) AS first_bad FROM events WHERE event_id % 1000 = 777")
@@ -191,7 +188,7 @@ def entity_recall(spark, sf_dir):
     return metrics.entity_recall(scored(spark, sf_dir))
 
 
-@query("misses_top4_per_type", f"WITH {GOLD} SELECT type, row_number() OVER (PARTITION BY type ORDER BY id, \"start\") AS n, id, \"start\", \"end\" FROM s WHERE NOT hit QUALIFY n <= 4")
+@query("misses_top4_per_type", f"WITH {GOLD} SELECT type, row_number() OVER (PARTITION BY type ORDER BY id, \"start\", \"end\") AS n, id, \"start\", \"end\" FROM s WHERE NOT hit QUALIFY n <= 4")
 def misses_top4_per_type(spark, sf_dir):
     """The first misses of each type."""
     return metrics.misses(scored(spark, sf_dir))
@@ -203,22 +200,22 @@ def confusion_pivot(spark, sf_dir):
     return metrics.confusion(table(spark, sf_dir, "labels"), "quality", "toxic", [0, 1])
 
 
-_DRAW = f"SELECT r, ('0x' || substr({sql_hmac('m')}, 1, 7))::BIGINT % (SELECT count(*) FROM b) AS pos FROM (SELECT r, s, CAST(r AS VARCHAR) || '|' || CAST(s AS VARCHAR) AS m FROM range(200) x(r), range((SELECT count(*) FROM b)) y(s))"
-_BOOT = "WITH b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality AS num, toxic AS num_b, 1 AS den FROM labels), "
+_TIMES = " + ".join(f"(u >= {c})::INT" for c in metrics.POISSON_CUTS)
+_BOOT = f"""WITH d AS (SELECT doc_id, r, quality AS num, toxic AS num_b, ('0x' || substr({sql_hmac("CAST(doc_id AS VARCHAR) || '|' || CAST(r // 8 AS VARCHAR)")}, (r % 8 * 7 + 1)::INT, 7))::BIGINT AS u FROM labels, range(200) x(r)),
+b AS (SELECT r, num, num_b, {_TIMES} AS k FROM d), """
 
 
 def boot_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    return ranked(rows, ["doc_id"]).select("pos", F.col("quality").alias("num"), F.col("toxic").alias("num_b"), F.lit(1).alias("den"))
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("num"), F.col("toxic").alias("num_b"), F.lit(1).alias("den"))
 
 
-@query("bootstrap_ci_hashdraw", _BOOT + f"d AS ({_DRAW}), v AS (SELECT r, sum(num) / sum(den) AS v FROM d JOIN b USING (pos) GROUP BY r), o AS (SELECT list_sort(list(v)) AS v FROM v) SELECT round(v[6], 4) AS low, round(v[195], 4) AS high FROM o")
+@query("bootstrap_ci_hashdraw", _BOOT + "v AS (SELECT r, sum(k * num) / sum(k) AS v FROM b GROUP BY r), o AS (SELECT list_sort(list(v)) AS v FROM v) SELECT round(v[6], 4) AS low, round(v[195], 4) AS high FROM o")
 def bootstrap_ci_hashdraw(spark, sf_dir):
     """A 95% interval over 200 keyed resamples."""
     return metrics.bootstrap(boot_rows(spark, sf_dir), 200, SECRET)
 
 
-@query("paired_bootstrap", _BOOT + f"d AS ({_DRAW}), v AS (SELECT r, (sum(num_b) - sum(num)) / sum(den) AS g FROM d JOIN b USING (pos) GROUP BY r) SELECT round(avg(g), 4) AS mean_gain, round(avg(CASE WHEN g <= 0 THEN 1 ELSE 0 END), 4) AS p FROM v")
+@query("paired_bootstrap", _BOOT + "v AS (SELECT r, (sum(k * num_b) - sum(k * num)) / sum(k) AS g FROM b GROUP BY r) SELECT round(avg(g), 4) AS mean_gain, round(avg(CASE WHEN g <= 0 THEN 1 ELSE 0 END), 4) AS p FROM v")
 def paired_bootstrap(spark, sf_dir):
     """Two arms over the same resamples."""
     return metrics.paired_bootstrap(boot_rows(spark, sf_dir).withColumnRenamed("num", "num_a"), 200, SECRET)
@@ -261,7 +258,7 @@ _BI = _TOK + ", p AS (SELECT id, pos, tok AS a, lead(tok) OVER (PARTITION BY id
 @query("bigram_counts", f"WITH {_BI} SELECT a, b, count(*) AS c_ab FROM q GROUP BY a, b")
 def bigram_counts(spark, sf_dir):
     """Bigrams of all documents."""
-    return ngrams.model(ngrams.tokens(documents(spark, sf_dir)))[0]
+    return ngrams.pair_counts(documents(spark, sf_dir))
 
 
 @query("bigram_perplexity", f"""WITH {_BI}, tr AS (SELECT * FROM q WHERE id % 5 <> 0), te AS (SELECT * FROM q WHERE id % 5 = 0), ab AS (SELECT a, b, count(*) AS c FROM tr GROUP BY a, b), ca AS (SELECT a, count(*) AS c FROM tr GROUP BY a),
@@ -271,8 +268,8 @@ FROM te LEFT JOIN ab USING (a, b) LEFT JOIN ca ON ca.a = te.a LEFT JOIN cb ON cb
 SELECT count(*) AS tokens, round(exp(-avg(logp)), 2) AS perplexity, round(avg(CASE WHEN known THEN 0 ELSE 1 END), 4) AS oov FROM s""")
 def bigram_perplexity(spark, sf_dir):
     """An interpolated bigram model, trained on four fifths of the documents and scored on the rest."""
-    toks = ngrams.tokens(documents(spark, sf_dir))
-    return ngrams.perplexity(ngrams.log_probabilities(toks.where("id % 5 = 0"), ngrams.model(toks.where("id % 5 <> 0"))))
+    docs = documents(spark, sf_dir)
+    return ngrams.perplexity(ngrams.log_probabilities(ngrams.pair_counts(docs.where("id % 5 = 0")), ngrams.model(docs.where("id % 5 <> 0"))))
 
 
 _NB = _TOK + """, l AS (SELECT t.id, tok, quality AS label FROM t JOIN labels ON doc_id = id WHERE pos > 0), tr AS (SELECT * FROM l WHERE id % 4 <> 0), te AS (SELECT id, tok FROM l WHERE id % 4 = 0),
