@@ -37,10 +37,15 @@ class LanguageModel:
     orders: tuple[int, ...]
     classes: list[str] = field(default_factory=list)
     idf: np.ndarray | None = None
+    rows: np.ndarray | None = None
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
     temperature: float = 1.0
 
+    def scores(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Uncalibrated scores of the classes; ``rows`` tells the row of ``weights`` that a bucket has (0: a row of zeros)."""
+        return value @ self.weights[self.rows[at]] + self.bias
+
 
 def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one number per character, index of each text's first one), case folded for ASCII and Latin-1."""
@@ -156,10 +161,12 @@ def fit_temperature(score: np.ndarray, label: np.ndarray) -> float:
 
 def fit(
     docs: DataFrame, rows_per_class: int = 1000, buckets: int = 1 << 16, orders: tuple[int, ...] = (1, 2, 3),
-    l1: float = 0.02, l2: float = 0.1, calibration: float = 0.2,
+    l1: float = 0.02, l2: float = 0.1, calibration: float = 0.2, languages: int = 400,
 ) -> LanguageModel:
     """Learn from docs (doc_id, text, lang), all of whose rows with a language and a letter are training rows.
 
+    The ``languages`` with most rows are learned; a column with more values than that has codes that are no languages.
+
     Class counts and document frequencies cover every row.  The regression and the temperature see about
     ``rows_per_class`` rows of a language (all, if it has fewer), picked by a hash of doc_id; a share ``calibration`` of
     them only calibrates.
@@ -179,7 +186,8 @@ def fit(
             [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], seen))], ["bucket", "df"]
         )
 
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     model.classes = sorted(counts)
     if not counts:
         return model
@@ -212,9 +220,14 @@ def fit(
     vectors = [(a, _weighted(t, model.idf[a])) for a, t in zip(at, tf, strict=True)]
     order = np.lexsort(([int(a.sum()) for a in at], [len(a) for a in at], label))  # however the rows arrive
     train = [i for i in order.tolist() if not late[i]]
-    model.weights, model.bias = fit_ftrl([vectors[i] for i in train], label[train], len(counts), buckets, l1, l2)
+    used = np.unique(np.concatenate([vectors[i][0] for i in train])) if train else np.zeros(0, np.int32)  # all others stay 0
+    weights, model.bias = fit_ftrl([(np.searchsorted(used, vectors[i][0]), vectors[i][1]) for i in train], label[train], len(counts), len(used), l1, l2)
+    live = np.flatnonzero(weights.any(axis=1))
+    model.rows = np.zeros(buckets, dtype=np.int32)
+    model.rows[used[live]] = np.arange(1, len(live) + 1)
+    model.weights = np.concatenate([np.zeros((1, len(counts))), weights[live]])
     if late.any():
-        scores = np.array([v @ model.weights[at] + model.bias for (at, v), k in zip(vectors, late, strict=True) if k])
+        scores = np.array([model.scores(*v) for v, k in zip(vectors, late, strict=True) if k])
         model.temperature = fit_temperature(scores, label[late])
     return model
 
@@ -242,7 +255,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             able = _lettered(text)
             for i, (at, tf) in enumerate(_all_features(text, model.buckets, model.orders)):
                 if able[i]:
-                    s = (_weighted(tf, model.idf[at]) @ model.weights[at] + model.bias) / model.temperature
+                    s = model.scores(at, _weighted(tf, model.idf[at])) / model.temperature
                     best[i] = s.argmax()
                     score[i] = 1 / np.exp(s - s[best[i]]).sum()
         return pa.StructArray.from_arrays([pa.array(names[best]), pa.array(score)], ["lang_pred", "score"])

@@ -6,12 +6,15 @@ import hashlib
 import io
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions.batches import BATCH_BYTES, small_batches
 from spanloom.llm import textkernel as tk
 
 
@@ -47,7 +50,7 @@ def _plain_numbers(data: bytes, at: int, count: int, digits: bool) -> np.ndarray
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as height x width x channels, uint8 or (for a maximum over 255) uint16; bitmaps are 0 or 255."""
+    """P1 to P6 as height x width x channels, uint8 or (for a maximum over 255) uint16, 0 to the largest; bitmaps are 0 or 255."""
     kind = data[1] - 48
     bitmap, colour, plain = kind in (1, 4), kind in (3, 6), kind <= 3
     numbers, at = _header(data, 2 if bitmap else 3)
@@ -71,6 +74,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, step, count, at)
     if bitmap:
         flat = (1 - flat.astype(np.uint8)) * 255
+    elif flat.max() > top:
+        raise BadImage("a sample is over the maximum")
+    elif top not in (255, 65535):  # samples fill their type
+        flat = np.rint(flat * ((255 if top < 256 else 65535) / top))
     return flat.astype(np.uint8 if top < 256 else np.uint16).reshape(height, width, channels)
 
 
@@ -104,11 +111,16 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An image of either format, height x width x channels."""
-    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
-        return decode_netpbm(data)
-    if data[:2] == b"BM":
-        return decode_bmp(data)
+    """An image of either format, height x width x channels.  Whatever is wrong with the bytes is a BadImage."""
+    try:
+        if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
+            return decode_netpbm(data)
+        if data[:2] == b"BM":
+            return decode_bmp(data)
+    except BadImage:
+        raise
+    except (ValueError, IndexError, OverflowError, struct.error) as why:
+        raise BadImage(f"malformed: {why}") from why
     raise BadImage("neither Netpbm nor BMP")
 
 
@@ -164,82 +176,120 @@ TILE_SCHEMA = T.StructType(
 )
 
 
+def _thumbnail(pixels: np.ndarray, size: int) -> np.ndarray:
+    """size x size means of 8 bits."""
+    return np.rint(area_resize(pixels, size, size) / (1 if pixels.dtype == np.uint8 else 257)).astype(np.uint8)
+
+
+def _bounded(rows: Iterator[tuple], schema: T.StructType | pa.Schema, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of at most about ``most`` bytes of binary values."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+TILE_ARROW = pa.schema(
+    [("media_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("dhash", pa.string()), ("tile_row", pa.int32()), ("tile_column", pa.int32()), ("npy", pa.binary()), ("error", pa.string())]
+)
+
+
 def media_tiles(media: DataFrame, id_column: str = "media_id", data_column: str = "data", size: int = 64, side: int = 32) -> DataFrame:
     """A row for each NPY tile of each image, resized to ``size`` x ``size`` (uint8, rounded) and cut to ``side``.
 
-    An image that can't be decoded, or null bytes, give one row whose ``error`` says why and whose other columns but
-    media_id are null.  height and width are those of the stored image; dhash is taken from it too.
+    An image that can't be decoded, or null or empty bytes, give one row whose ``error`` says why and whose other columns
+    but media_id are null.  height and width are those of the stored image; dhash is taken from it too.  Null ids are kept;
+    repeated rows give their tiles each, equal bytes equal tiles; other columns are ignored; an empty table stays empty.
     """
+    small_batches(media.sparkSession)
 
-    def rows(batches):
+    def tiled(batches):
         for batch in batches:
-            out = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     if not data.is_valid:
                         raise BadImage("null")
                     pixels = decode(data.as_buffer().to_pybytes())
-                    bits = 8 if pixels.dtype == np.uint8 else 16
-                    small = np.rint(area_resize(pixels, size, size) / (1 if bits == 8 else 257)).astype(np.uint8)
                     own = (key, *pixels.shape[:2], difference_hash(pixels))
-                    out += [(*own, i, j, tile, None) for i, j, tile in tiles(small, side)]
+                    yield from [(*own, i, j, tile, None) for i, j, tile in tiles(_thumbnail(pixels, size), side)]
                 except BadImage as why:
-                    out.append((key, *[None] * 6, str(why)))
-            columns = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], TILE_SCHEMA.names)
+                    yield (key, *[None] * 6, str(why))
+
+    own = media.selectExpr(f"cast(`{id_column}` as long) media_id", f"cast(`{data_column}` as binary) data")
+    return own.mapInArrow(lambda batches: _bounded(tiled(batches), TILE_ARROW), TILE_SCHEMA)
 
-    return media.selectExpr(f"cast(`{id_column}` as long) media_id", f"cast(`{data_column}` as binary) data").mapInArrow(rows, TILE_SCHEMA)
+
+def write_tiles(tiles_: DataFrame, path: str) -> None:
+    """Append the tiles to a table of NPY files at ``path``: a row is one file, in its column ``npy``; failed images are under error=true.
+
+    A store of billions of tiles is a table, not billions of small files; ``read_tile`` gives the array of a row.
+    """
+    tiles_.withColumn("failed", F.col("error").isNotNull()).write.mode("append").partitionBy("failed").parquet(path)
+
+
+def read_tile(data: bytes) -> np.ndarray:
+    """The array of an NPY file's bytes."""
+    return np.load(io.BytesIO(data), allow_pickle=False)
 
 
 #: Samples of one image row of a stored text: 192 pixels of three.
 ROW = 576
 
 
-def text_media(texts: DataFrame) -> DataFrame:
-    """(doc_id, media): whole texts (null: empty) as P6 images 192 pixels wide, padded with 255 to whole rows, at least one."""
+MEDIA_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("tile", pa.binary())])
 
-    def rows(batches):
+
+def text_media(texts: DataFrame, thumbnail: int = 16) -> DataFrame:
+    """(doc_id, n_bytes, media, tile): whole texts (null: empty) as P6 images, and each image's thumbnail as one NPY tile.
+
+    Images are 192 pixels wide and padded with 255 to whole rows, at least one.  Null and repeated ids are kept as they
+    are, equal texts give equal images; other columns are ignored; an empty table stays empty.
+    """
+    small_batches(texts.sparkSession)
+
+    def stored(batches):
         for batch in batches:
             data, offsets, _ = tk.text_buffers(batch.column(1))
-            media = []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for key, s, e in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 samples = np.full(max(1, -(-(e - s) // ROW)) * ROW, 255, dtype=np.uint8)
                 samples[: e - s] = data[s:e]
-                media.append(encode_ppm(samples.reshape(-1, ROW // 3, 3)))
-            size = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(media, type=pa.binary())], ["doc_id", "n_bytes", "media"])
+                pixels = samples.reshape(-1, ROW // 3, 3)
+                yield key, e - s, encode_ppm(pixels), npy(_thumbnail(pixels, thumbnail))
 
-    return texts.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary")
+    own = texts.selectExpr("cast(doc_id as long) doc_id", "text")
+    return own.mapInArrow(lambda batches: _bounded(stored(batches), MEDIA_ARROW), "doc_id long, n_bytes long, media binary, tile binary")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold, read back: sizes, checksums, the difference hash and the NPY tiles of each image.
+    """What the stored bytes hold, read back: sizes, checksums and the difference hash of each image, and its tile's checksum.
 
-    media: (doc_id, n_bytes, media).  ``feature`` is the difference hash; tile_sha256 covers all tiles of the 64 x 64
-    thumbnail, in row order.
+    media: (doc_id, n_bytes, media, tile).  ``feature`` is the difference hash; ``tile_shape`` is that of the array in the
+    NPY tile.  Rows come back one for one, whatever their ids; equal bytes give equal values.  Stored bytes that can't be
+    decoded are an error: the store is damaged.
     """
+    small_batches(media.sparkSession)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_shape", "tile_sha256"]
 
     def rows(batches):
         for batch in batches:
             out = []
-            for item in batch.column(2):
-                stored = item.as_buffer().to_pybytes()
+            for item, tile in zip(batch.column(2), batch.column(3), strict=True):
+                stored, tile = item.as_buffer().to_pybytes(), tile.as_buffer().to_pybytes()
                 pixels = decode(stored)
                 payload = np.ascontiguousarray(pixels).tobytes()
-                small = np.rint(area_resize(pixels, 64, 64)).astype(np.uint8)
-                cut = tiles(small, 32)
-                joined = hashlib.sha256(b"".join(t for _, _, t in cut)).hexdigest()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), len(cut), joined))
+                shape = "x".join(map(str, read_tile(tile).shape))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), shape, hashlib.sha256(tile).hexdigest()))
             columns = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "tile_sha256"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "n_bytes", *names]
-            )
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "n_bytes", *names])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
+    return media.select("doc_id", "n_bytes", "media", "tile").mapInArrow(
         rows,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, feature string, n_tiles int, tile_sha256 string",
+        " media_sha256 string, feature string, tile_shape string, tile_sha256 string",
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.durable import new_path
+from spanloom.functions.durable import durable, new_path
 from spanloom.llm import embed_dedup, langid, media, mixing, packing, toxicity, urlfilter
 from spanloom.llm.ngram_join import ngram_components
 from spanloom.llm.sharding import shard_documents
@@ -64,8 +64,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a Netpbm image, read back, with its checksums, difference hash and NPY tiles."""
-    return media.media_digests(media.text_media(_table(spark, sf_dir, "documents")))
+    """Every text stored as a Netpbm image with an NPY tile, read back, with checksums and difference hash."""
+    return media.media_digests(durable(media.text_media(_table(spark, sf_dir, "documents")), "media"))
 
 
 @_query

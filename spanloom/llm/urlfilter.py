@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.batches import small_batches
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +55,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", parts: int
     page_id, so that one very common host or URL spans runs.  A rule is copied to the runs that its interval touches:
     to one run for most, and at most the nesting depth of a cut key for each cut.
     """
+    small_batches(urls.sparkSession)
     n = parts or max(2, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pages = (
         urls.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -72,19 +75,20 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", parts: int
         .unionByName(spans.select("run", "key", F.lit(0).alias("kind"), F.col("key").alias("sort_key"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict"))
     )
     return (
-        both.repartition(n, "run").sortWithinPartitions("run", "sort_key", "kind")
+        both.repartitionByRange(n, "run").sortWithinPartitions("run", "sort_key", "kind")
         .mapInArrow(lambda batches: _sweep(batches, default), "page_id long, host string, path string, rule string, verdict string")
     )
 
 
 def _run(key: Column, cuts: list[str]) -> Column:
-    """How many cuts are at most the key: a binary search, as an expression over an array literal."""
+    """How many cuts are at most the key, by a binary search in an Arrow UDF."""
     if not cuts:
         return F.lit(0)
 
-    @F.pandas_udf("int")
-    def place(keys):
-        return keys.map(lambda k: int(np.searchsorted(edges, k.encode(), side="right"))).astype("int32")
+    @F.arrow_udf("int")
+    def place(keys: pa.Array) -> pa.Array:
+        own = np.array(keys.cast(pa.binary()).to_pylist(), dtype=object)
+        return pa.array(np.searchsorted(edges, own, side="right").astype(np.int32))
 
     edges = np.array([c.encode() for c in cuts], dtype=object)
     return place(key)
