@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The fallback is meant for tests on one machine; a cluster names its own folder in the setting.
+    On one machine (a local master) a fresh local folder is named where the setting is unset, for tests and benchmarks;
+    on a cluster an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

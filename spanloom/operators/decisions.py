@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from spanloom.functions import spoken
 from spanloom.functions import values as V
 from spanloom.operators.render import REDACTED
-from spanloom.operators.spans import covered, find_spans
+from spanloom.operators.spans import Rule, covered, scan_spans
 
 
 def triage(turns: DataFrame, amounts: DataFrame) -> DataFrame:
     """(id, risk, reason): the first rule that holds, of fraud cue, disclosed credential, large transfer abroad.
 
+    A transfer is abroad by a cue of its own, or by a transfer word and a foreign destination anywhere in the call.
+
     turns: (call_id, turn, speaker, text); a disclosure is one client turn that names a credential and a giving verb
     and no negation.  amounts: (id, amount), any number of rows per call.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
     told = (F.col("speaker") == "client") & low.rlike(spoken.any_of(V.CREDENTIALS)) & low.rlike(spoken.any_of(V.GIVING)) & ~low.rlike(spoken.any_of(V.NEGATIONS))
     calls = turns.groupBy(F.col("call_id").alias("id")).agg(
-        F.max(low.rlike(spoken.any_of(V.FRAUD_CUES))).alias("fraud"), F.max(told).alias("told"), F.max(low.rlike(spoken.any_of(V.TRANSFER_CUES))).alias("abroad")
-    )
+        F.max(low.rlike(spoken.any_of(V.FRAUD_CUES))).alias("fraud"), F.max(told).alias("told"), F.max(low.rlike(spoken.any_of(V.TRANSFER_CUES))).alias("cue"),
+        F.max(low.rlike(spoken.any_of(V.TRANSFER_WORDS))).alias("moved"), F.max(low.rlike(spoken.any_of([p.lower() for p in V.FOREIGN_PLACES]))).alias("place"),
+    ).withColumn("abroad", F.col("cue") | (F.col("moved") & F.col("place")))
     top = amounts.groupBy("id").agg(F.max("amount").alias("top"))
     large = F.coalesce("top", F.lit(0.0)) >= V.TRANSFER_THRESHOLD
     reason = (
@@ -42,9 +45,11 @@ def weak_spans(spans: DataFrame) -> DataFrame:
 
 
 def residual_numbers(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, start, end): the first run of four digits or more of each text that no span covers."""
-    runs = find_spans(texts, r"[0-9](?:[ -]?[0-9]){%d,}" % (V.RESIDUAL_DIGITS - 1), "", "", 0.0)
-    left = covered(runs, spans, "left_anti")
+    """(id, start, end): the first run of four digits or more, written or spoken, of each text that no span covers."""
+    mapped = texts.where("text is not null").select("id", spoken.normalize_with_map("text").alias("m")).select("id", F.col("m.norm").alias("text"), "m.starts", "m.ends")
+    runs = scan_spans(mapped, [Rule(r"[0-9](?:[ -]?[0-9]){%d,}" % (V.RESIDUAL_DIGITS - 1), "", "", 0.0)], ["id", "starts", "ends"])
+    placed = runs.select("id", F.get("starts", F.col("start")).alias("start"), F.get("ends", F.col("end")).alias("end"))
+    left = covered(placed, spans, "left_anti")
     return left.groupBy("id").agg(F.min(F.struct("start", "end")).alias("f")).select("id", "f.start", "f.end")
 
 
@@ -87,3 +92,23 @@ def erase(keys: DataFrame, copies: DataFrame, calls: DataFrame, gone: DataFrame)
     """Keys, copies and calls without those of ``gone`` (id); keys go first, so that no readable copy outlives its call."""
     left = lambda df: df.join(gone.select("id"), "id", "left_anti")
     return left(keys), left(copies), left(calls)
+
+
+def learned_gaps(learned: DataFrame, spans: DataFrame, harm: DataFrame) -> DataFrame:
+    """(id, types): types of quasi-identifiers and sensitive attributes that a learned recogniser names where no span is."""
+    kinds = harm.where(F.col("class").isin("QUASI_ID", "SENSITIVE_ATTR")).select("type")
+    missed = covered(learned.join(F.broadcast(kinds), "type", "left_semi"), spans, "left_anti")
+    return missed.groupBy("id").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
+def release_reviewed(copies: DataFrame, approved: DataFrame) -> DataFrame:
+    """copies (id, tier, state, policy) with the public copies of approved calls (id) released: they take the public policy."""
+    yes = approved.select("id").distinct().withColumn("_yes", F.lit(True))
+    freed = F.coalesce("_yes", F.lit(False)) & (F.col("tier") == "GREEN") & (F.col("state") == "held")
+    joined = copies.join(yes, "id", "left")
+    return joined.withColumns({"state": F.when(freed, "approved").otherwise(F.col("state")), "policy": F.when(freed, "tier:GREEN").otherwise(F.col("policy"))}).drop("_yes")
+
+
+def release_risk(rates: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(controls, motivation, risk): re-identification rates (rate) times the probability p of an attempt, to 6 decimals."""
+    return attempts.join(F.broadcast(rates)).select("controls", "motivation", F.round(F.col("rate") * F.col("p"), 6).alias("risk"))

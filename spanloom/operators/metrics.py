@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import keyed
-from spanloom.operators.spans import overlaps
+from spanloom.operators.spans import coverage, overlaps
 
 
 def per_span(gold: DataFrame, found: DataFrame) -> DataFrame:
@@ -38,6 +38,93 @@ def recall(spans: DataFrame, by: list[str] | None = None, weight: str = "harm")
     )
 
 
+def span_scores(gold: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, gold_chars, hidden_chars, found_chars, over_chars, found_n, right_n, tp, fp, fn): additive counts of each text (id, text).
+
+    Characters of gold spans that found spans cover or don't, of found spans outside gold; found spans that overlap gold;
+    and the words (runs of other than white space) that are in both, in found only, or in gold only.
+    """
+    words = texts.select("id", F.split("text", r"\s+", -1).alias("w"), F.regexp_extract_all("text", F.lit(r"\s+"), F.lit(0)).alias("gap"))
+    each = words.select("id", "w", "gap", F.posexplode("w").alias("k", "word")).where("word <> ''")
+    at = F.length(F.array_join(F.slice("w", 1, F.col("k")), "")) + F.length(F.array_join(F.slice("gap", 1, F.col("k")), ""))
+    tokens = each.select("id", at.alias("start"), (at + F.length("word")).alias("end"))
+    inside = lambda spans, name: tokens.alias("a").join(spans.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps(), "left_semi").withColumn(name, F.lit(1))
+    marked = inside(gold, "g").join(inside(found, "f"), ["id", "start", "end"], "full").na.fill(0, ["g", "f"])
+    by_word = marked.groupBy("id").agg(F.sum(F.col("g") * F.col("f")).alias("tp"), F.sum((1 - F.col("g")) * F.col("f")).alias("fp"), F.sum(F.col("g") * (1 - F.col("f"))).alias("fn"))
+    g, f = (coverage(x).withColumnRenamed("covered", n) for x, n in ((gold, "gold_chars"), (found, "found_chars")))
+    both = coverage(gold.select("id", "start", "end").unionByName(found.select("id", "start", "end"))).withColumnRenamed("covered", "any_chars")
+    right = found.alias("a").join(gold.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps(), "left_semi").groupBy("id").agg(F.count("*").alias("right_n"))
+    every = texts.select("id")
+    for part in (g, f, both, found.groupBy("id").agg(F.count("*").alias("found_n")), right, by_word):
+        every = every.join(part, "id", "left")
+    every = every.na.fill(0)
+    hidden = F.col("gold_chars") + F.col("found_chars") - F.col("any_chars")
+    return every.select("id", "gold_chars", hidden.alias("hidden_chars"), "found_chars", (F.col("found_chars") - hidden).alias("over_chars"), "found_n", "right_n", "tp", "fp", "fn")
+
+
+def summary(scores: DataFrame, chars: DataFrame) -> DataFrame:
+    """(precision, char_leakage, over_redaction, token_f1) of span_scores, with chars (id, n): the length of each text.
+
+    Leakage is the share of gold characters that stay readable, over-redaction the share of all others that are hidden.
+    """
+    every = scores.join(chars, "id")
+    return every.agg(
+        ratio(F.sum("right_n"), F.sum("found_n")).alias("precision"), ratio(F.sum(F.col("gold_chars") - F.col("hidden_chars")), F.sum("gold_chars")).alias("char_leakage"),
+        ratio(F.sum("over_chars"), F.sum(F.col("n") - F.col("gold_chars"))).alias("over_redaction"),
+        ratio(2 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn")).alias("token_f1"),
+    )
+
+
+def redaction_grade(gold: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(type, hidden, partly, released): gold spans (id, type, surface) by how much of them a rendered text still shows.
+
+    rendered (id, text).  Released: the whole surface can be read in the text; partly: a word of it of three or more
+    letters or digits can; hidden: none.  It is measured on the text that is shown, so an action that changes nothing
+    hides nothing.
+    """
+    low = F.lower("text")
+    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"(?U)[^\w]+", " "), F.lit(" "))
+    has = lambda c: F.contains(padded(low), padded(c))
+    words = F.filter(F.split(F.lower("surface"), r"(?U)[^\w]+"), lambda w: F.length(w) >= 3)
+    part = F.exists(words, lambda w: F.contains(padded(low), F.concat(F.lit(" "), w, F.lit(" "))))
+    grade = F.when(has(F.lower("surface")), "released").when(part, "partly").otherwise("hidden")
+    graded = gold.join(rendered, "id").select("type", grade.alias("grade"))
+    return graded.groupBy("type").agg(*[F.count_if(F.col("grade") == g).alias(g) for g in ("hidden", "partly", "released")])
+
+
+def review_effect(spans: DataFrame, held: DataFrame) -> DataFrame:
+    """(calls_held, recall, recall_after, leaks_left): scored gold spans (id, harm, hit) if calls in held (id) are put right by a person."""
+    every = spans.join(held.select("id").distinct().withColumn("held", F.lit(True)), "id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    found = lambda ok: ratio(F.sum(F.when(ok, F.col("harm")).otherwise(0)), F.sum("harm"))
+    calls = F.count_distinct(F.when(F.col("held"), F.col("id")))
+    return every.agg(calls.alias("calls_held"), found(F.col("hit")).alias("recall"), found(F.col("hit") | F.col("held")).alias("recall_after"), F.count_if(~F.col("hit") & ~F.col("held")).alias("leaks_left"))
+
+
+def deployable(old_wer: Column, new_wer: Column, raw_wer: Column) -> Column:
+    """Whether a model trained on released text may replace the old one: better than it, and at most a point worse than raw."""
+    return (new_wer < old_wer) & (new_wer <= raw_wer + 0.01)
+
+
+def dataset_summary(calls: DataFrame, turns: DataFrame, spans: DataFrame) -> DataFrame:
+    """(calls, turns, words, spans, types) of a corpus: calls (id), turns (text), spans (type)."""
+    n = calls.agg(F.count("*").alias("calls"))
+    said = turns.agg(F.count("*").alias("turns"), F.sum(F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))).cast("long").alias("words"))
+    return n.join(F.broadcast(said)).join(F.broadcast(spans.agg(F.count("*").alias("spans"), F.count_distinct("type").alias("types"))))
+
+
+def word_categories(missed: DataFrame, categories: list[tuple[str, str]]) -> DataFrame:
+    """(category, n) of missed words (word): the first category whose pattern matches; ``other`` if none does."""
+    word = F.lower("word")
+    kind = F.coalesce(*[F.when(word.rlike(pattern), name) for name, pattern in categories], F.lit("other"))
+    return missed.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+
+
+def shape_kept(surface: Column, replacement: Column) -> Column:
+    """Whether a replacement has the digits of a surface in the same places, measured on the texts."""
+    shape = lambda c: F.regexp_replace(c, r"[0-9]", "9")
+    return shape(surface).eqNullSafe(shape(replacement))
+
+
 def entity_recall(spans: DataFrame) -> DataFrame:
     """(type, entities, entity_recall): entities (id, type, key) all of whose mentions were found."""
     whole = spans.groupBy("id", "type", "key").agg(F.min("hit").alias("all_hit"))

@@ -191,7 +191,7 @@ def rerank(hypotheses: DataFrame, weight: float) -> DataFrame:
 def best_weight(hypotheses: DataFrame, weights: list[float]) -> DataFrame:
     """(weight, errors): the weight whose re-ranked hypotheses (id, hyp, lp, lm, errors) have the fewest errors; ties: the smallest."""
     every = hypotheses.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
-    chosen = every.groupBy("weight", "id").agg(F.min_by("errors", F.struct(-(F.col("lp") + F.col("weight") * F.col("lm")), "hyp")).alias("errors"))
+    chosen = every.groupBy("weight", "id").agg(F.min_by("errors", F.struct(-(F.col("lp") + F.col("weight") * F.col("lm")), "hyp", "errors")).alias("errors"))
     return chosen.groupBy("weight").agg(F.sum("errors").alias("errors")).orderBy("errors", "weight").limit(1)
 
 

@@ -47,3 +47,18 @@ def version() -> str:
 def tier_rank(tier: Column) -> Column:
     """0 for GREEN to 2 for RED."""
     return F.array_position(F.array(*[F.lit(t) for t in V.TIERS]), tier) - 1
+
+
+def overridden(actions_: DataFrame, variant: str) -> DataFrame:
+    """actions under another policy: every action of the public tier replaced.
+
+    ``all-suppress``, ``all-pseudonym`` and ``all-surrogate`` take one action for all types; ``keep-quasi`` keeps quasi-identifiers
+    and sensitive attributes as they are.
+    """
+    if variant == "keep-quasi":
+        action = F.when(F.col("class").isin("QUASI_ID", "SENSITIVE_ATTR"), "keep").otherwise(F.col("action"))
+    elif variant in ("all-suppress", "all-pseudonym", "all-surrogate"):
+        action = F.lit(variant.removeprefix("all-"))
+    else:
+        raise ValueError(f"unknown policy {variant}")
+    return actions_.withColumn("action", F.when(F.col("tier") == "GREEN", action).otherwise(F.col("action")))

@@ -96,7 +96,8 @@ def surrogate(type_: Column, surface: Column, mac: Column) -> Column:
     surname, given = keyed.pick(V.SURROGATE_SURNAMES, number(0)), keyed.pick(V.SURROGATE_GIVEN, number(7))
     words = F.greatest(F.size(F.split(F.trim(surface), r"\s+")), F.lit(1))
     name = F.array_join(F.slice(F.split(F.concat_ws(" ", surname, given), " "), F.lit(1), words), " ")
-    mail = F.concat(F.lower(F.regexp_replace(F.concat_ws(".", given, surname), " ", ".")), F.lit("@mail.example"))
+    said = surface.rlike(r"(?i)(?:^| )at [a-z0-9]+ dot ")
+    mail = F.when(said, F.concat_ws(" ", F.lower(given), F.lit("dot"), F.lower(surname), F.lit("at mail dot example"))).otherwise(F.concat(F.lower(F.regexp_replace(F.concat_ws(".", given, surname), " ", ".")), F.lit("@mail.example")))
     day = F.concat_ws(" ", (number(14) % 28 + 1).cast("string"), keyed.pick(V.MONTHS, number(21)), F.when(surface.rlike("[0-9]{4}"), (number(28) % 56 + 1950).cast("string")))
     town = keyed.pick(list(V.TOWNS), number(35))
     address = F.concat(F.lit("Blk "), (number(42) % 999 + 1).cast("string"), F.lit(" "), town, F.lit(" Street "), (number(49) % 99 + 1).cast("string"))
@@ -112,9 +113,10 @@ def surrogate(type_: Column, surface: Column, mac: Column) -> Column:
 def pseudonyms(spans: DataFrame) -> DataFrame:
     """spans with pseudonym ``<TYPE_n>``: n counts distinct keys of a type within an id, in order of first mention.
 
-    spans: (id, start, type, surface).
+    spans: (id, start, type, surface), and ``normal``, the written form of surfaces, where spoken and written mentions are
+    to be one.
     """
-    key = spoken.canonical_key(F.col("surface"))
+    key = spoken.canonical_key(F.col("normal" if "normal" in spans.columns else "surface"))
     first = F.min("start").over(Window.partitionBy("id", "type", "_key"))
     rank = F.dense_rank().over(Window.partitionBy("id", "type").orderBy("_first"))
     named = spans.withColumn("_key", key).withColumn("_first", first)
@@ -128,10 +130,11 @@ def replacements(spans: DataFrame, texts: DataFrame, actions: DataFrame, secret:
     to its pseudonym.
     """
     cut = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
-    own = pseudonyms(spans.join(texts.select("id", "text"), "id").withColumn("surface", cut))
-    mac = keyed.hmac_sha256(secret, F.concat_ws("|", F.col("id").cast("string"), "type", spoken.canonical_key(F.col("surface"))))
+    cuts = spans.join(texts.select("id", "text"), "id").withColumn("surface", cut)
+    own = pseudonyms(cuts.withColumn("normal", spoken.normalize_with_map("surface")["norm"]))
+    mac = keyed.hmac_sha256(secret, F.concat_ws("|", F.col("id").cast("string"), "type", spoken.canonical_key(F.col("normal"))))
     every = own.withColumn("mac", mac).join(F.broadcast(actions), "type")
-    act = F.when((F.col("action") == "mask_last4") & ~F.col("surface").rlike("[0-9]"), "pseudonym").otherwise(F.col("action"))
+    act = F.when((F.col("action") == "mask_last4") & spoken.mask_units(F.col("surface")).isNull(), "pseudonym").otherwise(F.col("action"))
     after_article = F.col("text").substr(F.greatest(F.col("start") - 2, F.lit(1)), F.least(F.col("start"), F.lit(3))).rlike(r"(?i)(?:^|[^a-z])an? $|^an? $")
     coarse = generalize(F.col("type"), F.col("surface"))
     coarse = F.when(after_article, F.regexp_replace(coarse, "^(?:an?|the) ", "")).otherwise(coarse)
@@ -157,6 +160,28 @@ def render(texts: DataFrame, replaced: DataFrame) -> DataFrame:
     return out.select("id", "tier", F.concat(F.array_join(parts, ""), tail).alias("text"))
 
 
+def rendered_turns(rendered: DataFrame) -> DataFrame:
+    """(id, tier, turn, text): the turns of rendered calls."""
+    return rendered.select("id", "tier", F.posexplode(F.split("text", "\n", -1)).alias("turn", "text"))
+
+
+def rendered_pieces(texts: DataFrame, replaced: DataFrame) -> DataFrame:
+    """(id, tier, pieces): every text as an array of struct(text, entity), in order, for every tier.
+
+    A piece is a gap between spans, whose entity is null, or a replacement, whose entity is struct(type, class, action,
+    layer, score).  No piece has the value that was replaced.
+    """
+    order = Window.partitionBy("id", "tier").orderBy("start")
+    entity = F.struct("type", "class", "action", "layer", "score")
+    spans = replaced.select("id", "tier", "start", "end", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("from"), "replacement", entity.alias("entity"))
+    rows = spans.groupBy("id", "tier").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "replacement", "entity"))).alias("p")).join(texts.select("id", "text"), "id")
+    none = F.lit(None).cast(spans.schema["entity"].dataType)
+    piece = lambda text, of: F.struct(text.alias("text"), of.alias("entity"))
+    both = F.flatten(F.transform("p", lambda x: F.array(piece(F.col("text").substr(x["from"] + 1, x["start"] - x["from"]), none), piece(x["replacement"], x["entity"]))))
+    tail = F.array(piece(F.col("text").substr(F.element_at("p", -1)["end"] + 1, F.length("text")), none))
+    return rows.select("id", "tier", F.filter(F.concat(both, tail), lambda x: x["text"] != "").alias("pieces"))
+
+
 def action_shares(replaced: DataFrame) -> DataFrame:
     """(tier, action, n, share): how often each action is taken for a tier."""
     counts = replaced.groupBy("tier", "action").agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 from typing import NamedTuple
 
@@ -137,3 +138,44 @@ def coverage(spans: DataFrame) -> DataFrame:
 def pack_spans(spans: DataFrame) -> DataFrame:
     """(id, spans): one sorted array of structs for each id."""
     return spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*SPAN))).alias("spans"))
+
+
+def word_spans(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, t0, t1, types): the times of spoken words (id, start, end, t0, t1) that spans touch: what to bleep.
+
+    Neighbouring times that overlap or meet are one.
+    """
+    hit = words.alias("a").join(spans.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps()).select(F.col("a.id").alias("id"), "t0", "t1", "type")
+    order = Window.partitionBy("id").orderBy("t0", "t1")
+    reach = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hit.withColumn("run", F.coalesce((F.col("t0") > reach).cast("int"), F.lit(0))).withColumn("run", F.sum("run").over(order))
+    return runs.groupBy("id", "run").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.array_sort(F.collect_set("type")).alias("types")).drop("run")
+
+
+def carried_over(pairs: DataFrame) -> DataFrame:
+    """(id, start, end, type): spans of a reference text laid over a hypothesis of it, word by word.
+
+    pairs: (id, ref, hyp, spans), spans being array<struct<start, end, type>> into ref.  Words that the two texts have
+    in common, in order, are aligned; a span covers in the hypothesis what stands between its first and last aligned
+    words, and what replaces its words.  Spans of which no word has a place are left out.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for key, ref, hyp, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "ref", "hyp", "spans")), strict=True):
+                a, b = ([(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", t or "")] for t in (ref, hyp))
+                place: dict[int, tuple[int, int]] = {}
+                for _, i, i2, j, j2 in difflib.SequenceMatcher(None, [w for *_, w in a], [w for *_, w in b], autojunk=False).get_opcodes():
+                    for k in range(i, i2):  # an equal word its own place; replaced ones share theirs
+                        place[k] = (j + k - i, j + k - i + 1) if i2 - i == j2 - j else (j, j2)
+                for s in spans or []:
+                    own = [place[k] for k, (x, y, _) in enumerate(a) if x < s["end"] and s["start"] < y and place[k][0] < place[k][1]]
+                    if own:
+                        out.append((key, b[min(p for p, _ in own)][0], b[max(q for _, q in own) - 1][1], s["type"]))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (batch.schema.field("id").type, pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["id", "start", "end", "type"])
+
+    own = pairs.select("id", "ref", "hyp", "spans")
+    return own.mapInArrow(rows, own.select("id").schema.add("start", "integer").add("end", "integer").add("type", "string"))

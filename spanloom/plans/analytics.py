@@ -323,11 +323,12 @@ def canary_exposure(spark, sf_dir):
     return ngrams.exposure(others.unionByName(planted))
 
 
-@query("word_wer", "SELECT c_custkey, 1 AS edits FROM customer")
+@query("word_wer", "SELECT c_custkey, (1 + (c_custkey % 3 = 0)::INT + 2 * (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0)::INT)::INT AS edits FROM customer")
 def word_wer(spark, sf_dir):
-    """Word errors of a transcript with one word replaced."""
-    ref = F.concat(F.lit("please pay "), F.col("c_custkey"), F.lit(" dollars to "), F.lower("c_mktsegment"), F.lit(" now please"))
-    hyp = F.concat(F.lit("Please  pay "), F.col("c_custkey"), F.lit(" dollar to "), F.lower("c_mktsegment"), F.lit(" now please"))
+    """Word errors of transcripts with a word replaced, and others dropped and put in."""
+    key, when = F.col("c_custkey").cast("string"), lambda n, yes, no: F.when(F.col("c_custkey") % n == 0, yes).otherwise(no)
+    ref = F.concat_ws(" ", F.lit("please pay"), key, F.lit("dollars to"), F.lower("c_mktsegment"), F.lit("now please"))
+    hyp = F.concat_ws(" ", F.lit("Please  pay"), when(3, "x", key), F.lit("dollar to"), when(5, "", F.lower("c_mktsegment")), when(5, "please", "now please"), when(7, "sir", ""))
     return table(spark, sf_dir, "customer").select("c_custkey", metrics.word_errors(ref, hyp).alias("edits"))
 
 
@@ -338,17 +339,28 @@ def nbest_rerank(spark, sf_dir):
     return ngrams.rerank(hyps, 0.5)
 
 
-@query("raw_clean", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '[_-]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations WHERE NOT regexp_matches(text, '[<>()\\[\\]~#!]')")
+def clean_sql(text: str) -> str:
+    """The annotation rules as SQL."""
+    rules = [(r"<[a-z]+>([^<]*):([^<]*)</[a-z]+>", r"\2"), (r"<[^>]*>|\([^)]*\)|\[[^\]]*\]", " "), (r"\b\w+~|~\w+\b", " "), ("[_-]", " "), ("[#!]", ""), (r"\s+", " ")]
+    for pattern, by in rules:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"trim({text})"
+
+
+@query("raw_clean", f"SELECT conv_id, turn, {clean_sql('text')} AS text FROM conversations")
 def raw_clean(spark, sf_dir):
-    """Annotated lines as plain text (lines without annotations, which SQL can follow)."""
-    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[<>()\[\]~#!]"))
-    return rows.select("conv_id", "turn", tr.clean_annotations(F.col("text")).alias("text"))
+    """All lines as plain text."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tr.clean_annotations(F.col("text")).alias("text"))
 
 
-@query("raw_clean_annotated")
+_ANNOTATED = ("'<mandarin>zhe:'", "CAST(conv_id AS STRING)", "'</mandarin> [noise] '", "text", "' (laugh) wo~ ~rld #so!'")
+
+
+@query("raw_clean_annotated", f"SELECT conv_id, turn, {clean_sql('(' + ' || '.join(_ANNOTATED) + ')')} AS text FROM conversations")
 def raw_clean_annotated(spark, sf_dir):
-    """All lines as plain text, annotated ones as well; raw_clean holds those without annotations against SQL."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tr.clean_annotations(F.col("text")).alias("text"))
+    """All lines with tags, code switches and cut-offs around them, as plain text."""
+    line = F.concat(*[F.lit(x.strip("'")) if x.startswith("'") else F.expr(x) for x in _ANNOTATED])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tr.clean_annotations(line).alias("text"))
 
 
 @query("speaker_split", "SELECT conv_id, turn, 'Speaker' || (turn % 2 + 1) AS speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")

@@ -249,32 +249,56 @@ def surrogate_shape(spark, sf_dir):
     return tr.derived_calls(spark, sf_dir).select("id", F.regexp_replace(out, "[0-9]", "9").alias("shape"), (out != F.col("account")).alias("changed"))
 
 
-@query("tier_render", CALLS + """, y AS (SELECT id, account, t5 || ' or user' || client_id || '@mail.example' AS text FROM x), a(tier) AS (VALUES ('RED'), ('AMBER'))
-SELECT id, tier, CASE tier WHEN 'RED' THEN text ELSE '***-***' || substr(account, 8) || ' or <EMAIL_1>' END AS text FROM y, a""")
+@query("tier_render", CALLS + """, a(tier) AS (VALUES ('RED'), ('AMBER'), ('GREEN'))
+SELECT id, tier, CASE tier WHEN 'RED' THEN text ELSE replace(replace(text, account, CASE tier WHEN 'AMBER' THEN '***-***' || substr(account, 8) ELSE '[REDACTED]' END), 'user' || client_id || '@mail.example', CASE tier WHEN 'AMBER' THEN '<EMAIL_1>' ELSE '[REDACTED]' END) END AS text FROM x, a""")
 def tier_render(spark, sf_dir):
-    """Texts as two tiers see them."""
-    calls = tr.derived_calls(spark, sf_dir)
-    texts = calls.select("id", F.concat(F.col("t5"), F.lit(" or user"), F.col("client_id"), F.lit("@mail.example")).alias("text"))
-    found = detect.format_spans(texts, guards=False, only=["EMAIL", "ACCOUNT_NO"]).select("id", *spans.SPAN)
-    replaced = render.replacements(found, texts, policy.actions(spark).where("tier <> 'GREEN'"), SECRET)
-    return render.render(texts, replaced)
+    """Whole calls as all tiers see their accounts and addresses, the public one under a policy that suppresses all."""
+    texts = tr.derived_texts(tr.derived_calls(spark, sf_dir))
+    found = detect.format_spans(texts, only=["EMAIL", "ACCOUNT_NO"]).select("id", *spans.SPAN)
+    return render.render(texts, render.replacements(found, texts, policy.overridden(policy.actions(spark), "all-suppress"), SECRET))
 
 
 @query("action_share", CALLS + """, n AS (SELECT count(*) AS n FROM x) SELECT tier, action, n * k AS n, 0.5 AS share FROM n, (VALUES ('RED', 'keep', 2), ('AMBER', 'mask_last4', 1), ('AMBER', 'pseudonym', 1), ('GREEN', 'surrogate', 2)) v(tier, action, k)""".replace("0.5 AS share", "k / 2.0 AS share"))
 def action_share(spark, sf_dir):
-    """How often each action is taken for each tier."""
-    calls = tr.derived_calls(spark, sf_dir)
-    texts = calls.select("id", F.concat(F.col("t5"), F.lit(" or user"), F.col("client_id"), F.lit("@mail.example")).alias("text"))
-    found = detect.format_spans(texts, guards=False, only=["EMAIL", "ACCOUNT_NO"]).select("id", *spans.SPAN)
+    """How often each action is taken for each tier, over whole calls."""
+    texts = tr.derived_texts(tr.derived_calls(spark, sf_dir))
+    found = detect.format_spans(texts, only=["EMAIL", "ACCOUNT_NO"]).select("id", *spans.SPAN)
     return render.action_shares(render.replacements(found, texts, policy.actions(spark), SECRET))
 
 
-@query("call_detect")
+#: What the rules say of the derived calls: every span with its layer and score.  Offsets are those of the turns.
+DETECTED = CALLS + """, o AS (SELECT *, len(t0)::INT + 1 AS o1, (len(t0) + len(t1) + len(t2))::INT + 3 AS o3, (len(t0) + len(t1) + len(t2) + len(t3) + len(t4))::INT + 5 AS o5,
+  (len(t0) + len(t1) + len(t2) + len(t3) + len(t4) + len(t5) + len(t6))::INT + 7 AS o7, (len(t0) + len(t1) + len(t2) + len(t3) + len(t4) + len(t5) + len(t6) + len(t7))::INT + 8 AS o8 FROM x),
+n AS (SELECT *, card AS n FROM o), d AS (
+  SELECT id, o1 + 11 AS "start", o1 + 11 + len(person)::INT AS "end", 'PERSON' AS type, 'context' AS layer, 0.9 AS score FROM o
+  UNION ALL SELECT id, o3 + len(t3)::INT - 6, o3 + len(t3)::INT, 'OTP', 'context', 0.9 FROM o WHERE id % 4 <> 0
+  UNION ALL SELECT id, o5, o5 + len(t5)::INT, 'ACCOUNT_NO', 'format', 1.0 FROM o
+  UNION ALL SELECT id, o7 + strpos(t7, '$')::INT - 1, o7 + strpos(t7, '$')::INT + len(CAST(amount AS VARCHAR))::INT, 'AMOUNT', 'format', 1.0 FROM o
+  UNION ALL SELECT id, o7 + strpos(t7, ' with ')::INT + 5, o7 + strpos(t7, ' with ')::INT + 5 + len(card)::INT, 'CARD_NO', 'format', 1.0 FROM n WHERE """ + LUHN_SQL + """
+  UNION ALL SELECT id, o8 + 10, o8 + 10 + len(town)::INT, 'LOCATION', 'context', 0.9 FROM o
+  UNION ALL SELECT id, o8 + strpos(t8, ' user')::INT, o8 + len(t8)::INT, 'EMAIL', 'format', 1.0 FROM o)"""
+
+
+@query("call_detect", DETECTED + ' SELECT id, "start", "end", type, layer, score FROM d')
 def call_detect(spark, sf_dir):
     """All layers over all calls: merged, propagated and tidied spans."""
     return detect.detect(tr.derived_turns(tr.derived_calls(spark, sf_dir))).select("id", "start", "end", "type", "layer", "score")
 
 
+_SEEN = {"person": ("RED",), "account": ("RED",), "email": ("RED",), "town": ("RED", "AMBER"), "otp": ()}
+_LEAK_ROWS = ", ".join(f"('{t}', '{k}', {int(t in seen)})" for k, seen in _SEEN.items() for t in V.TIERS)
+
+
+@query("tier_leaks", CALLS + f" SELECT tier, kind, (SELECT count(*) FROM x) AS calls, CASE WHEN seen = 1 THEN (SELECT count(*) FROM x) ELSE 0 END AS readable FROM (VALUES {_LEAK_ROWS}) v(tier, kind, seen)")
+def tier_leaks(spark, sf_dir):
+    """In how many calls each tier still reads the name, account, address, town and credential: from detection to text."""
+    calls = tr.derived_calls(spark, sf_dir)
+    shown = call_render_tiers(spark, sf_dir).join(calls.select("id", "person", "account", F.concat(F.lit("user"), "client_id", F.lit("@")).alias("email"), "town", "otp"), "id")
+    parts = {k: F.contains("text", F.col(k)) for k in ("person", "account", "email", "town")} | {"otp": F.contains(F.get(F.split("text", "\n", -1), F.lit(3)), F.col("otp"))}
+    each = shown.select("tier", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("seen")) for k, c in parts.items()])).alias("x"))
+    return each.groupBy("tier", "x.kind").agg(F.count("*").alias("calls"), F.count_if("x.seen").alias("readable"))
+
+
 @query("call_render_tiers")
 def call_render_tiers(spark, sf_dir):
     """Every call as each of the three tiers sees it, from detection to text."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spoken
+from spanloom.functions.ranking import ranked
+from spanloom.operators import audit
 
 CALL_SCHEMA = "id string, scenario string, client_id string, agent string, risk string, utterances array<struct<speaker:string,text:string>>, spans array<struct<start:int,end:int,type:string>>"
 
@@ -20,6 +22,37 @@ def write_calls(calls: DataFrame, path: str) -> None:
     calls.write.json(path)
 
 
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON document (an object, or an array of rows) that may span lines."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def export_lines(pieces: DataFrame, gates: DataFrame, path: str, version: str) -> dict:
+    """Write the public copies as JSON lines in the order of ids, and return the manifest of what was written.
+
+    pieces: (id, utterances), any released content of one call, already gated; gates: (id, k, gated).  The manifest has the number of calls,
+    each call's k and whether it was gated are written beside them as ``gates``; ``sha256`` is over the digests of
+    all lines in order, a Merkle root, so that no task sees all lines.
+    """
+    lines = pieces.select("id", F.to_json(F.struct("id", "utterances")).alias("value"))
+    ordered = ranked(lines, ["id"])
+    ordered.repartitionByRange("pos").sortWithinPartitions("pos").select("value").write.text(f"{path}/lines")
+    gates.select("id", "k", "gated").write.json(f"{path}/gates")
+    root = audit.merkle_root(ordered.select("pos", audit.leaf_hash(F.col("value")).alias("hash"))).collect()
+    counts = gates.agg(F.count("*").alias("calls"), F.count_if("gated").alias("gated"), F.min("k").alias("smallest_k")).first()
+    return {"calls": counts["calls"], "gated": counts["gated"], "smallest_k": counts["smallest_k"], "sha256": root[0]["root"] if root else None, "policy_version": version}
+
+
+def fill_placeholders(lines: DataFrame, values: DataFrame) -> DataFrame:
+    """Marked-up lines (file, n, line) whose ``{{TYPE}}`` have become ``{{TYPE:value}}``, from values (type, value), a row per type."""
+    table = values.agg(F.map_from_entries(F.collect_list(F.struct("type", "value"))).alias("known"))
+    cut = lines.join(F.broadcast(table)).withColumn("parts", F.split("line", r"(?=\{\{[A-Z_]+\}\})"))
+    name = lambda part: F.regexp_extract(part, r"^\{\{([A-Z_]+)\}\}", 1)
+    filled = F.transform("parts", lambda p: F.when(F.map_contains_key("known", name(p)), F.concat(F.lit("{{"), name(p), F.lit(":"), F.try_element_at("known", name(p)), F.lit("}}"), F.regexp_replace(p, r"^\{\{[A-Z_]+\}\}", ""))).otherwise(p))
+    return cut.select("file", "n", F.array_join(filled, "").alias("line"))
+
+
 def turns_of(calls: DataFrame) -> DataFrame:
     """(call_id, turn, speaker, text) of calls (id, utterances)."""
     return calls.select(F.col("id").alias("call_id"), F.posexplode("utterances").alias("turn", "u")).select("call_id", "turn", "u.speaker", "u.text")

@@ -193,5 +193,5 @@ def test_annotated_lines_are_cleaned_and_kept(spark, tmp_path):
     rows = [(1, i, text) for i, (text, _) in enumerate(texts)]
     spark.createDataFrame(rows, "conv_id int, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     registry.load()
-    got = {r["turn"]: r["text"] for r in registry.QUERIES["raw_clean_annotated"](spark, str(tmp_path)).collect()}
+    got = {r["turn"]: r["text"] for r in registry.QUERIES["raw_clean"](spark, str(tmp_path)).collect()}
     assert got == {i: clean for i, (_, clean) in enumerate(texts)}
