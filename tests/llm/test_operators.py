@@ -631,7 +631,7 @@ def mixed_slots(kept, weights, block_bytes=65_536):
             blocks[r["doc_id"]] = (source, int((before + size / 2) // block_bytes))
             most[source] = max(most.get(source, 0), blocks[r["doc_id"]][1] + 1)
             before += size
-    slots = {b[:2]: at for at, b in enumerate(pfair({s: (most[s], weights[s]) for s in most}))}
+    slots = {b[:2]: at for at, b in enumerate(pfair({s: (most[s], round(weights[s] / max(weights[x] for x in most) * mixing.SCALE)) for s in most}))}
     return {d: slots[b] for d, b in blocks.items()}
 
 
@@ -663,7 +663,7 @@ def test_whole_pipeline_against_brute_force(spark, tmp_path):
     vocab = [sorted(set(t.split()) - {"."}) for t in (GERMAN, ENGLISH, SPANISH)]
     data = []
     for i in range(170):
-        text = " ".join(w + "." * (k % 12 == 11) for k, w in enumerate(f"{rng.choice(vocab[i % 3])}{rng.choice(['', '', rng.randrange(90)])}" for _ in range(rng.randrange(3300, 4200))))
+        text = " ".join(w + "." * (k % 12 == 11) for k, w in enumerate(f"{rng.choice(vocab[i % 3])}{rng.choice(['', '', rng.randrange(90)])}" for _ in range(rng.randrange(4200, 5200))))
         data.append((i, text, ("de", "en", "es")[i % 3], f"s{i % 7 % 3}"))
     data += [(200 + i, data[i][1] + " ende", data[i][2], data[i][3]) for i in range(0, 40, 5)]
     data += [(300, None, "en", "s0"), (301, "12 34!", "de", "s1")]
