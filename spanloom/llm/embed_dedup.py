@@ -21,13 +21,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.batches import small_batches
 from spanloom.functions.durable import durable
 from spanloom.llm.components import components
+from spanloom.llm.tiles import groups
 
 #: Rows of one side of a tile.
 TILE = 512
@@ -303,30 +303,9 @@ def _tile(rows: pa.Table, cosine: float, shared: int) -> tuple[np.ndarray, np.nd
 
 def _links(batches, key: list[str], cosine: float, shared: int):
     """Rows (entry, n, null, null) and (null, null, a, b) of all tiles of a partition sorted by key."""
-    names, held = ["entry", "n", "a", "b"], []
-
-    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        entry, n, forest = _tile(pa.Table.from_batches(parts), cosine, shared)
-        gap, a, b = pa.nulls(len(entry), pa.int64()), [f[0] for f in forest], [f[1] for f in forest]
-        none = pa.nulls(len(forest), pa.int64())
-        columns = [(pa.array(entry, pa.int64()), none), (pa.array(n, pa.int64()), none), (gap, pa.array(a, pa.int64())), (gap, pa.array(b, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names)
-
-    last = None
-    for batch in batches:
-        columns = [batch.column(c) for c in key]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for column in columns:
-            change[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            own = [c[a].as_py() for c in columns]
-            if held and own != last:
-                yield done(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = own
-    if held:
-        yield done(held)
+    for table in groups(batches, key):
+        entry, n, forest = _tile(table, cosine, shared)
+        gap, none = pa.nulls(len(entry), pa.int64()), pa.nulls(len(forest), pa.int64())
+        a, b = (pa.array([f[k] for f in forest], pa.int64()) for k in (0, 1))
+        columns = [(pa.array(entry, pa.int64()), none), (pa.array(n, pa.int64()), none), (gap, a), (gap, b)]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["entry", "n", "a", "b"])

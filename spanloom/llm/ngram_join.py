@@ -6,13 +6,14 @@ formed:
 
 * Rows are put in size bands so narrow that linked rows lie in the same or in neighbouring bands.
 * The columns (n-gram hashes) are cut into blocks.  Two rows of a band that may be linked differ in at most ``d``
-  columns; with more than ``d`` blocks, at least one block of theirs is equal in full.  A block row is therefore
-  represented by one 64-bit digest, and the product joins equal digests only.  No linked pair is lost.
-* The members of a digest are multiplied with one leader row first (a star, linear in the group).  What remains are
-  members of one leader that are still in different components; only these are multiplied as well, in tiles.
-* A pair is dropped as soon as its size-derived bound is out of reach: by the two sizes, then by parity sketches (the
-  bits in which two sketches differ are a lower bound of the columns in which the rows differ), and at last while the
-  overlap counts are accumulated block by block over the full rows.
+  columns; with more than ``d`` blocks, at least one block of theirs is equal in full.  A digest of each block of a row
+  therefore tells which blocks of rows must be multiplied at all: those that share a digest.  No linked pair is lost.
+* These blocks of rows are multiplied in tiles of bounded size.  A tile takes its columns rarest first, block by block,
+  and accumulates the overlap counts of all its pairs as a product of matrices.  A pair is dropped as soon as its count, with
+  all that the smaller rest of the two rows could still add, stays below the least overlap that their sizes allow;
+  rows without a pair leave the tile.
+* The rows of a digest are multiplied with one leader row first (a tile of one row, linear in the group).  What remains
+  are rows of one leader in different components than it; only these are multiplied with the leader's other rows as well.
 
 Equal sets share one row, so copies cost nothing beyond their own membership.
 """
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.batches import small_batches
+from spanloom.functions.batches import BATCH_BYTES, small_batches
 from spanloom.functions.durable import durable
 from spanloom.llm import textkernel as tk
 from spanloom.llm.components import components
+from spanloom.llm.tiles import groups
 
 #: How many partitions of the columns are tried when a row leaves too many blocks of a partition empty.
 SEEDS = 6
@@ -103,26 +105,6 @@ def block_digests(columns: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else columns[:0]
 
 
-def parity_sketch(columns: np.ndarray) -> bytes:
-    """A bit per cell: whether an odd number of the row's columns falls into it; about two cells a column."""
-    cells = max(256, 1 << (2 * len(columns) - 1).bit_length())
-    odd = np.bincount((tk.mix(columns ^ tk.U64(0xD6E8FEB86659FD93)) & tk.U64(cells - 1)).astype(np.int64), minlength=cells)
-    return np.packbits((odd & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _fold(words: np.ndarray, size: int) -> np.ndarray:
-    """Sketches (rows of 64-bit words) of fewer cells: those of the same sets."""
-    while words.shape[-1] > size:
-        half = words.shape[-1] // 2
-        words = words[..., :half] ^ words[..., half:]
-    return words
-
-
-def _within(differ: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether rows of sizes a and b that differ in at least so many columns can reach the bound."""
-    return differ * (den + num) <= (a + b) * (den - num)
-
-
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row in the batch, its set of shingles) over the whole texts of the batch's column ``text``."""
     data, offsets, _ = tk.text_buffers(batch.column("text"))
@@ -133,25 +115,20 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch): the size, digest and parity sketch of each document's set (null if empty)."""
+    """(doc_id, n_shingles, node): the size and digest of each document's set (null if empty or without doc_id)."""
 
     def rows(batches):
         for batch in batches:
-            size = np.zeros(batch.num_rows, dtype=np.int64)
-            node = np.zeros(batch.num_rows, dtype=np.int64)
-            sketch: list[bytes | None] = [None] * batch.num_rows
-            doc = batch.column("doc_id").cast(pa.int64())
-            gone = np.asarray(doc.is_null())
+            size, node = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             for i, columns in _sets(batch, words):
                 size[i] = len(columns)
-                if len(columns) and not gone[i]:
-                    node[i], sketch[i] = set_digest(columns), parity_sketch(columns)
-            yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(size), pa.array(node, mask=(size == 0) | gone), pa.array(sketch, type=pa.binary())],
-                ["doc_id", "n_shingles", "node", "sketch"],
-            )
+                if len(columns):
+                    node[i] = set_digest(columns)
+            doc = batch.column("doc_id").cast(pa.int64())
+            none = (size == 0) | np.asarray(doc.is_null())
+            yield pa.RecordBatch.from_arrays([doc, pa.array(size), pa.array(node, mask=none)], ["doc_id", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, node long")
 
 
 def block_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -214,151 +191,113 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(best, "digest").where("leader <> node").select("leader", "node").distinct()
 
 
-def _sketch_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and parity sketches leave the bound within reach."""
-
-    def rows(batches):
-        for batch in batches:
-            sizes = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")]
-            keep = _within(np.abs(sizes[0] - sizes[1]), *sizes, num, den)
-            bits = np.zeros(batch.num_rows, dtype=np.int64)
-            for i in np.flatnonzero(keep).tolist():
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=tk.U64) for c in ("sa", "sb"))
-                size = min(len(a), len(b))
-                bits[i] = np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum()
-            keep &= _within(bits, *sizes, num, den)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return (
-        pairs.join(nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .select("a", "b", "na", "nb", "sa", "sb")
-        .mapInArrow(rows, "a long, b long")
-    )
-
+#: Rows of one side of a tile, and columns of one block of its product.
+TILE, BLOCK = 512, 2048
 
-#: Rows of one side of a tile.  Every tile is one bounded unit of work, however many members a leader has.
-TILE = 512
+#: Document ids that may be broadcast to pick texts: 8 bytes each.  More are joined through a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
-def _tiles(cluster: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one leader's members in different components that the sketches leave within reach.
+def multiply(a: list[np.ndarray], b: list[np.ndarray], able: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs that ``able`` allows whose rows a[i] and b[j] reach the bound: a tile of the sparse product.
 
-    cluster: (leader, node, root, n_shingles, sketch).  Members are dealt into chunks of about TILE rows by hash, and
-    each two chunks meet in one tile; pairs exist only inside the tile, as bits of a numpy array.
+    Rows are sets of column hashes.  Columns that only one row of the tile has can't be shared; the others are taken rarest first.
     """
-    size = cluster.groupBy("leader").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    placed = (
-        cluster.join(size.where("low <> high and n > 1"), "leader")
-        .withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
-        .withColumn("chunk", chunk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("leader", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "root", "n_shingles", "sketch")
-    )
-
-    def tile(rows: list[dict]) -> list[tuple[int, int]]:
-        width = min(len(r["sketch"]) for r in rows) // 8
-        words = np.stack([_fold(np.frombuffer(r["sketch"], dtype=tk.U64), width) for r in rows])
-        node, root, size, chunk = (np.array([r[c] for r in rows]) for c in ("node", "root", "n_shingles", "chunk"))
-        lone, out = rows[0]["i"] == rows[0]["j"], []
-        for k in range(len(rows)):
-            able = (root != root[k]) & (node > node[k] if lone else chunk > chunk[k])
-            able &= _within(np.abs(size - size[k]), size, size[k], num, den)
-            at = np.flatnonzero(able)
-            if len(at):
-                at = at[_within(np.bitwise_count(words[at] ^ words[k]).sum(axis=1).astype(np.int64), size[at], size[k], num, den)]
-                out += [(min(node[k], x), max(node[k], x)) for x in node[at]]
-        return out
+    na, nb = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    need = -(-num * (na[:, None] + nb[None, :]) // (den + num))
+    live = able & (np.minimum(na[:, None], nb[None, :]) >= need)
+    if not live.any():
+        return np.nonzero(live)
+    flat = np.concatenate([*a, *b])
+    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate([na, nb]))
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(times, kind="stable")
+    order = order[times[order] > 1]
+    place = np.full(len(times), -1)
+    place[order] = np.arange(len(order))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    rest = np.bincount(row, minlength=len(a) + len(b))
+    count = np.zeros(live.shape, dtype=np.float32)
+    for start in range(0, len(order), BLOCK):
+        live &= count + np.minimum(rest[: len(a), None], rest[None, len(a) :]) >= need
+        if not live.any():
+            return np.nonzero(live)
+        own = slice(*np.searchsorted(column, [start, start + BLOCK]))
+        one = np.zeros((len(a) + len(b), min(BLOCK, len(order) - start)), dtype=np.float32)
+        one[row[own], column[own] - start] = 1
+        x, y = np.flatnonzero(live.any(axis=1)), np.flatnonzero(live.any(axis=0))
+        count[np.ix_(x, y)] += one[x] @ one[len(a) + y].T
+        rest -= one.sum(axis=1).astype(np.int64)
+    return np.nonzero(live & (count >= need))
+
+
+def full_rows(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, columns): the whole set of each of nodes (doc_id, node), as bytes; texts are read for these only."""
+    wanted = durable(nodes.select("doc_id", "node"), "wanted")
+    ids = wanted.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
-    def rows(batches):
-        held: list[dict] = []
+    def full(batches):
         for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                if held and (r["leader"], r["i"], r["j"]) != (held[0]["leader"], held[0]["i"], held[0]["j"]):
-                    found += tile(held)
-                    held = []
-                held.append(r)
-            yield _pairs(found)
-        if held:
-            yield _pairs(tile(held))
-
-    dealt = placed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    return dealt.mapInArrow(rows, "a long, b long").distinct()
-
+            found, size = [], 0
+            for _, c in _sets(batch, words):
+                if len(c):
+                    found.append((set_digest(c), c.tobytes()))
+                    size += c.nbytes
+                if size > BATCH_BYTES:
+                    yield _named(found)
+                    found, size = [], 0
+            yield _named(found)
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    def _named(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], type=pa.int64()), pa.array([f[1] for f in found], type=pa.binary())], ["node", "columns"])
 
+    read = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "node long, columns binary")
+    return durable(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "rows")
 
-#: Column blocks over which the overlap of two full rows is accumulated.
-PARTS = 8
 
+def _tile_links(placed: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): linked rows of all tiles, from placed (leader, i, j, side, node, root), sides 0 and 1 of tile (leader, i, j).
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Whether the rows a[i] and b[i] reach the bound: the wanted diagonal of the sparse product, block by block.
-
-    After each block of columns a pair is dropped if its count, with all that its smaller rest could still add, stays
-    below the least overlap that the two sizes allow.
+    Rows of equal roots are not compared; a null root is none.
     """
-    na, nb = (np.array([len(x) for x in side]) for side in (a, b))
-    need = -(-num * (na + nb) // (den + num))
-    live, count = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
-    cuts = (np.arange(PARTS + 1, dtype=np.float64) * (2.0**64 / PARTS))[1:-1].astype(tk.U64)
-    at = [[np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]) for x in side] for side in (a, b)]
-    for p in range(PARTS):
-        for i in live.tolist():
-            x, y = (side[i][c[i][p] : c[i][p + 1]] for side, c in zip((a, b), at, strict=True))
-            count[i] += len(np.intersect1d(x, y, assume_unique=True))
-        rest = np.minimum(*[np.array([len(side[i]) - c[i][p + 1] for i in live.tolist()], dtype=np.int64) for side, c in zip((a, b), at, strict=True)])
-        live = live[count[live] + rest >= need[live]]
-    out = np.zeros(len(a), dtype=bool)
-    out[live] = True
-    return out
-
-
-#: Document ids that may be broadcast to pick texts: 8 bytes each.  More are joined through a shuffle.
-BROADCAST_IDS = 2_000_000
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of rows that are linked, by the overlap of the full rows."""
-    pairs = durable(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = durable(nodes.join(ends, "node").select("doc_id", "node"), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
-    def full(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                found = [(set_digest(c), c) for _, c in _sets(batch.slice(s, 1000), words) if len(c)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], type=pa.int64()), pa.array([f[1].tobytes() for f in found], type=pa.binary())],
-                    ["node", "columns"],
-                )
-
-    rows = (
-        docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "node long, columns binary")
-        .join(wanted.select("node"), "node", "left_semi")
-        .dropDuplicates(["node"])
-    )
-    rows = durable(rows, "rows")
 
     def linked(batches):
-        for batch in batches:
-            sides = [[np.frombuffer(x.as_buffer(), dtype=tk.U64) for x in batch.column(c)] for c in ("ca", "cb")]
-            yield batch.select(["a", "b"]).filter(pa.array(overlaps(*sides, num, den)))
-
-    return (
-        pairs.join(rows.select(F.col("node").alias("a"), F.col("columns").alias("ca")), "a")
-        .join(rows.select(F.col("node").alias("b"), F.col("columns").alias("cb")), "b")
-        .select("a", "b", "ca", "cb")
-        .mapInArrow(linked, "a long, b long")
-    )
+        for table in groups(batches, ["leader", "i", "j"]):
+            side, node, root = (table[c].to_numpy() for c in ("side", "node", "root"))
+            sets = [np.frombuffer(x.as_buffer(), dtype=tk.U64) for chunk in table["columns"].chunks for x in chunk]
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x, y = multiply([sets[k] for k in a], [sets[k] for k in b], root[a][:, None] != root[b][None, :], num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[x]]), pa.array(node[b[y]])], ["a", "b"])
+
+    key = ["leader", "i", "j"]
+    tiled = placed.join(rows, "node").select(*key, "side", "node", "root", "columns").repartition(*key).sortWithinPartitions(*key)
+    return tiled.mapInArrow(linked, "a long, b long")
+
+
+def _leader_tiles(star: DataFrame) -> DataFrame:
+    """Tiles of each leader, side 0, with its rows (leader, node) in chunks of about TILE, side 1; all roots differ."""
+    size = star.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    members = star.join(size, "leader").select("leader", F.lit(0).alias("i"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("j"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
+    heads = members.select("leader", "i", "j").distinct().select("leader", "i", "j", F.lit(0).alias("side"), F.col("leader").alias("node"), F.col("leader").alias("root"))
+    return heads.unionByName(members)
+
+
+def _odd_tiles(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """Tiles of each leader's rows in other components than its own, side 0, with all its rows, side 1, chunk by chunk."""
+    own = star.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").withColumn("odd", F.col("root") != F.coalesce("top", "leader"))
+    own = durable(own.select("leader", "node", "root", "odd"), "cluster")
+    size = own.groupBy("leader").agg(F.ceil(F.count_if("odd") / TILE).cast("int").alias("si"), F.ceil(F.count("*") / TILE).cast("int").alias("sj"), F.count("*").alias("n"))
+    placed = own.join(size.where("si > 0 and n > 1"), "leader")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("odd").select("leader", deal("si").alias("i"), every("sj").alias("j"), F.lit(0).alias("side"), "node", "root")
+    return left.unionByName(placed.select("leader", every("si").alias("i"), deal("sj").alias("j"), F.lit(1).alias("side"), "node", "root"))
 
 
 def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -375,31 +314,15 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     """
     small_batches(docs.sparkSession)
     base = durable(shingle_rows(docs, words), "shingles")
-    nodes = (
-        base.where("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
-    )
+    nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = durable(shared_digests(block_rows(docs, words, num, den)), "members")
-    own = durable(nodes.join(members.select("node").distinct(), "node"), "nodes")
+    rows = full_rows(docs, nodes.join(members.select("node").distinct(), "node"), words)
     star = durable(stars(members), "stars")
-    first = durable(
-        _verify(docs, _sketch_filter(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), own, num, den), own, words, num, den),
-        "links",
-    )
-    root = durable(components(first), "roots")
-    cluster = (
-        star.join(own.select("node", "n_shingles", "sketch"), "node")
-        .join(root, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
-    second = durable(_verify(docs, _tiles(cluster, num, den), own, words, num, den), "links")
-    top = durable(components(first.union(second)), "roots")
-    least = (
-        nodes.select("node", "doc_id")
-        .join(top, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
+    first = durable(_tile_links(_leader_tiles(star), rows, num, den), "links")
+    roots = durable(components(first), "roots")
+    second = durable(_tile_links(_odd_tiles(star, roots), rows, num, den).distinct(), "links")
+    top = durable(components(first.union(second)), "roots") if not second.isEmpty() else roots
+    least = nodes.join(top, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = least.join(smallest, "root").select("node", "component_id")
     return base.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -68,6 +68,11 @@ def _logits(found: _Sentences, model: ToxicityModel) -> np.ndarray:
     return np.add.reduceat(value, found.sentence) + model.bias
 
 
+def _logistic(s):
+    """1 / (1 + exp(-s)) without overflow."""
+    return 0.5 * (1 + np.tanh(0.5 * s))
+
+
 def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of each text's sentence values; every text is summed by itself, so its neighbours can't change its sum."""
     out = np.zeros(len(first) - 1, dtype=values.dtype)
@@ -103,8 +108,8 @@ def noisy_or_loss(
     amount = np.bincount(owner, np.logaddexp(0, s), minlength=len(label)) + silent * np.logaddexp(0, w[-1])
     held = np.clip(amount, 1e-9, 50)
     pull = weight * np.where(label == 1, -1 / np.expm1(held), 1.0)
-    ds = pull[owner] / (1 + np.exp(-s))
-    g = np.append(np.bincount(feature, ds[sentence], minlength=len(w) - 1), ds.sum() + (pull * silent).sum() / (1 + np.exp(-w[-1])))
+    ds = pull[owner] * _logistic(s)
+    g = np.append(np.bincount(feature, ds[sentence], minlength=len(w) - 1), ds.sum() + (pull * silent).sum() * _logistic(w[-1]))
     g[:-1] += l2 * w[:-1]
     loss = (weight * np.where(label == 1, -np.log(-np.expm1(-held)), amount)).sum() + l2 / 2 * (w[:-1] ** 2).sum()
     return loss / weight.sum(), g / weight.sum()
@@ -257,7 +262,7 @@ def locate(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFra
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for i, data, offsets, found in _slices(batch.column("text"), width):
-                own = 1 / (1 + np.exp(-_logits(found, model)))
+                own = _logistic(_logits(found, model))
                 for x in np.flatnonzero(own >= least).tolist():
                     k = int(np.searchsorted(found.first, x, side="right")) - 1
                     a, b = _span(data, offsets, found, k, x)

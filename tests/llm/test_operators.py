@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import embed_dedup, langid, media, mixing, packing, sharding, stages, tokencount, toxicity, urlfilter
 from spanloom.llm.components import components
-from spanloom.llm.ngram_join import Bands, block_digests, ngram_components, overlaps
+from spanloom.llm import ngram_join
+from spanloom.llm.ngram_join import Bands, block_digests, multiply, ngram_components
 from spanloom.llm.queries import RANKS_FILE
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, root long, bin string"
@@ -348,7 +349,34 @@ def test_block_digests_lose_no_pair():
             bands = Bands(90, 100)
             assert np.intersect1d(block_digests(a, bands), block_digests(b, bands)).size
         if len(b):
-            assert overlaps([a], [b], 90, 100)[0] == linked
+            assert bool(len(multiply([a], [b], np.ones((1, 1), bool), 90, 100)[0])) == linked
+
+
+@pytest.mark.parametrize("block", [3, 50, 2048])
+def test_tile_product_equals_plain_overlaps(monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    bases = [np.unique(rng.integers(0, 90, int(rng.integers(1, 80))).astype(np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.05], rng.integers(0, 200, int(rng.integers(0, 3))).astype(np.uint64)])) for b in bases for _ in range(7)]
+    a, b = sets[:25], sets[15:]
+    able = rng.random((len(a), len(b))) > 0.3
+    got = set(zip(*[x.tolist() for x in multiply(a, b, able, 80, 100)], strict=True))
+    plain = lambda x, y: len(x) and len(y) and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    assert got == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if able[i, j] and plain(x, y)} and got
+
+
+def test_large_group_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            own[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        data.append((i, " ".join(own)))
+    got = by_id(ngram_components(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 3, 90, 100), "n_shingles", "component_id")
+    assert got == brute(data, 3, 90, 100)
 
 
 def test_components_chain_and_star(spark):
