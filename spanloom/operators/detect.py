@@ -116,8 +116,7 @@ def context_spans(texts: DataFrame) -> DataFrame:
 
 def spoken_spans(texts: DataFrame) -> DataFrame:
     """What the format and cue rules find in the written form of spoken passages, laid over the original words."""
-    mapped = texts.where("text is not null").select("id", spoken.normalize_with_map("text").alias("m")).where("size(m.changed) > 0")
-    mapped = durable(mapped.select("id", F.col("m.norm").alias("text"), "m.starts", "m.ends", "m.changed"), "spoken")
+    mapped = durable(spoken.rewritten(texts), "spoken")
     found = format_spans(mapped, "spoken").unionByName(cue_spans(mapped).withColumn("layer", F.lit("spoken")))
     placed = found.drop("surface").join(mapped.drop("text"), "id")
     placed = placed.withColumn("start", F.get("starts", F.col("start"))).withColumn("end", F.get("ends", F.col("end")))
@@ -213,6 +212,8 @@ def detect(turns: DataFrame, layers: list[str] | None = None) -> DataFrame:
     merging reads its spans twice, so both are written once to the shared folder instead of being computed again.
     """
     spark: SparkSession = turns.sparkSession
+    # dealt out explicitly: the rules cost far more than the bytes of the texts suggest, and few large tasks would be slow
+    turns = turns.select("call_id", "turn", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "call_id")
     texts = durable(call_texts(turns), "texts")
     found = _union([
         format_spans(texts).select("id", *SPAN), context_spans(texts).select("id", *SPAN),
