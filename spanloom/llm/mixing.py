@@ -85,7 +85,7 @@ def plan(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
     sources = sources.where("blocks > 0")
     slots, total = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     own = durable(lives(sources, slots, total), "lives")
-    entry = F.struct("source", "blocks", "w", "end")
+    entry = F.struct("source", "blocks", "w", "end", "life", "done", "share")
     state = own.agg(F.array_sort(F.collect_list(entry)).alias("sources")).select(
         "sources", F.transform("sources", lambda x: F.lit(0).cast("long")).alias("had"),
         F.struct(F.lit(0).cast("long").alias("done"), F.lit(total).cast("long").alias("share"), F.array_min(F.transform("sources", lambda x: x["end"])).alias("until")).alias("live"),
@@ -99,8 +99,8 @@ def plan(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
         folded = last.select("sources", _fold(F.lit(at), F.lit(until)).alias("f"))
         folded.select(F.lit(until).cast("long").alias("upto"), "sources", "f.had", "f.live", "f.out").write.mode("append").parquet(path)
         at = until
-    slot = spark.read.parquet(path).select("sources", F.explode("out").alias("x")).select(F.get("sources", F.col("x.i"))["source"].alias("source"), "x.block", "x.slot")
-    return _windows(slot, own)
+    slot = spark.read.parquet(path).select("sources", F.explode("out").alias("x")).select("sources", F.get("sources", F.col("x.i")).alias("own"), "x.block", "x.slot")
+    return _windows(slot.select("sources", "own.source", "own.w", "block", "slot"))
 
 
 def _fold(at: Column, until: Column) -> Column:
@@ -145,22 +145,19 @@ def _fold(at: Column, until: Column) -> Column:
     return F.aggregate(F.sequence(at.cast("long"), until.cast("long") - 1), start, slot)
 
 
-def _windows(slots: DataFrame, own: DataFrame) -> DataFrame:
-    """slots (source, block, slot) with ``release`` and ``deadline``.
+def _windows(slots: DataFrame) -> DataFrame:
+    """slots (sources, source, w, block, slot) with ``release`` and ``deadline`` in place of ``sources`` and ``w``.
 
     Between the ends of two sources, slot and virtual time are in proportion: the pieces are as many as the sources.
     """
-    pieces = own.agg(F.array_sort(F.collect_list(F.struct("life", "source", "done", "share"))).alias("pieces"))
-    weight = own.select("source", "w")
-    jobs = slots.join(F.broadcast(weight), "source").join(F.broadcast(pieces))
 
     def at(block: Column, up: bool) -> Column:
-        virtual = virtual_time(block)
-        piece = F.coalesce(F.get(F.filter("pieces", lambda x: x["life"] >= virtual), F.lit(0)), F.element_at("pieces", -1))
+        left = F.filter("sources", lambda x: x["life"] >= virtual_time(block))
+        piece = F.array_min(F.transform(left, lambda x: F.struct(x["life"], x["source"], x["done"].alias("done"), x["share"].alias("share"))))
         whole = _div_up if up else _div
         return F.get(F.transform(F.array(piece), lambda x: x["done"] + whole(_times(block, x["share"]), F.col("w"))), F.lit(0))
 
-    return durable(jobs.select("source", "block", at(F.col("block"), False).alias("release"), at(F.col("block") + 1, True).alias("deadline"), "slot"), "plan")
+    return durable(slots.select("source", "block", at(F.col("block"), False).alias("release"), at(F.col("block") + 1, True).alias("deadline"), "slot"), "plan")
 
 
 def schedule(
