@@ -38,15 +38,15 @@ def _lookup(key: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(entries, key), F.lit(default))
 
 
-def generalize(type_: Column, surface: Column) -> Column:
-    """A coarser value of the same kind."""
+def generalize(type_: Column, surface: Column, normal: Column | None = None) -> Column:
+    """A coarser value of the same kind; ``normal`` is the written form, from which amounts are read."""
     low = F.lower(surface)
     month = F.coalesce(*[F.when(F.contains(low, F.lit(m[:3].lower())), F.lit(m)) for m in V.MONTHS])
     year = F.nullif(F.regexp_extract(surface, "[0-9]{4}", 0), F.lit(""))
     letters = F.regexp_replace(low, "[^a-z0-9]", "")
     sector = F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())) | F.contains(F.lit(n.lower()), low), F.lit(s)) for n, s in V.EMPLOYERS.items()], F.lit("a company"))
     coarse = {
-        "AMOUNT": match_case(surface, amount_band(amount_value(surface))), "EMPLOYER": sector, "OCCUPATION": _lookup(low, V.OCCUPATIONS, "a professional"),
+        "AMOUNT": match_case(surface, amount_band(amount_value(surface if normal is None else normal))), "EMPLOYER": sector, "OCCUPATION": _lookup(low, V.OCCUPATIONS, "a professional"),
         "NATIONALITY": match_case(surface, _lookup(low, {"singaporean": "local"}, "foreign")), "SWIFT": _lookup(F.substring(letters, 5, 2), {"sg": "a local bank"}, "a foreign bank"),
         "DOB": match_case(surface, F.coalesce(year, month, F.lit("[DATE]"))), "DATE": match_case(surface, F.coalesce(month, F.lit("[DATE]"))),
     } | dict.fromkeys(("LOCATION", "BRANCH"), match_case(surface, _lookup(low, V.TOWNS | V.PLACES, "Singapore")))
@@ -136,7 +136,7 @@ def replacements(spans: DataFrame, texts: DataFrame, actions: DataFrame, secret:
     every = own.withColumn("mac", mac).join(F.broadcast(actions), "type")
     act = F.when((F.col("action") == "mask_last4") & spoken.mask_units(F.col("surface")).isNull(), "pseudonym").otherwise(F.col("action"))
     after_article = F.col("text").substr(F.greatest(F.col("start") - 2, F.lit(1)), F.least(F.col("start"), F.lit(3))).rlike(r"(?i)(?:^|[^a-z])an? $|^an? $")
-    coarse = generalize(F.col("type"), F.col("surface"))
+    coarse = generalize(F.col("type"), F.col("surface"), F.col("normal"))
     coarse = F.when(after_article, F.regexp_replace(coarse, "^(?:an?|the) ", "")).otherwise(coarse)
     value = (
         F.when(act == "keep", F.col("surface")).when(act == "suppress", REDACTED).when(act == "mask_last4", spoken.mask_units(F.col("surface")))

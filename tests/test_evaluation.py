@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import spoken
-from spanloom.operators import audit, decisions, detect, metrics, ngrams, policy, render, spans
+from spanloom.operators import access, audit, decisions, detect, metrics, ngrams, policy, render, spans
 from spanloom.sources import transcripts as tr
 from spanloom.streaming import turns as stream
 
@@ -125,6 +125,16 @@ def test_masks_pseudonyms_and_pieces(spark):
     assert turns == {0: "call <PHONE_1> now", 1: "or <PHONE_1> ok"}
 
 
+def test_spoken_amounts_are_banded_and_keys_are_counted(spark):
+    texts = spark.createDataFrame([(1, "pay forty thousand dollars")], "id long, text string")
+    found = spark.createDataFrame([(1, 4, 26, "AMOUNT", "spoken", 1.0)], "id long, start int, end int, type string, layer string, score double")
+    green = render.replacements(found, texts, policy.actions(spark), b"k").where("tier = 'GREEN'").first()
+    assert green["replacement"] == "between 10,000 and 100,000 dollars"
+    many = spark.range(access.MOST_KEYS + 1).select(F.col("id").cast("string").alias("thief"), F.lit(b"k").alias("key"))
+    with pytest.raises(ValueError, match="keys"):
+        access.attack(spark.createDataFrame([], "id long, tier string, blob binary"), many)
+
+
 def test_destinations_spoken_numbers_and_implausible_names(spark):
     turns = spark.createDataFrame([(1, 0, "client", "send it to my son in Jakarta"), (2, 0, "client", "i was in jakarta"), (3, 0, "client", "transfer abroad")], "call_id long, turn int, speaker string, text string")
     got = {r["id"]: (r["risk"], r["reason"]) for r in decisions.triage(turns, spark.createDataFrame([(1, 9000.0)], "id long, amount double")).collect()}
