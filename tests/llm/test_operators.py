@@ -587,6 +587,16 @@ def test_url_filters(spark):
     assert urlfilter.judge(none, spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_url_filters_on_awkward_rows(spark):
+    data = [(None, "http://a.net/x", "k", 3, "v"), (7, "http://a.net/x", "k", 3, "v"), (7, "http://a.net/x", "k", 3, "v"), (7, None, None, None, None), (8, "http://\U0010ffff.net/" + "p" * 50_000, "", 1, "")]
+    df = spark.createDataFrame(data, "page_id long, url string, key string, run int, verdict string")
+    rules = spark.createDataFrame([("net", "/", "block", "x"), ("net", "/", "block", "x"), (None, None, None, None)], "host string, path string, verdict string, sort_key string")
+    got = sorted(repr((r["page_id"], r["host"], len(r["path"]), r["rule"], r["verdict"])) for r in urlfilter.judge(df, rules, parts=3).collect())
+    want = [(None, "a.net", 2, "net/", "block"), (7, "a.net", 2, "net/", "block"), (7, "a.net", 2, "net/", "block"), (7, "", 0, None, "allow"), (8, "\U0010ffff.net", 50_001, "net/", "block")]
+    assert got == sorted(map(repr, want))
+    assert {r["verdict"] for r in urlfilter.judge(df, rules.limit(0)).collect()} == {"allow"}
+
+
 def test_token_rollup(spark, tmp_path, docs, empty):
     rollup = tokencount.TokenRollup(spark, f"file://{tmp_path}/r", RANKS_FILE, "v1")
     names = "op string, doc_id long, seq long, text string, source string, lang string"
