@@ -295,11 +295,30 @@ def dp_cap_counts(spark, sf_dir):
     return ngrams.capped(toks, 50, SECRET).groupBy("tok").agg(F.count("*").alias("n"))
 
 
-@query("dp_noisy_counts")
+def noise_of(epsilon: float) -> tuple[float, float]:
+    """Scale and threshold of the noisy counts: 50 words a document, half of epsilon and of a delta of 1e-5."""
+    scale = 50 / (epsilon / 2)
+    return scale, 1 + scale * math.log(50 / 1e-5)
+
+
+def _noisy(epsilon: float) -> str:
+    scale, least = noise_of(epsilon)
+    return f"""u AS (SELECT tok, n, (('0x' || substr({sql_hmac('tok')}, 1, 7))::BIGINT + 0.5::DOUBLE) / 268435456 - 0.5::DOUBLE AS u FROM k),
+z AS (SELECT tok, n, round(n - sign(u) * {scale}::DOUBLE * ln(1 - 2 * abs(u)), 4) AS noisy FROM u) SELECT tok, n, noisy FROM z WHERE noisy >= {least}::DOUBLE"""
+
+
+@query("dp_noisy_counts", f"WITH {_TOK}, d AS (SELECT DISTINCT id, tok FROM t WHERE pos > 0), c AS (SELECT id, tok FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_MAC_TOK}, tok) <= 50), k AS (SELECT tok, count(*) AS n FROM c GROUP BY tok), {_noisy(8)}")
 def dp_noisy_counts(spark, sf_dir):
     """Those counts with keyed Laplace noise and a threshold (epsilon 8, delta 1e-5, half of either for words)."""
     toks = ngrams.tokens(documents(spark, sf_dir)).where("pos > 0")
-    return ngrams.laplace_counts(ngrams.capped(toks, 50, SECRET), 50 / (8 / 2), 1 + 12.5 * math.log(50 / 1e-5), SECRET)
+    return ngrams.laplace_counts(ngrams.capped(toks, 50, SECRET), *noise_of(8), SECRET)
+
+
+@query("dp_noisy_bigrams", f"WITH {_BI}, d AS (SELECT DISTINCT id, a || ' ' || b AS tok FROM q), c AS (SELECT id, tok FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_MAC_TOK}, tok) <= 50), k AS (SELECT tok, count(*) AS n FROM c GROUP BY tok), {_noisy(64)}")
+def dp_noisy_bigrams(spark, sf_dir):
+    """The same for bigrams with epsilon 64: at most 50 distinct ones of each document."""
+    pairs = ngrams.bigrams(documents(spark, sf_dir)).select("id", F.concat_ws(" ", "a", "b").alias("tok"))
+    return ngrams.laplace_counts(ngrams.capped(pairs, 50, SECRET), *noise_of(64), SECRET)
 
 
 @query("linkage_candidates", """WITH p AS (SELECT c_custkey AS person, lower(n_name) AS nation, lower(c_mktsegment) AS segment FROM customer JOIN nation ON n_nationkey = c_nationkey),

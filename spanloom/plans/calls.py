@@ -307,6 +307,15 @@ def call_render_tiers(spark, sf_dir):
     return render.render(texts, render.replacements(detect.detect(turns), texts, policy.actions(spark), SECRET))
 
 
+@query("call_render_private", CALLS + """, n AS (SELECT *, card AS n FROM x), v AS (SELECT *, """ + LUHN_SQL + """ AS luhn FROM n), a(tier) AS (VALUES ('RED'), ('AMBER'))
+SELECT id, tier, concat_ws(chr(10), t0, CASE tier WHEN 'RED' THEN t1 ELSE 'my name is <PERSON_1>.' END, t2, CASE WHEN id % 4 <> 0 THEN left(t3, len(t3) - 6) || '[REDACTED]' ELSE t3 END, t4,
+  CASE tier WHEN 'RED' THEN t5 ELSE '***-***' || substr(account, 8) END, t6, CASE WHEN tier = 'AMBER' AND luhn THEN replace(t7, card, '************' || right(card, 4)) ELSE t7 END,
+  CASE tier WHEN 'RED' THEN t8 ELSE replace(t8, 'user' || client_id || '@mail.example', '<EMAIL_1>') END) AS text FROM v, a""")
+def call_render_private(spark, sf_dir):
+    """Every call as the two confidential tiers see it, from detection to text."""
+    return call_render_tiers(spark, sf_dir).where("tier <> 'GREEN'")
+
+
 _ANY = {k: spoken.any_of(v).replace("'", "''") for k, v in (("fraud", V.FRAUD_CUES), ("cred", V.CREDENTIALS), ("give", V.GIVING), ("neg", V.NEGATIONS), ("abroad", V.TRANSFER_CUES))}
 
 
