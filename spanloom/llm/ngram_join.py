@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.batches import BATCH_BYTES, small_batches
@@ -191,8 +191,8 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(best, "digest").where("leader <> node").select("leader", "node").distinct()
 
 
-#: Rows of one side of a tile, and columns of one block of its product.
-TILE, BLOCK = 512, 2048
+#: Rows of one side of a tile, entries of the incidence matrix in one side, and columns of one block of its product.
+TILE, ENTRIES, BLOCK = 512, 1 << 17, 2048
 
 #: Document ids that may be broadcast to pick texts: 8 bytes each.  More are joined through a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -279,9 +279,15 @@ def _tile_links(placed: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
     return tiled.mapInArrow(linked, "a long, b long")
 
 
+def _chunks(wanted: Column) -> Column:
+    """How many chunks of about TILE rows and ENTRIES entries the wanted rows (with n, their sizes) make."""
+    entries = F.ceil(F.sum(F.when(wanted, F.col("n"))) / ENTRIES)
+    return F.greatest(F.ceil(F.count_if(wanted) / TILE), F.coalesce(entries, F.lit(0))).cast("int")
+
+
 def _leader_tiles(star: DataFrame) -> DataFrame:
-    """Tiles of each leader, side 0, with its rows (leader, node) in chunks of about TILE, side 1; all roots differ."""
-    size = star.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    """Tiles of each leader, side 0, with its rows (leader, node, n) in chunks, side 1; all roots differ."""
+    size = star.groupBy("leader").agg(_chunks(F.lit(True)).alias("chunks"))
     members = star.join(size, "leader").select("leader", F.lit(0).alias("i"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("j"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
     heads = members.select("leader", "i", "j").distinct().select("leader", "i", "j", F.lit(0).alias("side"), F.col("leader").alias("node"), F.col("leader").alias("root"))
     return heads.unionByName(members)
@@ -291,9 +297,9 @@ def _odd_tiles(star: DataFrame, roots: DataFrame) -> DataFrame:
     """Tiles of each leader's rows in other components than its own, side 0, with all its rows, side 1, chunk by chunk."""
     own = star.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = own.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").withColumn("odd", F.col("root") != F.coalesce("top", "leader"))
-    own = durable(own.select("leader", "node", "root", "odd"), "cluster")
-    size = own.groupBy("leader").agg(F.ceil(F.count_if("odd") / TILE).cast("int").alias("si"), F.ceil(F.count("*") / TILE).cast("int").alias("sj"), F.count("*").alias("n"))
-    placed = own.join(size.where("si > 0 and n > 1"), "leader")
+    own = durable(own.select("leader", "node", "n", "root", "odd"), "cluster")
+    size = own.groupBy("leader").agg(_chunks(F.col("odd")).alias("si"), _chunks(F.lit(True)).alias("sj"), F.count("*").alias("rows"))
+    placed = own.join(size.where("si > 0 and rows > 1"), "leader")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.where("odd").select("leader", deal("si").alias("i"), every("sj").alias("j"), F.lit(0).alias("side"), "node", "root")
@@ -317,7 +323,8 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     nodes = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     members = durable(shared_digests(block_rows(docs, words, num, den)), "members")
     rows = full_rows(docs, nodes.join(members.select("node").distinct(), "node"), words)
-    star = durable(stars(members), "stars")
+    sizes = rows.select("node", (F.octet_length("columns") / 8).cast("long").alias("n"))
+    star = durable(stars(members).join(sizes, "node").select("leader", "node", "n"), "stars")
     first = durable(_tile_links(_leader_tiles(star), rows, num, den), "links")
     roots = durable(components(first), "roots")
     second = durable(_tile_links(_odd_tiles(star, roots), rows, num, den).distinct(), "links")

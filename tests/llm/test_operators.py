@@ -367,6 +367,7 @@ def test_tile_product_equals_plain_overlaps(monkeypatch, block):
 
 def test_large_group_in_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 5)
+    monkeypatch.setattr(ngram_join, "ENTRIES", 150)
     rng = random.Random(7)
     base = [f"w{i}" for i in range(60)]
     data = []
