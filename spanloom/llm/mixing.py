@@ -10,7 +10,7 @@ Which block goes first depends on all slots before, so the slots are found one a
 that holds what each source has had.  The fold runs over one stretch of slots at a time; each stretch is written
 to the shared folder and the next goes on from its last state.  The steps are as many as there are blocks of bytes, each
 over the sources; all else (rows, windows, places) is done in parallel.  Everything is DataFrame functions, and the driver
-holds three numbers.
+holds a few sums.
 """
 
 from __future__ import annotations
