@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.durable import durable, new_path
-from spanloom.llm import embed_dedup, langid, media, mixing, packing, toxicity, urlfilter
+from spanloom.llm import embed_dedup, langid, manifest, media, mixing, neighbours, packing, resample, toxicity, urlfilter
 from spanloom.llm.ngram_join import ngram_components
 from spanloom.llm.sharding import shard_documents
 from spanloom.llm.stages import labelled
@@ -176,3 +176,108 @@ WITH RECURSIVE e AS (
 SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.m AS component_id, vec_id = c.m AS kept
 FROM embeddings JOIN c ON c.d = vec_id LEFT JOIN n ON n.x = vec_id
 """
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents in a tree over each source and one over the sources, checked against texts without line feeds."""
+    docs = _table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    rows = docs.withColumn("leaf", manifest.leaf_digest())
+    hit = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0) & F.col("text").contains("\n")
+    found = F.when(hit, manifest.leaf_digest(text=F.replace("text", F.lit("\n"), F.lit("")))).otherwise(F.col("leaf"))
+    proved = manifest.proofs(rows.select("doc_id", "source", "leaf", found.alias("found")))
+    back = proved.withColumn("folded_root", manifest.folded(F.col("found"), F.col("left"), F.col("right")))
+    proof = F.sha2(manifest.proof_text(F.col("left"), F.col("right")), 256).alias("proof_sha256")
+    return back.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: crc32 in SQL: every byte's share depends on the byte and on how many bytes follow it, and shares are added by xor.
+_CRC_SQL = """
+  bits AS (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) t(b)
+  ), share(d, b, c) AS (
+    SELECT 0, b, c FROM bits UNION ALL SELECT d + 1, s.b, xor(s.c >> 8, t.c) FROM share s JOIN bits t ON t.b = s.c & 255 WHERE d + 1 < (SELECT max(octet_length(encode(s))) FROM word)
+  ), lead(n, c) AS (
+    SELECT 0::BIGINT, 4294967295::BIGINT UNION ALL SELECT n + 1, xor(l.c >> 8, t.c) FROM lead l JOIN bits t ON t.b = l.c & 255 WHERE n < (SELECT max(octet_length(encode(s))) FROM word)
+  ), part AS (SELECT s, hex(encode(s)) AS h, octet_length(encode(s)) AS n FROM word
+  ), byte AS (SELECT s, n, i, ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT AS b FROM part, unnest(range(n)) AS u(i)
+  ), crc AS (
+    SELECT s, xor(xor(any_value(l.c), bit_xor(k.c)), 4294967295) AS c FROM byte JOIN share k ON k.d = n - 1 - i AND k.b = byte.b JOIN lead l ON l.n = byte.n GROUP BY s
+  )"""
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE word AS (SELECT DISTINCT doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL),{_CRC_SQL},
+rows AS (
+  SELECT d.*, CASE WHEN c % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents d LEFT JOIN crc ON s = doc_id::VARCHAR
+), said AS (
+  SELECT doc_id, source, concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS a, coalesce(octet_length(encode(found)) || ':' || found, '-') AS b FROM rows
+), leaf AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256(head || a) AS leaf, sha256(head || b) AS found,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || a)) - 1 AS pos FROM said
+), node(tree, lvl, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM leaf
+  UNION ALL SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM node WHERE n > 1 GROUP BY tree, lvl, pos // 3
+), sub AS (SELECT tree, lvl AS height, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM node WHERE n = 1
+), upper(lvl, pos, h, n) AS (
+  SELECT 0, place, subroot, count(*) OVER () FROM sub
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3
+), every AS (
+  SELECT tree, lvl, pos, h FROM node UNION ALL SELECT NULL, lvl, pos, h FROM upper
+), run AS (SELECT tree, lvl, pos // 3 AS run, list(h ORDER BY pos) AS own FROM every GROUP BY ALL
+), top AS (SELECT lvl AS height, h AS root FROM upper WHERE n = 1
+), step AS (
+  SELECT doc_id, l.tree, l.pos AS leafpos, k AS lvl, CASE WHEN k < height THEN l.tree END AS of, CASE WHEN k < height THEN k ELSE k - height END AS at,
+    CASE WHEN k < height THEN l.pos // (3 ** k)::BIGINT ELSE place // (3 ** (k - height))::BIGINT END AS p
+  FROM leaf l JOIN sub USING (tree), unnest(range(height + (SELECT height FROM top))) AS u(k)
+), sides AS (
+  SELECT s.doc_id, s.tree, leafpos, s.lvl, array_to_string(own[: p % 3], '') AS before, array_to_string(own[p % 3 + 2 :], '') AS after
+  FROM step s JOIN run r ON r.tree IS NOT DISTINCT FROM s.of AND r.lvl = s.at AND r.run = p // 3
+), proof AS (
+  SELECT tree, leafpos, list(struct_pack(l := before, r := after) ORDER BY lvl) AS way FROM sides GROUP BY ALL
+), folded AS (
+  SELECT doc_id, leaf, subroot, root, coalesce(way, []) AS way,
+    list_reduce(list_prepend(struct_pack(l := found, r := ''), coalesce(way, [])), lambda h, s: struct_pack(l := sha256(s.l || h.l || s.r), r := '')).l AS folded_root
+  FROM leaf JOIN sub USING (tree) LEFT JOIN proof ON proof.tree = leaf.tree AND leafpos = leaf.pos, top
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@_query
+def op12_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, voted by its nearest labelled documents whose id's crc32 isn't divisible by 5."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    late = langid.held_out(F.col("doc_id"), 5, 0).alias("held_out")
+    known = docs.select("doc_id", "text").where(~late).join(labels.select("doc_id", "quality"), "doc_id")
+    return neighbours.score(docs.select("doc_id", "text"), neighbours.fit(known)).select("doc_id", late, "score", "predicted")
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of all documents of at least 20 words, drawn by their likeness to the benchmark's texts."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_importance_resampling"] = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, true AS own, text FROM documents UNION ALL SELECT NULL, false, text FROM benchmark
+), words AS (
+  SELECT row_number() OVER () AS k, doc_id, own,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), runs AS (
+  SELECT k, own, unnest(w) AS s FROM words UNION ALL SELECT k, own, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words
+), word AS (SELECT DISTINCT s FROM runs),{_CRC_SQL},
+found AS (SELECT k, own, c % 10000 AS bucket, count(*) AS n FROM runs JOIN crc USING (s) GROUP BY ALL
+), bucket AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0)::BIGINT AS s, coalesce(sum(n) FILTER (NOT own), 0)::BIGINT AS t FROM found GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM bucket) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM bucket) + 10000)::DOUBLE)))::BIGINT AS g FROM bucket
+), mean AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * g)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM found JOIN gain USING (bucket) WHERE own GROUP BY k
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS fit,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN mean USING (k) WHERE own
+), placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (fit) OVER () AS n FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN fit AND r <= 25 * n // 100 THEN r END AS rank FROM placed
+"""
