@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import checks, spoken
 from spanloom.functions import values as V
+from spanloom.functions.batches import small_batches
 from spanloom.functions.durable import durable
+from spanloom.functions.phrases import folded
 from spanloom.operators import policy
-from spanloom.operators.spans import SPAN, Rule, covered, merge, scan_spans, tidy
+from spanloom.operators.spans import SPAN, Lexicon, Rule, covered, merge, scan_spans, tidy
 
 CHECKS = {"nric": checks.nric_valid, "luhn": checks.luhn_valid, "iban": checks.iban_valid}
 GUARD = (r"(?<![\w-])", r"(?![\w-])")
@@ -71,12 +75,12 @@ def _with_fillers(found: DataFrame) -> DataFrame:
 
 
 def lexicon_spans(texts: DataFrame) -> DataFrame:
-    """Whole words of the lexicons and of the place gazetteer, found in the texts without fillers."""
-    return _with_fillers(scan_spans(without_fillers(texts), LEXICON_RULES, ["id", "gaps"]).drop("rule"))
+    """Whole words of the lexicons and of the gazetteers, found in the texts without fillers."""
+    return _with_fillers(scan_spans(without_fillers(texts), [], ["id", "gaps"], LEXICON_RULES).drop("rule"))
 
 
-_PLACES = {"LOCATION": sorted([*V.LEXICONS["LOCATION"], *V.PLACES], key=len, reverse=True)}
-LEXICON_RULES = [Rule("(?i)" + spoken.any_of(words), t, "context", V.SCORES["lexicon"]) for t, words in (V.LEXICONS | _PLACES).items()]
+_WORDS = V.LEXICONS | {"LOCATION": sorted([*V.LEXICONS["LOCATION"], *V.PLACES], key=len, reverse=True), "EMPLOYER": sorted(V.EMPLOYER_NAMES, key=len, reverse=True)}
+LEXICON_RULES = [Lexicon(words, t, "context", V.SCORES["lexicon"]) for t, words in _WORDS.items()]
 CUE_RULES = [Rule("(?i)" + p, t, "context", V.SCORES["branch" if t == "BRANCH" else "context"], 1) for t, p, _ in V.CUES]
 FREE_CUES = [k for k, (_, _, free) in enumerate(V.CUES) if free]
 
@@ -110,7 +114,7 @@ def cue_spans(texts: DataFrame) -> DataFrame:
 
 def context_spans(texts: DataFrame) -> DataFrame:
     """What cue_spans and lexicon_spans find, in one pass over the texts."""
-    found = durable(scan_spans(without_fillers(texts), [*CUE_RULES, *LEXICON_RULES], ["id", "gaps"]), "context")
+    found = durable(scan_spans(without_fillers(texts), CUE_RULES, ["id", "gaps"], LEXICON_RULES), "context")
     return _cued(found.where(F.col("rule") < len(CUE_RULES))).unionByName(_with_fillers(found.where(F.col("rule") >= len(CUE_RULES)).drop("rule")))
 
 
@@ -147,7 +151,7 @@ def slot_asks(turns: DataFrame) -> DataFrame:
     return runs.withColumn("types", types).select("call_id", "turn", "text", F.explode("types").alias("type"))
 
 
-#: Words of a question that an answer repeats, and that are no part of the answer.
+# Words of a question that an answer repeats, and that are no part of the answer.
 QUESTION_WORDS = ["first", "pet", "pet's", "maiden", "name", "mother", "mother's", "security", "question", "answer", "called", "named", "my", "is", "was"]
 
 
@@ -186,25 +190,48 @@ def dialogue_spans(turns: DataFrame) -> DataFrame:
 
 
 def propagated_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Further mentions of identifiers (and of the words of names), where no span covers them."""
+    """Further mentions of identifiers (and of the words of names), as whole words in any case, where no span covers them.
+
+    A token that spans of several types have is of the type of the first one.  Each text is read once for all its tokens.
+    """
     known = policy.types(texts.sparkSession).where(~F.col("class").isin("QUASI_ID", "SENSITIVE_ATTR")).select("type")
-    surfaces = spans.join(F.broadcast(known), "type").join(texts.select("id", "text"), "id").withColumn("surface", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    parts = F.when(F.col("type") == "PERSON", F.concat(F.array("surface"), F.split("surface", " "))).otherwise(F.array("surface"))
-    seen = surfaces.select("id", "type", "start", F.explode(parts).alias("tok")).withColumn("tok", F.lower("tok"))
-    seen = seen.where((F.length("tok") >= 3) & ~F.col("tok").isin(*V.STOP_WORDS)).groupBy("id", "tok").agg(F.min_by("type", F.struct("start", "type")).alias("type"))
-    seen = seen.join(texts.select("id", "text"), "id")
-    low = F.lower("text")
-    cut = F.split_part(low, F.col("tok"), F.lit(1))  # only to keep the text's pieces native: mentions are found by cutting
-    pieces = seen.withColumn("cut", F.expr("split(lower(text), concat('\\\\Q', tok, '\\\\E'), -1)")).where(F.length(cut) < F.length(low))
-    each = pieces.select("*", F.posexplode("cut").alias("k", "piece")).where(F.col("k") + 1 < F.size("cut"))
-    start = F.length(F.array_join(F.slice("cut", 1, F.col("k") + 1), "")) + F.col("k") * F.length("tok")
-    found = each.withColumn("start", start.cast("int")).withColumn("end", F.col("start") + F.length("tok"))
-    edge = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"(?U)^\w$")
-    alone = edge(F.when(F.col("start") > 0, F.col("text").substr(F.col("start"), F.lit(1)))) & edge(F.col("text").substr(F.col("end") + 1, F.lit(1)))
-    fresh = found.where(alone).select("id", "start", "end", "type", F.lit("propagate").alias("layer"), F.lit(V.SCORES["propagate"]).alias("score"))
+    named = spans.join(F.broadcast(known), "type").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type"))).alias("said"))
+    both = texts.select("id", "text").join(named, "id")
+    small_batches(texts.sparkSession)
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for key, text, said in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "said")), strict=True):
+                low, tokens = folded(text), {}
+                for s in said:
+                    surface = low[s["start"] : s["end"]]
+                    for tok in [surface, *surface.split(" ")] if s["type"] == "PERSON" else [surface]:
+                        if len(tok) >= 3 and tok not in _NEVER:
+                            tokens.setdefault(tok, s["type"])
+                for tok, kind in tokens.items():
+                    at = low.find(tok)
+                    while at >= 0:
+                        if _alone(low, at, at + len(tok)):
+                            out.append((key, at, at + len(tok), kind))
+                        at = low.find(tok, at + 1)
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (batch.schema.field("id").type, pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["id", "start", "end", "type"])
+
+    found = both.mapInArrow(rows, both.select("id").schema.add("start", "integer").add("end", "integer").add("type", "string"))
+    fresh = found.select("id", "start", "end", "type", F.lit("propagate").alias("layer"), F.lit(V.SCORES["propagate"]).alias("score"))
     return covered(fresh, spans, "left_anti")
 
 
+_NEVER = frozenset(V.STOP_WORDS)
+
+
+def _alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter, digit or underscore stands beside a passage."""
+    return not re.match(r"\w", text[start - 1 : start]) and not re.match(r"\w", text[end : end + 1])
+
+
 def detect(turns: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """Disjoint spans of whole calls: turns (call_id, turn, text) joined by line feeds; offsets are into the call.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import keyed
+from spanloom.functions.offsets import running_sums
 from spanloom.operators.spans import coverage, overlaps
 
 
@@ -45,9 +46,9 @@ def span_scores(gold: DataFrame, found: DataFrame, texts: DataFrame) -> DataFram
     and the words (runs of other than white space) that are in both, in found only, or in gold only.
     """
     words = texts.select("id", F.split("text", r"\s+", -1).alias("w"), F.regexp_extract_all("text", F.lit(r"\s+"), F.lit(0)).alias("gap"))
-    each = words.select("id", "w", "gap", F.posexplode("w").alias("k", "word")).where("word <> ''")
-    at = F.length(F.array_join(F.slice("w", 1, F.col("k")), "")) + F.length(F.array_join(F.slice("gap", 1, F.col("k")), ""))
-    tokens = each.select("id", at.alias("start"), (at + F.length("word")).alias("end"))
+    at = running_sums(F.zip_with("w", "gap", lambda w, g: F.length(w) + F.coalesce(F.length(g), F.lit(0))))
+    each = words.select("id", F.explode(F.zip_with(at, F.transform("w", F.length), lambda a, n: F.struct(a.alias("start"), (a + n).alias("end")))).alias("x"))
+    tokens = each.select("id", "x.start", "x.end").where("start < end")
     inside = lambda spans, name: tokens.alias("a").join(spans.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps(), "left_semi").withColumn(name, F.lit(1))
     marked = inside(gold, "g").join(inside(found, "f"), ["id", "start", "end"], "full").na.fill(0, ["g", "f"])
     by_word = marked.groupBy("id").agg(F.sum(F.col("g") * F.col("f")).alias("tp"), F.sum((1 - F.col("g")) * F.col("f")).alias("fp"), F.sum(F.col("g") * (1 - F.col("f"))).alias("fn"))

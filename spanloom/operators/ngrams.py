@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import keyed
 from spanloom.functions.durable import durable
+from spanloom.functions.offsets import running_sums
 from spanloom.operators.spans import overlaps
 
 TOKEN = r"[a-z0-9$<>_\[\]@.]+"  # a fixed value
@@ -64,12 +65,14 @@ def span_perplexity(texts: DataFrame, spans: DataFrame, counts: tuple[DataFrame,
 
     A token belongs to a span if it shares a character with it.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
-    cut, found = F.split(low, TOKEN, -1), F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
-    each = texts.select("id", cut.alias("cut"), found.alias("w")).select("id", "cut", "w", F.posexplode("w").alias("pos", "b"))
-    start = F.length(F.array_join(F.slice("cut", 1, F.col("pos") + 1), "")) + F.length(F.array_join(F.slice("w", 1, F.col("pos")), ""))
-    before = F.when(F.col("pos") == 0, "<s>").otherwise(F.get("w", F.col("pos") - 1))
-    toks = each.select("id", before.alias("a"), "b", start.alias("start"), (start + F.length("b")).alias("end"))
+    text = F.coalesce("text", F.lit(""))
+    written = r"(?i)" + TOKEN  # in the text itself: lower() may change its length
+    cut, found = F.split(text, written, -1), F.regexp_extract_all(text, F.lit(written), F.lit(0))
+    parts = texts.select("id", F.slice(cut, F.lit(1), F.size(found)).alias("cut"), found.alias("w"))
+    before = running_sums(F.zip_with("cut", "w", lambda c, w: F.length(c) + F.length(w)))
+    word = lambda i: F.lower(F.get("w", i))
+    each = F.transform(F.zip_with(before, "cut", lambda b, c: b + F.length(c)), lambda at, i: F.struct(F.when(i == 0, "<s>").otherwise(word(i - 1)).alias("a"), word(i).alias("b"), at.alias("start"), (at + F.length(F.get("w", i))).alias("end")))
+    toks = parts.select("id", F.explode(each).alias("x")).select("id", "x.*")
     held = toks.alias("a").join(spans.alias("b"), (F.col("a.id") == F.col("b.id")) & overlaps())
     asked = held.groupBy(F.col("a.a").alias("a"), F.col("a.b").alias("b"), F.col("b.type").alias("type")).agg(F.count("*").alias("c_ab"))
     scored = log_probabilities(asked, counts)

@@ -127,13 +127,17 @@ def replacements(spans: DataFrame, texts: DataFrame, actions: DataFrame, secret:
     """A row per span and tier: (id, tier, start, end, type, class, action, layer, score, replacement).
 
     actions: (type, class, tier, action), a policy table of a few dozen rows.  Masking a value without digits falls back
-    to its pseudonym.
+    to its pseudonym.  A type that the policy doesn't know is suppressed in every tier.
     """
     cut = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
     cuts = spans.join(texts.select("id", "text"), "id").withColumn("surface", cut)
     own = pseudonyms(cuts.withColumn("normal", spoken.normalize_with_map("surface")["norm"]))
     mac = keyed.hmac_sha256(secret, F.concat_ws("|", F.col("id").cast("string"), "type", spoken.canonical_key(F.col("normal"))))
-    every = own.withColumn("mac", mac).join(F.broadcast(actions), "type")
+    taken = F.struct("class", "tier", "action")
+    by_type = actions.groupBy("type").agg(F.collect_list(taken).alias("acts"))
+    hidden = actions.select(F.lit("UNKNOWN").alias("class"), "tier", F.lit("suppress").alias("action")).distinct().agg(F.collect_list(taken).alias("hidden"))
+    met = own.withColumn("mac", mac).join(F.broadcast(by_type), "type", "left").join(F.broadcast(hidden))
+    every = met.withColumn("act", F.explode(F.coalesce("acts", "hidden"))).select("*", "act.class", "act.tier", "act.action")
     act = F.when((F.col("action") == "mask_last4") & spoken.mask_units(F.col("surface")).isNull(), "pseudonym").otherwise(F.col("action"))
     after_article = F.col("text").substr(F.greatest(F.col("start") - 2, F.lit(1)), F.least(F.col("start"), F.lit(3))).rlike(r"(?i)(?:^|[^a-z])an? $|^an? $")
     coarse = generalize(F.col("type"), F.col("surface"), F.col("normal"))
@@ -145,19 +149,26 @@ def replacements(spans: DataFrame, texts: DataFrame, actions: DataFrame, secret:
     return every.select("id", "tier", "start", "end", "type", "class", act.alias("action"), "layer", "score", value.alias("replacement"))
 
 
-def render(texts: DataFrame, replaced: DataFrame) -> DataFrame:
-    """(id, tier, text): every text with its spans (disjoint) replaced, for every tier that ``replaced`` has.
+def _by_tier(texts: DataFrame, replaced: DataFrame, tiers: list[str], fields: list[str]) -> DataFrame:
+    """(id, tier, text, p, ends): every text for every tier, with its replacements in order and where each gap begins.
 
-    The gaps between spans are cut from the text by each span's predecessor's end; pieces are joined in order.
-    Texts without spans have no row here.
+    Texts and replacements meet once; the tiers are made of one row.
     """
-    order = Window.partitionBy("id", "tier").orderBy("start")
-    gaps = replaced.withColumn("from", F.coalesce(F.lag("end").over(order), F.lit(0)))
-    pieces = gaps.groupBy("id", "tier").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "replacement"))).alias("p"))
-    out = pieces.join(texts.select("id", "text"), "id")
-    parts = F.transform("p", lambda x: F.concat(F.col("text").substr(x["from"] + 1, x["start"] - x["from"]), x["replacement"]))
-    tail = F.col("text").substr(F.element_at("p", -1)["end"] + 1, F.length("text"))
-    return out.select("id", "tier", F.concat(F.array_join(parts, ""), tail).alias("text"))
+    every = replaced.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tier", *fields))).alias("every"))
+    rows = texts.select("id", "text").join(every, "id", "left").withColumn("tier", F.explode(F.array(*[F.lit(t) for t in tiers])))
+    own = F.filter(F.coalesce("every", F.array().cast(every.schema["every"].dataType)), lambda x: x["tier"] == F.col("tier"))
+    return rows.select("id", "tier", "text", own.alias("p")).withColumn("ends", F.concat(F.array(F.lit(0)), F.col("p.end")))
+
+
+def render(texts: DataFrame, replaced: DataFrame, tiers: list[str] = V.TIERS) -> DataFrame:
+    """(id, tier, text): every text for every tier, its spans (disjoint) replaced.
+
+    Texts without spans are shown as they are; a null text stays null.
+    """
+    rows = _by_tier(texts, replaced, tiers, ["start", "end", "replacement"])
+    parts = F.transform("p", lambda x, i: F.concat(F.col("text").substr(F.get("ends", i) + 1, x["start"] - F.get("ends", i)), x["replacement"]))
+    tail = F.col("text").substr(F.element_at("ends", -1) + 1, F.length("text"))
+    return rows.select("id", "tier", F.concat(F.array_join(parts, ""), tail).alias("text"))
 
 
 def rendered_turns(rendered: DataFrame) -> DataFrame:
@@ -165,20 +176,18 @@ def rendered_turns(rendered: DataFrame) -> DataFrame:
     return rendered.select("id", "tier", F.posexplode(F.split("text", "\n", -1)).alias("turn", "text"))
 
 
-def rendered_pieces(texts: DataFrame, replaced: DataFrame) -> DataFrame:
+def rendered_pieces(texts: DataFrame, replaced: DataFrame, tiers: list[str] = V.TIERS) -> DataFrame:
     """(id, tier, pieces): every text as an array of struct(text, entity), in order, for every tier.
 
     A piece is a gap between spans, whose entity is null, or a replacement, whose entity is struct(type, class, action,
     layer, score).  No piece has the value that was replaced.
     """
-    order = Window.partitionBy("id", "tier").orderBy("start")
     entity = F.struct("type", "class", "action", "layer", "score")
-    spans = replaced.select("id", "tier", "start", "end", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("from"), "replacement", entity.alias("entity"))
-    rows = spans.groupBy("id", "tier").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "replacement", "entity"))).alias("p")).join(texts.select("id", "text"), "id")
-    none = F.lit(None).cast(spans.schema["entity"].dataType)
+    rows = _by_tier(texts, replaced.withColumn("entity", entity), tiers, ["start", "end", "replacement", "entity"])
+    none = F.lit(None).cast(replaced.select(entity.alias("entity")).schema["entity"].dataType)
     piece = lambda text, of: F.struct(text.alias("text"), of.alias("entity"))
-    both = F.flatten(F.transform("p", lambda x: F.array(piece(F.col("text").substr(x["from"] + 1, x["start"] - x["from"]), none), piece(x["replacement"], x["entity"]))))
-    tail = F.array(piece(F.col("text").substr(F.element_at("p", -1)["end"] + 1, F.length("text")), none))
+    both = F.flatten(F.transform("p", lambda x, i: F.array(piece(F.col("text").substr(F.get("ends", i) + 1, x["start"] - F.get("ends", i)), none), piece(x["replacement"], x["entity"]))))
+    tail = F.array(piece(F.col("text").substr(F.element_at("ends", -1) + 1, F.length("text")), none))
     return rows.select("id", "tier", F.filter(F.concat(both, tail), lambda x: x["text"] != "").alias("pieces"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import values as V
 from spanloom.functions.batches import small_batches
+from spanloom.functions.offsets import running_sums
+from spanloom.functions.phrases import Phrases, Prefilter, folded
 
 SPAN = ["start", "end", "type", "layer", "score"]
 
@@ -27,14 +29,25 @@ def find_spans(texts: DataFrame, pattern: str, type_: str, layer: str, score: fl
     found = texts.where(F.col("text").rlike(pattern)).select(
         *keys, F.split("text", pattern, -1).alias("cut"), whole.alias("whole"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("value")
     )
-    each = found.select("*", F.posexplode("value").alias("k", "surface"))
-    before = F.length(F.array_join(F.slice("cut", 1, F.col("k") + 1), "")) + F.length(F.array_join(F.slice("whole", 1, F.col("k") + 1), ""))
+    before = running_sums(F.zip_with(F.slice("cut", F.lit(1), F.size("whole")), "whole", lambda c, w: F.length(c) + F.length(w)))
+    match = F.arrays_zip(before.alias("before"), F.col("cut"), F.col("whole"), F.col("value"))
+    each = found.select(*keys, F.explode(F.slice(match, F.lit(1), F.size("whole"))).alias("m"))
+    end = F.col("m.before") + F.length("m.cut") + F.length("m.whole")
     return each.select(
-        *keys, (before - F.length("surface")).cast("int").alias("start"), before.cast("int").alias("end"),
-        F.lit(type_).alias("type"), F.lit(layer).alias("layer"), F.lit(score).alias("score"), "surface",
+        *keys, (end - F.length("m.value")).cast("int").alias("start"), end.cast("int").alias("end"),
+        F.lit(type_).alias("type"), F.lit(layer).alias("layer"), F.lit(score).alias("score"), F.col("m.value").alias("surface"),
     ).where("start < end")
 
 
+class Lexicon(NamedTuple):
+    """Words and phrases, the preferred ones first, and the span that one of them makes as whole words in any case."""
+
+    words: list[str]
+    type: str
+    layer: str
+    score: float
+
+
 class Rule(NamedTuple):
     """A pattern and the span that a match makes: its whole (group 0), or the group of that number."""
 
@@ -45,31 +58,38 @@ class Rule(NamedTuple):
     group: int = 0
 
 
-def scan_spans(texts: DataFrame, rules: list[Rule], keys: list[str] | None = None) -> DataFrame:
+def scan_spans(texts: DataFrame, rules: list[Rule], keys: list[str] | None = None, lexicons: list[Lexicon] | None = None) -> DataFrame:
     """Every match of every rule in ``text``, in one pass: keys, start, end, type, layer, score, surface, rule.
 
-    ``rule`` is the number of the rule.  Patterns are Python's, as the detectors' rules are written: words and word edges
-    are those of Unicode.  Null texts have no spans; more columns than keys and ``text`` are ignored.
+    ``rule`` is the number of the rule; those of lexicons follow those of patterns.  Patterns are Python's, as the
+    detectors' rules are written: words and word edges are those of Unicode.  A text meets only the patterns of which it
+    has a required literal.  Null texts have no spans; more columns than keys and ``text`` are ignored.
     """
-    keys = keys or ["id"]
+    keys, lexicons = keys or ["id"], lexicons or []
     small_batches(texts.sparkSession)
+    phrases = Phrases([x.words for x in lexicons])
 
     def rows(batches):
         compiled = [(re.compile(r.pattern), r.group) for r in rules]
+        may, found = Prefilter([r.pattern for r in rules]), phrases.automaton()
         for batch in batches:
             at, start, end, rule, surface = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, (pattern, group) in enumerate(compiled if text else ()):
+                low = folded(text) if text else ""
+                for k in may.rules(low) if text else ():
+                    pattern, group = compiled[k]
                     for m in pattern.finditer(text):
                         if m.start(group) < m.end(group):
                             at.append(i), start.append(m.start(group)), end.append(m.end(group)), rule.append(k), surface.append(m.group(group))
+                for k, x, y in found(low) if text else ():
+                    at.append(i), start.append(x), end.append(y), rule.append(len(compiled) + k), surface.append(text[x:y])
             own = [batch.column(c).take(pa.array(at, type=pa.int64())) for c in keys]
-            found = [pa.array(x, type=pa.int32()) for x in (start, end, rule)]
-            yield pa.RecordBatch.from_arrays([*own, *found, pa.array(surface, type=pa.string())], [*keys, "start", "end", "rule", "surface"])
+            columns = [pa.array(x, type=pa.int32()) for x in (start, end, rule)]
+            yield pa.RecordBatch.from_arrays([*own, *columns, pa.array(surface, type=pa.string())], [*keys, "start", "end", "rule", "surface"])
 
     named = texts.select(*keys, "text")
     schema = named.select(*keys).schema.add("start", "integer").add("end", "integer").add("rule", "integer").add("surface", "string")
-    field = lambda name: F.get(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("rule")).alias(name)
+    field = lambda name: F.get(F.array(*[F.lit(getattr(r, name)) for r in [*rules, *lexicons]]), F.col("rule")).alias(name)
     return named.mapInArrow(rows, schema).select(*keys, "start", "end", field("type"), field("layer"), field("score"), "surface", "rule")
 
 
@@ -117,8 +137,9 @@ def merge(spans: DataFrame, harm: DataFrame) -> DataFrame:
 def tidy(spans: DataFrame, texts: DataFrame, allowed: list[str]) -> DataFrame:
     """Spans cut at line feeds, without edge white space, and without single characters, stop words and allowed words."""
     raw = spans.join(texts.select("id", "text"), "id").withColumn("raw", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    lines = raw.select("*", F.posexplode(F.split("raw", "\n", -1)).alias("k", "line"), F.split("raw", "\n", -1).alias("lines"))
-    at = F.col("start") + F.length(F.array_join(F.slice("lines", 1, F.col("k")), "\n")) + F.when(F.col("k") > 0, 1).otherwise(0)
+    parts = F.split("raw", "\n", -1)
+    lines = raw.select("*", F.explode(F.arrays_zip(running_sums(F.transform(parts, lambda x: F.length(x) + 1)).alias("at"), parts.alias("line"))).alias("x")).select("*", "x.line")
+    at = F.col("start") + F.col("x.at")
     lead = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))
     size = F.length(F.regexp_replace("line", r"^\s+|\s+$", ""))
     word = F.lower(F.regexp_replace("line", r"^[ .,?!]+|[ .,?!]+$", ""))

@@ -63,8 +63,22 @@ def doc_green_text(spark, sf_dir):
     merged = spans.merge(found, policy.types(spark))
     replaced = merged.withColumn("replacement", F.lit(render.REDACTED)).withColumn("tier", F.lit("GREEN"))
     count = merged.groupBy("id").agg(F.count("*").alias("spans"))
-    done = docs.join(render.render(docs, replaced).withColumnRenamed("text", "green"), "id", "left").join(count, "id", "left")
-    return done.select(F.col("id").alias("doc_id"), F.coalesce("spans", F.lit(0)).cast("long").alias("spans"), F.md5(F.coalesce("green", "text")).alias("green_md5"))
+    done = render.render(docs, replaced, ["GREEN"]).join(count, "id", "left")
+    return done.select(F.col("id").alias("doc_id"), F.coalesce("spans", F.lit(0)).cast("long").alias("spans"), F.md5("text").alias("green_md5"))
+
+
+@query("doc_tiers", f"""WITH a AS (SELECT id, text, regexp_extract_all(text, '{ASCII_EMAIL}') AS ms, regexp_split_to_array(text, '{ASCII_EMAIL}') AS ps FROM {DOCS}),
+e AS (SELECT id, k, ps[k] AS before, regexp_replace(lower(ms[k]), '[^a-z0-9@.]', '', 'g') AS key FROM a, unnest(range(1, len(ms) + 1)) AS u(k)),
+f AS (SELECT id, k, before, min(k) OVER (PARTITION BY id, key) AS first FROM e), r AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY first) AS n FROM f),
+j AS (SELECT id, string_agg(before || '<EMAIL_' || n || '>', '' ORDER BY k) AS amber, string_agg(before || '[REDACTED]', '' ORDER BY k) AS green FROM r GROUP BY id)
+SELECT a.id AS doc_id, tier, md5(CASE WHEN tier = 'RED' OR j.id IS NULL THEN text WHEN tier = 'AMBER' THEN amber || ps[len(ps)] ELSE green || ps[len(ps)] END) AS text_md5
+FROM a LEFT JOIN j ON j.id = a.id, (VALUES ('RED'), ('AMBER'), ('GREEN')) v(tier)""")
+def doc_tiers(spark, sf_dir):
+    """Every document as every tier sees its email addresses, of which most documents have none."""
+    docs = documents(spark, sf_dir)
+    found = spans.find_spans(docs, ASCII_EMAIL, "EMAIL", "format", 1.0).drop("surface")
+    shown = render.render(docs, render.replacements(found, docs, policy.overridden(policy.actions(spark), "all-suppress"), SECRET))
+    return shown.select(F.col("id").alias("doc_id"), "tier", F.md5("text").alias("text_md5"))
 
 
 @query("call_format_spans", CALLS + ", " + ", ".join(f"f{i} AS ({sql_spans('x', p)})" for i, p in enumerate((ASCII_EMAIL, AMOUNT, CARD, r"(?i)(?:\d{3}-\d{5,6}-\d|\d{9,12})"))) + f"""

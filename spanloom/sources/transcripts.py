@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spoken
-from spanloom.functions.ranking import ranked
+from spanloom.functions.offsets import running_sums
+from spanloom.functions.ranking import prefix_sums, ranked
 from spanloom.operators import audit
 
 CALL_SCHEMA = "id string, scenario string, client_id string, agent string, risk string, utterances array<struct<speaker:string,text:string>>, spans array<struct<start:int,end:int,type:string>>"
@@ -73,18 +74,20 @@ def parse_markup(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines: (file, n, line).  ``### id risk`` opens a call, ``A: …`` and ``C: …`` are turns, ``{{TYPE:value}}`` is a gold
     span of its value.  Offsets are into the turn's text.
     """
-    order = Window.partitionBy("file").orderBy("n")
     head = F.col("line").rlike(r"^### ")
-    named = lines.withColumn("call", F.when(head, F.regexp_extract("line", r"^### +(\S+)", 1)))
-    named = named.withColumn("call_id", F.last("call", ignorenulls=True).over(order)).where(~head & F.col("line").rlike(r"^[AaCc]: ") & F.col("call_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("file", "call_id").orderBy("n")) - 1
-    raw = F.substring("line", 4, 1_000_000)
+    numbered = prefix_sums(lines.select("file", "n", "line", head.cast("int").alias("_head")), ["file", "n"], "_head", within=["file"])
+    call = Window.partitionBy("file", "_call").orderBy("n")  # a call, never a file: a corpus may be one file
+    named = numbered.withColumn("_call", F.col("before") + F.col("_head")).where("_call > 0").withColumn("call_id", F.first(F.regexp_extract("line", r"^### +(\S+)", 1)).over(call))
+    named = named.where((F.col("_head") == 0) & F.col("line").rlike(r"^[AaCc]: ") & (F.col("call_id") != ""))
+    rank = F.row_number().over(call) - 1
+    raw = F.expr("substr(line, 4)")
     mark = r"\{\{([A-Z_]+):([^}]*)\}\}"
     turns = named.select("call_id", rank.alias("turn"), F.when(F.lower(F.substring("line", 1, 1)) == "a", "agent").otherwise("client").alias("speaker"), raw.alias("raw"))
     cut = turns.select("*", F.split("raw", mark, -1).alias("cut"), F.regexp_extract_all("raw", F.lit(mark), F.lit(1)).alias("types"), F.regexp_extract_all("raw", F.lit(mark), F.lit(2)).alias("values"))
-    each = cut.select("call_id", "turn", "cut", "values", "types", F.posexplode("values").alias("k", "value"))
-    start = F.length(F.array_join(F.slice("cut", 1, F.col("k") + 1), "")) + F.length(F.array_join(F.slice("values", 1, F.col("k")), ""))
-    spans = each.select("call_id", "turn", start.alias("start"), (start + F.length("value")).alias("end"), F.get("types", F.col("k")).alias("type"), "value")
+    before = running_sums(F.zip_with(F.slice("cut", F.lit(1), F.size("values")), "values", lambda c, v: F.length(c) + F.length(v)))
+    each = cut.select("call_id", "turn", F.explode(F.slice(F.arrays_zip(before.alias("at"), "cut", "types", F.col("values").alias("value")), F.lit(1), F.size("values"))).alias("x"))
+    start = F.col("x.at") + F.length("x.cut")
+    spans = each.select("call_id", "turn", start.alias("start"), (start + F.length("x.value")).alias("end"), F.col("x.types").alias("type"), "x.value")
     return turns.select("call_id", "turn", "speaker", F.regexp_replace("raw", mark, "$2").alias("text")), spans
 
 

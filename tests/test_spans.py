@@ -10,6 +10,7 @@ from spanloom.functions import checks, spoken
 from spanloom.functions import values as V
 from spanloom.operators import detect, metrics, policy, render, spans
 from spanloom.plans import registry
+from spanloom.sources import transcripts
 
 
 def one(spark, column):
@@ -83,7 +84,7 @@ def test_credentials_are_in_no_tier(spark):
     found = detect.detect(turns)
     texts = detect.call_texts(turns)
     shown = render.render(texts, render.replacements(found, texts, policy.actions(spark), b"test")).collect()
-    assert {r["id"] for r in shown} == {1, 2}
+    assert {r["id"] for r in shown} == {1, 2, 3}  # a call without spans is shown as well
     for r in shown:
         assert "778899" not in r["text"] and "double seven" not in r["text"]
         if r["id"] == 1 and r["tier"] != "RED":
@@ -195,3 +196,81 @@ def test_annotated_lines_are_cleaned_and_kept(spark, tmp_path):
     registry.load()
     got = {r["turn"]: r["text"] for r in registry.QUERIES["raw_clean"](spark, str(tmp_path)).collect()}
     assert got == {i: clean for i, (_, clean) in enumerate(texts)}
+
+
+def test_running_sums_equal_a_plain_sum(spark):
+    from spanloom.functions.offsets import running_sums
+
+    lists = [[], [3], list(range(127)), list(range(129)), [7] * 1000]
+    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select(running_sums(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in got] == [[sum(x[:i]) for i in range(len(x))] for x in lists]
+
+
+def test_offsets_of_a_long_text_are_found_in_reasonable_time(spark):
+    import time
+
+    from spanloom.operators import metrics
+
+    text = "word ünd " * 10_000
+    texts = spark.createDataFrame([(1, text)], "id long, text string")
+    whole = spark.createDataFrame([(1, 0, 4, "PERSON")], "id long, start int, end int, type string")
+    began = time.time()
+    scores = metrics.span_scores(whole, whole, texts).collect()
+    found = spans.find_spans(texts, "ünd", "PERSON", "format", 1.0).collect()
+    assert scores[0]["tp"] == 1 and [r["start"] for r in found] == [m.start() for m in re.finditer("ünd", text)]
+    assert time.time() - began < 30
+
+
+def test_texts_without_spans_and_unknown_types_are_rendered_safely(spark):
+    texts = spark.createDataFrame([(1, "call tan now"), (2, "nothing here"), (3, None), (4, "")], "id long, text string")
+    found = spark.createDataFrame([(1, 5, 8, "UNHEARD", "format", 1.0)], "id long, start int, end int, type string, layer string, score double")
+    replaced = render.replacements(found, texts, policy.actions(spark), b"k")
+    got = {(r["id"], r["tier"]): r["text"] for r in render.render(texts, replaced).collect()}
+    assert len(got) == 12 and {got[1, t] for t in V.TIERS} == {"call [REDACTED] now"} and {got[2, t] for t in V.TIERS} == {"nothing here"}
+    assert {got[3, t] for t in V.TIERS} == {None} and {got[4, t] for t in V.TIERS} == {""}
+    pieces = {(r["id"], r["tier"]): [p["text"] for p in r["pieces"]] for r in render.rendered_pieces(texts, replaced).where("id < 3").collect()}
+    assert pieces[1, "RED"] == ["call ", "[REDACTED]", " now"] and pieces[2, "GREEN"] == ["nothing here"]
+
+
+def test_names_are_found_again_beside_letters_that_grow_when_folded(spark):
+    text = "my name is rahman.\nİİİİ hello Rahman, RAHMAN\nrahmans"
+    texts = spark.createDataFrame([(1, text)], "id long, text string")
+    known = spark.createDataFrame([(1, 11, 17, "PERSON", "context", 0.9)], "id long, start int, end int, type string, layer string, score double")
+    got = sorted((r["start"], r["end"]) for r in detect.propagated_spans(texts, known).collect())
+    assert [text[a:b] for a, b in got] == ["Rahman", "RAHMAN"]
+
+
+def test_phrases_and_prefilters_find_what_patterns_find():
+    import random
+
+    from spanloom.functions import phrases, spoken
+
+    rng = random.Random(5)
+    parts = [w for words in V.LEXICONS.values() for w in words] + ["tan", "my name is Lim", "İş", "42", "S$5k", "a@b.sg", "012-345678-9", "otp", "İstanbul TAMPINES", "naïve", "x", ".", "\n"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(200)]
+    lists = [x.words for x in detect.LEXICON_RULES]
+    found = phrases.Phrases(lists).automaton()
+    for text in texts:
+        own = {}
+        for k, a, b in found(phrases.folded(text)):
+            own.setdefault(k, []).append((a, b))
+        for k, words in enumerate(lists):
+            assert own.get(k, []) == [m.span() for m in re.finditer("(?i)" + spoken.any_of(words), text)]
+    patterns = [r.pattern for r in detect.CUE_RULES] + ["(?i)" + p for _, p, _ in V.FORMATS] + [r"(?:ab|c\d)+x?", r"[a-z]+", r"(?i)İ?stan"]
+    may = phrases.Prefilter(patterns)
+    assert len(may.always) < len(patterns) // 3
+    for text in texts:
+        kept = set(may.rules(phrases.folded(text)))
+        assert all(k in kept or re.search(p, text) is None for k, p in enumerate(patterns))
+    many = [f"phrase number{i}" for i in range(100_000)]
+    assert list(phrases.Phrases([many]).automaton()("say phrase number99999 twice, phrase number99999")) == [(0, 4, 22), (0, 30, 48)]
+
+
+def test_markup_keeps_long_lines_and_calls_of_one_large_file(spark):
+    long = "x" * 1_200_000
+    lines = [("f", 0, "C: before any call")] + [("f", 10 * i + k, t) for i in range(1, 30) for k, t in enumerate([f"### call{i} low", "C: my name is {{PERSON:Tan Ah Kow}} ok {{OTP:12}}", "noise", "A: yes"])]
+    lines.append(("f", 10_000, "C: " + long + " {{OTP:99}}"))
+    turns, gold = transcripts.parse_markup(spark.createDataFrame(lines, "file string, n long, line string").repartition(3))
+    assert turns.count() == 29 * 2 + 1 and gold.count() == 29 * 2 + 1
+    last = gold.where("value = '99'").collect()[0]
+    assert (last["call_id"], last["turn"], last["start"], last["end"]) == ("call29", 2, 1_200_001, 1_200_003)
