@@ -250,8 +250,8 @@ def op12_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, voted by its nearest labelled documents whose id's crc32 isn't divisible by 5."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     late = langid.held_out(F.col("doc_id"), 5, 0).alias("held_out")
-    known = docs.select("doc_id", "text").where(~late).join(labels.select("doc_id", "quality"), "doc_id")
-    return neighbours.score(docs.select("doc_id", "text"), neighbours.fit(known)).select("doc_id", late, "score", "predicted")
+    model = neighbours.fit(labelled(docs, labels, "quality"))
+    return neighbours.score(docs.select("doc_id", "text"), model).select("doc_id", late, "score", "predicted")
 
 
 @_query
