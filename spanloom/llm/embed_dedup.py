@@ -51,11 +51,11 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-#: Rows of a label of which all are compared with each other, in one tile; beyond, a label has pivots.
-SMALL = TILE
-
 #: Numbers of nearest pivots that may describe a vector; the first that finds enough of the pairs at the bound is taken.
-NEAREST = (6, 8, 10, 12, 16)
+NEAREST = (6, 8, 10, 12, 16, 24, 32, 48)
+
+#: With so few pivots every vector names WIDE of them: two such choices always share two, so no link can be missed.
+FEW, WIDE = 30, 16
 
 #: Pairs at the bound, made from the sample, on which the number of nearest pivots is measured; and the share to find.
 PROBES, FOUND = 256, 0.97
@@ -66,7 +66,7 @@ LONG = 1 << 30
 
 def pivot_count(rows: int) -> int:
     """Reference points for so many vectors: twice the square root."""
-    return max(32, 2 * math.isqrt(max(rows, 1)))
+    return max(FEW, 2 * math.isqrt(max(rows, 1)))
 
 
 def thinned(points: np.ndarray, most: float) -> np.ndarray:
@@ -107,11 +107,15 @@ def _lengthened(points: np.ndarray) -> np.ndarray:
 
 
 def describe_sample(sample: np.ndarray, count: int, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(pivots, centre, nearest) from a sample of unit vectors; no pivots if no number of them finds enough pairs."""
-    centre, pivots, probes = sample.mean(axis=0), thinned(sample[:count], cosine), sample[count:][:PROBES]
-    if not len(probes) or len(pivots) < 2:
-        return pivots[:0], centre, 0
-    other = np.roll(sample, 1, axis=0)[count:][:PROBES] - centre  # pairs at the bound, in the directions that vectors differ in
+    """(pivots, centre, nearest) from a sample of unit vectors, of which the first ``count`` may be pivots.
+
+    If no number of nearest pivots finds enough pairs, the largest is taken.
+    """
+    centre, pivots = sample.mean(axis=0), thinned(sample[:count], cosine)
+    if len(pivots) <= max(FEW, 2 * WIDE - shared):
+        return pivots, centre, min(len(pivots), max(WIDE, (len(pivots) + shared + 1) // 2))
+    probes = sample[-PROBES:]
+    other = np.roll(sample, 1, axis=0)[-PROBES:] - centre  # pairs at the bound, in the directions that vectors differ in
     other = _lengthened(other - np.einsum("ij,ij->i", other, probes)[:, None] * probes)
     partners = cosine * probes + math.sqrt(1 - cosine * cosine) * other
     ends = [permutations(x, pivots, centre, NEAREST[-1]) for x in (probes, partners)]
@@ -119,8 +123,8 @@ def describe_sample(sample: np.ndarray, count: int, cosine: float, shared: int)
         a, b = (e[:, :nearest] for e in ends)
         common = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
         if (common >= min(shared, a.shape[1])).mean() >= FOUND:
-            return pivots, centre, nearest
-    return pivots[:0], centre, 0
+            break
+    return pivots, centre, min(nearest, len(pivots))
 
 
 def _rows_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -129,11 +133,11 @@ def _rows_of(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def choose_pivots(entries: DataFrame, sizes: DataFrame, cosine: float, shared: int) -> DataFrame:
-    """(label, dim, pivot, vec, nearest): pivots of every label with more than SMALL entries; pivot -1 is the centre.
+    """(label, dim, pivot, vec, nearest): pivots of every label with more than one entry; pivot -1 is the centre.
 
     They are drawn from about ``pivot_count`` entries of the label and PROBES more, by a hash of their values.
     """
-    rows = sizes.where(F.col("n") > SMALL)
+    rows = sizes.where("n > 1")
     wanted = F.floor(F.sqrt(F.col("n").cast("double"))) * 2 + PROBES
     draw = F.pmod(F.xxhash64("unit", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     drawn = entries.join(rows, ["label", "dim"]).where(draw < wanted * 1.05 / F.col("n")).select("label", "dim", "n", "unit")
@@ -142,8 +146,8 @@ def choose_pivots(entries: DataFrame, sizes: DataFrame, cosine: float, shared: i
         label, dim = key[0].as_py(), key[1].as_py()
         sample = _rows_of(table["unit"], dim)
         sample = sample[np.argsort([hash_bytes(row.tobytes()) for row in sample], kind="stable")]
-        pivots, centre, nearest = describe_sample(sample, max(2, len(sample) - PROBES), cosine, shared)
-        vec = [centre.tobytes(), *[p.tobytes() for p in pivots]] if len(pivots) else []
+        pivots, centre, nearest = describe_sample(sample, max(FEW, len(sample) - PROBES), cosine, shared)
+        vec = [centre.tobytes(), *[p.tobytes() for p in pivots]]
         columns = [[label] * len(vec), [dim] * len(vec), list(range(-1, len(vec) - 1)), vec, [nearest] * len(vec)]
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
         return pa.table([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["label", "dim", "pivot", "vec", "nearest"])
@@ -157,7 +161,7 @@ def hash_bytes(data: bytes) -> int:
 
 
 def described(entries: DataFrame, sizes: DataFrame, pivots: DataFrame) -> DataFrame:
-    """entries (label, dim, entry, copies, unit) with ``near``, the pivots of each; a label without pivots has one, 0, that all name.
+    """entries (label, dim, entry, copies, unit) with ``near``, the pivots of each; a lone entry, whose label has none, names 0.
 
     The entries of a label are dealt into chunks no smaller than the number of its pivots, and each chunk meets these.
     """
@@ -210,9 +214,10 @@ def link_vectors(
     Rows are compared only where labels are equal and not null.  A link is a cosine of at least ``cosine`` between two
     rows that share at least ``shared`` of their nearest pivots (all, if there are fewer pivots).  n_links counts the
     other rows linked directly, component_id is the smallest vec_id that links reach, kept tells vec_id = component_id.
-    None below the bound is made.  Links that the index doesn't find are missed: fewer than 1 - FOUND of those exactly
-    at the bound, by the measure on the sample, and less of closer ones.  A label of at most SMALL vectors, one on whose
-    sample pivots don't find enough, and with ``exact`` every label is compared in full, without loss and at quadratic cost.
+    None below the bound is made.  Every label goes through its pivots, whatever its size.  Links that the index doesn't
+    find are missed: fewer than 1 - FOUND of those exactly at the bound, by the measure on the sample, less of closer
+    ones, and none in labels of at most FEW pivots (some 225 vectors); where NEAREST[-1] pivots find fewer than FOUND on
+    the sample, more.  With ``exact`` every label is compared in full, without loss and at quadratic cost.
 
     Null or empty vectors, zero vectors, and null or non-finite components link with nothing, nor do vectors of
     different lengths.  Rows with a null vec_id link with nothing and have a null component (kept is then null).

@@ -161,15 +161,15 @@ def fit_temperature(score: np.ndarray, label: np.ndarray) -> float:
 
 def fit(
     docs: DataFrame, rows_per_class: int = 1000, buckets: int = 1 << 16, orders: tuple[int, ...] = (1, 2, 3),
-    l1: float = 0.02, l2: float = 0.1, calibration: float = 0.2, languages: int = 400,
+    l1: float = 0.02, l2: float = 0.1, calibration: float = 0.2, sample_bytes: int = 256 << 20, cells: int = 1 << 24,
 ) -> LanguageModel:
     """Learn from docs (doc_id, text, lang), all of whose rows with a language and a letter are training rows.
 
-    The ``languages`` with most rows are learned; a column with more values than that has codes that are no languages.
-
     Class counts and document frequencies cover every row.  The regression and the temperature see about
-    ``rows_per_class`` rows of a language (all, if it has fewer), picked by a hash of doc_id; a share ``calibration`` of
-    them only calibrates.
+    ``rows_per_class`` rows of a language (all, if it has fewer), picked by a hash of doc_id, or fewer where all these
+    would have more than about ``sample_bytes`` bytes of text, of which every language has an equal share; a share
+    ``calibration`` of them only calibrates.  Of the sample's n-grams those in most rows are used, so many that they make
+    at most ``cells`` weights.  All languages are learned; their number reaches the driver.
     """
     small_batches(docs.sparkSession)
     model = LanguageModel(buckets, orders)
@@ -186,8 +186,8 @@ def fit(
             [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], seen))], ["bucket", "df"]
         )
 
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    counts = {r["lang"]: r["n"] for r in most.collect()}
+    totals = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    counts = {c: r["n"] for c, r in totals.items()}
     model.classes = sorted(counts)
     if not counts:
         return model
@@ -197,31 +197,36 @@ def fit(
     model.idf = np.full(buckets, np.log(1.0 + total) + 1)
     model.idf[list(df)] = np.log((1.0 + total) / (1.0 + np.array(list(df.values())))) + 1
 
-    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, rows_per_class / n))])
+    part = [(c, min(1.0, rows_per_class / r["n"], sample_bytes / len(totals) / max(1, r["bytes"]))) for c, r in totals.items()]
+    share = F.broadcast(docs.sparkSession.createDataFrame(part, "lang string, share double"))  # a row per language
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
 
     def sample(batches):
         for batch in batches:
             found = list(_all_features(batch.column("text"), buckets, orders))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("late"), *[pa.array([f[k].astype(np.int32) for f in found], type=pa.list_(pa.int32())) for k in (0, 1)]],
-                ["lang", "late", "at", "tf"],
+                [batch.column("lang"), batch.column("late"), batch.column("draw"), *[pa.array([f[k].astype(np.int32) for f in found], type=pa.list_(pa.int32())) for k in (0, 1)]],
+                ["lang", "late", "draw", "at", "tf"],
             )
 
     picked = (
-        rows.where(draw < share[F.col("lang")])
-        .select("text", "lang", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1000)) < calibration * 1000).alias("late"))
-        .mapInArrow(sample, "lang string, late boolean, at array<int>, tf array<int>")
+        rows.join(share, "lang").where(draw < F.col("share"))
+        .select("text", "lang", draw.alias("draw"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1000)) < calibration * 1000).alias("late"))
+        .mapInArrow(sample, "lang string, late boolean, draw double, at array<int>, tf array<int>")
         .toArrow()
     )
-    label = np.array([model.classes.index(x) for x in picked["lang"].to_pylist()], dtype=np.int64)
+    place = {c: k for k, c in enumerate(model.classes)}
+    label = np.array([place[x] for x in picked["lang"].to_pylist()], dtype=np.int64)
     late = np.array(picked["late"].to_pylist(), dtype=bool)
     at, tf = ([x.values.to_numpy() for x in picked[c]] for c in ("at", "tf"))
     vectors = [(a, _weighted(t, model.idf[a])) for a, t in zip(at, tf, strict=True)]
-    order = np.lexsort(([int(a.sum()) for a in at], [len(a) for a in at], label))  # however the rows arrive
+    order = np.lexsort((picked["draw"].to_numpy(), [int(a.sum()) for a in at], [len(a) for a in at], label))  # however the rows arrive
     train = [i for i in order.tolist() if not late[i]]
-    used = np.unique(np.concatenate([vectors[i][0] for i in train])) if train else np.zeros(0, np.int32)  # all others stay 0
-    weights, model.bias = fit_ftrl([(np.searchsorted(used, vectors[i][0]), vectors[i][1]) for i in train], label[train], len(counts), len(used), l1, l2)
+    found = np.bincount(np.concatenate([vectors[i][0] for i in train]), minlength=buckets) if train else np.zeros(buckets, np.int64)
+    used = np.sort(np.argsort(-found, kind="stable")[: min(int((found > 0).sum()), max(1, cells // len(counts)))])  # all others stay 0
+    own = [(np.searchsorted(used, vectors[i][0]), vectors[i]) for i in train]
+    own = [(k[ok], v[ok]) for k, (a, v) in own for ok in [used[np.minimum(k, len(used) - 1)] == a]]
+    weights, model.bias = fit_ftrl(own, label[train], len(counts), len(used), l1, l2)
     live = np.flatnonzero(weights.any(axis=1))
     model.rows = np.zeros(buckets, dtype=np.int32)
     model.rows[used[live]] = np.arange(1, len(live) + 1)

@@ -18,6 +18,10 @@ from spanloom.functions.batches import BATCH_BYTES, small_batches
 from spanloom.llm import textkernel as tk
 
 
+#: Samples that an image may have if its file is smaller than they are: written as text, as bits, or through a palette.
+MOST_PLAIN, MOST_SPREAD = 1 << 22, 1 << 27
+
+
 class BadImage(ValueError):
     """Bytes that are not an image of a supported format."""
 
@@ -59,6 +63,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise BadImage("impossible size or maximum")
     channels = 3 if colour else 1
     count = width * height * channels
+    if (plain and count > MOST_PLAIN) or (bitmap and count > MOST_SPREAD):
+        raise BadImage("too many samples for this format")
     if plain:
         flat = _plain_numbers(data, at, count, bitmap)
     elif bitmap:
@@ -73,12 +79,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise BadImage("the raster is too short")
         flat = np.frombuffer(data, step, count, at)
     if bitmap:
-        flat = (1 - flat.astype(np.uint8)) * 255
+        flat = flat.astype(np.uint8, copy=False)
+        np.subtract(1, flat, out=flat)
+        flat *= 255
     elif flat.max() > top:
         raise BadImage("a sample is over the maximum")
     elif top not in (255, 65535):  # samples fill their type
-        flat = np.rint(flat * ((255 if top < 256 else 65535) / top))
-    return flat.astype(np.uint8 if top < 256 else np.uint16).reshape(height, width, channels)
+        flat = np.rint(np.arange(top + 1) * ((255 if top < 256 else 65535) / top)).astype(np.uint16)[flat]
+    return flat.astype(np.uint8 if top < 256 else np.uint16, copy=False).reshape(height, width, channels)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -90,6 +98,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing != 0 or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
         raise BadImage("unsupported BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if bits < 24 and rows * width * 3 > MOST_SPREAD:
+        raise BadImage("too many samples for this format")
     if len(data) - start < stride * rows:
         raise BadImage("the raster is too short")
     raster = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
@@ -102,7 +112,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
             index = raster[:, :width]
         else:
             per = 8 // bits
-            spread = (raster[:, :, None] >> (8 - bits * (np.arange(per) + 1))) & ((1 << bits) - 1)
+            spread = (raster[:, :, None] >> (8 - bits * (np.arange(per) + 1)).astype(np.uint8)) & np.uint8((1 << bits) - 1)
             index = spread.reshape(rows, -1)[:, :width]
         if index.max(initial=0) >= used:
             raise BadImage("a colour is not in the palette")
@@ -130,20 +140,33 @@ def encode_ppm(pixels: np.ndarray) -> bytes:
     return b"P%d\n%d %d\n255\n" % (6 if channels == 3 else 5, width, height) + np.ascontiguousarray(pixels).tobytes()
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, from an integral image interpolated at the cuts; height x width x channels, float64."""
-    h, w, c = pixels.shape
-    total = np.zeros((h + 1, w + 1, c))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+def _between(total: np.ndarray, parts: int, size: int, first: int) -> np.ndarray:
+    """``parts`` times the sums between neighbouring cuts of a length ``size`` into equal parts, of a piece that begins at ``first``.
+
+    total: the piece's running sums.  Cuts inside a sample are interpolated; all numbers stay whole.
+    """
+    n = len(total) - 1
+    cuts = np.clip(np.arange(parts + 1) * size - first * parts, 0, n * parts)
+    low = np.minimum(cuts // parts, n - 1)
+    rest = (cuts - low * parts).reshape(-1, *[1] * (total.ndim - 1))
+    return np.diff(total[low] * (parts - rest) + total[low + 1] * rest, axis=0)
+
 
-    def at(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        low = np.minimum(cuts.astype(np.int64), values.shape[0] - 2)
-        part = (cuts - low).reshape(-1, *[1] * (values.ndim - 1))
-        return values[low] * (1 - part) + values[low + 1] * part
+def area_resize(pixels: np.ndarray, height: int, width: int, side: int = 512) -> np.ndarray:
+    """Means over equal areas, height x width x channels, float64, from integral images interpolated at the cuts.
 
-    rows = np.diff(at(total, np.arange(height + 1) * (h / height)), axis=0)
-    cells = np.diff(at(rows.swapaxes(0, 1), np.arange(width + 1) * (w / width)), axis=0).swapaxes(0, 1)
-    return cells * (height * width / (h * w))
+    Pieces of side x side pixels have an integral image each, so memory doesn't grow with the image; sums are exact.
+    """
+    h, w, c = pixels.shape
+    out = np.zeros((height, width, c), dtype=np.int64)
+    for y in range(0, h, side):
+        for x in range(0, w, side):
+            piece = pixels[y : y + side, x : x + side]
+            total = np.zeros((piece.shape[0] + 1, piece.shape[1] + 1, c), dtype=np.int64)
+            np.cumsum(np.cumsum(piece, axis=0, dtype=np.int64), axis=1, out=total[1:, 1:])
+            rows = _between(total, height, h, y)
+            out += _between(rows.swapaxes(0, 1), width, w, x).swapaxes(0, 1)
+    return out / (h * w)
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:

@@ -31,6 +31,9 @@ STRETCH = 8_192
 #: Weights are whole numbers, of this size for the largest: a share is exact to 12 digits of the whole.
 SCALE = 10**12
 
+#: Blocks that a schedule has at most, about, if its blocks have no size of their own.
+BLOCKS = 1 << 20
+
 #: Planned blocks that may be broadcast to the rows: some dozen bytes each.  More are joined through a shuffle.
 BROADCAST_BLOCKS = 500_000
 
@@ -91,15 +94,15 @@ def plan(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("done"), F.lit(total).cast("long").alias("share"), F.array_min(F.transform("sources", lambda x: x["end"])).alias("until")).alias("live"),
     )
     path = new_path(spark, "schedule")
-    state.select(F.lit(0).cast("long").alias("upto"), "sources", "had", "live", F.array().cast("array<struct<slot:bigint,i:int,block:bigint>>").alias("out")).write.parquet(path)
-    at = 0
+    state.select(F.lit(0).cast("long").alias("upto"), "sources", "had", "live", F.array().cast("array<struct<slot:bigint,i:int,block:bigint>>").alias("out")).write.parquet(f"{path}/0")
+    at, done = 0, [f"{path}/0"]
     while at < slots:
         until = min(at + stretch, slots)
-        last = spark.read.parquet(path).where(F.col("upto") == at)
-        folded = last.select("sources", _fold(F.lit(at), F.lit(until)).alias("f"))
-        folded.select(F.lit(until).cast("long").alias("upto"), "sources", "f.had", "f.live", "f.out").write.mode("append").parquet(path)
+        folded = spark.read.parquet(done[-1]).select("sources", _fold(F.lit(at), F.lit(until)).alias("f"))
+        done.append(f"{path}/{until}")
+        folded.select(F.lit(until).cast("long").alias("upto"), "sources", "f.had", "f.live", "f.out").write.parquet(done[-1])
         at = until
-    slot = spark.read.parquet(path).select("sources", F.explode("out").alias("x")).select("sources", F.get("sources", F.col("x.i")).alias("own"), "x.block", "x.slot")
+    slot = spark.read.parquet(*done).select("sources", F.explode("out").alias("x")).select("sources", F.get("sources", F.col("x.i")).alias("own"), "x.block", "x.slot")
     return _windows(slot.select("sources", "own.source", "own.w", "block", "slot"))
 
 
@@ -161,10 +164,12 @@ def _windows(slots: DataFrame) -> DataFrame:
 
 
 def schedule(
-    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = 65_536, least: int = 1_000, power: float = 0.5, stretch: int = STRETCH
+    docs: DataFrame, weights: DataFrame | None = None, block_bytes: int | None = None, least: int = 1_000, power: float = 0.5, stretch: int = STRETCH
 ) -> DataFrame:
     """(doc_id, source, size, block, release, deadline, slot, place) for all rows of docs (doc_id, source, text).
 
+    Blocks have ``block_bytes`` bytes; without it, a BLOCKS-th of all bytes, and 64 KiB at least.
+
     ``slot`` is the block's place in the mixed order and ``place`` the row's place in its block.  weights (source,
     weight) are the targets; sources without one get the smallest share (see ``whole_weights``).  Without ``weights``,
     a source's target is its bytes to the ``power`` of 0.5, which lifts small sources.  A source's rows are taken in the
@@ -178,6 +183,7 @@ def schedule(
         (text_bytes(F.col("text")) + 16).alias("size"), F.xxhash64("doc_id").alias("draw"),
     )
     placed = prefix_sums(rows, ["source", "draw", "doc_id", "size"], "size", within=["source"])
+    block_bytes = block_bytes or max(65_536, (rows.agg(F.sum("size")).first()[0] or 0) // BLOCKS)
     placed = durable(placed.withColumn("block", F.floor((F.col("before") + F.col("size") / 2) / block_bytes).cast("long")), "placed")
     own = placed.groupBy("source").agg(F.sum("size").cast("double").alias("bytes"), (F.max("block") + 1).alias("blocks"))
     if weights is None:

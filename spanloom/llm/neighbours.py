@@ -116,7 +116,7 @@ class Neighbours:
         weight = np.where(cosine >= least[:, None], cosine, 0.0) ** self.sharpness  # vectors as near as the last are all in
         total = weight.sum(axis=1)
         found = np.divide(weight[:, self.label == 1].sum(axis=1), total, out=np.full(BLOCK, self.share), where=total > 0)
-        return np.where(z.any(axis=1), found, self.share)[: len(count)]
+        return np.clip(np.where(z.any(axis=1), found, self.share), 0, 1)[: len(count)]  # sums in another order may pass 1
 
 
 def latent_space(rows: np.ndarray, dimensions: int, rounds: int = 4) -> np.ndarray:

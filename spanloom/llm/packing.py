@@ -11,11 +11,12 @@ from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.batches import small_batches
 from spanloom.functions.durable import durable
+from spanloom.functions.ranking import prefix_sums
 from spanloom.llm.sharding import text_bytes
 
 
@@ -60,9 +61,8 @@ def _slot_groups(pieces: DataFrame, group_rows: int, stretch: int) -> DataFrame:
     """
     run = F.floor(F.col("slot") / stretch).cast("long")
     runs = pieces.groupBy(run.alias("_run")).agg(F.ceil(F.count("*") / group_rows).cast("long").alias("_groups"))
-    earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # a row per run
-    runs = runs.withColumn("_first", F.coalesce(F.sum("_groups").over(earlier), F.lit(0)))
-    dealt = pieces.withColumn("_run", run).join(F.broadcast(runs), "_run")
+    runs = durable(prefix_sums(runs, ["_run"], "_groups").select("_run", "_groups", F.col("before").alias("_first")), "runs")
+    dealt = pieces.withColumn("_run", run).join(runs, "_run")
     return dealt.withColumn("group", F.col("_first") + F.pmod(F.xxhash64("doc_id", "piece"), F.col("_groups"))).drop("_run", "_groups", "_first")
 
 

@@ -25,9 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 BROADCAST_LABELS = 2_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the label ``toxic``, without the rows that crc32 keeps for evaluation."""
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """docs (doc_id, text) with a label, without the rows that crc32 keeps for evaluation."""
+    marks = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     return docs.where(~langid.held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text").join(marks, "doc_id")
@@ -70,36 +70,25 @@ def _without_duplicates(docs: DataFrame, key: str) -> DataFrame:
     return docs.join(_small(gone), key, "left_anti")
 
 
-#: The setting in which the mixing stage leaves the path of its slots for the packing stage.
-SLOTS = "spanloom.mixing.slots"
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None, block_bytes: int | None = None) -> DataFrame:
     """Puts all documents in the mixed order: sorted runs of slots, sources interleaved to their target weights.
 
-    The rows keep documents' columns; (doc_id, slot, place) is written to the shared folder, where packing_stage reads it.
-    weights (source, weight): see mixing.schedule.
+    weights (source, weight) and block_bytes: see mixing.schedule.
     """
-    slots = mixing.schedule(docs, weights).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_slot"))
-    path = new_path(spark, "slots")
-    slots.select("doc_id", "_slot.slot", "_slot.place").write.parquet(path)
-    spark.conf.set(SLOTS, path)
-    return _with_slots(spark, docs).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
-
-
-def _with_slots(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with the ``_slot`` and ``_place`` that the mixing stage gave their doc_id last."""
-    path = spark.conf.get(SLOTS, None)
-    if path is None:
-        raise ValueError("no slots: mixing_stage must run before")
-    slots = spark.read.schema("doc_id long, slot long, place long").parquet(path).toDF("_id", "_slot", "_place")
+    return _with_slots(docs, weights, block_bytes).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
+
+
+def _with_slots(docs: DataFrame, weights: DataFrame | None, block_bytes: int | None) -> DataFrame:
+    """docs with the ``_slot`` and ``_place`` of their doc_id's first row in the schedule."""
+    slots = mixing.schedule(docs, weights, block_bytes).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
+    slots = durable(slots.select(F.col("doc_id").alias("_id"), F.col("_at.slot").alias("_slot"), F.col("_at.place").alias("_place")), "slots")
     return docs.join(_small(slots), docs["doc_id"].eqNullSafe(slots["_id"]), "left").drop("_id")
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents, whole, into bins of equal capacity: groups of bins follow the slots of the mixing stage.
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Packs all documents, whole, into bins of equal capacity: groups of bins follow the slots of the mixed order.
 
-    A document that the mixing stage has not placed is an error.
+    A schedule depends on the documents' ids, sources and sizes alone, so the same documents, weights and block_bytes
+    have here the slots that the mixing stage gave them, whatever else the session ran meanwhile.
     """
-    mixed = _with_slots(spark, docs).withColumn("slot", F.coalesce("_slot", F.raise_error(F.lit("a document has no slot: mixing_stage must run before")).cast("long")))
-    return packing.pack_mixed(mixed)
+    return packing.pack_mixed(_with_slots(docs, weights, block_bytes).withColumnRenamed("_slot", "slot"))

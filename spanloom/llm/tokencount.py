@@ -11,6 +11,8 @@ invisible and is overwritten by the next.  One writer at a time.
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import quote
 
@@ -37,6 +39,21 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+#: Characters of a piece of a long text that is encoded at once.
+PIECE = 1 << 16
+#: Where no token goes on by PATTERN: before a blank that stands between a word's end and a letter.
+_SEAM = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces whose tokens are together those of the text; a stretch without a seam stays whole."""
+    start = 0
+    while len(text) - start > PIECE and (seam := _SEAM.search(text, start + PIECE)):
+        yield text[start : seam.start()]
+        start = seam.start()
+    yield text[start:]
+
+
 def count_tokens(docs: DataFrame, ranks: bytes, column: str = "text") -> DataFrame:
     """docs, its text column replaced by ``tokens``: the tokens of the whole text (null: 0) under a rank file's bytes."""
     small_batches(docs.sparkSession)
@@ -48,7 +65,7 @@ def count_tokens(docs: DataFrame, ranks: bytes, column: str = "text") -> DataFra
             count = np.zeros(batch.num_rows, dtype=np.int64)
             for i, text in enumerate(batch.column(column)):
                 if text.is_valid:
-                    count[i] = len(encoding.encode_ordinary(text.as_py()))
+                    count[i] = sum(len(encoding.encode_ordinary(piece)) for piece in pieces(text.as_py()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(count)], [*kept, "tokens"])
 
     schema = docs.select(*kept).schema.add("tokens", "long")

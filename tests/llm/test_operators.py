@@ -73,7 +73,7 @@ def test_language(docs, empty):
 
 
 def test_language_scores_equal_a_plain_sum(spark, docs):
-    model = langid.fit(docs.where("doc_id % 2 = 0"), languages=2)
+    model = langid.fit(docs.where("doc_id % 2 = 0 and lang in ('de', 'en')"))
     assert len(model.classes) == 2
     got = by_id(langid.predict(docs, model), "lang_pred", "score")
     for d, text, *_ in rows()[:60]:
@@ -438,6 +438,15 @@ def test_embedding_recall(spark, kind):
         assert [exact[i] for i in range(1600)] == degree.tolist()
 
 
+def test_small_labels_lose_no_link(spark):
+    v = made_vectors("shifted", 220, 24)
+    df = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    own = (np.arange(220)[:, None] - np.arange(220)[None, :]) % 2 == 0
+    want = true_links(v) & own
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(df).collect()}
+    assert [got[i] for i in range(220)] == (want.sum(axis=0) + want.sum(axis=1)).tolist() and want.any()
+
+
 def test_long_lists_are_split_without_double_counts(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE", 40)
     v = made_vectors("clustered", 900, 12)
@@ -723,10 +732,14 @@ def test_whole_pipeline_against_brute_force(spark, tmp_path):
     assert {x[:6] for x in seen[0]} != {x[:6] for x in seen[1]}
 
 
-def test_packing_needs_the_mixing_of_its_rows(spark, docs, labels):
-    stages.mixing_stage(spark, docs.where("doc_id < 10"), labels)
-    with pytest.raises(Exception, match="has no slot"):
-        stages.packing_stage(spark, docs, labels).collect()
+def test_runs_of_one_session_keep_their_own_slots(spark, docs, labels):
+    first, second = docs.where("doc_id < 40").dropDuplicates(["doc_id"]), docs.where("doc_id between 20 and 59")
+    slots = lambda df, **more: sorted((r["doc_id"], r["slot"]) for r in stages.packing_stage(spark, df, labels, **more).collect())
+    want = {r["doc_id"]: r["slot"] for r in mixing.schedule(first, block_bytes=300).collect()}
+    stages.mixing_stage(spark, first, labels, block_bytes=300).collect()
+    stages.mixing_stage(spark, second, labels).collect()
+    got = slots(first, block_bytes=300)
+    assert set(got) == set(want.items()) and len({s for _, s in got}) > 3 and slots(second) != got
 
 
 def test_repeated_ids_are_judged_by_their_own_text(spark, labels):
@@ -738,3 +751,223 @@ def test_repeated_ids_are_judged_by_their_own_text(spark, labels):
     assert len(third) == 1 and third[0] in (three, three + " end")
     want = [(1, one), (2, two), (3, third[0]), (5, None), (5, ""), (None, one), (None, one)]
     assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
+def brute_manifest(rows, arity=3):
+    """{doc position: (leaf, subroot, root, proof siblings, folded)} by plain recursion over lists."""
+    def h(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def climb(nodes, at):
+        beside = []
+        while len(nodes) > 1:
+            run = at - at % arity
+            beside.append((nodes[run:at], nodes[at + 1 : run + arity]))
+            nodes, at = [h(nodes[i : i + arity]) for i in range(0, len(nodes), arity)], at // arity
+        return nodes[0], beside
+
+    trees = {}
+    for source, doc, leaf, found in rows:
+        trees.setdefault(source, []).append((doc, leaf, found))
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    for own in trees.values():
+        own.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    tops = [climb([x[1] for x in trees[s]], 0)[0] for s in names]
+    out = []
+    for k, s in enumerate(names):
+        for i, (doc, leaf, found) in enumerate(trees[s]):
+            subroot, low = climb([x[1] for x in trees[s]], i)
+            root, high = climb(tops, k)
+            node, said = found, ""
+            for before, after in low + high:
+                said += "".join(before + after)
+                node = h([*before, node, *after])
+            out.append((s, doc, leaf, subroot, root, said, node))
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize(("height", "top"), [(7, 4096), (1, 5), (2, 3), (1, 100), (2, 30)])
+def test_manifest_equals_brute_force(spark, height, top):
+    from spanloom.llm import manifest
+
+    rng = random.Random(height * 100 + top)
+    sizes = {None: 5, "": 1, "a": 1, "é": 28, "b": 82, "z-hot": 120, **{f"s{i}": rng.randrange(1, 5) for i in range(12)}}
+    rows = [(s, rng.randrange(60) if s == "b" else None if s is None and i < 2 else i, hashlib.sha256(f"{s}{i % 50}".encode()).hexdigest(), hashlib.sha256(b"x").hexdigest()) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "source string, doc_id long, leaf string, found string, rank int, subroot string").repartition(3)
+    got = manifest.proofs(df, height=height, top=top)
+    got = got.withColumns({"said": manifest.proof_text(F.col("left"), F.col("right")), "folded": manifest.folded(F.col("found"), F.col("left"), F.col("right")), "same": manifest.folded(F.col("leaf"), F.col("left"), F.col("right"))}).collect()
+    assert all(r["same"] == r["root"] and r["rank"] == 1 for r in got)
+    assert sorted(repr((r["source"], r["doc_id"], r["leaf"], r["subroot"], r["root"], r["said"], r["folded"])) for r in got) == brute_manifest(rows)
+    own = {}
+    for s, d, leaf, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        own.setdefault(s, []).append(leaf)
+    assert list(manifest.plain_root(own))[-1] == got[0]["root"]
+
+
+def test_manifest_of_awkward_tables(spark, docs, empty):
+    from spanloom.llm import manifest
+
+    assert manifest.proofs(empty.withColumn("leaf", manifest.leaf_digest())).count() == 0
+    out = manifest.proofs(docs.withColumn("leaf", manifest.leaf_digest())).withColumn("back", manifest.folded(F.col("leaf"), F.col("left"), F.col("right"))).collect()
+    assert len(out) == len(rows()) and all(r["back"] == r["root"] for r in out) and len({r["root"] for r in out}) == 1
+    one = manifest.proofs(docs.where("doc_id = 3").withColumn("leaf", manifest.leaf_digest())).collect()[0]
+    assert one["leaf"] == one["subroot"] == one["root"] and one["left"] == one["right"] == []
+    said = "1:3" + "2:s3" + "2:de" + f"{len(str(one['n_chars']))}:{one['n_chars']}" + f"{len(one['text'].encode())}:{one['text']}"
+    assert one["leaf"] == hashlib.sha256(said.encode()).hexdigest()
+    none = docs.where("doc_id = 60").select(manifest.leaf_digest().alias("x")).first()["x"]
+    assert none == hashlib.sha256(b"2:602:s02:en--").hexdigest()
+
+
+def plain_resample(docs, target, percent=25, least=20, seed=7, buckets=10_000):
+    """{(doc_id, text): (n_features, weight, score, rank)} feature by feature."""
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return w, [zlib.crc32(f.encode()) % buckets for f in [*w, *[f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]]]
+
+    s, t = np.zeros(buckets, int), np.zeros(buckets, int)
+    for counts, texts in ((s, [x for _, x in docs]), (t, target)):
+        for text in texts:
+            for f in features(text)[1]:
+                counts[f] += 1
+    gain = [math.floor(1000 * math.log((int(t[b]) + 1) * (int(s.sum()) + buckets) / ((int(s[b]) + 1) * (int(t.sum()) + buckets)))) for b in range(buckets)]
+    out = []
+    for d, text in docs:
+        words, found = features(text)
+        weight = sum(gain[f] for f in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append([d, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words) >= least])
+    fit = sorted((r for r in out if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for k, r in enumerate(fit[: percent * len(fit) // 100]):
+        r[4] = k + 1
+    return out
+
+
+def test_resampling_equals_a_plain_draw(spark, docs, empty):
+    from spanloom.llm import resample
+
+    rng = random.Random(2)
+    words = ["alpha", "Beta", "gämma", "日本", "x1", "a" * 70, "ÅB", "z"]
+    data = [(i % 190 if i % 13 else None, " ".join(rng.choices(words, k=rng.randrange(45))) + rng.choice(["", ".", " -!", "\u0085q"])) for i in range(400)] + [(500, None), (501, ""), (502, "beta " * 300_000)]
+    target = ["alpha beta", "x1 x1 gämma", None, "", "日本 z"]
+    df = spark.createDataFrame([(*d, 7, 9) for d in data], "doc_id long, text string, rank long, score long").repartition(5)
+    goal = spark.createDataFrame([(x,) for x in target], "text string")
+    want = plain_resample(data, target)
+    for sizes in ({}, {"range_rows": 3, "page": 2}, {"range_rows": 1, "ranges": 1000}):
+        got = resample.resample(df, goal, **sizes).collect()
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted((tuple(r) for r in got), key=key) == sorted((tuple(r[:5]) for r in want), key=key)
+    assert resample.resample(empty, goal).count() == 0
+    assert resample.resample(docs, goal.limit(0)).where("rank is not null").count() == sum(len(re.findall(r"\w+", r[1] or "")) >= 20 for r in rows()) // 4
+    assert resample.resample(docs, goal, least_words=10**7).where("rank is not null").count() == 0
+
+
+def test_heavy_scores_are_cut_at_ids(spark, tmp_path):
+    from spanloom.llm import resample
+
+    data = [(i if i % 50 else None, 1, 0, 5 if i % 3 else i % 7, i % 11 > 0) for i in range(900)]
+    spark.createDataFrame(data, "doc_id long, n_features long, weight long, score long, eligible boolean").repartition(6).write.parquet(f"{tmp_path}/s")
+    got = resample.draw(spark.read.parquet(f"{tmp_path}/s"), 300, range_rows=20, ranges=1000, page=8).collect()
+    fit = sorted((r for r in data if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))[:300]
+    drawn = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert len(got) == 900 and [r["rank"] for r in drawn] == list(range(1, 301)) and [(r["doc_id"], r["score"]) for r in drawn] == [(r[0], r[3]) for r in fit]
+
+
+def test_tournament_merges_any_pages():
+    from spanloom.llm import resample
+
+    rng = random.Random(9)
+    for n in (0, 1, 2, 3, 17, 100):
+        pages = [sorted((rng.randrange(50), i) for i in range(rng.randrange(1, 6))) for _ in range(n)]
+        pages = sorted(([(k, (k, i)) for k, i in p] for p in pages), key=lambda p: p[0][0])
+        every = sorted(r for p in pages for _, r in p)
+        for most in (0, 3, 10**6):
+            got = list(resample.merged(pages, most))
+            assert [k for k, _ in got[:most]] == [k for k, _ in every[:most]] and sorted(got) == every
+
+
+def test_word_runs_of_chunks_and_long_words(monkeypatch):
+    from spanloom.llm import resample
+
+    rng = random.Random(4)
+    texts = ["", "one", "Two words", "x" * 500 + " " + "y" * 49, "é ü", " ".join(rng.choices(["ab", "c", "d" * 48, "e1"], k=40)), "--", "tail"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for chunk in (1, 3, 1 << 17):
+        monkeypatch.setattr(resample, "CHUNK", chunk)
+        got = [[] for _ in texts]
+        for a, word, b, pair in resample.word_runs(data, offsets):
+            for t, c in [*zip(a.tolist(), word.tolist(), strict=True), *zip(b.tolist(), pair.tolist(), strict=True)]:
+                got[t].append(c)
+        for t, text in enumerate(texts):
+            w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+            assert sorted(got[t]) == sorted(zlib.crc32(f.encode()) for f in [*w, *[" ".join(p) for p in zip(w, w[1:], strict=False)]])
+
+
+def test_quality_votes_equal_plain_cosines(spark, docs, empty):
+    from spanloom.llm import neighbours
+
+    rng = random.Random(1)
+    good = [" ".join(rng.choices("the cat sat on a warm mat near some old door".split(), k=40)) + "." for _ in range(60)]
+    bad = ["$$$ " * rng.randrange(20, 60) + rng.choice(good) for _ in range(30)] + ["buy " * rng.randrange(30, 90) for _ in range(30)]
+    data = [(i, t, 1) for i, t in enumerate(good)] + [(100 + i, t, 0) for i, t in enumerate(bad)]
+    df = spark.createDataFrame([(*d, 0.5) for d in data], "doc_id long, text string, quality int, score double")
+    model = neighbours.fit(df.where("doc_id % 4 > 0"), dimensions=16, nearest=5)
+    assert model.space.shape == (neighbours.WIDTH, 16) and np.allclose(model.space.T @ model.space, np.eye(16), atol=1e-6)
+    out = by_id(neighbours.score(df, model), "score", "predicted")
+    assert all(out[d][1] == y for d, _, y in data) and all(0 <= s <= 1 for s, _ in out.values())
+    for d, text, _ in data[::9]:  # every product and every vote by itself
+        raw = text.encode()
+        tf = neighbours.counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        z = (np.sqrt(tf) * model.idf) @ model.space
+        cosine = [max(0.0, float(v @ z / np.linalg.norm(z))) for v in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[:5]
+        near = [k for k in range(len(cosine)) if cosine[k] >= cosine[near[-1]] - 1e-12]
+        vote = sum(cosine[k] ** model.sharpness * model.label[k] for k in near) / sum(cosine[k] ** model.sharpness for k in near)
+        assert abs(vote - out[d][0]) < 1e-6
+    scored = neighbours.score(docs, model)
+    got = by_id(scored, "score")
+    assert scored.count() == len(rows()) and got[60] == got[61] == (model.share,) and got[65] == got[66]
+    assert neighbours.score(empty, model).count() == 0
+    none = neighbours.fit(df.limit(0))
+    assert {r["score"] for r in neighbours.score(docs, none).collect()} == {0.5}
+    lone = neighbours.fit(df.where("quality = 1").limit(1))
+    assert {r["predicted"] for r in neighbours.score(docs, lone).collect()} == {1}
+
+
+def test_quality_features_of_pieces_and_neighbours(monkeypatch):
+    from spanloom.llm import neighbours
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aZé0 .\n$日", k=rng.randrange(60))) for _ in range(50)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = neighbours.counts(data, offsets)
+    assert all((neighbours.counts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0] == whole[i]).all() for i, r in enumerate(raw))
+    assert (whole[:, : neighbours.SHAPES].sum(axis=1) == [sum(max(0, len(t) - k) for k in range(3)) for t in texts]).all()
+    for piece in (1, 2, 7, 100):
+        monkeypatch.setattr(neighbours, "PIECE", piece)
+        assert (neighbours.counts(data, offsets) == whole).all()
+
+
+def test_resizing_in_pieces_is_exact():
+    rng = np.random.default_rng(3)
+    for h, w in ((1, 1), (3, 5), (70, 33), (8, 9)):
+        pixels = rng.integers(0, 256, (h, w, 2), dtype=np.uint8)
+        wide = np.kron(pixels.astype(float), np.ones((8, 9, 1)))
+        want = wide.reshape(8, h, 9, w, 2).mean(axis=(1, 3))
+        for side in (1, 4, 512):
+            assert np.allclose(media.area_resize(pixels, 8, 9, side), want)
+    with pytest.raises(media.BadImage):
+        media.decode(b"P4 100000 100000\n" + b"x")
+    with pytest.raises(media.BadImage):
+        media.decode(b"P1 10000 10000\n1")
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    with open(RANKS_FILE, "rb") as f:
+        encoding = tokencount._encoding(f.read())
+    rng = random.Random(6)
+    text = "".join(rng.choices(["word", " a", " 12", "it's", "  ", "\n", " ½x", "é ", "日本", "_", " ²b"], k=3000))
+    monkeypatch.setattr(tokencount, "PIECE", 40)
+    own = list(tokencount.pieces(text))
+    assert len(own) > 50 and "".join(own) == text and sum(len(encoding.encode_ordinary(p)) for p in own) == len(encoding.encode_ordinary(text))

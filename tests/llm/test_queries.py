@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return con
 
@@ -127,6 +127,17 @@ def test_op10(spark, duck, documents):
     assert np.mean(good) < 0.3 and (not bad or np.mean(bad) > np.mean(good))
 
 
+def test_op12(spark, duck, documents):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op12_knn_quality"](spark, SF).collect()}
+    assert set(got) == {d[0] for d in documents} and all(r["held_out"] == (crc(d, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for d, r in got.items())
+    by_text = {}
+    for d, text, *_ in documents:
+        by_text.setdefault(text or "", set()).add(got[d]["score"])
+    assert all(len(s) == 1 for s in by_text.values())
+    late = [(got[d]["predicted"], y) for d, y in duck.execute("select doc_id, quality from labels where quality is not null").fetchall() if crc(d, 5) == 0]
+    assert sum(a == b for a, b in late) >= 0.9 * len(late) and all(a for a, b in late if b == 1)
+
+
 def test_pipeline_keeps_what_it_should(spark, documents):
     out = queries.QUERIES["pipeline"](spark, SF).collect()
     by = {d: t for d, t, *_ in documents}
