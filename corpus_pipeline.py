@@ -19,13 +19,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None, block_bytes: int | None = None) -> DataFrame:
     """All stages over the documents of ``sf_dir``; every stage's rows are written and read again by the next.
 
     weights (source, weight): targets of the mixture; without them, the square root of each source's bytes.
+    block_bytes: bytes of a block of the mixture; without it, it follows from the bytes of all documents.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mix = spark.read.parquet(f"{sf_dir}/documents.parquet"), {"weights": weights, "block_bytes": block_bytes}
     for name, stage in STAGES[:-1]:
-        more = {"weights": weights} if name == "source_mixing" and weights is not None else {}
-        docs = durable(stage(spark, docs, sf_dir, **more), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = durable(stage(spark, docs, sf_dir, **(mix if name == "source_mixing" else {})), name)
+    return STAGES[-1][1](spark, docs, sf_dir, **mix)
