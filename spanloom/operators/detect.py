@@ -16,6 +16,7 @@ from spanloom.functions.durable import durable
 from spanloom.functions.phrases import folded
 from spanloom.operators import policy
 from spanloom.operators.spans import SPAN, Lexicon, Rule, covered, merge, scan_spans, tidy
+from spanloom.operators.tagger import Tagger, recognised
 
 CHECKS = {"nric": checks.nric_valid, "luhn": checks.luhn_valid, "iban": checks.iban_valid}
 GUARD = (r"(?<![\w-])", r"(?![\w-])")
@@ -232,10 +233,11 @@ def _alone(text: str, start: int, end: int) -> bool:
     return not re.match(r"\w", text[start - 1 : start]) and not re.match(r"\w", text[end : end + 1])
 
 
-def detect(turns: DataFrame, layers: list[str] | None = None) -> DataFrame:
+def detect(turns: DataFrame, layers: list[str] | None = None, tagger: Tagger | None = None) -> DataFrame:
     """Disjoint spans of whole calls: turns (call_id, turn, text) joined by line feeds; offsets are into the call.
 
-    ``layers`` keeps only some of format, context, spoken, dialogue and propagate.  Every rule reads the texts, and
+    With ``tagger`` names that it recognises are found as well (layer presidio).  ``layers`` keeps only some of format,
+    context, spoken, dialogue, presidio and propagate.  Every rule reads the texts, and
     merging reads its spans twice, so both are written once to the shared folder instead of being computed again.
     """
     spark: SparkSession = turns.sparkSession
@@ -244,7 +246,7 @@ def detect(turns: DataFrame, layers: list[str] | None = None) -> DataFrame:
     texts = durable(call_texts(turns), "texts")
     found = _union([
         format_spans(texts).select("id", *SPAN), context_spans(texts).select("id", *SPAN),
-        spoken_spans(texts), dialogue_spans(turns).select("id", *SPAN),
+        spoken_spans(texts), dialogue_spans(turns).select("id", *SPAN), *([recognised(texts, tagger)] if tagger else []),
     ])
     found = found.where(F.col("layer").isin(*layers)) if layers else found
     base = durable(merge(durable(numbered(plausible(found, texts)), "candidates"), policy.types(spark)).select("id", *SPAN), "merged")

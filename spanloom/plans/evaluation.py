@@ -165,16 +165,6 @@ def policy_variants(spark, sf_dir):
     return out.groupBy("variant", F.col("action").alias("act"), "tier").agg(F.count("*").alias("n"))
 
 
-@query("learned_gaps", CALLS + " SELECT id, ['HEALTH', 'LOCATION'] AS types FROM x WHERE id % 2 = 0")
-def learned_gaps(spark, sf_dir):
-    """Attributes that a learned recogniser names where no span is; names don't count here."""
-    calls = tr.derived_calls(spark, sf_dir)
-    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("start"), F.lit(s + 4).alias("end")) for t, s in (("HEALTH", 0), ("LOCATION", 10), ("PERSON", 20))]))
-    learned = calls.select("id", kinds.alias("x")).select("id", "x.*")
-    known = calls.where("id % 2 = 1").select("id", F.lit(2).alias("start"), F.lit(12).alias("end"))
-    return decisions.learned_gaps(learned, known, policy.types(spark))
-
-
 @query("review_release", CALLS + " SELECT state, policy, count(*) AS n FROM (SELECT CASE WHEN tier = 'GREEN' AND held THEN CASE WHEN id % 8 = 0 THEN 'approved' ELSE 'held' END ELSE 'open' END AS state, CASE WHEN tier = 'GREEN' AND held AND id % 8 <> 0 THEN 'tier:RED' ELSE 'tier:' || tier END AS policy FROM (SELECT id, id % 4 = 0 AS held, tier FROM x, (VALUES ('RED'), ('GREEN')) v(tier))) GROUP BY ALL")
 def review_release(spark, sf_dir):
     """Held public copies, of which a reviewer approves half."""
