@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.durable import durable
+from spanloom.functions.durable import durable, new_path, path_exists
 from spanloom.functions.ranking import prefix_sums
 from spanloom.llm import langid, mixing, packing, toxicity
 from spanloom.llm.ngram_join import ngram_components
@@ -78,17 +78,39 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: Dat
     return _with_slots(docs, weights, block_bytes).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(*docs.columns)
 
 
+#: Settings that tell where the slots of some documents under some weights are, by a fingerprint of both.
+SLOTS = "spanloom.mixing.slots"
+
+
+def _fingerprint(df: DataFrame, *columns: Column) -> str:
+    """A count and a sum of hashes over all rows, in whatever order they lie."""
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))).first()
+    return f"{n}.{total or 0}"
+
+
 def _with_slots(docs: DataFrame, weights: DataFrame | None, block_bytes: int | None) -> DataFrame:
-    """docs with the ``_slot`` and ``_place`` of their doc_id's first row in the schedule."""
-    slots = mixing.schedule(docs, weights, block_bytes).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
-    slots = durable(slots.select(F.col("doc_id").alias("_id"), F.col("_at.slot").alias("_slot"), F.col("_at.place").alias("_place")), "slots")
+    """docs with the ``_slot`` and ``_place`` of their doc_id's first row in the schedule.
+
+    A schedule depends on ids, sources and sizes, weights and block_bytes alone: it is made once for them and found again
+    by their fingerprint, so other runs of the session can't be taken for this one.
+    """
+    spark = docs.sparkSession
+    own = _fingerprint(docs, F.col("doc_id"), F.col("source"), F.octet_length("text"))
+    given = _fingerprint(weights, F.col("source"), F.col("weight").cast("double")) if weights is not None else "-"
+    name = f"{SLOTS}.{own}.{given}.{block_bytes or 0}"
+    path = spark.conf.get(name, None)
+    if path is None or not path_exists(spark, f"{path}/_SUCCESS"):
+        path = new_path(spark, "slots")
+        slots = mixing.schedule(docs, weights, block_bytes).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("_at"))
+        slots.select(F.col("doc_id").alias("_id"), F.col("_at.slot").alias("_slot"), F.col("_at.place").alias("_place")).write.parquet(path)
+        spark.conf.set(name, path)
+    slots = spark.read.schema("_id long, _slot long, _place long").parquet(path)
     return docs.join(_small(slots), docs["doc_id"].eqNullSafe(slots["_id"]), "left").drop("_id")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None, block_bytes: int | None = None) -> DataFrame:
     """Packs all documents, whole, into bins of equal capacity: groups of bins follow the slots of the mixed order.
 
-    A schedule depends on the documents' ids, sources and sizes alone, so the same documents, weights and block_bytes
-    have here the slots that the mixing stage gave them, whatever else the session ran meanwhile.
+    The same documents, weights and block_bytes have here the slots that the mixing stage gave them.
     """
     return packing.pack_mixed(_with_slots(docs, weights, block_bytes).withColumnRenamed("_slot", "slot"))
