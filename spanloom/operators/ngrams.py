@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,12 +117,24 @@ def plain_words(text: Column) -> Column:
 
 
 def mentions(texts: DataFrame, people: DataFrame, attributes: list[str]) -> DataFrame:
-    """(id, attribute, value): the values of people's attributes that a text names, as whole words."""
+    """(id, attribute, value): the values of people's attributes that a text names, as whole words.
+
+    Ids and first words meet the values without the texts; only values of several words are then looked for in them.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), plain_words(F.col(a)).alias("value")) for a in attributes]))
     names = people.select(*attributes).distinct().select(each.alias("x")).select("x.*").where("value <> ''").distinct().withColumn("head", F.split_part("value", F.lit(" "), F.lit(1)))
-    words = texts.select("id", plain_words(F.col("text")).alias("low")).withColumn("head", F.explode(F.array_distinct(F.split("low", " "))))
+    low = texts.select("id", plain_words(F.col("text")).alias("low"))
+    heads = low.select("id", F.explode(F.array_distinct(F.split("low", " "))).alias("head"))
+    maybe = heads.join(names, "head").select("id", "attribute", "value").distinct()
+    long = F.contains("value", F.lit(" "))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return words.join(names, "head").where(F.contains(padded(F.col("low")), padded(F.col("value")))).select("id", "attribute", "value").distinct()
+    asked = maybe.where(long).groupBy("id").agg(F.collect_list(F.struct("attribute", "value")).alias("asked"))
+    said = low.join(asked, "id").withColumn("asked", F.filter("asked", lambda x: F.contains(padded(F.col("low")), padded(x["value"]))))
+    return maybe.where(~long).unionByName(said.select("id", F.explode("asked").alias("x")).select("id", "x.*")).distinct()
+
+
+#: Combinations of named values that a question may be turned into; questions with more start from their rarest attribute.
+COMBINATIONS = 64
 
 
 def linkage(texts: DataFrame, people: DataFrame, attributes: list[str]) -> DataFrame:
@@ -128,19 +142,55 @@ def linkage(texts: DataFrame, people: DataFrame, attributes: list[str]) -> DataF
 
     People with equal attributes are one group, and texts that name the same values are one question: only distinct
     questions meet distinct groups.  ``first`` is the smallest such person.  Texts without any value are left out.
+
+    For each set of attributes that questions name, people are counted by these attributes alone, and questions join the
+    counts by all their values: a value that a third of all people have costs one row.  A question of very many values
+    starts from its rarest attribute instead, whose groups are then checked for the others.
     """
     asked = mentions(texts, people, attributes).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("attribute", "value"))).alias("asked"))
     asked = durable(asked, "asked")
-    groups = people.groupBy(*[plain_words(F.col(a)).alias(a) for a in attributes]).agg(F.count("*").alias("n"), F.min("person").alias("first")).withColumn("group", F.xxhash64(*attributes))
-    pairs = groups.select("group", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value")) for a in attributes])).alias("x")).select("group", "x.*").where("value is not null")
-    questions = asked.select("asked").distinct()
+    groups = people.groupBy(*[plain_words(F.col(a)).alias(a) for a in attributes]).agg(F.count("*").alias("n"), F.min("person").alias("first"))
+    groups = durable(groups, "groups")
+    of = lambda a: F.transform(F.filter("asked", lambda x: x["attribute"] == a), lambda x: x["value"])
+    named = [of(a).alias(a) for a in attributes]
+    questions = durable(asked.select("asked").distinct().select("asked", *named), "questions")
+    sizes = [F.greatest(F.size(a), F.lit(1)).cast("double") for a in attributes]
+    every = reduce(lambda a, b: a * b, sizes)
+    found = []
+    kinds = questions.where(every <= COMBINATIONS).select(*[(F.size(a) > 0).alias(a) for a in attributes]).distinct().collect()  # sets of attributes
+    for kind in kinds:
+        on = [a for a in attributes if kind[a]]
+        own = questions.where(every <= COMBINATIONS)
+        for a in attributes:
+            own = own.where(F.size(a) > 0).withColumn(a, F.explode(a)) if kind[a] else own.where(F.size(a) == 0).drop(a)
+        counts = groups.groupBy(*on).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        found.append(own.join(counts, on).select("asked", "n", "first"))
+    wide = questions.where(every > COMBINATIONS)
+    if not wide.isEmpty():
+        found.append(_from_rarest(wide, groups, attributes))
+    none = asked.select("asked").limit(0).select("asked", F.lit(0).cast("long").alias("n"), F.lit(None).cast(groups.schema["first"].dataType).alias("first"))
+    answers = reduce(DataFrame.unionByName, found, none).groupBy("asked").agg(F.sum("n").alias("candidates"), F.min("first").alias("first"))
     active = F.size(F.array_distinct(F.transform("asked", lambda x: x["attribute"])))
-    hits = questions.select("asked", F.explode("asked").alias("x")).select("asked", "x.*").join(pairs, ["attribute", "value"]).groupBy("asked", "group").agg(F.countDistinct("attribute").alias("met"))
-    full = hits.where(F.col("met") == active).join(groups.select("group", "n", "first"), "group")
-    answers = full.groupBy("asked").agg(F.sum("n").alias("candidates"), F.min("first").alias("first"))
     return asked.join(answers, "asked", "left").select("id", active.cast("long").alias("active"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "first")
 
 
+def _from_rarest(questions: DataFrame, groups: DataFrame, attributes: list[str]) -> DataFrame:
+    """(asked, n, first): groups that fit questions (asked, an array of values for each attribute), found by the rarest one.
+
+    The rarest attribute of a question is that whose named values the fewest groups have; rows made are at most those.
+    """
+    value = lambda a: F.struct(F.lit(a).alias("attribute"), F.col(a).alias("value"))
+    lists = groups.select(F.explode(F.array(*[value(a) for a in attributes])).alias("x")).where("x.value is not null").groupBy("x.attribute", "x.value").agg(F.count("*").alias("size"))
+    costs = questions.select("asked", F.explode("asked").alias("x")).select("asked", "x.*").join(lists, ["attribute", "value"], "left")
+    costs = costs.groupBy("asked", "attribute").agg(F.sum(F.coalesce("size", F.lit(0))).alias("cost"))
+    rarest = costs.groupBy("asked").agg(F.min_by("attribute", F.struct("cost", "attribute")).alias("rarest"))
+    started = questions.join(rarest, "asked").withColumn("value", F.explode(F.coalesce(*[F.when(F.col("rarest") == a, F.col(a)) for a in attributes])))
+    started = started.select("asked", F.col("rarest").alias("attribute"), "value", *[F.col(a).alias(f"_{a}") for a in attributes])
+    listed = groups.select("*", F.explode(F.array(*[value(a) for a in attributes])).alias("x")).select("*", "x.attribute", "x.value").drop("x")
+    fits = reduce(lambda a, b: a & b, [(F.size(f"_{a}") == 0) | F.coalesce(F.array_contains(f"_{a}", F.col(a)), F.lit(False)) for a in attributes])
+    return started.join(listed, ["attribute", "value"]).where(fits).select("asked", "n", "first")
+
+
 def linkage_with_log(texts: DataFrame, people: DataFrame, log: DataFrame, attributes: list[str], logged: list[str]) -> DataFrame:
     """(id, candidates, first): people whom the text fits and who, in the log (person, *logged), did what the text's row says.
 
@@ -179,6 +229,48 @@ def direct_leaks(texts: DataFrame, values: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.count_if(F.contains("low", F.col("value"))).alias("leaks"))
 
 
+def planted(texts: DataFrame, canaries: DataFrame, key: bytes) -> DataFrame:
+    """texts (id, text) with the canaries (canary, said, times) added as last lines, each to ``times`` texts.
+
+    A keyed hash orders the texts; the canaries take them in turn, each text one canary at most.  Canaries are a small
+    table; if they ask for more texts than there are, the last ones get fewer.
+    """
+    upto = Window.partitionBy(F.lit(0)).orderBy("canary").rowsBetween(Window.unboundedPreceding, -1)  # a row per canary
+    slots = canaries.withColumn("_first", F.coalesce(F.sum("times").over(upto), F.lit(0)))
+    slots = slots.select("said", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("times") - 1)).alias("_at"))
+    order = keyed.hmac_sha256(key, F.col("id").cast("string"))
+    wanted = canaries.agg(F.sum("times")).first()[0] or 0
+    chosen = texts.select("id", order.alias("_mac")).orderBy("_mac", "id").limit(wanted)  # as many as are planted
+    chosen = chosen.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_mac", "id")) - 1)
+    said = chosen.join(F.broadcast(slots), "_at").select("id", "said")
+    both = texts.join(F.broadcast(said), "id", "left")
+    return both.select("id", F.when(F.col("said").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "text", "said")).alias("text"))
+
+
+def candidate_scores(candidates: DataFrame, counts: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """candidates (canary, planted, said) with logp under a model of bigrams: the sum over the tokens of ``said``.
+
+    Candidates share their beginnings: every edge of the trie of their tokens is one row, and has its factor once,
+    whatever the number of candidates that pass it; the sums go down the trie level by level.
+    """
+    toks = F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(F.lower("said"), F.lit(TOKEN), F.lit(0)))
+    rows = durable(candidates.select("canary", "planted", "said", toks.alias("w")), "candidates")
+    node = lambda k: F.xxhash64(F.slice("w", F.lit(1), k + 1), k)
+    steps = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(k.alias("level"), node(k - 1).alias("up"), node(k).alias("node"), F.get("w", k - 1).alias("a"), F.get("w", k).alias("b")))
+    trie = rows.where(F.size("w") > 1).select(F.explode(steps).alias("x")).select("x.*").distinct()
+    pairs = log_probabilities(trie.select("a", "b").distinct(), counts).select("a", "b", "logp")
+    trie = durable(trie.join(pairs, ["a", "b"]).select("level", "up", "node", "logp"), "trie")
+    top = trie.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]  # the longest candidate
+    done = trie.where("level = 1").select("node", F.col("logp").alias("sum"))
+    every = [done]
+    for level in range(2, top + 1):
+        done = durable(trie.where(F.col("level") == level).join(done.withColumnRenamed("node", "up"), "up").select("node", (F.col("sum") + F.col("logp")).alias("sum")), "sums")
+        every.append(done)
+    sums = reduce(DataFrame.unionByName, every)
+    last = node(F.size("w") - 1)
+    return rows.select("canary", "planted", "said", last.alias("node")).join(sums, "node", "left").select("canary", "planted", "said", F.coalesce("sum", F.lit(0.0)).alias("logp"))
+
+
 def exposure(scores: DataFrame) -> DataFrame:
     """(canary, exposure): log2 of the candidates less log2 of the planted one's rank (ties count) by logp."""
     planted = scores.where("planted").select("canary", F.col("logp").alias("mine"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from typing import NamedTuple
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import values as V
+from spanloom.functions.align import alignment
 from spanloom.functions.batches import small_batches
 from spanloom.functions.offsets import running_sums
 from spanloom.functions.phrases import Phrases, Prefilter, folded
@@ -186,10 +186,7 @@ def carried_over(pairs: DataFrame) -> DataFrame:
             out = []
             for key, ref, hyp, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "ref", "hyp", "spans")), strict=True):
                 a, b = ([(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\S+", t or "")] for t in (ref, hyp))
-                place: dict[int, tuple[int, int]] = {}
-                for _, i, i2, j, j2 in difflib.SequenceMatcher(None, [w for *_, w in a], [w for *_, w in b], autojunk=False).get_opcodes():
-                    for k in range(i, i2):  # an equal word its own place; replaced ones share theirs
-                        place[k] = (j + k - i, j + k - i + 1) if i2 - i == j2 - j else (j, j2)
+                place = {k: (j + k - i, j + k - i + 1) if op in ("equal", "replace") else (j, j2) for op, i, i2, j, j2 in alignment([w for *_, w in a], [w for *_, w in b]) for k in range(i, i2)}
                 for s in spans or []:
                     own = [place[k] for k, (x, y, _) in enumerate(a) if x < s["end"] and s["start"] < y and place[k][0] < place[k][1]]
                     if own:
@@ -200,3 +197,31 @@ def carried_over(pairs: DataFrame) -> DataFrame:
 
     own = pairs.select("id", "ref", "hyp", "spans")
     return own.mapInArrow(rows, own.select("id").schema.add("start", "integer").add("end", "integer").add("type", "string"))
+
+
+def aligned_words(pairs: DataFrame) -> DataFrame:
+    """(id, op, ref_pos, hyp_pos, ref_word, hyp_word): what differs between the words of pairs (id, ref, hyp).
+
+    op is replace, delete (missed by the hypothesis) or insert; of the words, small letters, one is null in the latter two.
+    Words are runs of other than white space; null texts have none.
+    """
+    small_batches(pairs.sparkSession)
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for key, ref, hyp in zip(*(batch.column(c).to_pylist() for c in ("id", "ref", "hyp")), strict=True):
+                a, b = ((t or "").lower().split() for t in (ref, hyp))
+                for op, i, i2, j, j2 in alignment(a, b):
+                    if op != "equal":
+                        for k in range(max(i2 - i, j2 - j)):
+                            x, y = (i + k if i + k < i2 else None), (j + k if j + k < j2 else None)
+                            out.append((key, op, x, y, None if x is None else a[x], None if y is None else b[y]))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (batch.schema.field("id").type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            names = ["id", "op", "ref_pos", "hyp_pos", "ref_word", "hyp_word"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    own = pairs.select("id", "ref", "hyp")
+    schema = own.select("id").schema.add("op", "string").add("ref_pos", "integer").add("hyp_pos", "integer").add("ref_word", "string").add("hyp_word", "string")
+    return own.mapInArrow(rows, schema)

@@ -385,10 +385,14 @@ def qid_key(spark, sf_dir):
     return decisions.qid_keys(replaced)
 
 
-@query("annex_d_k", "WITH a(controls, motivation, p) AS (VALUES " + ", ".join(f"('{c}', '{m}', {p})" for c, m, p in V.ATTEMPT) + "), t(harm, threshold) AS (VALUES " + ", ".join(f"('{h}', {x})" for h, x in V.HARM_THRESHOLDS.items()) + ") SELECT controls, motivation, harm, ceil(round(p / threshold, 6))::BIGINT AS k FROM a, t")
+@query("annex_d_k", f"WITH {QID_SQL}, z AS (SELECT qid, count(*) AS size FROM q GROUP BY qid), a(controls, motivation, p) AS (VALUES " + ", ".join(f"('{c}', '{m}', {p})" for c, m, p in V.ATTEMPT) + "), t(harm, threshold) AS (VALUES " + ", ".join(f"('{h}', {x})" for h, x in V.HARM_THRESHOLDS.items()) + """), r AS (SELECT controls, motivation, harm, ceil(round(p / threshold, 6))::BIGINT AS k FROM a, t)
+SELECT controls, motivation, harm, k, (SELECT count(*) FROM z WHERE size < k) AS too_small FROM r""")
 def annex_d_k(spark, sf_dir):
-    """The class size that each setting calls for."""
-    return decisions.required_k(spark.createDataFrame(V.ATTEMPT, "controls string, motivation string, p double"), spark.createDataFrame(list(V.HARM_THRESHOLDS.items()), "harm string, threshold double"))
+    """The class size that each setting calls for, and how many classes of customers are smaller."""
+    wanted = decisions.required_k(spark.createDataFrame(V.ATTEMPT, "controls string, motivation string, p double"), spark.createDataFrame(list(V.HARM_THRESHOLDS.items()), "harm string, threshold double"))
+    sizes = qids(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("classes"))
+    met = sizes.join(F.broadcast(wanted), F.col("size") < F.col("k")).groupBy("controls", "motivation", "harm").agg(F.sum("classes").alias("too_small"))
+    return wanted.join(met, ["controls", "motivation", "harm"], "left").na.fill(0, ["too_small"])
 
 
 @query("retention_expired", CALLS + """ SELECT id FROM x WHERE created_at < TIMESTAMP '1998-08-02' - CASE WHEN scam THEN INTERVAL 1825 DAY ELSE INTERVAL 365 DAY END""")
@@ -517,22 +521,23 @@ def role_capability(spark, sf_dir):
     """Requests that each role's capabilities allow or refuse."""
     roles = spark.createDataFrame([("agent", ["read", "ingest"]), ("reviewer", ["read", "approve", "export"]), ("auditor", ["audit"])], "role string, caps array<string>")
     role = F.when(F.col("event_id") % 3 == 0, "agent").when(F.col("event_id") % 3 == 1, "reviewer").otherwise("auditor")
-    asked = table(spark, sf_dir, "events").select("event_type", role.alias("role"), F.explode(F.array(F.lit("read"), F.lit("approve"), F.lit("audit"))).alias("cap")).join(F.broadcast(roles), "role")
-    ok = F.array_contains("caps", F.col("cap"))
-    return asked.groupBy("event_type", "cap").agg(F.count_if(ok).alias("allowed"), F.count_if(~ok).alias("refused"))
+    asked = table(spark, sf_dir, "events").select("event_type", role.alias("role"), F.explode(F.array(F.lit("read"), F.lit("approve"), F.lit("audit"))).alias("cap"))
+    return access.capable(asked, roles).groupBy("event_type", "cap").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
 _ACTION_ROWS = [(t, c, h, tier, dict(((x, y), z) for x, y, z in V.OVERRIDES).get((t, tier), a)) for c, h, *acts in V.CLASSES for t in V.TYPES[c] for tier, a in zip(("RED", "AMBER", "GREEN"), acts, strict=True)]
 _ACTIONS_SQL = "a(type, class, harm, tier, action) AS (VALUES " + ", ".join(map(str, _ACTION_ROWS)) + ")"
 
 
-@query("policy_override_coalesce", f"WITH {_ACTIONS_SQL} SELECT type, class, harm, tier, action FROM a")
+@query("policy_override_coalesce", f"WITH {SPANS_SQL}, {_ACTIONS_SQL} SELECT type, class, harm, tier, action, count(*) AS n FROM s JOIN a USING (type) GROUP BY ALL")
 def policy_override_coalesce(spark, sf_dir):
-    """The action of every type for every tier."""
-    return policy.actions(spark)
+    """What the policy does to all spans, by type and tier."""
+    every = line_spans(spark, sf_dir).select("type").join(F.broadcast(policy.actions(spark)), "type")
+    return every.groupBy("type", "class", "harm", "tier", "action").agg(F.count("*").alias("n"))
 
 
-@query("policy_matrix_pivot", f"WITH {_ACTIONS_SQL} SELECT type, class, max(action) FILTER (tier = 'GREEN') AS \"GREEN\", max(action) FILTER (tier = 'AMBER') AS \"AMBER\", max(action) FILTER (tier = 'RED') AS \"RED\" FROM a GROUP BY ALL")
+@query("policy_matrix_pivot", f"WITH {SPANS_SQL}, {_ACTIONS_SQL}, m AS (SELECT type, class, max(action) FILTER (tier = 'GREEN') AS \"GREEN\", max(action) FILTER (tier = 'AMBER') AS \"AMBER\", max(action) FILTER (tier = 'RED') AS \"RED\" FROM a GROUP BY ALL) SELECT m.*, (SELECT count(*) FROM s WHERE s.type = m.type) AS n FROM m")
 def policy_matrix_pivot(spark, sf_dir):
-    """Types by tiers."""
-    return policy.matrix(spark)
+    """Types by tiers, with the number of their spans."""
+    counts = line_spans(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    return policy.matrix(spark).join(counts, "type", "left").na.fill(0, ["n"])

@@ -9,7 +9,7 @@ from spanloom.functions import values as V
 from spanloom.functions.durable import new_path
 from spanloom.operators import access, decisions, metrics, ngrams, policy, spans
 from spanloom.plans.analytics import _LEVEL, GOLD, scored
-from spanloom.plans.calls import _ACTIONS_SQL, CALLS, SECRET, sql_hmac, table
+from spanloom.plans.calls import _ACTIONS_SQL, CALLS, SECRET, SPANS_SQL, line_spans, sql_hmac, table
 from spanloom.plans.registry import query
 from spanloom.sources import transcripts as tr
 
@@ -154,15 +154,16 @@ def plaintext_hits(spark, sf_dir):
     return access.plaintext_hits(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), content.alias("content")), needles)
 
 
-@query("policy_variants", f"""WITH {_ACTIONS_SQL}, v(variant) AS (VALUES ('all-suppress'), ('all-pseudonym'), ('all-surrogate'), ('keep-quasi'))
-SELECT variant, CASE WHEN tier <> 'GREEN' THEN action WHEN variant = 'keep-quasi' THEN CASE WHEN class IN ('QUASI_ID', 'SENSITIVE_ATTR') THEN 'keep' ELSE action END ELSE substr(variant, 5) END AS act, tier, count(*) AS n FROM a, v GROUP BY ALL""")
+@query("policy_variants", f"""WITH {SPANS_SQL}, {_ACTIONS_SQL}, v(variant) AS (VALUES ('all-suppress'), ('all-pseudonym'), ('all-surrogate'), ('keep-quasi'))
+SELECT variant, CASE WHEN tier <> 'GREEN' THEN action WHEN variant = 'keep-quasi' THEN CASE WHEN class IN ('QUASI_ID', 'SENSITIVE_ATTR') THEN 'keep' ELSE action END ELSE substr(variant, 5) END AS act, tier, count(*) AS n FROM s JOIN a USING (type), v GROUP BY ALL""")
 def policy_variants(spark, sf_dir):
-    """How many types each action takes under other policies."""
+    """How many spans each action takes under other policies."""
     every = [policy.overridden(policy.actions(spark), v).withColumn("variant", F.lit(v)) for v in ("all-suppress", "all-pseudonym", "all-surrogate", "keep-quasi")]
     out = every[0]
     for more in every[1:]:
         out = out.unionByName(more)
-    return out.groupBy("variant", F.col("action").alias("act"), "tier").agg(F.count("*").alias("n"))
+    met = line_spans(spark, sf_dir).select("type").join(F.broadcast(out), "type")
+    return met.groupBy("variant", F.col("action").alias("act"), "tier").agg(F.count("*").alias("n"))
 
 
 @query("review_release", CALLS + " SELECT state, policy, count(*) AS n FROM (SELECT CASE WHEN tier = 'GREEN' AND held THEN CASE WHEN id % 8 = 0 THEN 'approved' ELSE 'held' END ELSE 'open' END AS state, CASE WHEN tier = 'GREEN' AND held AND id % 8 <> 0 THEN 'tier:RED' ELSE 'tier:' || tier END AS policy FROM (SELECT id, id % 4 = 0 AS held, tier FROM x, (VALUES ('RED'), ('GREEN')) v(tier))) GROUP BY ALL")
