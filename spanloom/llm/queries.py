@@ -281,3 +281,16 @@ found AS (SELECT k, own, c % 10000 AS bucket, count(*) AS n FROM runs JOIN crc U
 ), placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (fit) OVER () AS n FROM scored)
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN fit AND r <= 25 * n // 100 THEN r END AS rank FROM placed
 """
+
+
+ORACLES["op4_sharding"] = """
+WITH tbl AS (
+  SELECT list(c ORDER BY b) AS l FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) t(b))
+), d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d
+), c AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc FROM b, tbl
+), p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, crc, size) - size AS before, sum(size) OVER () AS total FROM c
+), s AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""
