@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: The paths that the innermost scope will delete.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that were written inside, once the block has ended without an error.
+
+    Results are lazy and read those tables: write or collect them inside the block.  After an error the tables stay, for
+    whoever looks for its cause.  Scopes may be nested; an inner one deletes its own tables only.
+    """
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+    for path in paths:
+        delete_path(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other table uses."""
-    return f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

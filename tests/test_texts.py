@@ -80,3 +80,21 @@ def test_planted_canaries_and_trie_scores(spark):
     assert scores.count() == len(every) and all(math.isclose(r["logp"], want.get(r["said"], 0.0), rel_tol=1e-9, abs_tol=1e-9) for r in scores.collect())
     exposed = {r["canary"]: r["exposure"] for r in ngrams.exposure(scores).collect()}
     assert exposed["c1"] == round(math.log2(1000), 4)
+
+
+def test_a_scope_deletes_what_was_written_inside(spark):
+    from spanloom.functions import durable
+
+    with durable.scope(spark):
+        path = durable.new_path(spark, "outer")
+        spark.range(3).write.parquet(path)
+        with durable.scope(spark):
+            inner = durable.durable(spark.range(5), "inner")
+            where = inner.inputFiles()[0].rsplit("/", 1)[0]
+            assert inner.count() == 5
+        assert not durable.path_exists(spark, where) and durable.path_exists(spark, path)
+    assert not durable.path_exists(spark, path)
+    with pytest.raises(ValueError), durable.scope(spark):
+        kept = durable.durable(spark.range(2), "kept")
+        raise ValueError
+    assert kept.count() == 2
