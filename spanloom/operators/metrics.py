@@ -143,6 +143,32 @@ def confusion(rows: DataFrame, truth: str, guess: str, labels: list) -> DataFram
     return rows.groupBy(truth).pivot(guess, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def agreement(rows: DataFrame, truth: str, guess: str, positive) -> DataFrame:
+    """(n, accuracy, positives, recall, low, high): how often a guess is right, and how many positives it finds.
+
+    low and high are the exact 95% interval of the recall; recall is null without positives.  Rows without a truth don't
+    count; a missing guess is wrong.
+    """
+    right = F.coalesce(F.col(truth) == F.col(guess), F.lit(False))
+    held = F.col(truth) == F.lit(positive)
+    sums = rows.where(F.col(truth).isNotNull()).agg(F.count("*").alias("n"), F.count_if(right).alias("_right"), F.count_if(held).alias("positives"), F.count_if(held & right).alias("_found"))
+    bounds = F.udf(lambda k, n: clopper_pearson(k, n) if n else None, "struct<low double, high double>")  # of one row
+    each = sums.withColumn("_b", bounds("_found", "positives"))
+    return each.select("n", ratio(F.col("_right"), F.col("n")).alias("accuracy"), "positives", ratio(F.col("_found"), F.col("positives")).alias("recall"), F.round("_b.low", 4).alias("low"), F.round("_b.high", 4).alias("high"))
+
+
+def targets(measured: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(target, value, bound, met) of what is wanted (target, bound, at_least), from what was measured (target, value).
+
+    A target that was measured several times is met if all its values meet it, and the one that is furthest off is shown;
+    one that wasn't measured has neither value nor verdict.
+    """
+    both = wanted.join(measured, "target", "left")
+    margin = F.when(F.col("at_least"), F.col("value") - F.col("bound")).otherwise(F.col("bound") - F.col("value"))
+    worst = both.groupBy("target").agg(F.min(F.when(margin.isNotNull(), F.struct(margin.alias("margin"), "value"))).alias("w"), F.first("bound").alias("bound"))
+    return worst.select("target", F.col("w.value").alias("value"), "bound", (F.col("w.margin") >= 0).alias("met"))
+
+
 #: Poisson(1) counts up to 9 as cuts of a 28-bit number: a draw is the number of cuts that it reaches.
 POISSON_CUTS = [int((1 << 28) * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(9)]
 

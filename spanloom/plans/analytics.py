@@ -243,12 +243,15 @@ def mean_sd_seeds(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.round(F.avg("l_discount"), 4).alias("mean"), F.round(F.stddev_samp("l_discount"), 4).alias("sd"))
 
 
-@query("target_table", "WITH r AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM labels) SELECT 'quality' AS target, q >= 0.8 AS met FROM r UNION ALL SELECT 'toxic', t <= 0.05 FROM r UNION ALL SELECT 'latency', NULL")
+@query("target_table", """WITH r AS (SELECT lang, round(avg(quality), 4) AS q, round(avg(toxic), 4) AS t FROM labels JOIN documents USING (doc_id) GROUP BY lang), w AS (SELECT min(q) AS q, max(t) AS t FROM r)
+SELECT 'quality' AS target, q AS value, 0.8::DOUBLE AS bound, q >= 0.8 AS met FROM w UNION ALL SELECT 'toxic', t, 0.15, t <= 0.15 FROM w UNION ALL SELECT 'latency', NULL, 1.0, NULL""")
 def target_table(spark, sf_dir):
-    """Targets met, not met, and not measured."""
-    got = table(spark, sf_dir, "labels").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    rows = F.array(F.struct(F.lit("quality").alias("target"), (F.col("q") >= 0.8).alias("met")), F.struct(F.lit("toxic").alias("target"), (F.col("t") <= 0.05).alias("met")), F.struct(F.lit("latency").alias("target"), F.lit(None).cast("boolean").alias("met")))
-    return got.select(F.explode(rows).alias("x")).select("x.*")
+    """Targets met and not met in the worst language, and one that nobody measured."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    by_lang = rows.groupBy("lang").agg(F.round(F.avg("quality"), 4).alias("quality"), F.round(F.avg("toxic"), 4).alias("toxic"))
+    measured = by_lang.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("value")) for t in ("quality", "toxic")])).alias("x")).select("x.*")
+    wanted = spark.createDataFrame([("quality", 0.8, True), ("toxic", 0.15, False), ("latency", 1.0, False)], "target string, bound double, at_least boolean")
+    return metrics.targets(measured, wanted)
 
 
 _TOK = f"t AS (SELECT id, unnest(range(len(w) + 1)) AS pos, unnest(list_prepend('<s>', w)) AS tok FROM (SELECT id, regexp_extract_all(lower(text), '{ngrams.TOKEN}') AS w FROM {DOCS}))"

@@ -64,3 +64,15 @@ def test_appending_reads_no_old_entry_and_repairs_half_a_batch(spark, tmp_path):
     nodes = spark.read.parquet(f"{tmp_path}/log/levels/1/*").orderBy("pos").collect()
     assert [(r["pos"], r["hash"]) for r in nodes] == [(k, plain([leaf(i) for i in range(1024 * k, 1024 * k + 1024)])) for k in range(5)]
     assert spark.read.parquet(f"{tmp_path}/log/levels/0/from=5000").where(F.col("pos") < 5000).count() == 0
+
+
+def test_many_heads_are_checked_at_once(spark, monkeypatch):
+    monkeypatch.setattr(audit, "HEADS", 150)
+    entries = spark.createDataFrame([(i, str(i), leaf(i)) for i in range(400)], "seq long, entry string, hash string").repartition(3)
+    heads, peaks = [], []
+    for i in range(400):
+        peaks = growing.pushed(peaks, 0, [(i, leaf(i))])
+        heads.append({"size": i + 1, "root": growing.root_of(peaks)})
+    assert audit.verify_log(entries, F.col("entry"), heads) == {"first_bad": None, "truncated_below": None, "first_bad_head": None}
+    heads[233] |= {"root": "00" * 32}
+    assert audit.verify_log(entries, F.col("entry"), heads)["first_bad_head"] == 234
