@@ -971,3 +971,54 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
     monkeypatch.setattr(tokencount, "PIECE", 40)
     own = list(tokencount.pieces(text))
     assert len(own) > 50 and "".join(own) == text and sum(len(encoding.encode_ordinary(p)) for p in own) == len(encoding.encode_ordinary(text))
+
+
+def plain_bins(rows, capacity):
+    """Bins (lists of rows) by looking at every bin for the tightest one that fits and repeats no source or cluster."""
+    bins = []
+    for r in rows:
+        free = [(capacity - sum(x[0] for x in b), k) for k, b in enumerate(bins)]
+        fits = sorted((f, k) for f, k in free if f >= r[0] and f > 0 and not any(set(x[1]) & set(r[1]) for x in bins[k]))
+        if fits:
+            bins[fits[0][1]].append(r)
+        else:
+            bins.append([r])
+    return bins
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_packing_equals_a_plain_search_over_all_groups(spark, rounds):
+    rng = random.Random(rounds + 5)
+    data = [(i, 0, rng.choice([0, 5, 17, 30, 44, 60]), rng.choice(["a", "b", "c", None, f"s{i}"]), rng.choice([None, i % 9, i])) for i in range(150)]
+    pieces = spark.createDataFrame(data, "doc_id long, piece int, size long, source string, cluster long")
+    groups = -(-len(data) // 20)
+    dealt = {r["doc_id"]: r["g"] for r in pieces.select("doc_id", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("g")).collect()}
+    want = {}
+    for g in range(groups):
+        own = sorted((r for r in data if dealt[r[0]] == g), key=lambda r: (-r[2], r[0]))
+        rows_ = [(r[2], [x for x in (("s", r[3]), ("c", r[4])) if x[1] is not None], r[0]) for r in own]
+        for b, members in enumerate(plain_bins(rows_, 64)):
+            want[g, b] = members
+    if rounds:
+        part = [(g, b, sum(x[0] for x in own)) for (g, b), own in want.items() if sum(x[0] for x in own) < 64]
+        n = max(1, -(-len(part) // 20))
+        again = {(r["from"], r["bin"]): r["g"] for r in spark.createDataFrame(part, "from long, bin long, size long").select("from", "bin", F.pmod(F.xxhash64("from", "bin", F.lit(0)), F.lit(n)).alias("g")).collect()}
+        for k in range(n):
+            own = sorted((x for x in part if again[x[0], x[1]] == k), key=lambda x: (-x[2], x[0], x[1]))
+            for merged in plain_bins([(size, [y for m in want[g, b] for y in m[1]], (g, b)) for g, b, size in own], 64):
+                for _, _, place in merged[1:]:
+                    want[merged[0][2]] = want[merged[0][2]] + want.pop(place)
+    got = {}
+    for r in packing.pack(pieces.repartition(3), 64, group_rows=20, rounds=rounds).collect():
+        got.setdefault((r["group"], r["bin"]), []).append((r["offset"], r["doc_id"], r["size"]))
+    assert {k: [d for _, d, _ in sorted(v, key=lambda x: (x[0], -x[2]))] for k, v in got.items() if all(s for *_, s in v)} == {k: [m[2] for m in v] for k, v in want.items() if all(m[0] for m in v)}
+    assert {k: sorted(d for _, d, _ in v) for k, v in got.items()} == {k: sorted(m[2] for m in v) for k, v in want.items()}
+
+
+def test_written_shards_hold_their_documents_in_order(spark, tmp_path):
+    data = [(i, "x" * (i * 7 % 50)) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame([(*d, "clash") for d in data], "doc_id long, text string, size string").repartition(4)
+    sharding.write_shards(df, f"{tmp_path}/s", 5)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    placed = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 5).collect()}
+    assert sorted((r["doc_id"], r["text"] or "", r["shard"]) for r in back.collect()) == sorted((d, t or "", placed[d]) for d, t in data)
