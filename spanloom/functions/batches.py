@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 #: Bytes and rows of a batch of texts.  The JVM and the worker hold a few batches for every running task.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4_000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4_000
 
 
 def small_batches(spark: SparkSession) -> None:
