@@ -30,4 +30,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from spanloom.plans import analytics, calls, evaluation, recognition, released  # noqa: F401
+    from spanloom.plans import analytics, calls, evaluation, recognition, released, replaced  # noqa: F401
