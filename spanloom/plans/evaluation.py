@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from spanloom.functions import keyed
 from spanloom.functions import values as V
 from spanloom.functions.durable import new_path
-from spanloom.operators import access, decisions, metrics, ngrams, policy, spans
+from spanloom.operators import access, decisions, metrics, ngrams, policy, render, spans
 from spanloom.plans.analytics import _LEVEL, GOLD, scored
-from spanloom.plans.calls import _ACTIONS_SQL, CALLS, SECRET, SPANS_SQL, line_spans, sql_hmac, table
+from spanloom.plans.calls import _ACTIONS_SQL, _TOWN_CASE, CALLS, SECRET, SPANS_SQL, line_spans, sql_hmac, table
 from spanloom.plans.registry import query
 from spanloom.sources import transcripts as tr
 
@@ -96,24 +96,26 @@ def direct_leaks(spark, sf_dir):
     return ngrams.direct_leaks(texts, values)
 
 
-_LINES = CALLS + ", e AS (SELECT row_number() OVER (ORDER BY id) - 1 AS p, '{\"id\":' || id || ',\"utterances\":[\"' || t0 || '\",\"' || t1 || '\"]}' AS v, id FROM x WHERE id % 4 <> 0), l0 AS (SELECT p, sha256(unhex('00') || encode(v)) AS h FROM e), " + ", ".join(f"l{i + 1} AS ({_LEVEL.format(i)})" for i in range(22))
+_TURN_TEXTS = " || '\",\"' || ".join(f"t{i}" for i in range(9))
+_LINES = CALLS + f""", g AS (SELECT *, CASE town {_TOWN_CASE} ELSE 'Singapore' END AS region FROM x WHERE id % 4 <> 0), e AS (SELECT row_number() OVER (ORDER BY id) - 1 AS p, '{{"id":' || id || ',"utterances":["' || {_TURN_TEXTS} || '"]}}' AS v, id, count(*) OVER (PARTITION BY region) AS k FROM g),
+l0 AS (SELECT p, sha256(unhex('00') || encode(v)) AS h FROM e), """ + ", ".join(f"l{i + 1} AS ({_LEVEL.format(i)})" for i in range(22))
 
 
-@query("export_manifest", _LINES + " SELECT (SELECT count(*) FROM e) AS calls, (SELECT count(*) FROM e WHERE id % 5 = 0) AS gated, h AS sha256 FROM l22")
+@query("export_manifest", _LINES + " SELECT (SELECT count(*) FROM e) AS calls, (SELECT count(*) FROM e WHERE k < 2000) AS gated, (SELECT min(k) FROM e) AS smallest_k, h AS sha256 FROM l22")
 def export_manifest(spark, sf_dir):
-    """The public export as JSON lines with its manifest, held calls left out."""
+    """The public export of whole calls as JSON lines with its manifest, held calls left out, classes by the region that is shown."""
     calls = tr.derived_calls(spark, sf_dir).where("id % 4 <> 0")
-    pieces = calls.select("id", F.array("t0", "t1").alias("utterances"))
-    gates = calls.select("id", F.lit(3).alias("k"), (F.col("id") % 5 == 0).alias("gated"))
+    pieces = calls.select("id", F.array(*[f"t{i}" for i in range(9)]).alias("utterances"))
+    gates = decisions.k_gate(calls.select("id", render.generalize(F.lit("LOCATION"), F.col("town")).alias("qid")), 2000)
     done = tr.export_lines(pieces, gates, new_path(spark, "export"), policy.version())
-    return spark.createDataFrame([(done["calls"], done["gated"], done["sha256"])], "calls long, gated long, sha256 string")
+    return spark.createDataFrame([(done["calls"], done["gated"], done["smallest_k"], done["sha256"])], "calls long, gated long, smallest_k long, sha256 string")
 
 
 @query("copies_opened", CALLS + " SELECT tier, count(*) AS copies, count_if(id % 5 <> 0 AND tier = 'GREEN') AS opened, count_if(id % 5 <> 0 AND tier = 'GREEN') AS right_text FROM x, (VALUES ('RED'), ('GREEN')) v(tier) GROUP BY tier")
 def copies_opened(spark, sf_dir):
     """Sealed copies with keys of their own, of which a public holder opens those whose keys weren't erased."""
     calls = tr.derived_calls(spark, sf_dir)
-    copies = calls.select("id", F.explode(F.array(F.lit("RED"), F.lit("GREEN"))).alias("tier"), F.col("t7").alias("text"))
+    copies = calls.select("id", F.explode(F.array(F.lit("RED"), F.lit("GREEN"))).alias("tier"), F.concat_ws("\n", *[f"t{i}" for i in range(9)]).alias("text"))
     own = keyed.hmac_sha256(SECRET, F.concat_ws("|", F.col("id").cast("string"), "tier"))
     keys = copies.select("id", "tier", F.concat(F.lit("tier:"), "tier").alias("policy"), F.unhex(own).alias("key"))
     path = new_path(spark, "sealed")
