@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from spanloom.functions import keyed
+from spanloom.functions.align import alignment, edits
 from spanloom.functions.offsets import running_sums
 from spanloom.operators.spans import coverage, overlaps
 
@@ -253,14 +256,13 @@ def rates(spans: DataFrame, words: DataFrame, n: int) -> DataFrame:
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:
-    """Word edits that turn one text into another: words become characters of one alphabet, then Levenshtein.
+    """Word edits that turn one text into another, by alignment; null for a null text."""
+    words = lambda text: F.regexp_replace(F.lower(F.trim(text)), r"\s+", "\n")
+    return _word_edits(words(ref), words(hyp))
 
-    The alphabet has as many characters as the two texts have distinct words: code points from 33 on without the
-    surrogates, each made from its UTF-32 bytes.  There are 1,112,031 of these.
-    """
-    a, b = F.split(F.lower(F.trim(ref)), r"\s+"), F.split(F.lower(F.trim(hyp)), r"\s+")
-    names = F.array_distinct(F.concat(a, b))
-    point = lambda n: n + F.when(n < 0xD800, 0).otherwise(0x800)
-    char = lambda w: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position(names, w) + 32)), 8, "0")), "UTF-32")
-    code = lambda words: F.array_join(F.transform(words, char), "")
-    return F.levenshtein(code(a), code(b))
+
+@F.arrow_udf(IntegerType())
+def _word_edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Edits between texts of one word a line."""
+    pairs = zip(ref.to_pylist(), hyp.to_pylist(), strict=True)
+    return pa.array([None if a is None or b is None else edits(alignment(a.split("\n"), b.split("\n"))) for a, b in pairs], type=pa.int32())
