@@ -103,6 +103,27 @@ def capped(toks: DataFrame, cap: int, key: bytes) -> DataFrame:
     return toks.select("id", "tok").distinct().withColumn("n", rank).where(F.col("n") <= cap).drop("n")
 
 
+def word_lists(texts: DataFrame) -> DataFrame:
+    """(id, toks): the lower-case tokens of texts (id, text), one array a text."""
+    return texts.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("toks"))
+
+
+def pair_lists(texts: DataFrame) -> DataFrame:
+    """(id, toks): the bigrams of texts (id, text), ``<s>`` before the first token, each with a blank between."""
+    after = lambda w, i: F.concat_ws(" ", F.when(i == 0, "<s>").otherwise(F.get("toks", i - 1)), w)
+    return word_lists(texts).withColumn("toks", F.transform("toks", after))
+
+
+def capped_lists(lists: DataFrame, cap: int, key: bytes) -> DataFrame:
+    """What ``capped`` takes of all tokens in lists (id, toks), of which each list gives ``cap`` tokens to the shuffle at most.
+
+    The first tokens of a contributor are among the first of each of its lists.
+    """
+    drawn = F.transform(F.array_distinct("toks"), lambda t: F.struct(keyed.hmac_sha256(key, F.concat_ws("|", F.col("id").cast("string"), t)).alias("mac"), t.alias("tok")))
+    first = lists.select("id", F.explode(F.slice(F.array_sort(drawn), 1, cap)["tok"]).alias("tok"))
+    return capped(first.repartition("id"), cap, key)
+
+
 def laplace_counts(capped_rows: DataFrame, scale: float, threshold: float, key: bytes) -> DataFrame:
     """(tok, n, noisy): counts with Laplace noise from a keyed uniform; those below the threshold are left out."""
     u = (keyed.keyed_int(keyed.hmac_sha256(key, F.col("tok"))) + 0.5) / float(1 << 28) - 0.5

@@ -294,8 +294,8 @@ _MAC_TOK = sql_hmac("CAST(id AS VARCHAR) || '|' || tok")
 @query("dp_cap_counts", f"WITH {_TOK}, d AS (SELECT DISTINCT id, tok FROM t WHERE pos > 0), c AS (SELECT id, tok FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_MAC_TOK}, tok) <= 50) SELECT tok, count(*) AS n FROM c GROUP BY tok")
 def dp_cap_counts(spark, sf_dir):
     """Word counts to which no document gives more than 50 distinct words."""
-    toks = ngrams.tokens(documents(spark, sf_dir)).where("pos > 0")
-    return ngrams.capped(toks, 50, SECRET).groupBy("tok").agg(F.count("*").alias("n"))
+    toks = ngrams.word_lists(documents(spark, sf_dir))
+    return ngrams.capped_lists(toks, 50, SECRET).groupBy("tok").agg(F.count("*").alias("n"))
 
 
 def noise_of(epsilon: float) -> tuple[float, float]:
@@ -313,15 +313,15 @@ z AS (SELECT tok, n, round(n - sign(u) * {scale}::DOUBLE * ln(1 - 2 * abs(u)), 4
 @query("dp_noisy_counts", f"WITH {_TOK}, d AS (SELECT DISTINCT id, tok FROM t WHERE pos > 0), c AS (SELECT id, tok FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_MAC_TOK}, tok) <= 50), k AS (SELECT tok, count(*) AS n FROM c GROUP BY tok), {_noisy(8)}")
 def dp_noisy_counts(spark, sf_dir):
     """Those counts with keyed Laplace noise and a threshold (epsilon 8, delta 1e-5, half of either for words)."""
-    toks = ngrams.tokens(documents(spark, sf_dir)).where("pos > 0")
-    return ngrams.laplace_counts(ngrams.capped(toks, 50, SECRET), *noise_of(8), SECRET)
+    toks = ngrams.word_lists(documents(spark, sf_dir))
+    return ngrams.laplace_counts(ngrams.capped_lists(toks, 50, SECRET), *noise_of(8), SECRET)
 
 
 @query("dp_noisy_bigrams", f"WITH {_BI}, d AS (SELECT DISTINCT id, a || ' ' || b AS tok FROM q), c AS (SELECT id, tok FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_MAC_TOK}, tok) <= 50), k AS (SELECT tok, count(*) AS n FROM c GROUP BY tok), {_noisy(64)}")
 def dp_noisy_bigrams(spark, sf_dir):
     """The same for bigrams with epsilon 64: at most 50 distinct ones of each document."""
-    pairs = ngrams.bigrams(documents(spark, sf_dir)).select("id", F.concat_ws(" ", "a", "b").alias("tok"))
-    return ngrams.laplace_counts(ngrams.capped(pairs, 50, SECRET), *noise_of(64), SECRET)
+    pairs = ngrams.pair_lists(documents(spark, sf_dir))
+    return ngrams.laplace_counts(ngrams.capped_lists(pairs, 50, SECRET), *noise_of(64), SECRET)
 
 
 @query("linkage_candidates", """WITH p AS (SELECT c_custkey AS person, lower(n_name) AS nation, lower(c_mktsegment) AS segment FROM customer JOIN nation ON n_nationkey = c_nationkey),
