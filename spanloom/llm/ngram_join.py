@@ -12,6 +12,8 @@ formed:
   and accumulates the overlap counts of all its pairs as a product of matrices.  A pair is dropped as soon as its count, with
   all that the smaller rest of the two rows could still add, stays below the least overlap that their sizes allow;
   rows without a pair leave the tile.
+* Before whole rows are moved to a tile, sketches of them are: how many columns fall into each of some buckets.  Two rows
+  differ in at least as many columns as their sketches do, so a row that no other can reach is left out; no linked pair is.
 * The rows of a digest are multiplied with one leader row first (a tile of one row, linear in the group).  What remains
   are rows of one leader in different components than it; only these are multiplied with the leader's other rows as well.
 
@@ -234,8 +236,31 @@ def multiply(a: list[np.ndarray], b: list[np.ndarray], able: np.ndarray, num: in
     return np.nonzero(live & (count >= need))
 
 
+def sketch(columns: np.ndarray) -> bytes:
+    """How many columns of a row fall into each of some buckets (a power of two, about one for three columns), at most 255."""
+    bits = max(4, (len(columns) // 3).bit_length())
+    counts = np.bincount((tk.mix(columns ^ tk.U64(0x9FB21C651E98DF25)) >> tk.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def within_reach(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, able: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows a and of the rows b (sketches, and their sizes) may reach the bound with some row that ``able`` allows.
+
+    Finer sketches are folded to the coarsest: sums of neighbouring buckets differ by no more than the buckets do.
+    """
+    small = np.minimum(na[:, None], nb[None, :])
+    differ = na[:, None] + nb[None, :] - 2 * -(-num * (na[:, None] + nb[None, :]) // (den + num))
+    live = able & (na[:, None] + nb[None, :] - 2 * small <= differ)
+    size = min(map(len, [*a, *b]), default=0)
+    x, y = (np.array([np.frombuffer(s, dtype=np.uint8).reshape(size, -1).sum(axis=1, dtype=np.int32) for s in side], dtype=np.int32) for side in (a, b))
+    for i in np.flatnonzero(live.any(axis=1)):
+        near = np.flatnonzero(live[i])
+        live[i, near] = np.abs(y[near] - x[i]).sum(axis=1) <= differ[i, near]
+    return live.any(axis=1), live.any(axis=0)
+
+
 def full_rows(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, columns): the whole set of each of nodes (doc_id, node), as bytes; texts are read for these only."""
+    """(node, columns, sketch): the whole set of each of nodes (doc_id, node), as bytes; texts are read for these only."""
     wanted = durable(nodes.select("doc_id", "node"), "wanted")
     ids = wanted.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -246,26 +271,36 @@ def full_rows(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             found, size = [], 0
             for _, c in _sets(batch, words):
                 if len(c):
-                    found.append((set_digest(c), c.tobytes()))
+                    found.append((set_digest(c), c.tobytes(), sketch(c)))
                     size += c.nbytes
                 if size > BATCH_BYTES:
                     yield _named(found)
                     found, size = [], 0
             yield _named(found)
 
-    def _named(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], type=pa.int64()), pa.array([f[1] for f in found], type=pa.binary())], ["node", "columns"])
+    def _named(found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=t) for k, t in enumerate(kinds)], ["node", "columns", "sketch"])
 
-    read = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "node long, columns binary")
+    read = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(full, "node long, columns binary, sketch binary")
     return durable(read.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "rows")
 
 
 def _tile_links(placed: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): linked rows of all tiles, from placed (leader, i, j, side, node, root), sides 0 and 1 of tile (leader, i, j).
 
-    Rows of equal roots are not compared; a null root is none.
+    Rows of equal roots are not compared; a null root is none.  Sketches go to the tiles first, whole rows only where one of
+    the other side may be in reach.
     """
 
+    def reaching(batches):
+        for table in groups(batches, ["leader", "i", "j"]):
+            side, root, n = (table[c].to_numpy() for c in ("side", "root", "n"))
+            sketches = table["sketch"].to_pylist()
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x, y = within_reach([sketches[k] for k in a], [sketches[k] for k in b], n[a], n[b], root[a][:, None] != root[b][None, :], num, den)
+            yield from table.select(cells).take(np.sort(np.concatenate([a[x], b[y]]))).combine_chunks().to_batches()
+
     def linked(batches):
         for table in groups(batches, ["leader", "i", "j"]):
             side, node, root = (table[c].to_numpy() for c in ("side", "node", "root"))
@@ -275,7 +310,11 @@ def _tile_links(placed: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(node[a[x]]), pa.array(node[b[y]])], ["a", "b"])
 
     key = ["leader", "i", "j"]
-    tiled = placed.join(rows, "node").select(*key, "side", "node", "root", "columns").repartition(*key).sortWithinPartitions(*key)
+    cells = [*key, "side", "node", "root"]
+    sketched = rows.select("node", "sketch", (F.octet_length("columns") / 8).cast("long").alias("n"))
+    dealt = placed.join(sketched, "node").select(*cells, "n", "sketch").repartition(*key).sortWithinPartitions(*key)
+    near = dealt.mapInArrow(reaching, dealt.select(*cells).schema)
+    tiled = near.join(rows.select("node", "columns"), "node").select(*cells, "columns").repartition(*key).sortWithinPartitions(*key)
     return tiled.mapInArrow(linked, "a long, b long")
 
 

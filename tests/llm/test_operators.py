@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import embed_dedup, langid, media, mixing, packing, sharding, stages, tokencount, toxicity, urlfilter
 from spanloom.llm.components import components
 from spanloom.llm import ngram_join
-from spanloom.llm.ngram_join import Bands, block_digests, multiply, ngram_components
+from spanloom.llm.ngram_join import Bands, block_digests, multiply, ngram_components, sketch, within_reach
 from spanloom.llm.queries import RANKS_FILE
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, root long, bin string"
@@ -365,6 +365,23 @@ def test_tile_product_equals_plain_overlaps(monkeypatch, block):
     assert got == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if able[i, j] and plain(x, y)} and got
 
 
+def test_sketches_keep_every_linked_row_and_leave_others_out():
+    rng = np.random.default_rng(11)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    passage, kept, far = draw(8), 0, 0
+    for _ in range(60):
+        base = draw(int(rng.integers(1, 900)))
+        near = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.04], draw(1 + len(base) // 30)])) for _ in range(4)]
+        other = [np.unique(np.concatenate([passage, draw(len(base))])) for _ in range(4)]
+        a, b = [np.unique(base), *other[:2]], [*near, *other[2:]]
+        able = np.ones((len(a), len(b)), bool)
+        x, y = within_reach([sketch(s) for s in a], [sketch(s) for s in b], np.array([len(s) for s in a]), np.array([len(s) for s in b]), able, 80, 100)
+        i, j = multiply(a, b, able, 80, 100)
+        assert x[i].all() and y[j].all()
+        kept, far = kept + len(i), far + int(x[1:].sum() + y[4:].sum())
+    assert kept > 100 and far < 24  # of 240 rows that only share a passage, which is nearly all of a few short ones
+
+
 def test_large_group_in_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 5)
     monkeypatch.setattr(ngram_join, "ENTRIES", 150)
