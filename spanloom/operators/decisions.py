@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spoken
 from spanloom.functions import values as V
 from spanloom.operators.render import REDACTED
-from spanloom.operators.spans import Rule, covered, scan_spans
+from spanloom.operators.spans import covered
 
 
 def triage(turns: DataFrame, amounts: DataFrame) -> DataFrame:
@@ -19,11 +19,12 @@ def triage(turns: DataFrame, amounts: DataFrame) -> DataFrame:
     turns: (call_id, turn, speaker, text); a disclosure is one client turn that names a credential and a giving verb
     and no negation.  amounts: (id, amount), any number of rows per call.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
-    told = (F.col("speaker") == "client") & low.rlike(spoken.any_of(V.CREDENTIALS)) & low.rlike(spoken.any_of(V.GIVING)) & ~low.rlike(spoken.any_of(V.NEGATIONS))
-    calls = turns.groupBy(F.col("call_id").alias("id")).agg(
-        F.max(low.rlike(spoken.any_of(V.FRAUD_CUES))).alias("fraud"), F.max(told).alias("told"), F.max(low.rlike(spoken.any_of(V.TRANSFER_CUES))).alias("cue"),
-        F.max(low.rlike(spoken.any_of(V.TRANSFER_WORDS))).alias("moved"), F.max(low.rlike(spoken.any_of([p.lower() for p in V.FOREIGN_PLACES]))).alias("place"),
+    has = lambda words: spoken.says(F.col("low"), words)
+    told = (F.col("speaker") == "client") & has(V.CREDENTIALS) & has(V.GIVING) & ~has(V.NEGATIONS)
+    said = turns.select(F.col("call_id").alias("id"), "speaker", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    calls = said.groupBy("id").agg(
+        F.max(has(V.FRAUD_CUES)).alias("fraud"), F.max(told).alias("told"), F.max(has(V.TRANSFER_CUES)).alias("cue"),
+        F.max(has(V.TRANSFER_WORDS)).alias("moved"), F.max(has([p.lower() for p in V.FOREIGN_PLACES])).alias("place"),
     ).withColumn("abroad", F.col("cue") | (F.col("moved") & F.col("place")))
     top = amounts.groupBy("id").agg(F.max("amount").alias("top"))
     large = F.coalesce("top", F.lit(0.0)) >= V.TRANSFER_THRESHOLD
@@ -46,9 +47,7 @@ def weak_spans(spans: DataFrame) -> DataFrame:
 
 def residual_numbers(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, start, end): the first run of four digits or more, written or spoken, of each text that no span covers."""
-    mapped = texts.where("text is not null").select("id", spoken.normalize_with_map("text").alias("m")).select("id", F.col("m.norm").alias("text"), "m.starts", "m.ends")
-    runs = scan_spans(mapped, [Rule(r"[0-9](?:[ -]?[0-9]){%d,}" % (V.RESIDUAL_DIGITS - 1), "", "", 0.0)], ["id", "starts", "ends"])
-    placed = runs.select("id", F.get("starts", F.col("start")).alias("start"), F.get("ends", F.col("end")).alias("end"))
+    placed = spoken.placed_runs(texts, r"[0-9](?:[ -]?[0-9]){%d,}" % (V.RESIDUAL_DIGITS - 1))
     left = covered(placed, spans, "left_anti")
     return left.groupBy("id").agg(F.min(F.struct("start", "end")).alias("f")).select("id", "f.start", "f.end")
 
