@@ -55,7 +55,7 @@ def open_by_tree(leaves: DataFrame, attribute_keys: DataFrame) -> DataFrame:
     leaves: what wrap_by_tree gave, written.  attribute_keys: (holder, attribute, key), a holder's few keys.  Only leaves of
     held attributes are unsealed; a copy's shares meet in one row for each holder.
     """
-    held = leaves.join(attribute_keys.withColumnRenamed("key", "own"), "attribute")
+    held = leaves.join(F.broadcast(attribute_keys.withColumnRenamed("key", "own")), "attribute")
     share = access.unseal(F.col("wrapped"), F.col("own"), F.col("id"), F.concat_ws("|", "tier", "path"))
     found = held.select("id", "tier", "policy", "holder", "path", share.alias("share")).where("share is not null")
     by_copy = found.groupBy("id", "tier", "policy", "holder").agg(F.map_from_entries(F.collect_set(F.struct("path", "share"))).alias("shares"))
