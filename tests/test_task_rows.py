@@ -2,10 +2,11 @@
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanloom.functions import batches
-from spanloom.operators import metrics
+from spanloom.operators import metrics, tagger
 
 
 def test_scored_spans_are_dealt_to_more_tasks_the_more_there_are(spark, monkeypatch):
@@ -24,3 +25,12 @@ def test_dealt_keeps_all_rows_and_meets_by_key(spark):
     a, b = batches.dealt("id", many, none, rows=10)
     assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 12 and a.count() == 120
     assert batches.dealt("id", none, many)[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_are_dealt_to_the_tagger(spark, monkeypatch):
+    monkeypatch.setattr(tagger, "TASK_TEXTS", 10, raising=False)
+    model = tagger.Tagger(tagger.TYPES, np.zeros((tagger.BUCKETS + 10, 9)))
+    model.weights[tagger.features(["Tan"])[0, 1], 1] = 9.0
+    texts = spark.range(200).coalesce(1).select("id", F.lit("i am Tan").alias("text"))
+    found = tagger.recognised(texts, model)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 10 and found.count() == 200
