@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import keyed
 from spanloom.functions import values as V
-from spanloom.functions.durable import new_path
+from spanloom.functions.durable import durable, new_path
 from spanloom.operators import access, decisions, metrics, ngrams, policy, render, spans
 from spanloom.plans.analytics import _LEVEL, GOLD, scored
 from spanloom.plans.calls import _ACTIONS_SQL, _TOWN_CASE, CALLS, SECRET, SPANS_SQL, line_spans, sql_hmac, table
@@ -21,8 +21,9 @@ f AS (SELECT id, CASE id % 3 WHEN 1 THEN a ELSE a + 3 END AS a, CASE id % 3 WHEN
 
 def gold_and_found(spark, sf_dir):
     calls = tr.derived_calls(spark, sf_dir)
-    texts = tr.derived_texts(calls)
-    own = calls.join(texts, "id")
+    text = F.concat_ws("\n", *[f"t{i}" for i in range(9)]).alias("text")
+    own = durable(calls.select("id", text, "person", "account", "t5", "t6"), "own")  # read for each measure, and once made
+    texts = own.select("id", "text")
     name = F.locate("my name is ", "text") + 10
     account = F.expr("position(concat(t5, '\n', t6), text)") - 1
     both = F.array(F.struct(name.alias("start"), (name + F.length("person")).alias("end")), F.struct(account.alias("start"), (account + F.length("account")).alias("end")))
