@@ -117,20 +117,37 @@ def merge(spans: DataFrame, harm: DataFrame) -> DataFrame:
     """Disjoint spans: every character goes to the best span that covers it, and runs of one winner are one span.
 
     Best is the most harmful type, then the most trusted layer, the longest, the highest score, and the first in
-    ``input_pos`` (a column of spans that orders ties, without repeats within an id).  harm: (type, harm).  Spans are read once, in order:
-    those that overlap in a chain are one knot, and most knots are one span.  Boundaries of the spans of a knot cut it into elementary
-    intervals; each interval takes the best of the spans that cover it.
+    ``input_pos`` (a column of spans that orders ties, without repeats within an id).  harm: (type, harm).
     """
     ranked = spans.join(F.broadcast(harm.select("type", "harm")), "type", "left").withColumn("harm", F.coalesce("harm", F.lit(0)))
     rank = F.struct(-F.col("harm"), -layer_rank(F.col("layer")), F.col("start") - F.col("end"), -F.col("score"), F.col("input_pos"))
-    one = F.struct(rank.alias("rank"), "start", "end", F.struct("type", "layer", "score", "input_pos").alias("w"))
-    order = Window.partitionBy("id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = ranked.where("start < end").select("id", "start", "end", one.alias("s"), F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int").alias("fresh"))
-    knots = ahead.withColumn("knot", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "knot").agg(F.collect_list("s").alias("s"))
-    single = F.transform("s", lambda x: F.struct(x["start"], x["end"], x["w"]))
-    runs = knots.select("id", F.explode(F.when(F.size("s") == 1, single).otherwise(_untied(F.col("s")))).alias("x"))
-    return runs.select("id", "x.start", "x.end", "x.w.type", "x.w.layer", "x.w.score", "x.w.input_pos")
+    one = F.struct("start", "end", "input_pos", rank.alias("rank"), F.struct("type", "layer", "score", "input_pos").alias("w"))
+    each = ranked.where("start < end").groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    sorted_ = F.transform("s", lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["w"].alias("w")))
+    return each.select("id", F.explode(disjoint(sorted_)).alias("x")).select("id", "x.start", "x.end", "x.w.type", "x.w.layer", "x.w.score", "x.w.input_pos")
+
+
+def disjoint(spans: Column) -> Column:
+    """Disjoint array<struct<start, end, w>> of an array<struct<rank, start, end, w>> in order of start and end: the least rank is the best.
+
+    Spans that overlap in a chain are one knot; most are one span, or have a best one that covers all others.  Boundaries of the spans of
+    another knot cut it into elementary intervals; each takes the best of the spans that cover it.  ``w`` has an ``input_pos`` of its own.
+    Null without spans.
+    """
+
+    def breaks(s: Column) -> Column:  # k spans begin before one; it begins a knot if they are the k that end first and have ended
+        ended = lambda ends: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(ends, k - 1) <= F.get(s, k)["start"]))
+        return let(F.array_sort(F.transform(s, lambda x: x["end"])), ended)
+
+    def own(s: Column) -> Column:
+        return let(breaks(s), lambda at: F.flatten(F.transform(at, lambda b, k: let(F.slice(s, b + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - b), knot))))
+
+    def knot(s: Column) -> Column:
+        first, whole = F.get(s, F.lit(0)), lambda x: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["w"].alias("w")))
+        covers = lambda x: (x["start"] == first["start"]) & (x["end"] == F.array_max(F.transform(s, lambda y: y["end"])))
+        return F.when(F.size(s) == 1, whole(first)).otherwise(let(F.array_min(s), lambda x: F.when(covers(x), whole(x)).otherwise(_untied(s))))
+
+    return let(spans, lambda s: F.when(F.size(s) > 0, own(s)))
 
 
 def _untied(knot: Column) -> Column:
@@ -149,8 +166,12 @@ def _untied(knot: Column) -> Column:
 
 
 def tidy(spans: DataFrame, texts: DataFrame, allowed: list[str]) -> DataFrame:
-    """Spans cut at line feeds, without edge white space, and without single characters, stop words and allowed words."""
-    raw = spans.join(texts.select("id", "text"), "id").withColumn("raw", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
+    """Spans cut at line feeds, without edge white space, and without single characters, stop words and allowed words.
+
+    Spans that bring their ``surface`` don't meet the texts again.
+    """
+    cut = F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start"))
+    raw = spans.withColumn("raw", F.col("surface")) if "surface" in spans.columns else spans.join(texts.select("id", "text"), "id").withColumn("raw", cut)
     parts = F.split("raw", "\n", -1)
     cut = F.arrays_zip(running_sums(F.transform(parts, lambda x: F.length(x) + 1)).alias("at"), parts.alias("line"))
     one = F.array(F.struct(F.lit(0).alias("at"), F.col("raw").alias("line")))  # nearly all spans
