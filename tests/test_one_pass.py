@@ -2,9 +2,10 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import detect, spans
+from spanloom.operators import decisions, detect, ingest, policy, render, spans
 
 PARTS = [
     "my name is uh Tan Ah Kow", "um i am Lim and i live in uh Bedok", "otp is um 123456", "one two three four five six", "my account number is uh zero one two three four five six seven",
@@ -36,3 +37,30 @@ def test_one_pass_gives_what_the_layers_give(spark):
     layers = [detect.format_spans(texts), detect.cue_spans(texts), detect.lexicon_spans(texts), detect.spoken_spans(texts), detect.dialogue_spans(turns)]
     want = {tuple(r) for x in layers for r in x.select("id", *spans.SPAN).collect()}
     assert got == want and {x[4] for x in want} == {"format", "context", "spoken", "dialogue"} and len(want) > 900
+
+
+def test_rendering_keeps_a_call_one_row(spark):
+    turns = spark.createDataFrame([*made_calls(60), (900, 0, "an American named Tan Ah Kow called tan ah kow"), (901, 0, None)], "call_id int, turn int, text string")
+    _, texts = detect.written(detect.gathered(turns))
+    calls = detect.detect_calls(texts)
+    actions = spark.createDataFrame(policy.actions(spark).collect(), policy.actions(spark).schema)  # the policy's own joins are no call's
+    shown = render.render_calls(calls, actions, b"k")
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    rows = detect.each_span(calls).select("id", *spans.SPAN)
+    want = render.render(texts, render.replacements(rows, texts, policy.actions(spark), b"k"))
+    got = {tuple(r) for r in shown.collect()}
+    assert got == {tuple(r) for r in want.select("id", "tier", "text").collect()} and len(got) == 3 * 62
+
+
+def test_reasons_for_review_are_those_of_the_rules(spark):
+    turns = spark.createDataFrame(made_calls(120, 8), "call_id int, turn int, text string")
+    turns, texts = detect.written(detect.gathered(turns))
+    calls = detect.detect_calls(texts, layers=["format", "context"])
+    rows = detect.each_span(calls)
+    got = {(r["id"], w) for r in ingest.review_reasons(calls.join(texts.select("id", "said"), "id")).collect() for w in r["reasons"]}
+    size = F.length(F.coalesce("text", F.lit("")))
+    at = F.coalesce(F.sum(size + 1).over(Window.partitionBy("call_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    asked = detect.slot_asks(turns.withColumn("start", at), ["start"]).select(F.col("call_id").alias("id"), "type", "start", (F.col("start") + size).alias("end"))
+    want = {(r["id"], "no " + r["type"]) for r in decisions.unanswered(asked, rows).collect()} | {(r["id"], "number") for r in decisions.residual_numbers(texts, rows).collect()}
+    assert got == want and {"no OTP", "no PIN", "number"} <= {w for _, w in got}
